@@ -9,7 +9,7 @@ from riskloom.functions.columns import is_night, is_weekend, ratio, truthy
 from riskloom.operators import sweep
 
 ROLLING = {"count_1h": "bigint", "amount_1h": "decimal(18,2)",
-           "count_24h": "bigint", "amount_24h": "decimal(18,2)"}
+           "count_24h": "bigint", "amount_24h": "decimal(18,2)", "inflow_1h": "decimal(18,2)"}
 HISTORY = {"count_all": "bigint", "amount_all": "decimal(18,2)"}
 DIVERSITY = {"device_count_30d": "int", "city_count_30d": "int", "counterparty_count_30d": "int"}
 CHANGES = {"recent_changes": "int"}
@@ -29,7 +29,8 @@ def realtime_features(
 ) -> DataFrame:
     """Everything known about an account at the time of each of its transactions.
 
-    * 1 h and 24 h amount and count, both ends inclusive, the current row included;
+    * 1 h and 24 h amount and count, both ends inclusive, the current row included, and
+      the amount deposited within 1 h;
     * amount deviation from the mean of all transactions so far;
     * distinct devices, cities and counterparties of the last 30 days;
     * first-device flag;
@@ -54,8 +55,9 @@ def realtime_features(
         measures |= CHANGES
 
     one, amount = F.lit(1), F.coalesce(F.col("amount"), F.lit(0)).cast("decimal(18,2)")
+    inflow = F.when(F.col("transaction_type") == "DEPOSIT", amount)
     windows = {
-        "1 hour": {"count_1h": one, "amount_1h": amount},
+        "1 hour": {"count_1h": one, "amount_1h": amount, "inflow_1h": inflow},
         "24 hours": {"count_24h": one, "amount_24h": amount},
     } if rolling else {}
     forever = {"count_all": one, "amount_all": amount} if history else {}
@@ -74,7 +76,8 @@ def realtime_features(
     extra = []
     if rolling:
         extra += [F.col("count_1h").cast("int").alias("count_1h"), F.col("amount_1h").cast("decimal(18,2)").alias("amount_1h"),
-                  F.col("count_24h").cast("int").alias("count_24h"), F.col("amount_24h").cast("decimal(18,2)").alias("amount_24h")]
+                  F.col("count_24h").cast("int").alias("count_24h"), F.col("amount_24h").cast("decimal(18,2)").alias("amount_24h"),
+                  F.col("inflow_1h").cast("decimal(18,2)").alias("inflow_1h")]
     if history:
         mean = F.col("amount_all").cast("double") / F.col("count_all")
         off = F.abs(F.col("amount").cast("double") - mean)

@@ -78,12 +78,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     the features of 2.10 are derived by the operators.
     """
     raw = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
-    event, user, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
+    raw = raw.withColumn("k", F.get_json_object("props", "$.k").cast("int")).drop("props")
+    event, user, ts, k = F.col("event_id"), F.col("user_id"), F.col("ts"), F.col("k")
     slot = F.when(k < 70, 0).when(k < 85, 1).when(k < 93, 2).when(k < 97, 3).otherwise(4)
-    based = raw.select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"))
-    k = F.col("k")
-    out = based.select(
+    out = raw.select(
         event, event.cast("string").alias("transaction_id"), user.cast("string").alias("account_id"),
         ts.alias("transaction_time"), "event_type", "value", "k",
         (F.col("value") * 2000).cast(MONEY).alias("amount"),
