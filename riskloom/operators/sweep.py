@@ -115,3 +115,20 @@ def running_state(rows: DataFrame, changes: Sequence[DataFrame], measures: dict[
         return (F.coalesce(F.col(m), F.lit(0)) + F.coalesce(F.col(f"before_{m}"), F.lit(0))).alias(m)
 
     return detail.join(carried, ["key", "bucket"]).select("row.*", *[total(m) for m in names])
+
+
+def with_next_time(df: DataFrame, key: str, ts: str, order: Sequence[str], bucket: str = "day",
+                   output: str = "next_ts") -> DataFrame:
+    """Adds the time of the key's next row (by ``order``, which starts with ``ts``).
+
+    The successor is looked for inside the bucket, then in the key's next bucket that has
+    rows, so a hot key is spread over as many groups as it has buckets.
+    """
+    cut = df.withColumn("_bucket", F.date_trunc(bucket, ts))
+    inside = Window.partitionBy(key, "_bucket").orderBy(*order)
+    over_buckets = Window.partitionBy(key).orderBy("_bucket")
+    first = (cut.groupBy(key, "_bucket").agg(F.min(ts).alias("_first"))
+             .select(key, "_bucket", F.lead("_first").over(over_buckets).alias("_next_first")))
+    return (cut.withColumn(output, F.lead(ts).over(inside)).join(first, [key, "_bucket"])
+            .withColumn(output, F.coalesce(output, "_next_first"))
+            .select(*df.columns, output))
