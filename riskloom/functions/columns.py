@@ -63,15 +63,12 @@ def is_weekend(ts: Column) -> Column:
 
 
 def ip_class(ip: Column) -> Column:
-    def any_prefix(prefixes):
-        test = ip.startswith(prefixes[0])
-        for prefix in prefixes[1:]:
-            test = test | ip.startswith(prefix)
-        return test
-
-    return (F.when(any_prefix(fv.HIGH_RISK_IP_PREFIXES), "HIGH_RISK")
-            .when(any_prefix(fv.MEDIUM_RISK_IP_PREFIXES), "MEDIUM_RISK")
-            .otherwise("NORMAL"))
+    """HIGH_RISK, MEDIUM_RISK or NORMAL by the first octets of the address."""
+    def starts(prefixes):
+        return ip.rlike("^(" + "|".join(p.replace(".", r"\.") for p in prefixes) + ")")
+
+    return (F.when(starts(fv.HIGH_RISK_IP_PREFIXES), "HIGH_RISK")
+            .when(starts(fv.MEDIUM_RISK_IP_PREFIXES), "MEDIUM_RISK").otherwise("NORMAL"))
 
 
 def score_level(score: Column) -> Column:

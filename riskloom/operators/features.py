@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import is_night, is_weekend, ratio, truthy
+from riskloom.functions.columns import truthy
 from riskloom.operators import sweep
 
 ROLLING = {"count_1h": "bigint", "amount_1h": "decimal(18,2)",
@@ -40,10 +40,9 @@ def realtime_features(
     A missing account counts as "unknown"; a missing time as ``unknown_time``.
     """
     columns = df.columns
-    base = df.withColumns({
-        "_key": F.coalesce(F.col(key).cast("string"), F.lit("unknown")),
-        "_ts": F.coalesce(F.col(ts), F.lit(unknown_time).cast(df.schema[ts].dataType)),
-    })
+    kind = df.schema[ts].dataType.simpleString()
+    base = df.selectExpr("*", f"coalesce(cast({key} as string), 'unknown') as _key",
+                         f"coalesce({ts}, cast('{unknown_time}' as {kind})) as _ts")
     measures: dict[str, str] = {}
     if rolling:
         measures |= ROLLING
@@ -54,13 +53,13 @@ def realtime_features(
     if profile_changes is not None:
         measures |= CHANGES
 
-    one, amount = F.lit(1), F.coalesce(F.col("amount"), F.lit(0)).cast("decimal(18,2)")
-    inflow = F.when(F.col("transaction_type") == "DEPOSIT", amount)
+    amount = "cast(coalesce(amount, 0) as decimal(18,2))"
+    inflow = f"if(transaction_type = 'DEPOSIT', {amount}, null)"
     windows = {
-        "1 hour": {"count_1h": one, "amount_1h": amount, "inflow_1h": inflow},
-        "24 hours": {"count_24h": one, "amount_24h": amount},
+        "1 hour": {"count_1h": "1", "amount_1h": amount, "inflow_1h": inflow},
+        "24 hours": {"count_24h": "1", "amount_24h": amount},
     } if rolling else {}
-    forever = {"count_all": one, "amount_all": amount} if history else {}
+    forever = {"count_all": "1", "amount_all": amount} if history else {}
     rows = sweep.trailing_changes(base, "_key", "_ts", measures, windows, forever)
 
     changes = []
@@ -75,20 +74,17 @@ def realtime_features(
     out = sweep.running_state(rows, changes, measures, bucket)
     extra = []
     if rolling:
-        extra += [F.col("count_1h").cast("int").alias("count_1h"), F.col("amount_1h").cast("decimal(18,2)").alias("amount_1h"),
-                  F.col("count_24h").cast("int").alias("count_24h"), F.col("amount_24h").cast("decimal(18,2)").alias("amount_24h"),
-                  F.col("inflow_1h").cast("decimal(18,2)").alias("inflow_1h")]
+        extra += [f"cast({m} as {'int' if kind == 'bigint' else kind}) as {m}" for m, kind in ROLLING.items()]
     if history:
-        mean = F.col("amount_all").cast("double") / F.col("count_all")
-        off = F.abs(F.col("amount").cast("double") - mean)
-        deviation = F.when(F.col("count_all") >= 2, F.try_divide(off, mean))
-        extra.append(F.coalesce(deviation, F.lit(0.0)).alias("amount_deviation"))
+        mean = "(cast(amount_all as double) / count_all)"
+        extra.append(f"""coalesce(case when count_all >= 2 then
+            try_divide(abs(cast(amount as double) - {mean}), {mean}) end, 0.0D) as amount_deviation""")
     if diversity:
-        extra += [F.col(m).cast("int").alias(m) for m in DIVERSITY]
-        extra.append(truthy(F.col("device_id").isNotNull() & (F.col("device_count_30d") == 1)).alias("is_first_device"))
+        extra += [f"cast({m} as int) as {m}" for m in DIVERSITY]
+        extra.append("device_id is not null and device_count_30d = 1 as is_first_device")
     if profile_changes is not None:
-        extra.append((F.col("recent_changes") > 0).alias("info_changed_recently"))
-    return out.select(*columns, *extra)
+        extra.append("recent_changes > 0 as info_changed_recently")
+    return out.selectExpr(*columns, *extra)
 
 
 def first_device(df: DataFrame, mode: str = "literal", key: str = "account_id",
@@ -110,25 +106,15 @@ def first_device(df: DataFrame, mode: str = "literal", key: str = "account_id",
 def account_features_30d(df: DataFrame, days: int = 30, key: str = "account_id_hash",
                          ts: str = "transaction_time") -> DataFrame:
     """Fourteen behaviour features per account over an already loaded look-back."""
-    def count_type(kind):
-        return F.count_if(F.col("transaction_type") == kind)
-
-    return df.groupBy(F.col(key).alias("customer_id_hash")).agg(
-        F.sum("amount").alias("total_amount_30d"),
-        F.avg("amount").alias("avg_amount_30d"),
-        F.max("amount").alias("max_amount_30d"),
-        F.min("amount").alias("min_amount_30d"),
-        F.stddev("amount").alias("std_amount_30d"),
-        F.count("*").alias("total_count_30d"),
-        (F.count("*") / days).alias("avg_daily_count_30d"),
-        F.count_if(is_night(F.col(ts))).alias("night_count_30d"),
-        F.count_if(is_weekend(F.col(ts))).alias("weekend_count_30d"),
-        F.count_distinct("channel_code").alias("channel_diversity_30d"),
-        F.count_distinct("merchant_id").alias("merchant_diversity_30d"),
-        count_type("TRANSFER").alias("transfer_count_30d"),
-        count_type("WITHDRAW").alias("withdraw_count_30d"),
-        count_type("PAYMENT").alias("payment_count_30d"),
-    )
+    return df.groupBy(F.col(key).alias("customer_id_hash")).agg(*[F.expr(e) for e in (
+        "sum(amount) as total_amount_30d", "avg(amount) as avg_amount_30d", "max(amount) as max_amount_30d",
+        "min(amount) as min_amount_30d", "stddev(amount) as std_amount_30d", "count(*) as total_count_30d",
+        f"count(*) / {days} as avg_daily_count_30d",
+        f"count_if(hour({ts}) < 6) as night_count_30d", f"count_if(dayofweek({ts}) in (1, 7)) as weekend_count_30d",
+        "count(distinct channel_code) as channel_diversity_30d", "count(distinct merchant_id) as merchant_diversity_30d",
+        "count_if(transaction_type = 'TRANSFER') as transfer_count_30d",
+        "count_if(transaction_type = 'WITHDRAW') as withdraw_count_30d",
+        "count_if(transaction_type = 'PAYMENT') as payment_count_30d")])
 
 
 def deviation_features(df: DataFrame, as_of: str, days: int = 30, recent: int = 7,
@@ -140,32 +126,26 @@ def deviation_features(df: DataFrame, as_of: str, days: int = 30, recent: int =
     count; the default 21 is the published convention even though the prior period
     of a 30-day look-back has 23 days.
     """
-    today = F.lit(as_of).cast("date").cast(df.schema[ts].dataType)
-    start = today - F.expr(f"interval {days} days")
-    cut = today - F.expr(f"interval {recent} days")
-    is_recent = F.col(ts) >= cut
-    is_prior = (F.col(ts) >= start) & (F.col(ts) < cut)
-    amount = F.col("amount")
-    # both branches in one aggregation; rows older than the look-back are in neither
-    agg = (df.filter(F.col(ts) >= start).groupBy(F.col(key).alias("customer_id_hash")).agg(
-        F.avg(F.when(is_recent, amount)).alias("recent7d_avg_amount"),
-        F.count_if(is_recent).alias("recent7d_tx_count"),
-        F.avg(F.when(is_prior, amount)).alias("prior21d_avg_amount"),
-        F.count_if(is_prior).alias("_prior_count"),
-    ).filter(F.col("recent7d_tx_count") > 0))
-    daily = F.when(F.col("_prior_count") > 0, F.col("_prior_count") / F.lit(prior_days))
-    recent_avg, prior_avg = F.col("recent7d_avg_amount").cast("double"), F.col("prior21d_avg_amount").cast("double")
-    recent_rate = F.col("recent7d_tx_count") / F.lit(float(recent))
+    kind = df.schema[ts].dataType.simpleString()
+    today = f"cast('{as_of}' as {kind})"
+    recently = f"{ts} >= {today} - interval {recent} days"
+    # both periods in one aggregation; rows older than the look-back are in neither
+    periods = (df.filter(f"{ts} >= {today} - interval {days} days").groupBy(F.col(key).alias("customer_id_hash")).agg(
+        F.expr(f"avg(if({recently}, amount, null)) as recent7d_avg_amount"),
+        F.expr(f"count_if({recently}) as recent7d_tx_count"),
+        F.expr(f"avg(if({recently}, null, amount)) as prior21d_avg_amount"),
+        F.expr(f"count_if(not ({recently})) as prior_count")).filter("recent7d_tx_count > 0"))
+    daily = periods.selectExpr("*", f"if(prior_count > 0, prior_count / {prior_days}D, null) as prior21d_daily_avg",
+                               f"recent7d_tx_count / {float(recent)}D as recent_rate")
 
     def relative(now, before):
-        return F.when(before > 0, ratio(now - before, before)).otherwise(0.0)
+        now, before = f"cast({now} as double)", f"cast({before} as double)"
+        return f"if({before} > 0, ({now} - {before}) / {before}, 0.0D)"
 
-    return agg.withColumn("prior21d_daily_avg", daily).select(
-        "customer_id_hash", "recent7d_avg_amount", "recent7d_tx_count",
-        "prior21d_avg_amount", "prior21d_daily_avg",
-        relative(recent_avg, prior_avg).alias("amount_deviation_ratio"),
-        relative(recent_rate, F.col("prior21d_daily_avg")).alias("frequency_deviation_ratio"),
-    )
+    return daily.selectExpr(
+        "customer_id_hash", "recent7d_avg_amount", "recent7d_tx_count", "prior21d_avg_amount", "prior21d_daily_avg",
+        relative("recent7d_avg_amount", "prior21d_avg_amount") + " as amount_deviation_ratio",
+        relative("recent_rate", "prior21d_daily_avg") + " as frequency_deviation_ratio")
 
 
 def merge_features(base: DataFrame, deviation: DataFrame, computed_at: str,

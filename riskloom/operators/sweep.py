@@ -12,36 +12,44 @@ a whole key, and the cost per row does not depend on the length of the window.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ARRIVE, LEAVE = 0, 1  # at the same instant, rows are read before anything leaves
 
 
-def _change(at: Column, phase: int, row: Column, values: dict[str, Column], measures: dict[str, str]) -> Column:
-    fields = [values.get(m, F.lit(None)).cast(kind).alias(m) for m, kind in measures.items()]
-    return F.struct(at.alias("at"), F.lit(phase).alias("phase"), row.alias("row"), *fields)
+def _change(at: str, phase: int, row: str, values: dict[str, str], measures: dict[str, str]) -> str:
+    fields = "".join(f", cast({values.get(m, 'null')} as {kind}) as {m}" for m, kind in measures.items())
+    return f"struct({at} as at, {phase} as phase, {row} as row{fields})"
 
 
 def trailing_changes(df: DataFrame, key: str, ts: str, measures: dict[str, str],
-                     windows: dict[str, dict[str, Column]], forever: dict[str, Column]) -> DataFrame:
+                     windows: dict[str, dict[str, str]], forever: dict[str, str]) -> DataFrame:
     """Rows plus their own arrivals and departures.
 
-    ``windows`` maps an interval (``"1 hour"``) to the measures it feeds; ``forever``
-    holds measures that never leave.  Only the arrival carries the row's payload, so the
-    departures stay narrow in the shuffle.
+    ``windows`` maps an interval (``"1 hour"``) to the measures it feeds, as SQL expressions;
+    ``forever`` holds measures that never leave.  Only the arrival carries the row's payload,
+    so the departures stay narrow in the shuffle.
     """
-    row = F.struct(*df.columns)
-    nothing = F.lit(None).cast(df.select(row.alias("row")).schema["row"].dataType)
+    packed = df.select(key, ts, *_inputs(df, key, ts, windows, forever), F.struct(*df.columns).alias("_row"))
+    nothing = f"cast(null as {packed.schema['_row'].dataType.simpleString()})"
     arriving = {**forever, **{m: v for fed in windows.values() for m, v in fed.items()}}
-    changes = [_change(F.col(ts), ARRIVE, row, arriving, measures)]
+    changes = [_change(ts, ARRIVE, "_row", arriving, measures)]
     for span, fed in windows.items():
-        leaving = {m: -v for m, v in fed.items()}
-        changes.append(_change(F.col(ts) + F.expr(f"interval {span}"), LEAVE, nothing, leaving, measures))
-    return df.select(F.col(key).alias("key"), F.inline(F.array(*changes)))
+        leaving = {m: f"-({v})" for m, v in fed.items()}
+        changes.append(_change(f"{ts} + interval {span}", LEAVE, nothing, leaving, measures))
+    return packed.selectExpr(f"{key} as key", f"inline(array({', '.join(changes)}))")
+
+
+def _inputs(df: DataFrame, key: str, ts: str, windows, forever) -> list[str]:
+    """Columns the measures are computed from, besides key and time."""
+    text = " ".join([*forever.values(), *[v for fed in windows.values() for v in fed.values()]])
+    words = set(re.findall(r"\w+", text))
+    return [c for c in df.columns if c in words and c not in (key, ts)]
 
 
 def presence_changes(df: DataFrame, key: str, ts: str, attributes: dict[str, str],
@@ -52,45 +60,31 @@ def presence_changes(df: DataFrame, key: str, ts: str, attributes: dict[str, str
     until ``span`` after its last one; sightings are first reduced to one row per value
     and day, then runs without a gap longer than ``span`` are found.
     """
-    seen = df.select(
-        F.col(key).alias("key"), F.col(ts).alias("ts"),
-        F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(c).cast("string").alias("value"))
-                            for c, m in attributes.items()])).alias("seen"),
-    ).select("key", "ts", "seen.*").filter(F.col("value").isNotNull())
-    daily = (seen.groupBy("key", "measure", "value", F.date_trunc("day", "ts").alias("day"))
-             .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
-    order = Window.partitionBy("key", "measure", "value").orderBy("day")
-    length = F.expr(f"interval {span}")
-    before, after = F.lag("last_ts").over(order), F.lead("first_ts").over(order)
-    runs = daily.select(
-        "key", "measure",
-        F.when(before.isNull() | (F.col("first_ts") > before + length), F.col("first_ts")).alias("start"),
-        F.when(after.isNull() | (after > F.col("last_ts") + length), F.col("last_ts") + length).alias("end"),
-    )
-    edges = runs.select("key", "measure", F.inline(F.array(
-        F.struct(F.col("start").alias("at"), F.lit(ARRIVE).alias("phase"), F.lit(1).alias("delta")),
-        F.struct(F.col("end").alias("at"), F.lit(LEAVE).alias("phase"), F.lit(-1).alias("delta")),
-    ))).filter(F.col("at").isNotNull())
+    pairs = ", ".join(f"struct('{m}' as measure, cast({c} as string) as value)" for c, m in attributes.items())
+    seen = df.selectExpr(f"{key} as key", f"{ts} as ts", f"inline(array({pairs}))").filter("value is not null")
+    daily = (seen.groupBy("key", "measure", "value", F.expr("date_trunc('day', ts) as day"))
+             .agg(F.expr("min(ts) as first_ts"), F.expr("max(ts) as last_ts")))
+    order = "over (partition by key, measure, value order by day)"
+    runs = daily.selectExpr("key", "measure", "first_ts", "last_ts",
+                            f"lag(last_ts) {order} as before", f"lead(first_ts) {order} as after")
+    edges = runs.selectExpr("key", "measure", f"""inline(filter(array(
+        struct(if(before is null or first_ts > before + interval {span}, first_ts, null) as at, {ARRIVE} as phase, 1 as delta),
+        struct(if(after is null or after > last_ts + interval {span}, last_ts + interval {span}, null) as at,
+               {LEAVE} as phase, -1 as delta)), e -> e.at is not null))""")
     mine = set(attributes.values())
-    return edges.select(
-        "key", "at", "phase",
-        *[(F.when(F.col("measure") == m, F.col("delta")) if m in mine else F.lit(None)).cast(kind).alias(m)
-          for m, kind in measures.items()])
+    return edges.selectExpr("key", "at", "phase", *[
+        f"cast({f'if(measure = {chr(39)}{m}{chr(39)}, delta, null)' if m in mine else 'null'} as {kind}) as {m}"
+        for m, kind in measures.items()])
 
 
 def later_changes(df: DataFrame, key: str, ts: str, measure: str, span: str,
                   measures: dict[str, str]) -> DataFrame:
     """+1 just after ``ts`` and -1 after ``ts + span``: counts strictly earlier events."""
-    return df.select(
-        F.col(key).alias("key"),
-        F.inline(F.array(
-            F.struct(F.col(ts).alias("at"), F.lit(LEAVE).alias("phase"), F.lit(1).alias("delta")),
-            F.struct((F.col(ts) + F.expr(f"interval {span}")).alias("at"),
-                     F.lit(LEAVE).alias("phase"), F.lit(-1).alias("delta")),
-        )),
-    ).select("key", "at", "phase",
-             *[(F.col("delta") if m == measure else F.lit(None)).cast(kind).alias(m)
-               for m, kind in measures.items()])
+    edges = df.selectExpr(f"{key} as key", f"""inline(array(
+        struct({ts} as at, {LEAVE} as phase, 1 as delta),
+        struct({ts} + interval {span} as at, {LEAVE} as phase, -1 as delta)))""")
+    return edges.selectExpr("key", "at", "phase", *[
+        f"cast({'delta' if m == measure else 'null'} as {kind}) as {m}" for m, kind in measures.items()])
 
 
 def running_state(rows: DataFrame, changes: Sequence[DataFrame], measures: dict[str, str],
@@ -103,18 +97,14 @@ def running_state(rows: DataFrame, changes: Sequence[DataFrame], measures: dict[
     line = line.withColumn("bucket", F.date_trunc(bucket, "at"))
     names = list(measures)
 
-    inside = Window.partitionBy("key", "bucket").orderBy("at", "phase").rangeBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    detail = line.withColumns({m: F.sum(m).over(inside) for m in names}).filter(F.col("row").isNotNull())
-
-    earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (line.groupBy("key", "bucket").agg(*[F.sum(m).alias(m) for m in names])
-               .select("key", "bucket", *[F.sum(m).over(earlier).alias(f"before_{m}") for m in names]))
-
-    def total(m):
-        return (F.coalesce(F.col(m), F.lit(0)) + F.coalesce(F.col(f"before_{m}"), F.lit(0))).alias(m)
+    inside = "over (partition by key, bucket order by at, phase range between unbounded preceding and current row)"
+    detail = line.selectExpr("key", "bucket", "row", *[f"sum({m}) {inside} as {m}" for m in names]).filter("row is not null")
 
-    return detail.join(carried, ["key", "bucket"]).select("row.*", *[total(m) for m in names])
+    earlier = "over (partition by key order by bucket rows between unbounded preceding and 1 preceding)"
+    carried = (line.groupBy("key", "bucket").agg(*[F.expr(f"sum({m}) as {m}") for m in names])
+               .selectExpr("key", "bucket", *[f"sum({m}) {earlier} as before_{m}" for m in names]))
+    return detail.join(carried, ["key", "bucket"]).selectExpr(
+        "row.*", *[f"coalesce({m}, 0) + coalesce(before_{m}, 0) as {m}" for m in names])
 
 
 def with_next_time(df: DataFrame, key: str, ts: str, order: Sequence[str], bucket: str = "day",

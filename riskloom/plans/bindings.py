@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import fixed_values as fv
@@ -22,35 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _element(values: tuple, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
-
-
 def ledger(spark: SparkSession, sf_dir: str, parties: bool = True) -> DataFrame:
     """Order lines as ledger transactions.
 
     ``parties=False`` leaves out the joins that only serve the country columns.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_suppkey",
-        F.col("l_extendedprice").cast(MONEY).alias("amount"))
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_suppkey", "cast(l_extendedprice as decimal(18,2)) as amount")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    columns = [
-        F.concat(F.lit("TX"), F.col("l_orderkey"), F.lit("-"), F.col("l_linenumber")).alias("transaction_id"),
-        F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("trans_time"), F.col("amount"),
-        F.col("l_suppkey").alias("target_account"),
-    ]
+    joined = lines.join(orders, F.expr("l_orderkey = o_orderkey"))
+    columns = ("concat('TX', l_orderkey, '-', l_linenumber) as transaction_id", "o_custkey as customer_id",
+               "o_orderdate as trans_time", "amount", "l_suppkey as target_account")
     if not parties:
-        return joined.select(*columns)
+        return joined.selectExpr(*columns)
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    suppliers = (table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-                 .join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
-                       F.col("s_nationkey") == F.col("n_nationkey")))
-    return (joined.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-            .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-            .select(*columns, (F.col("c_nationkey") != F.col("s_nationkey")).alias("is_cross_border"),
-                    F.col("n_name").alias("country")))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(nations, F.expr("s_nationkey = n_nationkey"))
+    return (joined.join(customers, F.expr("o_custkey = c_custkey")).join(suppliers, F.expr("l_suppkey = s_suppkey"))
+            .selectExpr(*columns, "c_nationkey <> s_nationkey as is_cross_border", "n_name as country"))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,33 +66,31 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``account_age_days``, industry and sanction marks are attributes of the parties here;
     the features of 2.10 are derived by the operators.
     """
-    raw = table(spark, sf_dir, "events")
-    raw = raw.withColumn("k", F.get_json_object("props", "$.k").cast("int")).drop("props")
-    event, user, ts, k = F.col("event_id"), F.col("user_id"), F.col("ts"), F.col("k")
-    slot = F.when(k < 70, 0).when(k < 85, 1).when(k < 93, 2).when(k < 97, 3).otherwise(4)
-    out = raw.select(
-        event, event.cast("string").alias("transaction_id"), user.cast("string").alias("account_id"),
-        ts.alias("transaction_time"), "event_type", "value", "k",
-        (F.col("value") * 2000).cast(MONEY).alias("amount"),
-        F.when(F.col("event_type") == "click", "TRANSFER").when(F.col("event_type") == "purchase", "PAYMENT")
-         .when(F.col("event_type") == "signup", "WITHDRAW").when(F.col("event_type") == "view", "DEPOSIT")
-         .otherwise("OTHER").alias("transaction_type"),
-        _element(CHANNELS, k % 6).alias("channel_code"),
-        F.concat(F.lit("DEV-"), F.floor(user / 5), F.lit("-"), slot).alias("device_id"),
-        F.when(k < 5, F.concat(F.lit("185.220.0."), k)).when(k < 20, F.concat(F.lit("103.0.0."), k))
-         .otherwise(F.concat(F.lit("10.0.0."), k)).alias("ip_address"),
-        F.concat(F.lit("CITY-"), k % 10).alias("ip_city"),
-        F.concat(F.lit("CP-"), event % 500).alias("counterparty_hash"),
-        F.concat(F.lit("M-"), k % 20).alias("merchant_id"),
-        (k % 33 == 0).alias("is_emulator"), (k % 25 == 0).alias("is_rooted"),
-        (k % 7 == 0).alias("is_cross_border"),
-        _element(COUNTRIES, k % 12).alias("counterparty_country"),
-        F.greatest(F.lit(0), F.datediff(ts, F.date_add(F.lit("2023-12-31").cast("date"), (user % 20).cast("int"))))
-         .alias("account_age_days"),
-        F.when(event % 500 == 0, "VIRTUAL_CURRENCY").when(event % 500 == 1, "NPO")
-         .when(event % 500 == 2, "GAMBLING").otherwise("RETAIL").alias("counterparty_industry"),
-    )
-    return out.withColumns({
+    return events_view(table(spark, sf_dir, "events"))
+
+
+def events_view(raw: DataFrame) -> DataFrame:
+    """The same for any DataFrame, batch or streaming, with the columns of ``events``."""
+    channels = ", ".join(f"'{c}'" for c in CHANNELS)
+    countries = ", ".join(f"'{c}'" for c in COUNTRIES)
+    keyed = raw.selectExpr("event_id", "user_id", "ts", "event_type", "value",
+                           "cast(get_json_object(props, '$.k') as int) as k")
+    return keyed.selectExpr(
+        "event_id", "cast(event_id as string) as transaction_id", "cast(user_id as string) as account_id",
+        "ts as transaction_time", "event_type", "value", "k", "cast(value * 2000 as decimal(18,2)) as amount",
+        """case event_type when 'click' then 'TRANSFER' when 'purchase' then 'PAYMENT' when 'signup' then 'WITHDRAW'
+           when 'view' then 'DEPOSIT' else 'OTHER' end as transaction_type""",
+        f"element_at(array({channels}), k % 6 + 1) as channel_code",
+        """concat('DEV-', user_id div 5, '-', case when k < 70 then 0 when k < 85 then 1 when k < 93 then 2
+           when k < 97 then 3 else 4 end) as device_id""",
+        "concat(case when k < 5 then '185.220.0.' when k < 20 then '103.0.0.' else '10.0.0.' end, k) as ip_address",
+        "concat('CITY-', k % 10) as ip_city", "concat('CP-', event_id % 500) as counterparty_hash",
+        "concat('M-', k % 20) as merchant_id", "k % 33 = 0 as is_emulator", "k % 25 = 0 as is_rooted",
+        "k % 7 = 0 as is_cross_border", f"element_at(array({countries}), k % 12 + 1) as counterparty_country",
+        "greatest(0, datediff(ts, date_add(date'2023-12-31', cast(user_id % 20 as int)))) as account_age_days",
+        """case event_id % 500 when 0 then 'VIRTUAL_CURRENCY' when 1 then 'NPO' when 2 then 'GAMBLING'
+           else 'RETAIL' end as counterparty_industry""",
+    ).withColumns({
         "ip_risk_level": ip_class(F.col("ip_address")),
         "is_night_time": is_night(F.col("transaction_time")),
         "is_weekend": is_weekend(F.col("transaction_time")),
@@ -112,30 +99,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as they would arrive before cleaning: odd amounts, blanks, mixed case."""
-    e, k = F.col("event_id"), F.col("k")
-    money = (F.col("value") * 2000).cast("decimal(18,4)")
-    return events(spark, sf_dir).select(
-        "event_id",
-        F.when(e % 53 == 0, F.lit("")).otherwise(F.col("transaction_id")).alias("transaction_id"),
-        F.when(e % 59 == 0, F.lit(None).cast("string")).otherwise(F.col("account_id")).alias("account_id"),
-        F.when(k % 4 == 0, sha256_hex(F.col("account_id"))).alias("account_id_hash"),
-        F.col("counterparty_hash").alias("counterparty_account"),
-        F.when(k % 3 == 0, F.lit("known-hash")).alias("counterparty_hash"),
-        "transaction_type", F.lower("channel_code").alias("channel_code"), "transaction_time",
-        F.when(e % 61 == 0, F.lit(None)).when(e % 67 == 0, F.lit("0.0090").cast("decimal(18,4)"))
-         .when(e % 71 == 0, F.lit("10000000.0100").cast("decimal(18,4)"))
-         .when(e % 73 == 0, F.lit("10000000.0000").cast("decimal(18,4)"))
-         .when(e % 79 == 0, F.lit("0.0100").cast("decimal(18,4)"))
-         .otherwise(money + F.lit("0.0050").cast("decimal(18,4)")).cast("decimal(18,4)").alias("amount"),
-        F.when(e % 3 == 0, F.lit(None)).when(e % 3 == 1, F.lit("")).otherwise(F.lit("USD")).alias("currency"),
-        F.when(e % 83 == 0, F.lit(None)).when(e % 89 == 0, F.lit("")).when(e % 97 == 0, F.lit("10.0.0"))
-         .otherwise(F.col("ip_address")).alias("ip_address"),
-        F.when(k % 5 == 0, "TOR").when(k % 5 == 1, "LOW_RISK").alias("ip_risk_level"),
-        ((e * 7919 % 900000001).cast("decimal(18,0)") * F.lit("0.0000001").cast("decimal(10,7)"))
-         .cast("decimal(10,7)").alias("gps_lat"),
-        ((e * 104729 % 1800000001).cast("decimal(18,0)") * F.lit("0.0000001").cast("decimal(10,7)"))
-         .cast("decimal(10,7)").alias("gps_lng"),
-    )
+    return events(spark, sf_dir).selectExpr(
+        "event_id", "if(event_id % 53 = 0, '', transaction_id) as transaction_id",
+        "if(event_id % 59 = 0, null, account_id) as account_id",
+        "if(k % 4 = 0, sha2(account_id, 256), null) as account_id_hash",
+        "counterparty_hash as counterparty_account", "if(k % 3 = 0, 'known-hash', null) as counterparty_hash",
+        "transaction_type", "lower(channel_code) as channel_code", "transaction_time",
+        """cast(case when event_id % 61 = 0 then null when event_id % 67 = 0 then 0.0090
+           when event_id % 71 = 0 then 10000000.0100 when event_id % 73 = 0 then 10000000.0000
+           when event_id % 79 = 0 then 0.0100 else amount + 0.0050 end as decimal(18,4)) as amount""",
+        "case event_id % 3 when 0 then null when 1 then '' else 'USD' end as currency",
+        """case when event_id % 83 = 0 then null when event_id % 89 = 0 then '' when event_id % 97 = 0 then '10.0.0'
+           else ip_address end as ip_address""",
+        "case k % 5 when 0 then 'TOR' when 1 then 'LOW_RISK' end as ip_risk_level",
+        "cast(cast(event_id * 7919 % 900000001 as decimal(18,0)) * 0.0000001 as decimal(10,7)) as gps_lat",
+        "cast(cast(event_id * 104729 % 1800000001 as decimal(18,0)) * 0.0000001 as decimal(10,7)) as gps_lng")
 
 
 def profile_changes(ev: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def embed_cases(spark, sf_dir):
 @query
 def kb_relevance(spark, sf_dir):
     out = similar.kb_score(topk(spark, sf_dir, k=10))
-    return out.select("query_id", F.round("kb_score", 4).alias("kb_score"),
+    return out.select("query_id", F.round("kb_score", 6).alias("kb_score"),
                       F.array_join("similar_cases", ",").alias("similar_cases"))
 
 

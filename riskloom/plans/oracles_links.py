@@ -64,7 +64,7 @@ CTE["top10"] = (("sims",), """
   where rank <= 10""")
 for _name in ("vector_topk", "vector_topk_blocked"):
     oracle(_name, "select query_id, case_id, similarity, rank from top10 where rank <= 5", "top10")
-oracle("kb_relevance", """select query_id, round(avg(similarity) * 100, 4) as kb_score,
+oracle("kb_relevance", """select query_id, round(avg(similarity) * 100, 6) as kb_score,
   string_agg(cast(case_id as varchar), ',' order by rank) filter (where rank <= 5) as similar_cases from top10 group by query_id""", "top10")
 _c = fv.CONTEXT_LABELS
 oracle("rag_context", f"""select query_id, '{fv.CONTEXT_HEADER}' || chr(10) || string_agg(
