@@ -71,16 +71,6 @@ def ip_class(ip: Column) -> Column:
             .when(starts(fv.MEDIUM_RISK_IP_PREFIXES), "MEDIUM_RISK").otherwise("NORMAL"))
 
 
-def score_level(score: Column) -> Column:
-    return (F.when(score >= fv.HIGH_SCORE, "HIGH")
-            .when(score >= fv.MEDIUM_SCORE, "MEDIUM").otherwise("LOW"))
-
-
 def ratio(num: Column, den: Column) -> Column:
     """num / den in double, NULL on a zero or NULL denominator (ANSI mode raises otherwise)."""
     return F.try_divide(num.cast("double"), den.cast("double"))
-
-
-def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a zone-less timestamp."""
-    return F.unix_micros(ts.cast("timestamp"))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import truthy
 from riskloom.operators import sweep
 
-ROLLING = {"count_1h": "bigint", "amount_1h": "decimal(18,2)",
-           "count_24h": "bigint", "amount_24h": "decimal(18,2)", "inflow_1h": "decimal(18,2)"}
-HISTORY = {"count_all": "bigint", "amount_all": "decimal(18,2)"}
+# Running amounts are whole cents: exact, and much cheaper to add up than decimals.
+ROLLING = {"count_1h": "bigint", "amount_1h": "bigint", "count_24h": "bigint", "amount_24h": "bigint", "inflow_1h": "bigint"}
+HISTORY = {"count_all": "bigint", "amount_all": "bigint"}
 DIVERSITY = {"device_count_30d": "int", "city_count_30d": "int", "counterparty_count_30d": "int"}
 CHANGES = {"recent_changes": "int"}
 
@@ -24,7 +24,7 @@ def realtime_features(
     diversity: bool = True,
     profile_changes: DataFrame | None = None,
     change_window: str = "24 hours",
-    bucket: str = "hour",
+    hot_rows: int = sweep.HOT_ROWS,
     unknown_time: str = "1970-01-01 00:00:00",
 ) -> DataFrame:
     """Everything known about an account at the time of each of its transactions.
@@ -53,15 +53,13 @@ def realtime_features(
     if profile_changes is not None:
         measures |= CHANGES
 
-    amount = "cast(coalesce(amount, 0) as decimal(18,2))"
+    amount = "cast(coalesce(amount, 0) * 100 as bigint)"
     inflow = f"if(transaction_type = 'DEPOSIT', {amount}, null)"
     windows = {
         "1 hour": {"count_1h": "1", "amount_1h": amount, "inflow_1h": inflow},
         "24 hours": {"count_24h": "1", "amount_24h": amount},
     } if rolling else {}
     forever = {"count_all": "1", "amount_all": amount} if history else {}
-    rows = sweep.trailing_changes(base, "_key", "_ts", measures, windows, forever)
-
     changes = []
     if diversity:
         attributes = {"device_id": "device_count_30d", "ip_city": "city_count_30d",
@@ -71,12 +69,13 @@ def realtime_features(
         keyed = profile_changes.select(F.col(key).cast("string").alias("_key"), F.col(ts).alias("_ts"))
         changes.append(sweep.later_changes(keyed, "_key", "_ts", "recent_changes", change_window, measures))
 
-    out = sweep.running_state(rows, changes, measures, bucket)
+    out = sweep.running_state(base, "_key", "_ts", measures, windows, forever, changes, hot_rows)
     extra = []
     if rolling:
-        extra += [f"cast({m} as {'int' if kind == 'bigint' else kind}) as {m}" for m, kind in ROLLING.items()]
+        extra += [f"cast({m} as int) as {m}" if m.startswith("count") else
+                  f"cast(cast({m} as decimal(18,0)) * 0.01 as decimal(18,2)) as {m}" for m in ROLLING]
     if history:
-        mean = "(cast(amount_all as double) / count_all)"
+        mean = "(amount_all / 100.0D / count_all)"
         extra.append(f"""coalesce(case when count_all >= 2 then
             try_divide(abs(cast(amount as double) - {mean}), {mean}) end, 0.0D) as amount_deviation""")
     if diversity:

@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import fixed_values as fv
-from riskloom.functions.columns import score_level
 from riskloom.operators.rules import requires_block
 
 POLICIES = ("engine", "online", "batch")
 
 
-def confidence(rule_count: Column, probability: Column) -> Column:
-    return F.least(F.lit(1.0), F.least(F.lit(1.0), rule_count / 10.0) * 0.3 + probability * 0.7)
+def confidence(probability: str, rule_count: str = "rule_count") -> Column:
+    return F.expr(f"least(1.0D, least(1.0D, {rule_count} / 10.0D) * 0.3D + {probability} * 0.7D)")
 
 
 def fuse(df: DataFrame, policy: str = "engine", weights: tuple[float, float] = (fv.RULE_WEIGHT, fv.MODEL_WEIGHT),
@@ -26,21 +25,21 @@ def fuse(df: DataFrame, policy: str = "engine", weights: tuple[float, float] = (
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
-    ml = F.least(F.lit(100.0), F.col(probability) * 100)
-    raw = F.greatest(F.lit(0.0), F.least(F.lit(100.0), weights[0] * F.col("rule_score") + weights[1] * ml))
-    confirmed = (raw >= fv.HIGH_SCORE) & (ml >= fv.MODEL_BLOCK_SCORE)
+    scored = df.selectExpr("*", f"least(100.0D, {probability} * 100) as _ml").selectExpr(
+        "*", f"greatest(0.0D, least(100.0D, {weights[0]}D * rule_score + {weights[1]}D * _ml)) as _raw")
+    confirmed = f"(_raw >= {fv.HIGH_SCORE} and _ml >= {fv.MODEL_BLOCK_SCORE})"
     block = {
-        "engine": lambda: requires_block() | confirmed,
-        "online": lambda: F.coalesce(F.col("sanction_matched"), F.lit(False)) | confirmed,
-        "batch": lambda: raw >= fv.HIGH_SCORE,
-    }[policy]()
-    return df.withColumns({
-        "ml_score": F.round(ml, 2),
-        "risk_score": F.round(raw, 2),
-        "risk_level": score_level(raw),
-        "decision": F.when(block, "BLOCK").when(raw >= fv.MEDIUM_SCORE, "REVIEW").otherwise("PASS"),
-        "confidence": F.round(confidence(F.col("rule_count"), F.col(probability)), 2),
-    })
+        "engine": f"{requires_block()} or {confirmed}",
+        "online": f"coalesce(sanction_matched, false) or {confirmed}",
+        "batch": f"_raw >= {fv.HIGH_SCORE}",
+    }[policy]
+    return scored.withColumns({
+        "ml_score": F.expr("round(_ml, 2)"),
+        "risk_score": F.expr("round(_raw, 2)"),
+        "risk_level": F.expr(f"case when _raw >= {fv.HIGH_SCORE} then 'HIGH' when _raw >= {fv.MEDIUM_SCORE} then 'MEDIUM' else 'LOW' end"),
+        "decision": F.expr(f"case when {block} then 'BLOCK' when _raw >= {fv.MEDIUM_SCORE} then 'REVIEW' else 'PASS' end"),
+        "confidence": F.round(confidence(probability), 2),
+    }).drop("_ml", "_raw")
 
 
 def with_fallback(requests: DataFrame, assessed: DataFrame, key: str = "transaction_id") -> DataFrame:

@@ -5,57 +5,57 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import fixed_values as fv
-from riskloom.functions.columns import mapped, ratio, truthy
+from riskloom.functions.columns import truthy
 
 
 def feature_vector(df: DataFrame, output: str = "features") -> DataFrame:
     """The 32 model inputs as ``array<double>``; a missing input or column is 0."""
     present = set(df.columns)
 
-    def number(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in present else F.lit(0.0)
+    def number(name: str) -> str:
+        return f"coalesce(cast({name} as double), 0.0D)" if name in present else "0.0D"
 
-    def flag(name: str) -> Column:
-        return truthy(F.col(name)).cast("double") if name in present else F.lit(0.0)
+    def flag(name: str) -> str:
+        return f"if(coalesce({name}, false), 1.0D, 0.0D)" if name in present else "0.0D"
 
-    def one_hot(name: str, values: tuple[str, ...]) -> list[Column]:
-        value = F.upper(F.coalesce(F.col(name), F.lit("OTHER"))) if name in present else F.lit("OTHER")
-        return [(value == v).cast("double") for v in values] + [(~value.isin(*values)).cast("double")]
+    def label(name: str, default: str) -> str:
+        return f"upper(coalesce({name}, '{default}'))" if name in present else f"'{default}'"
 
-    amount = number("amount")
-    ip_level = F.upper(F.coalesce(F.col("ip_risk_level"), F.lit("NORMAL"))) if "ip_risk_level" in present else F.lit("")
-    low, mid, high = fv.AMOUNT_BINS
+    def one_hot(name: str, values: tuple[str, ...]) -> list[str]:
+        known = ", ".join(f"'{v}'" for v in values)
+        value = label(name, "OTHER")
+        return [f"if({value} = '{v}', 1.0D, 0.0D)" for v in values] + [f"if({value} in ({known}), 0.0D, 1.0D)"]
+
+    amount, (low, mid, high) = number("amount"), fv.AMOUNT_BINS
+    codes = " ".join(f"when '{level}' then {code}D" for level, code in fv.IP_LEVEL_CODES)
+    devices = number("device_count_30d")
     slots = [
-        F.log10(F.greatest(amount, F.lit(1.0))) / 8.0,
-        number("count_1h") / 100.0, number("count_24h") / 1000.0,
-        number("device_count_30d") / 50.0, number("city_count_30d") / 20.0, number("counterparty_count_30d") / 100.0,
+        f"log10(greatest({amount}, 1.0D)) / 8.0D",
+        f"{number('count_1h')} / 100.0D", f"{number('count_24h')} / 1000.0D",
+        f"{devices} / 50.0D", f"{number('city_count_30d')} / 20.0D", f"{number('counterparty_count_30d')} / 100.0D",
         flag("is_night_time"), flag("is_cross_border"), flag("is_first_device"),
-        mapped(ip_level, fv.IP_LEVEL_CODES, 0.0),
-        F.least(F.lit(1.0), number("amount_deviation") / 10.0),
+        f"case {label('ip_risk_level', 'NORMAL')} {codes} else 0.0D end",
+        f"least(1.0D, {number('amount_deviation')} / 10.0D)",
         flag("is_emulator"), flag("is_rooted"),
-        *one_hot("channel_code", fv.CHANNELS),
-        *one_hot("transaction_type", fv.TRANSACTION_TYPES),
-        (amount <= low).cast("double"), ((amount > low) & (amount <= mid)).cast("double"),
-        ((amount > mid) & (amount <= high)).cast("double"), (amount > high).cast("double"),
+        *one_hot("channel_code", fv.CHANNELS), *one_hot("transaction_type", fv.TRANSACTION_TYPES),
+        f"if({amount} <= {low}, 1.0D, 0.0D)", f"if({amount} > {low} and {amount} <= {mid}, 1.0D, 0.0D)",
+        f"if({amount} > {mid} and {amount} <= {high}, 1.0D, 0.0D)", f"if({amount} > {high}, 1.0D, 0.0D)",
         flag("is_weekend"), flag("is_holiday"),
-        F.when(amount > 0, ratio(number("amount_1h"), amount)).otherwise(0.0),
-        F.coalesce(F.when(number("device_count_30d") > 0, ratio(number("count_24h"), number("device_count_30d"))), F.lit(0.0)),
+        f"if({amount} > 0, {number('amount_1h')} / {amount}, 0.0D)",
+        f"if({devices} > 0, {number('count_24h')} / {devices}, 0.0D)",
     ]
-    return df.withColumn(output, F.array(*slots))
+    return df.withColumn(output, F.expr(f"array({', '.join(slots)})"))
 
 
 def importance_probability(df: DataFrame, features: str = "features", factor: float = 3.0,
                            output: str = "fraud_probability") -> DataFrame:
     """Stand-in probability: importance-weighted sum of the first slots, scaled and clipped."""
-    weighted = [F.lit(weight) * F.col(features)[i] for i, (_, weight) in enumerate(fv.FEATURE_IMPORTANCE)]
-    total = weighted[0]
-    for term in weighted[1:]:
-        total = total + term
-    return df.withColumn(output, F.least(F.lit(1.0), F.lit(factor) * total))
+    terms = " + ".join(f"{weight}D * {features}[{i}]" for i, (_, weight) in enumerate(fv.FEATURE_IMPORTANCE))
+    return df.withColumn(output, F.expr(f"least(1.0D, {factor}D * ({terms}))"))
 
 
 def train_model(vectors: DataFrame, label: str, features: str = "features", seed: int = 7,
@@ -94,12 +94,11 @@ def top_contributions(df: DataFrame, k: int = 5, mode: str = "literal", features
 
     ``literal`` ranks the fixed importances; ``intent`` ranks importance times value.
     """
-    entries = []
-    for i, (name, weight) in enumerate(fv.FEATURE_IMPORTANCE):
-        value = F.lit(weight) if mode == "literal" else F.lit(weight) * F.col(features)[i]
-        entries.append(F.struct((-value).alias("_rank"), F.lit(i).alias("_slot"),
-                                F.lit(name).alias("feature_name"), value.alias("shap_value")))
-    best = F.slice(F.array_sort(F.array(*entries)), 1, k)
-    return df.withColumn(output, F.transform(best, lambda e: F.struct(
-        e["feature_name"].alias("feature_name"), e["shap_value"].alias("shap_value"),
-        e["feature_name"].alias("description"))))
+    entries = ", ".join(
+        "struct({value} as shap_value, {i} as slot, '{name}' as feature_name)".format(
+            value=f"{weight}D" if mode == "literal" else f"{weight}D * {features}[{i}]", i=i, name=name)
+        for i, (name, weight) in enumerate(fv.FEATURE_IMPORTANCE))
+    by_value = "case when a.shap_value <> b.shap_value then sign(b.shap_value - a.shap_value) else a.slot - b.slot end"
+    best = f"slice(array_sort(array({entries}), (a, b) -> cast({by_value} as int)), 1, {k})"
+    return df.withColumn(output, F.expr(
+        f"transform({best}, f -> struct(f.feature_name, f.shap_value, f.feature_name as description))"))

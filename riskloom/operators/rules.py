@@ -1,4 +1,4 @@
-"""Transaction rules as Column predicates, and what is derived from their hits.
+"""Transaction rules as SQL predicates, and what is derived from their hits.
 
 All rules are evaluated in one narrow projection: an array with one entry per rule, NULL
 where the rule does not fire.  A NULL input makes a predicate NULL and so no hit.
@@ -6,14 +6,13 @@ where the rule does not fire.  A NULL input makes a predicate NULL and so no hit
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import fixed_values as fv
-from riskloom.functions.columns import mapped
 from riskloom.schemas import RULE_DEFINITION
 
 MAX_RULES = 1000  # a rule set is configuration; more than this is a wrong table
@@ -27,64 +26,54 @@ class Rule:
     weight: int
     level: str
     salience: int
-    when: Callable[[], Column]
-    intent: Callable[[], Column] | None = None
+    when: str
+    intent: str | None = None
 
-    def predicate(self, mode: str) -> Column:
-        return self.intent() if mode == "intent" and self.intent else self.when()
+    def predicate(self, mode: str) -> str:
+        return self.intent if mode == "intent" and self.intent else self.when
 
 
-c = F.col
-_amount_from = lambda bound: c("amount") >= bound
+def _among(column: str, values: Sequence[str]) -> str:
+    return f"{column} in ({', '.join(repr(v) for v in values)})"
+
 
 # Identifiers, names, weights, levels and salience of the published rules.
 RULES: tuple[Rule, ...] = (
-    Rule("R001", "单笔大额交易", "单笔交易金额≥50万元", 30, "MEDIUM", 100, lambda: _amount_from(500000)),
-    Rule("R002", "频繁大额交易", "单日累计≥100万元", 40, "MEDIUM", 95,
-         lambda: (c("count_24h") >= 5) & (c("amount_24h") >= 1000000)),
+    Rule("R001", "单笔大额交易", "单笔交易金额≥50万元", 30, "MEDIUM", 100, "amount >= 500000"),
+    Rule("R002", "频繁大额交易", "单日累计≥100万元", 40, "MEDIUM", 95, "count_24h >= 5 and amount_24h >= 1000000"),
     Rule("R003", "分散转入集中转出", "单日转入≥10笔且转出累计≥30万元", 60, "HIGH", 90,
-         lambda: (c("count_24h") >= 10) & (c("amount_24h") >= 300000) & (c("transaction_type") == "TRANSFER")),
-    Rule("R004", "整数金额交易", "交易金额为整数万且≥5万元", 20, "LOW", 70,
-         lambda: (c("amount") % 10000 == 0) & _amount_from(50000)),
+         "count_24h >= 10 and amount_24h >= 300000 and transaction_type = 'TRANSFER'"),
+    Rule("R004", "整数金额交易", "交易金额为整数万且≥5万元", 20, "LOW", 70, "amount % 10000 = 0 and amount >= 50000"),
     Rule("R005", "快进快出", "1小时内资金转入后立即转出", 45, "MEDIUM", 85,
-         lambda: _amount_from(10000) & (c("amount_1h") >= c("amount")),
-         lambda: _amount_from(10000) & (c("transaction_type") != "DEPOSIT") & (c("inflow_1h") >= c("amount"))),
-    Rule("R007", "小额试探交易", "1h≥3笔交易后立即大额转出", 50, "HIGH", 80,
-         lambda: (c("count_1h") >= 3) & _amount_from(50000)),
+         "amount >= 10000 and amount_1h >= amount",
+         "amount >= 10000 and transaction_type <> 'DEPOSIT' and inflow_1h >= amount"),
+    Rule("R007", "小额试探交易", "1h≥3笔交易后立即大额转出", 50, "HIGH", 80, "count_1h >= 3 and amount >= 50000"),
     Rule("R101", "凌晨高频交易", "00:00-05:00交易次数≥3笔且金额≥5万元", 40, "MEDIUM", 85,
-         lambda: (c("count_1h") >= 3) & c("is_night_time") & _amount_from(50000)),
+         "count_1h >= 3 and is_night_time and amount >= 50000"),
     Rule("R102", "非营业时间大额交易", "非营业时间单笔≥20万元", 30, "MEDIUM", 80,
-         lambda: _amount_from(200000) & (c("is_night_time") | c("is_weekend"))),
-    Rule("R106", "交易脉冲", "1h≥5笔交易且总金额≥20万元", 55, "HIGH", 75,
-         lambda: (c("count_1h") >= 5) & (c("amount_1h") >= 200000)),
+         "amount >= 200000 and (is_night_time or is_weekend)"),
+    Rule("R106", "交易脉冲", "1h≥5笔交易且总金额≥20万元", 55, "HIGH", 75, "count_1h >= 5 and amount_1h >= 200000"),
     Rule("R202", "跨境交易高风险", "资金流向/来源为FATF高风险国家", 60, "HIGH", 90,
-         lambda: c("is_cross_border") & (F.length("counterparty_country") > 0),
-         lambda: c("is_cross_border") & c("counterparty_country").isin(*fv.FATF_COUNTRIES)),
-    Rule("R203", "高匿名IP交易", "IP为VPN/代理/Tor", 50, "HIGH", 95,
-         lambda: c("ip_risk_level").isin(*fv.ANONYMOUS_IP_LEVELS)),
+         "is_cross_border and length(counterparty_country) > 0",
+         "is_cross_border and " + _among("counterparty_country", fv.FATF_COUNTRIES)),
+    Rule("R203", "高匿名IP交易", "IP为VPN/代理/Tor", 50, "HIGH", 95, _among("ip_risk_level", fv.ANONYMOUS_IP_LEVELS)),
     Rule("R204", "IP归属地异常", "IP归属地与常驻城市不一致", 35, "MEDIUM", 70,
-         lambda: (c("city_count_30d") == 1) & (c("ip_risk_level") == "MEDIUM_RISK")),
-    Rule("R206", "高风险地区交易", "IP位于高风险制裁地区", 70, "HIGH", 95,
-         lambda: c("ip_risk_level") == "HIGH_RISK"),
-    Rule("R301", "新设备首次交易", "设备首次绑定账户且交易≥1万元", 30, "MEDIUM", 80,
-         lambda: c("is_first_device") & _amount_from(10000)),
-    Rule("R302", "模拟器检测", "设备为模拟器/虚拟机", 60, "HIGH", 95, lambda: c("is_emulator")),
-    Rule("R305", "ROOT/越狱设备", "设备安全状态异常", 45, "MEDIUM", 85, lambda: c("is_rooted")),
-    Rule("R306", "频繁换设备", "30天绑定设备数≥5台", 40, "MEDIUM", 75, lambda: c("device_count_30d") >= 5),
+         "city_count_30d = 1 and ip_risk_level = 'MEDIUM_RISK'"),
+    Rule("R206", "高风险地区交易", "IP位于高风险制裁地区", 70, "HIGH", 95, "ip_risk_level = 'HIGH_RISK'"),
+    Rule("R301", "新设备首次交易", "设备首次绑定账户且交易≥1万元", 30, "MEDIUM", 80, "is_first_device and amount >= 10000"),
+    Rule("R302", "模拟器检测", "设备为模拟器/虚拟机", 60, "HIGH", 95, "is_emulator"),
+    Rule("R305", "ROOT/越狱设备", "设备安全状态异常", 45, "MEDIUM", 85, "is_rooted"),
+    Rule("R306", "频繁换设备", "30天绑定设备数≥5台", 40, "MEDIUM", 75, "device_count_30d >= 5"),
     Rule("R401", "新注册即大额交易", "账户注册≤24h即发起大额交易", 55, "HIGH", 90,
-         lambda: _amount_from(50000) & (c("account_age_days") <= 1)),
-    Rule("R403", "信息变更后交易", "修改绑定信息后立即发起交易", 50, "HIGH", 85,
-         lambda: c("info_changed_recently") & _amount_from(10000)),
-    Rule("T001", "制裁名单命中", "交易对手命中制裁名单", 100, "HIGH", 100, lambda: c("sanction_matched")),
+         "amount >= 50000 and account_age_days <= 1"),
+    Rule("R403", "信息变更后交易", "修改绑定信息后立即发起交易", 50, "HIGH", 85, "info_changed_recently and amount >= 10000"),
+    Rule("T001", "制裁名单命中", "交易对手命中制裁名单", 100, "HIGH", 100, "sanction_matched"),
     Rule("T002", "高风险行业交易", "交易对手为高风险行业", 55, "HIGH", 80,
-         lambda: c("counterparty_industry").isin(*fv.RISKY_INDUSTRIES)),
+         _among("counterparty_industry", fv.RISKY_INDUSTRIES)),
     Rule("T005", "涉及战乱国家", "交易对手位于受制裁/战乱国家", 75, "HIGH", 90,
-         lambda: c("is_cross_border") & c("counterparty_country").isin(*fv.WAR_COUNTRIES)),
+         "is_cross_border and " + _among("counterparty_country", fv.WAR_COUNTRIES)),
 )
 
-LEVEL_RANK = (("HIGH", 3), ("MEDIUM", 2), ("LOW", 1))
-
-
 def definitions(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rule set as a ``rule_definition`` table."""
     rows = [(r.rule_id, r.name, None, r.weight, r.level, r.description, True, 1) for r in rules]
@@ -108,14 +97,10 @@ def load_rules(table: DataFrame, rules: Sequence[Rule] = RULES) -> tuple[Rule, .
 def evaluate_rules(df: DataFrame, rules: Sequence[Rule] = RULES, mode: str = "literal") -> DataFrame:
     """Adds ``matched_rules``, ordered by salience (highest first), then by rule order."""
     ranked = sorted(rules, key=lambda r: -r.salience)
-    fired = [
-        F.when(r.predicate(mode), F.struct(
-            F.lit(r.rule_id).alias("rule_id"), F.lit(r.name).alias("rule_name"),
-            F.lit(r.description).alias("description"), F.lit(r.weight).alias("risk_weight"),
-            F.lit(r.level).alias("risk_level"), F.lit(float(r.weight)).alias("risk_score")))
-        for r in ranked
-    ]
-    return df.withColumn("matched_rules", F.array_compact(F.array(*fired)))
+    entries = ", ".join(
+        f"if({r.predicate(mode)}, struct('{r.rule_id}' as rule_id, '{r.name}' as rule_name, '{r.description}' as description, "
+        f"{r.weight} as risk_weight, '{r.level}' as risk_level, {float(r.weight)}D as risk_score), null)" for r in ranked)
+    return df.withColumn("matched_rules", F.expr(f"array_compact(array({entries}))"))
 
 
 def explode_hits(df: DataFrame, *keep: str) -> DataFrame:
@@ -124,36 +109,27 @@ def explode_hits(df: DataFrame, *keep: str) -> DataFrame:
 
 def rule_score(df: DataFrame, hits: str = "matched_rules") -> DataFrame:
     """Score, hit count, total weight and highest level, from the hit array (no shuffle)."""
-    def total(value):
-        return F.aggregate(hits, F.lit(0.0), lambda acc, h: acc + value(h))
-
-    weight = total(lambda h: h["risk_weight"].cast("double"))
-    weighted = total(lambda h: h["risk_weight"] * h["risk_score"])
-    level = F.array_max(F.transform(hits, lambda h: mapped(h["risk_level"], LEVEL_RANK, 0)))
-    raw = F.when(weight > 0, F.least(F.lit(100.0), weighted / weight * fv.RULE_SCORE_FACTOR)).otherwise(0.0)
-    return df.withColumns({
-        "rule_score": F.round(raw, 2),
-        "rule_count": F.size(hits),
-        "total_weight": weight,
-        "highest_risk_level": mapped(level, [(rank, name) for name, rank in LEVEL_RANK], "LOW"),
-    })
+    weight = f"aggregate({hits}, 0.0D, (acc, h) -> acc + h.risk_weight)"
+    weighted = f"aggregate({hits}, 0.0D, (acc, h) -> acc + h.risk_weight * h.risk_score)"
+    sums = df.selectExpr("*", f"size({hits}) as rule_count", f"{weight} as total_weight", f"{weighted} as _weighted", f"""
+        case when exists({hits}, h -> h.risk_level = 'HIGH') then 'HIGH'
+             when exists({hits}, h -> h.risk_level = 'MEDIUM') then 'MEDIUM' else 'LOW' end as highest_risk_level""")
+    score = f"if(total_weight > 0, least(100.0D, _weighted / total_weight * {fv.RULE_SCORE_FACTOR}D), 0.0D)"
+    return sums.withColumn("rule_score", F.expr(f"round({score}, 2)")).drop("_weighted")
 
 
-def requires_block(hits: str = "matched_rules") -> Column:
-    return F.exists(hits, lambda h: (h["rule_id"] == fv.SANCTION_RULE)
-                    | (h["risk_weight"] >= fv.BLOCKING_RULE_WEIGHT))
+def requires_block(hits: str = "matched_rules") -> str:
+    """SQL condition: a sanction hit or any rule heavy enough to block on its own."""
+    return f"exists({hits}, h -> h.rule_id = '{fv.SANCTION_RULE}' or h.risk_weight >= {fv.BLOCKING_RULE_WEIGHT})"
 
 
 def risk_factors(df: DataFrame, hits: str = "matched_rules", model_score: str = "ml_score") -> DataFrame:
     """Readable reasons: one per hit, then the device, night, border and model remarks."""
-    per_rule = F.transform(hits, lambda h: F.concat(F.lit("["), h["rule_id"], F.lit("] "), h["rule_name"]))
-    remarks = F.array_compact(F.array(
-        F.when(c("is_first_device"), F.lit(fv.FACTOR_NEW_DEVICE)),
-        F.when(c("is_night_time"), F.lit(fv.FACTOR_NIGHT)),
-        F.when(c("is_cross_border"), F.lit(fv.FACTOR_CROSS_BORDER)),
-        F.when(c(model_score) >= 80, F.lit(fv.FACTOR_MODEL)),
-    ))
-    return df.withColumn("risk_factors", F.concat(per_rule, remarks))
+    return df.withColumn("risk_factors", F.expr(f"""concat(
+        transform({hits}, h -> concat('[', h.rule_id, '] ', h.rule_name)),
+        array_compact(array(if(is_first_device, '{fv.FACTOR_NEW_DEVICE}', null), if(is_night_time, '{fv.FACTOR_NIGHT}', null),
+                            if(is_cross_border, '{fv.FACTOR_CROSS_BORDER}', null),
+                            if({model_score} >= 80, '{fv.FACTOR_MODEL}', null))))"""))
 
 
 def rule_stats(assessed: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 A sliding window is turned into signed changes on a time line: a transaction adds to
 a total at its own time and takes it away again when it leaves the window.  The state
-seen by a transaction is then the sum of all changes up to its time.
+seen by a transaction is then the sum of all changes up to its time, so the cost per row
+does not depend on the length of the window or on how full it is.
 
-That sum is computed in two levels.  Each key's time line is cut into buckets; totals
-of whole buckets are aggregated (with map-side combine) and accumulated per key, and
-only the rows inside one bucket of one key are ordered together.  No task ever holds
-a whole key, and the cost per row does not depend on the length of the window.
+An ordinary key is summed in one ordered group.  A key with very many rows is cut into
+time buckets: the totals of its earlier buckets are aggregated apart (with map-side
+combine) and added to the sums inside each bucket, so no task ever orders a whole hot key.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+HOT_ROWS = 1_000_000  # rows of one key that one task may order
+
 ARRIVE, LEAVE = 0, 1  # at the same instant, rows are read before anything leaves
 
 
@@ -28,17 +30,18 @@ def _change(at: str, phase: int, row: str, values: dict[str, str], measures: dic
 
 
 def trailing_changes(df: DataFrame, key: str, ts: str, measures: dict[str, str],
-                     windows: dict[str, dict[str, str]], forever: dict[str, str]) -> DataFrame:
-    """Rows plus their own arrivals and departures.
+                     windows: dict[str, dict[str, str]], forever: dict[str, str], payload: bool) -> DataFrame:
+    """The rows' own arrivals and departures.
 
     ``windows`` maps an interval (``"1 hour"``) to the measures it feeds, as SQL expressions;
-    ``forever`` holds measures that never leave.  Only the arrival carries the row's payload,
-    so the departures stay narrow in the shuffle.
+    ``forever`` holds measures that never leave.  With ``payload`` the arrivals carry their
+    row; departures never do, so they stay narrow in the shuffle.
     """
-    packed = df.select(key, ts, *_inputs(df, key, ts, windows, forever), F.struct(*df.columns).alias("_row"))
-    nothing = f"cast(null as {packed.schema['_row'].dataType.simpleString()})"
+    inputs = [key, ts, *_inputs(df, key, ts, windows, forever)]
+    packed = df.select(*inputs, *([F.struct(*df.columns).alias("_row")] if payload else []))
+    nothing = f"cast(null as {packed.schema['_row'].dataType.simpleString()})" if payload else "null"
     arriving = {**forever, **{m: v for fed in windows.values() for m, v in fed.items()}}
-    changes = [_change(ts, ARRIVE, "_row", arriving, measures)]
+    changes = [_change(ts, ARRIVE, "_row" if payload else "null", arriving, measures)]
     for span, fed in windows.items():
         leaving = {m: f"-({v})" for m, v in fed.items()}
         changes.append(_change(f"{ts} + interval {span}", LEAVE, nothing, leaving, measures))
@@ -87,23 +90,34 @@ def later_changes(df: DataFrame, key: str, ts: str, measure: str, span: str,
         f"cast({'delta' if m == measure else 'null'} as {kind}) as {m}" for m, kind in measures.items()])
 
 
-def running_state(rows: DataFrame, changes: Sequence[DataFrame], measures: dict[str, str],
-                  bucket: str = "hour") -> DataFrame:
-    """Every row of ``rows`` (from ``trailing_changes``) with the value of each measure.
+def running_state(df: DataFrame, key: str, ts: str, measures: dict[str, str],
+                  windows: dict[str, dict[str, str]], forever: dict[str, str], changes: Sequence[DataFrame],
+                  hot_rows: int = HOT_ROWS, hot_bucket: str = "minute") -> DataFrame:
+    """Every row of ``df`` with the value of each measure at its time.
 
-    ``bucket`` is a ``date_trunc`` unit: finer buckets split hotter keys.
+    ``changes`` are further changes (``presence_changes``, ``later_changes``).  Keys with
+    at least ``hot_rows`` rows are cut into ``hot_bucket`` (a ``date_trunc`` unit) pieces.
     """
-    line = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), changes, rows)
-    line = line.withColumn("bucket", F.date_trunc(bucket, "at"))
     names = list(measures)
+    # at most rows / hot_rows keys: small enough to broadcast by construction
+    hot = F.broadcast(df.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
+                      .filter(F.col("n") >= hot_rows).selectExpr("key", "true as hot"))
+
+    def line(payload: bool) -> DataFrame:
+        own = trailing_changes(df, key, ts, measures, windows, forever, payload)
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), changes, own)
 
     inside = "over (partition by key, bucket order by at, phase range between unbounded preceding and current row)"
-    detail = line.selectExpr("key", "bucket", "row", *[f"sum({m}) {inside} as {m}" for m in names]).filter("row is not null")
+    detail = (line(True).join(hot, "key", "left")
+              .withColumn("bucket", F.expr(f"if(hot, date_trunc('{hot_bucket}', at), null)"))
+              .selectExpr("key", "bucket", "row", *[f"sum({m}) {inside} as {m}" for m in names]).filter("row is not null"))
 
     earlier = "over (partition by key order by bucket rows between unbounded preceding and 1 preceding)"
-    carried = (line.groupBy("key", "bucket").agg(*[F.expr(f"sum({m}) as {m}") for m in names])
+    carried = (line(False).drop("row").join(hot, "key")
+               .groupBy("key", F.date_trunc(hot_bucket, "at").alias("bucket"))
+               .agg(*[F.expr(f"sum({m}) as {m}") for m in names])
                .selectExpr("key", "bucket", *[f"sum({m}) {earlier} as before_{m}" for m in names]))
-    return detail.join(carried, ["key", "bucket"]).selectExpr(
+    return detail.join(carried, ["key", "bucket"], "left").selectExpr(
         "row.*", *[f"coalesce({m}, 0) + coalesce(before_{m}, 0) as {m}" for m in names])
 
 

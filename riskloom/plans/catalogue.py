@@ -33,6 +33,9 @@ def rounded(*names: str, places: int = 6) -> dict[str, Column]:
     return {n: F.round(F.col(n).cast("double"), places) for n in names}
 
 
+ACCOUNT_ROW = ("transaction_id", "account_id", "transaction_time", "transaction_type", "amount")
+
+
 # --- sources -------------------------------------------------------------------------------------
 
 @query
@@ -189,7 +192,7 @@ def country_flags(spark, sf_dir):
 @query
 def info_changed_flag(spark, sf_dir):
     ev = b.events(spark, sf_dir)
-    out = features.realtime_features(ev, rolling=False, history=False, diversity=False,
+    out = features.realtime_features(ev.select(*ACCOUNT_ROW), rolling=False, history=False, diversity=False,
                                      profile_changes=b.profile_changes(ev))
     return out.select("transaction_id", "info_changed_recently")
 
@@ -286,30 +289,35 @@ def diversity_30d(spark, sf_dir):
 
 @query
 def rolling_1h_24h(spark, sf_dir):
-    out = features.realtime_features(b.events(spark, sf_dir), history=False, diversity=False)
+    rows = b.events(spark, sf_dir).select(*ACCOUNT_ROW)
+    out = features.realtime_features(rows, history=False, diversity=False)
     return out.select("transaction_id", "count_1h", "count_24h",
                       *[c.alias(n) for n, c in money("amount_1h", "amount_24h", "inflow_1h").items()])
 
 
 @query
 def diversity_asof(spark, sf_dir):
-    out = features.realtime_features(b.events(spark, sf_dir), rolling=False, history=False)
+    rows = b.events(spark, sf_dir).select(*ACCOUNT_ROW, "device_id", "ip_city", "counterparty_hash")
+    out = features.realtime_features(rows, rolling=False, history=False)
     return out.select("transaction_id", *features.DIVERSITY)
 
 
 @query
 def first_device(spark, sf_dir):
-    return features.first_device(b.events(spark, sf_dir)).select("transaction_id", "is_first_device")
+    rows = b.events(spark, sf_dir).select(*ACCOUNT_ROW, "device_id", "ip_city", "counterparty_hash")
+    return features.first_device(rows).select("transaction_id", "is_first_device")
 
 
 @query
 def first_device_intent(spark, sf_dir):
-    return features.first_device(b.events(spark, sf_dir), mode="intent").select("transaction_id", "is_first_device")
+    rows = b.events(spark, sf_dir).select(*ACCOUNT_ROW, "device_id")
+    return features.first_device(rows, mode="intent").select("transaction_id", "is_first_device")
 
 
 @query
 def amount_deviation(spark, sf_dir):
-    out = features.realtime_features(b.events(spark, sf_dir), rolling=False, diversity=False)
+    rows = b.events(spark, sf_dir).select(*ACCOUNT_ROW)
+    out = features.realtime_features(rows, rolling=False, diversity=False)
     return out.select("transaction_id", F.round("amount_deviation", 6).alias("amount_deviation"))
 
 
@@ -375,7 +383,7 @@ def risk_factors(spark, sf_dir):
 @query
 def feature_vector(spark, sf_dir):
     out = model.feature_vector(enriched(spark, sf_dir))
-    return out.select("transaction_id", *[F.round(F.col("features")[i], 6).alias(f"v{i}") for i in range(32)])
+    return out.select("transaction_id", *[F.expr(f"round(features[{i}], 6) as v{i}") for i in range(32)])
 
 
 @query
