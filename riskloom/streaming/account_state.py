@@ -41,10 +41,12 @@ class AccountState(StatefulProcessor):
             "profile", "n long, cents long, attributes array<int>, values array<string>, last array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["micros", "transaction_id"], ignore_index=True)
-        times, cents = batch["micros"].to_numpy(np.int64), batch["cents"].fillna(0).to_numpy(np.int64)
-        n = len(batch)
+        batch = pd.concat(list(rows), ignore_index=True)
+        order = np.lexsort((batch["transaction_id"].to_numpy().astype(str), batch["micros"].to_numpy()))
+        times, cents = batch["micros"].to_numpy(np.int64)[order], batch["cents"].to_numpy(np.int64)[order]
+        n = len(times)
         own = np.arange(n)
+        out = {"payload": batch["payload"].to_numpy()[order]}
 
         kept = {hour: value for (hour,), value in self.slices.iterator()}
         old_times = np.array([t for v in kept.values() for t in v[0]], np.int64)
@@ -53,24 +55,21 @@ class AccountState(StatefulProcessor):
         starts = np.concatenate([np.zeros(len(old_times), np.int64), own])
         for name, span in (("1h", HOUR), ("24h", DAY)):
             ends = np.searchsorted(times, all_times + span, side="right")
-            batch[f"count_{name}"] = _running(starts, ends, np.ones_like(all_cents), n).astype(np.int32)
-            batch[f"cents_{name}"] = _running(starts, ends, all_cents, n)
+            out[f"count_{name}"] = _running(starts, ends, np.ones_like(all_cents), n).astype(np.int32)
+            out[f"cents_{name}"] = _running(starts, ends, all_cents, n)
 
         n_before, cents_before, *sighted = self.profile.get() or (0, 0, [], [], [])
         known = self._sightings(sighted)
         for number, (attribute, measure) in enumerate(ATTRIBUTES):
-            seen = known[number]
-            batch[measure] = self._distinct(batch[attribute], times, seen, n).astype(np.int32)
-            present = batch[attribute].notna()
-            for value, last in batch["micros"][present].groupby(batch[attribute][present]).max().items():
-                seen[value] = max(int(last), seen.get(value, 0))
-
-        batch["count_all"], batch["cents_all"] = n_before + own + 1, cents_before + np.cumsum(cents)
-        self._remember(int(batch["count_all"].iloc[-1]), int(batch["cents_all"].iloc[-1]), known, int(times[-1]))
+            values = batch[attribute].to_numpy()[order].tolist()
+            out[measure] = self._distinct(values, times, known[number]).astype(np.int32)
+
+        out["count_all"], out["cents_all"] = n_before + own + 1, cents_before + np.cumsum(cents)
+        self._remember(int(out["count_all"][-1]), int(out["cents_all"][-1]), known, int(times[-1]))
         self._store(times, cents, kept)
         if timerValues.getCurrentWatermarkInMs() >= 0:
             self.handle.registerTimer(int(times[-1] + DAY + SLACK) // 1000)
-        yield batch
+        yield pd.DataFrame(out)
 
     @staticmethod
     def _sightings(sighted) -> list[dict[str, int]]:
@@ -96,15 +95,27 @@ class AccountState(StatefulProcessor):
                 self.slices.removeKey((hour,))
 
     @staticmethod
-    def _distinct(values: pd.Series, times: np.ndarray, seen: dict[str, int], n: int) -> np.ndarray:
-        rows = pd.DataFrame({"value": values, "row": np.arange(n), "time": times}).dropna(subset=["value"])
-        old = pd.DataFrame({"value": list(seen), "row": 0, "time": list(seen.values()), "old": True})
-        line = pd.concat([old, rows.assign(old=False)], ignore_index=True) if len(old) else rows
-        if line.empty:
-            return np.zeros(n, np.int64)
-        replaced = line.groupby("value", sort=False)["row"].shift(-1).fillna(n).to_numpy(np.int64)
-        gone = np.searchsorted(times, line["time"].to_numpy(np.int64) + MONTH, side="right")
-        return _running(line["row"].to_numpy(np.int64), np.minimum(replaced, gone), np.ones(len(line), np.int64), n)
+    def _distinct(values: list[str | None], times: np.ndarray, seen: dict[str, int]) -> np.ndarray:
+        """Distinct values within 30 days at every row; ``seen`` takes up the new sightings.
+
+        A sighting counts from its row until the value is seen again or leaves the window.
+        """
+        n = len(times)
+        starts, lasts, ends, open_at = [0] * len(seen), list(seen.values()), [n] * len(seen), {}
+        for position, value in enumerate(seen):
+            open_at[value] = position
+        for row, (value, time) in enumerate(zip(values, times.tolist())):
+            if value is None:
+                continue
+            if value in open_at:
+                ends[open_at[value]] = row
+            open_at[value] = len(starts)
+            starts.append(row)
+            lasts.append(max(time, seen.get(value, 0)))
+            ends.append(n)
+            seen[value] = lasts[-1]
+        gone = np.searchsorted(times, np.array(lasts, np.int64) + MONTH, side="right")
+        return _running(np.array(starts, np.int64), np.minimum(np.array(ends, np.int64), gone), np.ones(len(starts), np.int64), n)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs() * 1000
@@ -129,17 +140,21 @@ def stream_features(stream: DataFrame, key: str = "account_id", late_policy: str
     ``drop`` ignores rows older than the watermark and cleans state by event time;
     ``process`` answers every row however late, without event-time timers.
     """
-    ready = stream.withColumns({
-        "account_key": F.coalesce(F.col(key).cast("string"), F.lit("unknown")),
-        "micros": F.unix_micros("event_time"),
-        "cents": (F.coalesce(F.col("amount"), F.lit(0)) * 100).cast("bigint"),
-    })
+    # the row travels as one column of strings: a wide frame per account would cost more
+    # to convert than the features cost to compute
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    ready = stream.selectExpr(
+        f"coalesce(cast({key} as string), 'unknown') as account_key", "event_time", "transaction_id",
+        "unix_micros(event_time) as micros", "cast(coalesce(amount, 0) * 100 as bigint) as cents",
+        *[a for a, _ in ATTRIBUTES], "array(" + ", ".join(f"cast(`{c}` as string)" for c in kinds) + ") as payload")
     added = [("count_1h", T.IntegerType()), ("cents_1h", T.LongType()), ("count_24h", T.IntegerType()),
              ("cents_24h", T.LongType()), *[(m, T.IntegerType()) for _, m in ATTRIBUTES],
              ("count_all", T.LongType()), ("cents_all", T.LongType())]
-    schema = T.StructType([*ready.schema.fields, *[T.StructField(n, t) for n, t in added]])
+    schema = T.StructType([ready.schema["payload"], *[T.StructField(n, t) for n, t in added]])
     out = ready.groupBy("account_key").transformWithStateInPandas(
         AccountState(), schema, "Append", "EventTime" if late_policy == "drop" else "None")
+    out = out.selectExpr(*[f"cast(payload[{i}] as {kind}) as `{c}`" for i, (c, kind) in enumerate(kinds.items())],
+                         *[n for n, _ in added])
 
     def yuan(column):
         return (F.col(column).cast("decimal(20,0)") / 100).cast("decimal(18,2)")
