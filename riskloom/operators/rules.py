@@ -133,10 +133,13 @@ def risk_factors(df: DataFrame, hits: str = "matched_rules", model_score: str =
 
 
 def rule_stats(assessed: DataFrame) -> DataFrame:
-    """Per rule: times fired, with the number of evaluations and of all hits alongside."""
-    totals = assessed.select(F.count("*").alias("executions"), F.sum(F.size("matched_rules")).alias("fired_total"))
-    per_rule = explode_hits(assessed).groupBy("rule_id").agg(F.count("*").alias("fired"))
-    return per_rule.withColumns({
-        "executions": totals.select("executions").scalar(),
-        "fired_total": totals.select("fired_total").scalar(),
-    })
+    """Per rule: times fired, with the number of evaluations and of all hits alongside.
+
+    One pass: a transaction is counted where its first hit is, or on its own when it has
+    none.  The totals are then taken over one row per rule.
+    """
+    lines = assessed.selectExpr("posexplode_outer(matched_rules) as (pos, hit)").selectExpr(
+        "hit.rule_id as rule_id", "if(coalesce(pos, 0) = 0, 1, 0) as opens")
+    per_rule = lines.groupBy("rule_id").agg(F.count("rule_id").alias("fired"), F.sum("opens").alias("opened"))
+    return per_rule.selectExpr("rule_id", "fired", "sum(opened) over () as executions",
+                               "sum(fired) over () as fired_total").filter("rule_id is not null")

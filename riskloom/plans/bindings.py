@@ -149,10 +149,14 @@ def case_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profile_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a change log of customer profiles; an error event is a delete."""
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("customer_id"), F.col("event_id").alias("seq"), F.col("ts").alias("last_update"),
-        F.when(F.col("value") >= 40, "HIGH").when(F.col("value") >= 15, "MEDIUM").otherwise("LOW").alias("risk_level"),
-        F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("op"))
+    return profile_log_view(table(spark, sf_dir, "events"))
+
+
+def profile_log_view(raw: DataFrame) -> DataFrame:
+    return raw.selectExpr(
+        "user_id as customer_id", "event_id as seq", "ts as last_update",
+        "case when value >= 40 then 'HIGH' when value >= 15 then 'MEDIUM' else 'LOW' end as risk_level",
+        "if(event_type = 'error', 'delete', 'update') as op")
 
 
 def orders_as_cases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,7 +108,7 @@ def ip_risk_keep_stronger(spark, sf_dir):
 
 
 @query
-def clean_pipeline(spark, sf_dir):
+def clean_chain(spark, sf_dir):
     good, _ = cleaning.validate(b.raw_events(spark, sf_dir))
     return cleaning.clean(good).select(
         "event_id", "account_id_hash", "counterparty_hash", F.col("amount").cast("double").alias("amount"),

@@ -354,3 +354,24 @@ def sink_append(spark, sf_dir):
     return stored.select("customer_id_hash", "total_count_30d", "night_count_30d", "weekend_count_30d",
                          "channel_diversity_30d", "merchant_diversity_30d", "feature_version", "computed_at",
                          *[c.alias(n) for n, c in money("total_amount_30d", "max_amount_30d").items()])
+
+
+@query
+def offline_feature_store(spark, sf_dir):
+    """Offline features per account as store records with their own key prefix."""
+    rows = merged_features(spark, sf_dir).select(
+        "customer_id_hash", "total_count_30d", "night_count_30d", "channel_diversity_30d", "computed_at",
+        *[c.alias(n) for n, c in (money("total_amount_30d", "max_amount_30d")
+                                  | rounded("avg_amount_30d", "std_amount_30d", "avg_daily_count_30d", "amount_deviation_ratio",
+                                            "frequency_deviation_ratio", places=4)).items()])
+    return latest.feature_store(rows, "customer_id_hash", "computed_at", prefix="risk:offline_feature:")
+
+
+@query
+def enriched_nested(spark, sf_dir):
+    """Enriched record with the transaction as a nested struct, flattened again for a sink."""
+    from riskloom.streaming.pipeline import nest
+    rows = enriched(spark, sf_dir)
+    record = nest(rows, ["transaction_id", "account_id", "transaction_type", "amount", "ip_risk_level"])
+    return record.select("transaction.transaction_id", "transaction.transaction_type", "count_24h", "is_first_device",
+                         F.col("transaction.amount").cast("double").alias("amount"))

@@ -114,3 +114,22 @@ def stream_kpi(spark, sf_dir):
     windows = timed.groupBy(F.window("event_time", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
     out = _collected(spark, windows.select(F.col("w.start").alias("window_start"), "event_type", "n"), "stream-kpi")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query
+def stream_cdc(spark, sf_dir):
+    """The profile change log applied micro-batch by micro-batch."""
+    root = new_folder(spark, "stream-cdc")
+    changes = b.profile_log_view(event_stream(spark, sf_dir))
+    pipeline.run_available(
+        changes, lambda rows, batch_id: sinks.cdc_batch(rows, batch_id, f"{root}/log", ["customer_id"], "seq"), f"{root}/checkpoint")
+    return sinks.cdc_current(spark, f"{root}/log", ["customer_id"], "seq")
+
+
+@query
+def stream_feature_store(spark, sf_dir):
+    """Latest features per account as the fan-out left them in the store."""
+    stored = sinks.current_features(spark, f"{_fanned_out(spark, sf_dir)}/features")
+    return stored.select("account_id_hash", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "count_1h", "count_24h",
+                         "device_count_30d", "city_count_30d", "counterparty_count_30d", "ip_risk_level",
+                         F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))

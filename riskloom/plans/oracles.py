@@ -277,7 +277,7 @@ _ip_case = """case when ip_address like '185.220.%' or ip_address like '23.129.%
 oracle("ip_risk", f"""select event_id, case when ip_address is null then ip_risk_level else {_ip_case} end as ip_risk_level from raw""", "raw")
 oracle("ip_risk_keep_stronger", f"""select event_id, case when ip_risk_level in ('VPN','PROXY','TOR') then ip_risk_level
   when ip_address is null then ip_risk_level else {_ip_case} end as ip_risk_level from raw""", "raw")
-oracle("clean_pipeline", rf"""select event_id, coalesce(account_id_hash, sha256(account_id)) as account_id_hash,
+oracle("clean_chain", rf"""select event_id, coalesce(account_id_hash, sha256(account_id)) as account_id_hash,
   coalesce(counterparty_hash, sha256(counterparty_account)) as counterparty_hash, cast(round(amount, 2) as double) as amount,
   case when coalesce(currency, '') = '' then 'CNY' else currency end as currency, upper(channel_code) as channel_code,
   case when ip_address is null then ip_risk_level else {_ip_case} end as ip_risk_level

@@ -190,3 +190,8 @@ oracle("sink_overwrite", f"""select customer_id, risk_score, {_customer_level} a
 oracle("sink_append", f"""select customer_id_hash, total_count_30d, night_count_30d, weekend_count_30d, channel_diversity_30d,
   merchant_diversity_30d, '2.0' as feature_version, timestamp '{b.AS_OF}' as computed_at, total_amount_30d, max_amount_30d
   from base30""", "base30")
+oracle("offline_feature_store", f"""select customer_id_hash, total_count_30d, night_count_30d, channel_diversity_30d,
+  timestamp '{b.AS_OF}' as computed_at, total_amount_30d, max_amount_30d, avg_amount_30d, std_amount_30d, avg_daily_count_30d,
+  amount_deviation_ratio, frequency_deviation_ratio, 'risk:offline_feature:' || customer_id_hash as store_key,
+  timestamp '{b.AS_OF}' + interval 24 hour as expires_at from base30 left join deviation using (customer_id_hash)""", "base30", "deviation")
+oracle("enriched_nested", """select transaction_id, transaction_type, count_24h, is_first_device, cast(amount as double) as amount from feat""", "feat")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from riskloom.operators import lifecycle
+from riskloom.operators import lifecycle, rules
 from riskloom.plans import assess as flow
 from riskloom.session import STATE_STORE
 from riskloom.streaming import sinks
@@ -17,25 +18,41 @@ from riskloom.streaming import sinks
 Batch = Callable[[DataFrame, int], None]
 
 
-def start(stream: DataFrame, each: Batch, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Run ``each`` on every micro-batch; offsets and state live in ``checkpoint``."""
-    spark = stream.sparkSession
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, STATE_STORE)
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def start(stream: DataFrame, each: Batch, checkpoint: str, trigger: dict | None = None,
+          partitions: int | None = None) -> StreamingQuery:
+    """Run ``each`` on every micro-batch; offsets and state live in ``checkpoint``.
+
+    ``partitions`` is the number of state partitions, fixed for the life of the checkpoint;
+    the session's shuffle partitions are the default.
+    """
+    values = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    if partitions:
+        values["spark.sql.shuffle.partitions"] = str(partitions)
+    with _settings(stream.sparkSession, values):
         writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"processingTime": "60 seconds"})).start()
-    finally:
-        if before is None:
-            spark.conf.unset(setting)
-        else:
-            spark.conf.set(setting, before)
 
 
 def run_available(stream: DataFrame, each: Batch, checkpoint: str) -> None:
-    """Process everything there is, then stop."""
-    start(stream, each, checkpoint, {"availableNow": True}).awaitTermination()
+    """Process everything there is, then stop.  A replay needs no more state partitions than cores."""
+    spark = stream.sparkSession
+    cores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    start(stream, each, checkpoint, {"availableNow": True}, cores).awaitTermination()
 
 
 def nest(enriched: DataFrame, transaction_columns: list[str]) -> DataFrame:
@@ -65,10 +82,12 @@ def fan_out(enriched: DataFrame, batch_id: int, root: str, transaction_columns:
 
 
 def fan_out_batch(root: str, transaction_columns: list[str], sanctions: Callable[[SparkSession], DataFrame] | None = None,
-                  **options) -> Batch:
-    """``foreachBatch`` function; the watch list is loaded again for every micro-batch."""
+                  rule_table: Callable[[SparkSession], DataFrame] | None = None, **options) -> Batch:
+    """``foreachBatch`` function; watch list and rule table are loaded again for every micro-batch."""
     def assess(rows: DataFrame) -> DataFrame:
-        listing = sanctions(rows.sparkSession) if sanctions else None
-        return flow.assess(rows, sanctions=listing, **options)
+        spark = rows.sparkSession
+        listing = sanctions(spark) if sanctions else None
+        active = rules.load_rules(rule_table(spark)) if rule_table else rules.RULES
+        return flow.assess(rows, sanctions=listing, rule_set=active, **options)
 
     return partial(fan_out, root=root, transaction_columns=transaction_columns, assess=assess)

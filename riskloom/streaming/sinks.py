@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.latest import latest_per_key
+from riskloom.operators.latest import apply_cdc, latest_per_key
 from riskloom.sources.writers import to_json_records
 
 ANALYTIC_COLUMNS = (
@@ -50,3 +50,13 @@ def current_features(spark: SparkSession, path: str, now: str | None = None, ttl
 def json_batch(df: DataFrame, key: str, path: str, batch_id: int, columns: Sequence[str] | None = None) -> None:
     """Topic records of a micro-batch.  With Kafka the same frame goes to ``format("kafka")``."""
     write_batch(to_json_records(df, key, columns), path, batch_id)
+
+
+def cdc_batch(changes: DataFrame, batch_id: int, path: str, keys: Sequence[str], seq: str) -> None:
+    """Last change per key of a micro-batch, deletes included, in the batch's own folder."""
+    write_batch(latest_per_key(changes, keys, [seq]), path, batch_id)
+
+
+def cdc_current(spark: SparkSession, path: str, keys: Sequence[str], seq: str, op: str = "op") -> DataFrame:
+    """Row images in force after all batches written so far."""
+    return apply_cdc(spark.read.parquet(path).drop("batch_id"), keys, seq, op)
