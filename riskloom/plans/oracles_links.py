@@ -108,8 +108,12 @@ oracle("alert_state", "select * from alert_states", "alert_states")
 oracle("alert_status_counts", "select alert_status, count(*) as n from alert_states group by 1", "alert_states")
 oracle("alert_overdue", f"""select alert_id, transaction_id, 'PENDING' as alert_status, 1 as escalation_level, processing_deadline
   from alerts where processing_deadline < timestamp '{b.AS_OF}'""", "alerts")
-oracle("alert_page", "select * from alert_states where alert_status = 'CLOSED' order by updated_at, alert_id limit 10 offset 10", "alert_states")
-oracle("alert_page_overflow", "select * from alert_states where alert_status = 'CLOSED' order by updated_at, alert_id limit 10", "alert_states")
+# a page beyond the end shows the first page
+for _name, _page in (("alert_page", 1), ("alert_page_overflow", 100000)):
+    oracle(_name, f"""select alert_id, alert_status, assignee, escalation_level, updated_at from (
+      select *, row_number() over (order by updated_at, alert_id) - 1 as rn, count(*) over () as total
+      from alert_states where alert_status = 'CLOSED')
+      where rn // 10 = case when total <= {_page} * 10 then 0 else {_page} end""", "alert_states")
 oracle("cases_created", """select 'CASE' || upper(substring(sha256(alert_id), 1, 12)) as case_id, alert_id, 'NEW' as case_status,
   2 as priority, created_at from alerts""", "alerts")
 CTE["order_cases"] = ((), """
