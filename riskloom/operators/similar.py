@@ -129,28 +129,29 @@ def _result_schema(queries: DataFrame, cases: DataFrame) -> T.StructType:
 
 
 def blocked_topk(queries: DataFrame, cases: DataFrame, k: int, similarity: Similarity, payload: str,
-                 bucket: str | None = None, block_rows: int = BLOCK_ROWS, least: float | None = None) -> DataFrame:
+                 bucket: str | None = None, block_rows: int = BLOCK_ROWS, least: float | None = None,
+                 sized_by: DataFrame | None = None) -> DataFrame:
     """Top-k with both sides cut into blocks and every block pair met in one task.
 
     Without ``bucket`` the result is exact.  With it, only equal buckets meet; the number
     of blocks follows each bucket's own size, so a bucket holding a third of the cases is
     spread over as many tasks as its size asks for.  Hits must be above ``least``.
+    ``sized_by`` is a cheaper frame with at least as many rows as ``cases``, to count instead.
     """
     keys = [bucket] if bucket else []
     query_side = queries.select("query_id", payload, *keys)
     case_side = cases.select("case_id", payload, *keys)
 
-    def blocks(df):
-        return F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int")
 
     if bucket:
         # one row per bucket: bounded by the number of distinct signatures
-        sizes = (case_side.groupBy(bucket).agg(blocks(case_side).alias("case_blocks"))
-                 .join(query_side.groupBy(bucket).agg(blocks(query_side).alias("query_blocks")), bucket))
+        sizes = (case_side.groupBy(bucket).agg(blocks.alias("case_blocks"))
+                 .join(query_side.groupBy(bucket).agg(blocks.alias("query_blocks")), bucket))
         query_side, case_side = query_side.join(sizes, bucket), case_side.join(sizes, bucket)
     else:
-        totals = {"case_blocks": case_side.select(blocks(case_side)).scalar(),
-                  "query_blocks": query_side.select(blocks(query_side)).scalar()}
+        counted = case_side if sized_by is None else sized_by
+        totals = {"case_blocks": counted.select(blocks).scalar(), "query_blocks": query_side.select(blocks).scalar()}
         query_side, case_side = query_side.withColumns(totals), case_side.withColumns(totals)
 
     def spread(df, key, own, other):
@@ -328,9 +329,10 @@ def text_search(cases: DataFrame, queries: DataFrame, k: int = 5, category: str
                  .join(vocabulary, "term", "left_semi")
                  .groupBy("case_id", "term").agg(F.count("*").alias("tf")))
     total = pool.select(F.count("*")).scalar()
-    rarity = (frequency.groupBy("term").agg(F.count("*").alias("df"))
+    # reading tf keeps this shuffle equal to the one of the weights, so Spark runs it once
+    rarity = (frequency.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
               .select("term", F.pow(F.log10(total / F.col("df")), 2).alias("idf2")))
     weighted = frequency.join(rarity, "term").select("case_id", "term", (F.col("tf") * F.col("idf2")).alias("weight"))
     documents = weighted.groupBy("case_id").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
 
-    return blocked_topk(asked, documents, k, _term_overlap, "terms", block_rows=block_rows, least=0.0)
+    return blocked_topk(asked, documents, k, _term_overlap, "terms", block_rows=block_rows, least=0.0, sized_by=pool)
