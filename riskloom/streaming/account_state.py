@@ -159,7 +159,7 @@ def stream_features(stream: DataFrame, key: str = "account_id", late_policy: str
     def yuan(column):
         return (F.col(column).cast("decimal(20,0)") / 100).cast("decimal(18,2)")
 
-    mean = F.col("cents_all") / F.col("count_all") / 100
+    mean = F.col("cents_all") / 100.0 / F.col("count_all")  # the order of the batch operator
     deviation = F.when(F.col("count_all") >= 2, F.try_divide(F.abs(F.col("amount").cast("double") - mean), mean))
     return out.select(
         *stream.columns, "count_1h", yuan("cents_1h").alias("amount_1h"), "count_24h", yuan("cents_24h").alias("amount_24h"),
