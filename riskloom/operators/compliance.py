@@ -38,10 +38,10 @@ def detect_split(txn: DataFrame) -> DataFrame:
     Aggregate-then-join instead of a window: the aggregate combines on the map side and
     the join can be split by the adaptive skew handling, so one customer holding most of a
     day never lands in a single task.  A split day has no payment at or above the limit,
-    hence the filter on the joined side.
+    hence the filter on the joined side; payments without an amount are returned with it.
     """
     days = daily_split_candidates(txn).select("customer_id", "trans_date", "daily_total", "txn_count")
-    small = txn.filter(F.col("amount") < fv.LARGE_AMOUNT).withColumn("trans_date", F.to_date("trans_time"))
+    small = txn.filter(F.col("amount").isNull() | (F.col("amount") < fv.LARGE_AMOUNT)).withColumn("trans_date", F.to_date("trans_time"))
     hits = small.join(days, ["customer_id", "trans_date"])
     return _tagged(hits, "SPLIT_TRANSACTION", F.lit("HIGH"),
                    F.lit(fv.REASON_SPLIT_TOTAL), F.col("daily_total").cast("string"),

@@ -23,7 +23,7 @@ def create_alerts(assessed: DataFrame, created_at: str = "transaction_time", cus
     """One NEW alert per assessment of the given levels; the id follows from the transaction."""
     level = F.coalesce(F.col("risk_level"), F.lit("MEDIUM"))
     return assessed.filter(F.col("risk_level").isin(*levels)).select(
-        F.concat(F.lit("ALT"), F.substring(F.sha2("transaction_id", 256), 1, 12)).alias("alert_id"),
+        F.concat(F.lit("ALT"), F.sha2("transaction_id", 256)).alias("alert_id"),
         "transaction_id", F.col(customer).alias("customer_id"), F.lit("FRAUD").alias("alert_type"),
         "risk_score", level.alias("risk_level"), F.col("decision").alias("agent_decision"),
         F.lit("NEW").alias("alert_status"), F.lit(0).alias("escalation_level"),
@@ -84,7 +84,7 @@ def status_counts(df: DataFrame, column: str) -> DataFrame:
 def create_cases(alerts: DataFrame) -> DataFrame:
     """A NEW case per alert with its priority."""
     return alerts.select(
-        F.concat(F.lit("CASE"), F.upper(F.substring(F.sha2("alert_id", 256), 1, 12))).alias("case_id"),
+        F.concat(F.lit("CASE"), F.upper(F.sha2("alert_id", 256))).alias("case_id"),
         "alert_id", "transaction_id", "customer_id", F.col("alert_type").alias("case_type"), "risk_level",
         F.lit("NEW").alias("case_status"), priority(F.col("risk_level")).alias("priority"), "created_at")
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.cleaning import filter_key
-from riskloom.session import materialise
+from riskloom.session import new_folder, remove_folder
 
 GROUP = ("relationship_type", "group_key", "customer_count", "txn_count", "total_amount", "risk_level")
 
@@ -93,14 +93,21 @@ def connected_components(pairs: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: each is an aggregation and a join on the
     node, the number of rounds grows with the logarithm of the graph, and rounds are run
-    until nothing changes.  Each round is written to the shared folder.
+    until nothing changes.  Each round is written to the shared folder and the one before is
+    deleted.
     """
     def signature(edges):
         return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
 
-    edges = materialise(
-        pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .filter(F.col("u") != F.col("v")).distinct(), "components")
+    spark = pairs.sparkSession
+
+    def write(df):
+        path = new_folder(spark, "components")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    edges, path = write(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                        .filter(F.col("u") != F.col("v")).distinct())
     before = signature(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -111,7 +118,9 @@ def connected_components(pairs: DataFrame) -> DataFrame:
         small = (large.join(parent, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(parent.select("u", F.col("m").alias("v")))
                  .filter(F.col("u") != F.col("v")).distinct())
-        edges = materialise(small, "components")
+        older = path
+        edges, path = write(small)
+        remove_folder(spark, older)
         after = signature(edges)
         if after == before:
             break

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from riskloom import fixed_values as fv
 from riskloom.schemas import RULE_DEFINITION
 
-MAX_RULES = 1000  # a rule set is configuration; more than this is a wrong table
 
 
 @dataclass(frozen=True)
@@ -85,11 +84,12 @@ def load_rules(table: DataFrame, rules: Sequence[Rule] = RULES) -> tuple[Rule, .
 
     Predicates come from the known rules only; the table cannot inject expressions.
     """
-    rows = table.select("rule_id", "risk_weight", "risk_level", "enabled").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError("rule_definition has too many rows")
-    known = {r.rule_id: r for r in rules}
-    on = {row.rule_id: row for row in rows if row.enabled and row.rule_id in known}
+    known = [r.rule_id for r in rules]
+    # one row per known rule at most, whatever the table holds
+    rows = (table.filter(F.col("enabled") & F.col("rule_id").isin(known)).groupBy("rule_id")
+            .agg(F.max_by(F.struct("risk_weight", "risk_level"), "risk_weight").alias("r"))
+            .select("rule_id", "r.*").collect())
+    on = {row.rule_id: row for row in rows}
     return tuple(replace(r, weight=on[r.rule_id].risk_weight, level=on[r.rule_id].risk_level)
                  for r in rules if r.rule_id in on)
 

@@ -179,13 +179,14 @@ def blocked_topk(queries: DataFrame, cases: DataFrame, k: int, similarity: Simil
 
 def vector_topk(queries: DataFrame, cases: DataFrame, k: int = 5, payload: str = "vector",
                 broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Exact top-k by inner product (cosine on unit vectors); ``k`` is clamped to 1..20.
+    """Exact top-k by inner product (cosine on unit vectors); any ``k`` from 1.
 
     A case library that fits ``broadcast_bytes`` (its size is counted, not assumed) is
     shipped to the executors and the queries stream past it without a shuffle.  Beyond
     that both sides are blocked.
     """
-    k = max(1, min(k, 20))
+    if k < 1:
+        raise ValueError("k must be at least 1")
     count, dimension = cases.agg(F.count("*"), F.max(F.size(payload))).first()
     if not count or count * (dimension or 0) * 8 > broadcast_bytes:
         return blocked_topk(queries, cases, k, dot, payload)
@@ -233,7 +234,7 @@ def vector_topk_lsh(queries: DataFrame, cases: DataFrame, k: int = 5, payload: s
     dimension = cases.select(F.max(F.size(payload))).first()[0] or 0
     left = signatures(queries, "query_id", payload, dimension, tables, bits, seed)
     right = signatures(cases, "case_id", payload, dimension, tables, bits, seed)
-    return blocked_topk(left, right, max(1, min(k, 20)), dot, payload, bucket="bucket", block_rows=block_rows)
+    return blocked_topk(left, right, k, dot, payload, bucket="bucket", block_rows=block_rows)
 
 
 # --- use of the hits -----------------------------------------------------------------------------

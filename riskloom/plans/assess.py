@@ -64,7 +64,7 @@ def assess_summary(requests: DataFrame) -> DataFrame:
 def audit_log(assessed: DataFrame, created_at: str = "transaction_time") -> DataFrame:
     """One log row per decision, with a request id derived from the transaction id."""
     return assessed.select(
-        "transaction_id", F.substring(F.sha2("transaction_id", 256), 1, 12).alias("request_id"),
+        "transaction_id", F.sha2("transaction_id", 256).alias("request_id"),
         *[F.col(c).cast("decimal(5,2)").alias(c) for c in ("risk_score", "rule_score", "ml_score", "kb_score")],
         "risk_level", "decision", F.col("confidence").cast("decimal(3,2)").alias("confidence"),
         F.to_json("matched_rules").alias("matched_rules"), F.to_json("similar_cases").alias("similar_cases"),

@@ -115,14 +115,20 @@ def clean_chain(spark, sf_dir):
         "currency", "channel_code", "ip_risk_level")
 
 
+def _padded(key: Column, width: int) -> Column:
+    """Zeros up to ``width``; longer keys stay whole."""
+    text = key.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 @query
 def mask_pii(spark, sf_dir):
     key = F.col("c_custkey")
     rows = b.table(spark, sf_dir, "customer").select(
         "c_custkey",
-        F.concat(F.lit("138"), F.lpad(key.cast("string"), 8, "0")).alias("phone"),
-        F.concat(F.lit("110101199001"), F.lpad(key.cast("string"), 6, "0")).alias("id_card"),
-        F.concat(F.lit("6222"), F.lpad(key.cast("string"), 12, "0")).alias("bank_card"),
+        F.concat(F.lit("138"), _padded(key, 8)).alias("phone"),
+        F.concat(F.lit("110101199001"), _padded(key, 6)).alias("id_card"),
+        F.concat(F.lit("6222"), _padded(key, 12)).alias("bank_card"),
         key.cast("string").alias("short_card"))
     return cleaning.mask_columns(rows, {"phone": "phone", "id_card": "id_card", "bank_card": "bank_card",
                                         "short_card": "bank_card"})

@@ -50,10 +50,9 @@ def link_edges(spark, sf_dir):
 
 @query
 def link_components(spark, sf_dir):
-    """Rings of customers connected through shared devices."""
+    """Rings of customers connected through shared addresses, devices and bursts."""
     edges = links.relationship_edges(link_rows(spark, sf_dir), unit="hour", min_txn=2)
-    devices = edges.filter(F.col("relationship_type") == "SAME_DEVICE")
-    found = links.connected_components(links.star_edges(devices))
+    found = links.connected_components(links.star_edges(edges))
     return found.select(F.col("node").alias("customer_id"), "component")
 
 
@@ -70,8 +69,8 @@ def case_text(spark, sf_dir):
 
 @query
 def txn_text(spark, sf_dir):
-    rows = enriched(spark, sf_dir).drop("amount_deviation")
-    return similar.txn_text(rows).select("transaction_id", "txn_text")
+    deviation = F.round("amount_deviation", 4).cast("decimal(20,4)")
+    return similar.txn_text(enriched(spark, sf_dir).withColumn("amount_deviation", deviation)).select("transaction_id", "txn_text")
 
 
 def vectors(spark, sf_dir):

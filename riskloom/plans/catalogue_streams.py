@@ -19,9 +19,11 @@ def event_stream(spark, sf_dir) -> DataFrame:
 
 
 def featured_stream(spark, sf_dir) -> DataFrame:
-    rows = b.events_view(event_stream(spark, sf_dir)).withColumn("account_id_hash", F.sha2("account_id", 256))
-    timed = ingest.with_event_time(rows)
-    return account_state.stream_features(ingest.dedup_stream(timed))
+    """Events as they come in: cleaned, timed, de-duplicated, with their account features."""
+    text = F.lit(None).cast("string")
+    rows = b.events_view(event_stream(spark, sf_dir)).withColumns(
+        {"account_id_hash": text, "counterparty_account": text, "currency": text})
+    return account_state.stream_features(ingest.with_event_time(ingest.clean_stream(rows)))
 
 
 def _collected(spark, stream: DataFrame, name: str) -> DataFrame:
@@ -33,9 +35,10 @@ def _collected(spark, stream: DataFrame, name: str) -> DataFrame:
 
 def _fanned_out(spark, sf_dir) -> str:
     root = new_folder(spark, "stream-fanout")
-    stream = featured_stream(spark, sf_dir).withColumn("info_changed_recently", F.lit(False))
+    stream = featured_stream(spark, sf_dir)
     columns = ["transaction_id", "account_id", "transaction_type", "channel_code", "amount", "ip_risk_level"]
-    each = pipeline.fan_out_batch(root, columns, sanctions=lambda s: b.sanctions(b.events(s, sf_dir)), stand_in=True)
+    each = pipeline.fan_out_batch(root, columns, sanctions=lambda s: b.sanctions(b.events(s, sf_dir)), stand_in=True,
+                                  profile_changes=lambda s: b.profile_changes(b.events(s, sf_dir)))
     pipeline.run_available(stream, each, f"{root}/checkpoint")
     return root
 
@@ -68,6 +71,39 @@ def stream_dedup(spark, sf_dir):
     return _collected(spark, ingest.dedup_stream(timed, "event_id").select("event_id"), "stream-dedup")
 
 
+LATE = "event_id % 50 = 7"
+
+
+def _late_replay(spark, sf_dir, policy: str):
+    """Events in two micro-batches: every fiftieth event comes after all others, and twice."""
+    root = new_folder(spark, "stream-late")
+    events = b.events(spark, sf_dir)
+    late = events.filter(LATE)
+    events.filter(f"not ({LATE})").write.parquet(f"{root}/in/part=0")
+    late.unionByName(late).write.parquet(f"{root}/in/part=1")
+    options = {"maxFilesPerTrigger": str(max(1, len(spark.read.parquet(f"{root}/in/part=0").inputFiles()))),
+               "recursiveFileLookup": "true"}
+    source = ingest.read_stream(spark, "parquet", options, f"{root}/in", events.schema)
+    out = account_state.stream_features(ingest.with_event_time(source), late_policy=policy)
+    done = pipeline.run_available(out, lambda rows, batch_id: sinks.write_batch(rows, f"{root}/out", batch_id), f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out").drop("batch_id"), done
+
+
+@query
+def stream_late(spark, sf_dir):
+    """Rows that arrive hours late, and twice, are answered once like all others."""
+    out, _ = _late_replay(spark, sf_dir, "process")
+    return out.select("transaction_id", F.expr(LATE).alias("late"))
+
+
+@query
+def stream_late_rejects(spark, sf_dir):
+    """The counted alternative: with ``drop``, rows answered and rows refused add up to the input."""
+    out, done = _late_replay(spark, sf_dir, "drop")
+    return out.agg(F.count("*").alias("answered")).withColumn("refused", F.lit(pipeline.dropped_rows(done)).cast("long")) \
+        .withColumn("total", F.col("answered") + F.col("refused"))
+
+
 @query
 def stream_enrich(spark, sf_dir):
     """Live events joined to the static customer profile."""

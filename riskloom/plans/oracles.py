@@ -249,7 +249,7 @@ CTE["cases"] = ((), """
     case when doc_id % 8 <> 0 then 'resolved ' || doc_id end as resolution,
     case when doc_id % 9 <> 0 then 'effect ' || doc_id end as resolution_effect, doc_id
   from documents""")
-oracle("kb_load_cases", """select case_id, case_title, case_type, case_level, substring(case_description, 1, 500) as case_description,
+oracle("kb_load_cases", """select case_id, case_title, case_type, case_level, case_description,
   coalesce(modus_operandi, '') as modus_operandi, coalesce(fraud_pattern, '') as fraud_pattern, key_features,
   coalesce(involved_amount, 0.0) as involved_amount, coalesce(resolution, '') as resolution,
   coalesce(resolution_effect, '') as resolution_effect from cases""", "cases")
@@ -284,9 +284,9 @@ oracle("clean_chain", rf"""select event_id, coalesce(account_id_hash, sha256(acc
   from raw where amount between 0.01 and 10000000 and coalesce(trim(transaction_id), '') <> ''
     and coalesce(trim(account_id), '') <> ''
     and coalesce(regexp_matches(ip_address, '^$|^\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}$'), true)""", "raw")
-oracle("mask_pii", """select c_custkey, '138****' || right(lpad(cast(c_custkey as varchar), 8, '0'), 4) as phone,
-  '110101********' || right(lpad(cast(c_custkey as varchar), 6, '0'), 4) as id_card,
-  '6222****' || right(lpad(cast(c_custkey as varchar), 12, '0'), 4) as bank_card,
+oracle("mask_pii", """select c_custkey, '138****' || right(lpad(cast(c_custkey as varchar), cast(greatest(8, len(cast(c_custkey as varchar))) as int), '0'), 4) as phone,
+  '110101********' || right(lpad(cast(c_custkey as varchar), cast(greatest(6, len(cast(c_custkey as varchar))) as int), '0'), 4) as id_card,
+  '6222****' || right(lpad(cast(c_custkey as varchar), cast(greatest(12, len(cast(c_custkey as varchar))) as int), '0'), 4) as bank_card,
   case when length(cast(c_custkey as varchar)) >= 8 then left(cast(c_custkey as varchar), 4) || '****' || right(cast(c_custkey as varchar), 4)
     else cast(c_custkey as varchar) end as short_card from customer""")
 oracle("time_flags", """select event_id, extract(hour from transaction_time) between 0 and 5 as is_night_time,
@@ -441,7 +441,7 @@ oracle("assess_fallback", """select transaction_id, case when known then risk_sc
   case when known then confidence else 0.5 end as confidence, case when known then rule_score else 0.0 end as rule_score,
   case when known then ml_score else 0.0 end as ml_score, 0.0::double as kb_score
   from (select *, cast(account_id as int) % 10 <> 0 as known from online)""", "online")
-oracle("audit_log", """select transaction_id, substring(sha256(transaction_id), 1, 12) as request_id, risk_level, decision,
+oracle("audit_log", """select transaction_id, sha256(transaction_id) as request_id, risk_level, decision,
   cast(trunc(value) as int) as processing_time_ms, transaction_time as created_at, nullif(split_part(ids, ',', 1), '') as first_rule,
   risk_score, rule_score, ml_score, 0.0::double as kb_score, confidence from online""", "online")
 oracle("decision_distribution", """select risk_level, decision, count(*) as n, round(avg(risk_score), 4) as avg_score

@@ -31,15 +31,15 @@ for _name, _kind in (("link_same_ip", "SAME_IP"), ("link_same_device", "SAME_DEV
 oracle("relationship_groups", f"select *, '{b.BATCH_DATE}' as batch_date from groups", "groups")
 oracle("link_edges", """select relationship_type, group_key, customer_id, n as weight
   from members join groups using (relationship_type, group_key)""", "members", "groups")
-ORACLE_COMPONENTS = """with recursive e0 as (select *, cast(json_extract(props, '$.k') as int) as k from events),
-dev as (select distinct cast(user_id as varchar) as customer_id, 'DEV-' || (user_id // 5) || '-' || (case when k < 70 then 0
-    when k < 85 then 1 when k < 93 then 2 when k < 97 then 3 else 4 end) as device_id from e0),
-pairs as (select distinct a.customer_id as u, b.customer_id as v from dev a join dev b using (device_id) where a.customer_id <> b.customer_id),
-reach(u, v) as (select u, v from pairs union select r.u, p.v from reach r join pairs p on r.v = p.u)
-select u as customer_id, least(u, min(v)) as component from reach group by u"""
-from riskloom.plans.oracles import ORACLES  # noqa: E402
-
-ORACLES["link_components"] = ORACLE_COMPONENTS
+# stars: every member of a group to the group's smallest one, then reachability over all kinds of links
+CTE["stars"] = (("members", "groups"), """
+  select distinct u, v from (
+    select customer_id as u, min(customer_id) over (partition by relationship_type, group_key) as v
+    from members join groups using (relationship_type, group_key)) where u <> v""")
+oracle("link_components", """select customer_id, component from (
+  with recursive both_ways as (select u, v from stars union select v, u from stars),
+  reach(u, v) as (select u, v from both_ways union select r.u, p.v from reach r join both_ways p on r.v = p.u)
+  select u as customer_id, least(u, min(v)) as component from reach group by u)""", "stars")
 
 # --- similar cases -------------------------------------------------------------------------------
 _labels = fv.CASE_TEXT_LABELS
@@ -53,7 +53,7 @@ oracle("txn_text", f"""select transaction_id, concat_ws(chr(10), '{_t[0]}: ' ||
   '{_t[4]}: ' || count_1h, '{_t[5]}: ' || count_24h,
   '{_t[6]}: ' || case when is_first_device then 'True' else 'False' end,
   '{_t[7]}: ' || case when is_cross_border then 'True' else 'False' end, '{_t[8]}: ' || ip_risk_level,
-  '{_t[9]}: ' || device_count_30d, '{_t[10]}: ' || city_count_30d, '{_t[11]}: 0') as txn_text from feat""", "feat")
+  '{_t[9]}: ' || device_count_30d, '{_t[10]}: ' || city_count_30d, '{_t[11]}: ' || cast(cast(round(amount_deviation, 4) as decimal(20, 4)) as varchar)) as txn_text from feat""", "feat")
 
 CTE["sims"] = ((), """
   select q.vec_id as query_id, c.vec_id as case_id,
@@ -91,7 +91,7 @@ select * from (select query_id, case_id, similarity, cast(row_number() over (par
 
 # --- alerts and cases ----------------------------------------------------------------------------
 CTE["alerts"] = (("engine",), """
-  select 'ALT' || substring(sha256(transaction_id), 1, 12) as alert_id, transaction_id, account_id as customer_id,
+  select 'ALT' || sha256(transaction_id) as alert_id, transaction_id, account_id as customer_id,
     'FRAUD' as alert_type, risk_score, risk_level, decision as agent_decision, 'NEW' as alert_status, 0 as escalation_level,
     transaction_time as created_at, transaction_time + interval 24 hour as processing_deadline
   from engine where risk_level = 'HIGH'""")
@@ -114,7 +114,7 @@ for _name, _page in (("alert_page", 1), ("alert_page_overflow", 100000)):
       select *, row_number() over (order by updated_at, alert_id) - 1 as rn, count(*) over () as total
       from alert_states where alert_status = 'CLOSED')
       where rn // 10 = case when total <= {_page} * 10 then 0 else {_page} end""", "alert_states")
-oracle("cases_created", """select 'CASE' || upper(substring(sha256(alert_id), 1, 12)) as case_id, alert_id, 'NEW' as case_status,
+oracle("cases_created", """select 'CASE' || upper(sha256(alert_id)) as case_id, alert_id, 'NEW' as case_status,
   2 as priority, created_at from alerts""", "alerts")
 CTE["order_cases"] = ((), """
   select o_orderkey as case_id, o_custkey as customer_id, case o_orderstatus when 'P' then 'NEW' when 'F' then 'CLOSED' else 'INVESTIGATING' end as case_status,

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom import fixed_values as fv
 from riskloom.schemas import LOAD_CSV
 
 
@@ -44,9 +43,11 @@ def load_customers(df: DataFrame) -> DataFrame:
     return df.select("customer_id", "customer_name", "account_type", "risk_level")
 
 
-def load_cases(df: DataFrame, features_schema: str | None = None) -> DataFrame:
-    """Case library, newest first, with empty text for NULL and a short description.
+def load_cases(df: DataFrame, features_schema: str | None = None, description_length: int | None = None) -> DataFrame:
+    """Case library, newest first, with empty text for NULL.
 
+    ``description_length`` cuts the description (``fixed_values.CASE_DESCRIPTION_LENGTH`` is
+    the established cut); by default it stays whole.
     ``features_schema`` (DDL) types the JSON column; malformed JSON becomes NULL.
     """
     text = {c: F.coalesce(F.col(c), F.lit(""))
@@ -54,8 +55,9 @@ def load_cases(df: DataFrame, features_schema: str | None = None) -> DataFrame:
     out = df.withColumns({
         **text,
         "involved_amount": F.coalesce(F.col("involved_amount").cast("double"), F.lit(0.0)),
-        "case_description": F.substring("case_description", 1, fv.CASE_DESCRIPTION_LENGTH),
     })
+    if description_length is not None:
+        out = out.withColumn("case_description", F.substring("case_description", 1, description_length))
     if features_schema:
         out = out.withColumn("key_features", F.from_json("key_features", features_schema))
     return out.orderBy(F.col("created_at").desc(), F.col("case_id"))

@@ -2,8 +2,11 @@
 
 State per account: hourly slices of the last 24 h (times and amounts), last sighting of
 each device, city and counterparty within 30 days, and count and sum of everything so far.
-Rows are answered on arrival.  What is older than its window is dropped when the account is
-next seen, or by a timer when it is not.
+Rows are answered on arrival, however late.  The ids of answered transactions are kept by the
+hour of their event time, for ``REMEMBER`` hours (of the account's newest event) after the last
+one of that hour came in, so a redelivered transaction is recognised long after any lateness
+bound; this has nothing to do with the watermark.  What is older than
+its window is dropped when the account is next seen, or by a timer when it is not.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor
 HOUR = 3_600_000_000  # microseconds
 DAY, MONTH = 24 * HOUR, 30 * 24 * HOUR
 SLACK = HOUR          # kept beyond the window for rows out of order
+REMEMBER = 72         # hours for which transaction ids are remembered
 ATTRIBUTES = (("device_id", "device_count_30d"), ("ip_city", "city_count_30d"),
               ("counterparty_hash", "counterparty_count_30d"))
 
@@ -34,14 +38,21 @@ def _running(starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, n: int)
 
 
 class AccountState(StatefulProcessor):
+    def __init__(self, remember: int = REMEMBER):
+        self.remember = remember
+
     def init(self, handle) -> None:
         self.handle = handle
+        self.ids = handle.getMapState("ids", "hour long", "ids array<string>")
+        self.touched = handle.getValueState("touched", "hours array<long>, at array<long>")
         self.slices = handle.getMapState("slices", "hour long", "times array<long>, cents array<long>")
         self.profile = handle.getValueState(
             "profile", "n long, cents long, attributes array<int>, values array<string>, last array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
+        batch = self._first_arrivals(pd.concat(list(rows), ignore_index=True))
+        if batch.empty:
+            return
         order = np.lexsort((batch["transaction_id"].to_numpy().astype(str), batch["micros"].to_numpy()))
         times, cents = batch["micros"].to_numpy(np.int64)[order], batch["cents"].to_numpy(np.int64)[order]
         n = len(times)
@@ -71,6 +82,36 @@ class AccountState(StatefulProcessor):
             self.handle.registerTimer(int(times[-1] + DAY + SLACK) // 1000)
         yield pd.DataFrame(out)
 
+    def _first_arrivals(self, batch: pd.DataFrame) -> pd.DataFrame:
+        """Rows whose id was not answered before; rows without an id always are.
+
+        Only the hours that the batch touches are read and written.
+        """
+        if not self.remember:
+            return batch
+        named = batch["transaction_id"].notna()
+        batch = batch[~(named & batch["transaction_id"].duplicated())]
+        hours = batch["micros"] // HOUR
+        fresh = np.ones(len(batch), bool)
+        touched = dict(zip(*(self.touched.get() or ([], []))))
+        now = max([int(hours.max()), *touched.values()])
+        for hour in hours.unique().tolist():
+            mine = (hours == hour).to_numpy()
+            have = self.ids.getValue((hour,)) if self.ids.containsKey((hour,)) else None
+            known = set(have[0]) if have else set()
+            ids = batch["transaction_id"].to_numpy()[mine]
+            new = np.array([i is None or i not in known for i in ids], bool)
+            fresh[np.flatnonzero(mine)[~new]] = False
+            added = [i for i in ids[new].tolist() if i is not None]
+            if added:
+                self.ids.updateValue((hour,), (sorted(known | set(added)),))
+                touched[hour] = now
+        for hour in [h for h, at in touched.items() if at < now - self.remember]:
+            self.ids.removeKey((hour,))
+            del touched[hour]
+        self.touched.update((list(touched), list(touched.values())))
+        return batch[fresh]
+
     @staticmethod
     def _sightings(sighted) -> list[dict[str, int]]:
         known: list[dict[str, int]] = [{} for _ in ATTRIBUTES]
@@ -134,12 +175,17 @@ class AccountState(StatefulProcessor):
         pass
 
 
-def stream_features(stream: DataFrame, key: str = "account_id", late_policy: str = "drop") -> DataFrame:
-    """Adds the real-time features to a stream that has an ``event_time``.
+def stream_features(stream: DataFrame, key: str = "account_id", late_policy: str = "process",
+                    remember: int = REMEMBER) -> DataFrame:
+    """Adds the real-time features to a stream that has an ``event_time``, one row per transaction id.
 
-    ``drop`` ignores rows older than the watermark and cleans state by event time;
-    ``process`` answers every row however late, without event-time timers.
+    ``process`` answers every row however late, without event-time timers; ``drop`` ignores
+    rows older than the watermark (Spark counts them in the query's progress, which
+    ``pipeline.dropped_rows`` adds up) and cleans state by event time.  ``remember`` is the
+    number of hours of event time for which ids are known; 0 turns de-duplication off.
     """
+    if late_policy not in ("process", "drop"):
+        raise ValueError("late_policy must be 'process' or 'drop'")
     # the row travels as one column of strings: a wide frame per account would cost more
     # to convert than the features cost to compute
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
@@ -152,7 +198,7 @@ def stream_features(stream: DataFrame, key: str = "account_id", late_policy: str
              ("count_all", T.LongType()), ("cents_all", T.LongType())]
     schema = T.StructType([ready.schema["payload"], *[T.StructField(n, t) for n, t in added]])
     out = ready.groupBy("account_key").transformWithStateInPandas(
-        AccountState(), schema, "Append", "EventTime" if late_policy == "drop" else "None")
+        AccountState(remember), schema, "Append", "EventTime" if late_policy == "drop" else "None")
     out = out.selectExpr(*[f"cast(payload[{i}] as {kind}) as `{c}`" for i, (c, kind) in enumerate(kinds.items())],
                          *[n for n, _ in added])
 

@@ -45,7 +45,12 @@ def with_event_time(df: DataFrame, delay: str = "10 seconds", ts: str = "transac
 
 
 def dedup_stream(df: DataFrame, key: str = "transaction_id") -> DataFrame:
-    """First arrival per transaction id; ids are remembered for the watermark delay."""
+    """First arrival per transaction id for streams without account state.
+
+    Ids are remembered for the delay given to ``with_event_time``, and rows later than that
+    are dropped (``pipeline.dropped_rows`` counts them): choose the delay as the retention.
+    The account state recognises repeated ids itself and drops nothing.
+    """
     return df.dropDuplicatesWithinWatermark([key])
 
 

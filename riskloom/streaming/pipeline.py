@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from contextlib import contextmanager
 from functools import partial
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from riskloom.operators import lifecycle, rules
+from riskloom.operators import features, lifecycle, rules
 from riskloom.plans import assess as flow
 from riskloom.session import STATE_STORE
 from riskloom.streaming import sinks
@@ -48,11 +49,17 @@ def start(stream: DataFrame, each: Batch, checkpoint: str, trigger: dict | None
         return writer.trigger(**(trigger or {"processingTime": "60 seconds"})).start()
 
 
-def run_available(stream: DataFrame, each: Batch, checkpoint: str) -> None:
-    """Process everything there is, then stop.  A replay needs no more state partitions than cores."""
-    spark = stream.sparkSession
-    cores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    start(stream, each, checkpoint, {"availableNow": True}, cores).awaitTermination()
+def run_available(stream: DataFrame, each: Batch, checkpoint: str) -> StreamingQuery:
+    """Process everything there is, then stop.  State partitions are the session's shuffle partitions."""
+    query = start(stream, each, checkpoint, {"availableNow": True})
+    query.awaitTermination()
+    return query
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that the stateful operators refused because they were older than the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress
+               for op in json.loads(p.json)["stateOperators"])
 
 
 def nest(enriched: DataFrame, transaction_columns: list[str]) -> DataFrame:
@@ -82,10 +89,17 @@ def fan_out(enriched: DataFrame, batch_id: int, root: str, transaction_columns:
 
 
 def fan_out_batch(root: str, transaction_columns: list[str], sanctions: Callable[[SparkSession], DataFrame] | None = None,
-                  rule_table: Callable[[SparkSession], DataFrame] | None = None, **options) -> Batch:
-    """``foreachBatch`` function; watch list and rule table are loaded again for every micro-batch."""
+                  rule_table: Callable[[SparkSession], DataFrame] | None = None,
+                  profile_changes: Callable[[SparkSession], DataFrame] | None = None, **options) -> Batch:
+    """``foreachBatch`` function; lists, rules and profile changes are loaded again for every micro-batch.
+
+    ``profile_changes`` (account and time) sets the flag of a recently changed profile.
+    """
     def assess(rows: DataFrame) -> DataFrame:
         spark = rows.sparkSession
+        if profile_changes:
+            rows = features.realtime_features(rows, rolling=False, history=False, diversity=False,
+                                              profile_changes=profile_changes(spark))
         listing = sanctions(spark) if sanctions else None
         active = rules.load_rules(rule_table(spark)) if rule_table else rules.RULES
         return flow.assess(rows, sanctions=listing, rule_set=active, **options)

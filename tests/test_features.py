@@ -150,7 +150,7 @@ def test_page_overflow(spark):
     assert ids(2, "first") == [20, 21, 22, 23, 24] and ids(3, "first") == list(range(10)) and ids(3, "empty") == []
 
 
-def streamed(spark, rows, per_batch, policy="drop"):
+def streamed(spark, rows, per_batch, policy="process"):
     """Rows replayed in files of ``per_batch``, one file per micro-batch."""
     folder = new_folder(spark, "replay")
     parts = [rows[i:i + per_batch] for i in range(0, len(rows), per_batch)]
@@ -158,9 +158,7 @@ def streamed(spark, rows, per_batch, policy="drop"):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{folder}/in/part={i:04d}")
     schema = spark.createDataFrame([], SCHEMA).schema
     source = ingest.read_stream(spark, "parquet", {"maxFilesPerTrigger": "1", "recursiveFileLookup": "true"}, f"{folder}/in", schema)
-    timed = ingest.with_event_time(source)
-    ready = ingest.dedup_stream(timed) if policy == "drop" else timed
-    out = account_state.stream_features(ready, late_policy=policy)
+    out = account_state.stream_features(ingest.with_event_time(source), late_policy=policy)
     run = lambda: pipeline.run_available(out, lambda df, i: sinks.write_batch(df, f"{folder}/out", i), f"{folder}/cp")
     run()
     return folder, run
@@ -185,8 +183,18 @@ def test_stream_restart_duplicates_and_late_rows(spark):
     rows = [row("x1", day(1)), row("x1", day(1)), row("x2", day(2)), row("x3", day(3)), row("late", day(1) - dt.timedelta(hours=30))]
     folder, run = streamed(spark, rows, 2)
     ids = sorted(r.transaction_id for r in spark.read.parquet(f"{folder}/out").collect())
-    assert ids == ["x1", "x2", "x3"]  # duplicate and late row gone
+    assert ids == ["late", "x1", "x2", "x3"]  # the duplicate is gone, the late row answered
     run()  # nothing new: a restart changes nothing
-    assert spark.read.parquet(f"{folder}/out").count() == 3
-    folder, _ = streamed(spark, rows, 2, policy="process")
-    assert sorted(r.transaction_id for r in spark.read.parquet(f"{folder}/out").collect()) == ["late", "x1", "x1", "x2", "x3"]
+    assert spark.read.parquet(f"{folder}/out").count() == 4
+    folder, _ = streamed(spark, rows, 2, policy="drop")
+    assert sorted(r.transaction_id for r in spark.read.parquet(f"{folder}/out").collect()) == ["x1", "x2", "x3"]
+
+
+def test_stream_redelivery_hours_later(spark):
+    hour = lambda i: START + dt.timedelta(hours=i)
+    row = lambda i, t: (i, "a", t, D("10.00"), "TRANSFER", "d1", "c1", "p1")
+    rows = [row("x1", hour(1)), row("x2", hour(9)), row("x3", hour(30)), row("x1", hour(1)), row("x2", hour(9)), row(None, hour(31)), row(None, hour(31))]
+    folder, _ = streamed(spark, rows, 1)
+    out = spark.read.parquet(f"{folder}/out")
+    assert sorted(str(r.transaction_id) for r in out.collect()) == ["None", "None", "x1", "x2", "x3"]
+    assert out.agg(F.max("count_24h")).first()[0] == 4  # x2 is a day old when the last rows come
