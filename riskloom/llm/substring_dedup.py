@@ -7,7 +7,8 @@ below 13 that brings both onto the cover, so two equal 20-word windows always sh
 (12 + 8 = 20).  Only windows around an anchor that occurs twice are then compared in full, by 96 bits of hash, and
 the extension is complete: every such window of every occurrence is judged against its earliest occurrence.
 
-Groups never grow with the number of copies.  Each task first settles what it sees: of several equal windows in one
+Groups never grow with the number of copies.  A document whose whole text already stands under a smaller id is a
+repeat throughout and sends nothing.  Each task first settles what it sees: of several equal windows in one
 flush only the earliest is sent on, the others are known repeats and leave as runs.  A group therefore has at most
 one row per flush (about ``FLUSH_WORDS`` words), and it is judged by a window over sorted rows, not in memory.
 
@@ -31,7 +32,7 @@ from riskloom.llm.textbytes import SPACES, WordHasher, mix64, slices, utf8
 
 WINDOW = 20
 PERIOD, COVER, ANCHOR = 13, (0, 1, 3, 9), 8
-FLUSH_WORDS = 1_500_000
+FLUSH_WORDS = 3_000_000
 
 
 def _flushes(batches: Iterator[pa.RecordBatch], hasher: WordHasher):
@@ -65,24 +66,27 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ids, places = [], [], []
         for part, words, first in held:
             sizes = np.diff(first)
+            new = np.repeat(~part.column("is_copy").to_numpy(zero_copy_only=False), sizes)
             at = np.arange(len(words)) - np.repeat(first[:-1], sizes)
             size = np.repeat(sizes, sizes)
-            use = np.flatnonzero(cover[at % PERIOD] & (at + ANCHOR <= size) & (size >= WINDOW))
+            use = np.flatnonzero(cover[at % PERIOD] & (at + ANCHOR <= size) & (size >= WINDOW) & new)
             hashes.append(hasher.runs(words, ANCHOR)[use] if len(use) else words[:0])
             ids.append(np.repeat(part.column("id").to_numpy(zero_copy_only=False), sizes)[use])
             places.append(at[use].astype(np.int32))
         key, doc, place = np.concatenate(hashes), np.concatenate(ids), np.concatenate(places)
         order = np.argsort(key, kind="stable")
-        key, doc, place = key[order], doc[order], place[order]
+        key, place = key[order], place[order]
         again = _equal_neighbours(key)
         repeated = again.copy()
         repeated[:-1] |= again[1:]
         # known repeats need no partner: they get a key of their own, and all of them carry the mark
         spread = mix64(key + serial + np.arange(len(key), dtype=np.uint64))
         serial += np.uint64(len(key))
-        out = np.where(again, spread, key).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out), pa.array(doc), pa.array(np.where(repeated, ~place, place))], names=["g", "id", "place"])
+        out, marked = np.empty(len(key), np.int64), np.empty(len(key), np.int32)
+        out[order] = np.where(again, spread, key).view(np.int64)
+        marked[order] = np.where(repeated, ~place, place)
+        # in the order of the documents, where ids repeat from row to row and take no space in the shuffle
+        yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(doc), pa.array(marked)], names=["g", "id", "place"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,17 +113,19 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                               np.full(len(starts), ids[row], np.int64), np.full(len(starts), crcs[row], np.int32)))
         if not parts:
             continue
-        key, check, start, doc, crc = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((start, doc, check, key))
-        key, check, start, doc, crc = (c[order] for c in (key, check, start, doc, crc))
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        order = np.lexsort((columns[2], columns[3], columns[1], columns[0]))
+        key, check, start, doc, crc = (c[order] for c in columns)
         again = _equal_neighbours(key, check)
         head = np.maximum.accumulate(np.where(again, 0, np.arange(len(key))))
         later = (doc != doc[head]) | (start != start[head])
-        new = ~later
-        yield _rows(key[new], check[new], doc[new], start[new], crc[new], np.zeros(int(new.sum()), np.int32))
+        # in the order of the documents, as above
+        new = np.sort(order[~later])
+        yield _rows(columns[0][new], columns[1][new], columns[3][new], columns[2][new], columns[4][new],
+                    np.zeros(len(new), np.int32))
         doc, start, crc = doc[later], start[later], crc[later]
-        order = np.lexsort((start, crc, doc))
-        doc, start, crc = doc[order], start[order], crc[order]
+        by_place = np.lexsort((start, crc, doc))
+        doc, start, crc = doc[by_place], start[by_place], crc[by_place]
         goes_on = _equal_neighbours(doc, crc)
         goes_on[1:] &= start[1:] == start[:-1] + 1
         begins = np.flatnonzero(~goes_on)
@@ -130,9 +136,11 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(key, check, doc, start, crc, length) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), pa.array(check.view(np.int32)), pa.array(doc), pa.array(start), pa.array(crc),
-         pa.array(length)], names=["g", "c", "id", "start", "crc", "length"])
+    """``at`` holds the second hash and the start, ``what`` the text's checksum and the length of a known run."""
+    at = (check.astype(np.int64) << 32) | start
+    what = (crc.astype(np.int64) << 32) | length
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(at), pa.array(what)],
+                                      names=["g", "id", "at", "what"])
 
 
 def _text_crc(part: pa.RecordBatch) -> np.ndarray:
@@ -149,16 +157,20 @@ def _cut_rows(form: str, extra: list[str]):
                 data, bounds = utf8(part.column("text"))
                 _, begin, end, first = hasher.words(data, bounds)
                 crcs, runs = _text_crc(part), part.column("runs").to_pylist()
+                copied = part.column("is_copy").to_pylist()
                 valid = part.column("text").is_valid().to_pylist()
                 raw, kept, removed = data.tobytes(), [], []
                 for row in range(part.num_rows):
                     lo, hi = int(first[row]), int(first[row + 1])
                     a, b = int(bounds[row]), int(bounds[row + 1])
                     edges = np.zeros(hi - lo + 1, np.int32)
+                    if copied[row] and hi - lo >= WINDOW:
+                        edges[0] = 1
                     for r in runs[row] or ():
-                        if r["crc"] == crcs[row]:
-                            edges[r["start"]] += 1
-                            edges[min(r["start"] + max(r["length"], 1) - 1 + WINDOW, hi - lo)] -= 1
+                        if r["what"] >> 32 == crcs[row]:
+                            start = r["at"] & 0xFFFFFFFF
+                            edges[start] += 1
+                            edges[min(start + max(r["what"] & 0xFFFFFFFF, 1) - 1 + WINDOW, hi - lo)] -= 1
                     gone = np.cumsum(edges[:-1]) > 0
                     removed.append(int(gone.sum()))
                     if form == "words":
@@ -199,18 +211,26 @@ def remove_repeats(docs: DataFrame, form: str = "text", doc_id: str = "doc_id",
     base = docs.select(key.alias("id"), support.col(text).alias("text"), support.packed(docs, text).alias("rest"))
     rest = base.schema["rest"].dataType.simpleString()
 
-    occurrences = base.select("id", "text").mapInArrow(_anchor_rows, "g long, id long, place int")
-    shared = (occurrences.withColumn("n", F.count("*").over(Window.partitionBy("g")))
-              .filter("n > 1 or place < 0").select("id", F.expr("if(place < 0, ~place, place)").alias("place")))
-    places = shared.groupBy("id").agg(F.collect_list("place").alias("places"))
-
-    # the same columns as in the last join, so that one exchange of the texts serves both
-    judged = base.join(places, "id").mapInArrow(_window_rows, "g long, c int, id long, start int, crc int, length int")
-    order = Window.partitionBy("g", "c").orderBy("id", "start")
-    repeats = judged.withColumn("rank", F.rank().over(order)).filter("rank > 1 or length > 0")
-    runs = repeats.groupBy("id").agg(F.collect_list(F.struct("start", "crc", "length")).alias("runs"))
-
-    cut = base.join(runs, "id", "left").mapInArrow(
+    digest = F.md5(F.col("text").cast("binary"))
+    digests = base.filter("text is not null").select("id", digest.alias("digest"))
+    groups = digests.groupBy("digest").agg(F.min("id").alias("lowest"), F.max("id").alias("highest"))
+    copies = (digests.join(groups.filter("lowest < highest"), "digest").filter("id > lowest")
+              .groupBy("id").agg(F.collect_set("digest").alias("copied")))
+    # all steps read this one join, so that one exchange of the texts serves them
+    whole = base.join(copies, "id", "left").select(
+        *base.columns, F.when(F.col("copied").isNull() | F.col("text").isNull(), F.lit(False))
+        .otherwise(F.array_contains("copied", digest)).alias("is_copy"))
+
+    shared = whole.mapInArrow(_anchor_rows, "g long, id long, place int") \
+        .withColumn("n", F.count("*").over(Window.partitionBy("g"))).filter("n > 1 or place < 0")
+    places = shared.groupBy("id").agg(F.collect_list(F.expr("if(place < 0, ~place, place)")).alias("places"))
+
+    judged = whole.join(places, "id").mapInArrow(_window_rows, "g long, id long, at long, what long")
+    order = Window.partitionBy("g", F.expr("at >> 32")).orderBy("id", "at")
+    repeats = judged.withColumn("rank", F.rank().over(order)).filter("rank > 1 or (what & 4294967295) > 0")
+    runs = repeats.groupBy("id").agg(F.collect_list(F.struct("at", "what")).alias("runs"))
+
+    cut = whole.join(runs, "id", "left").mapInArrow(
         _cut_rows(form, ["rest"]), f"id long, text string, n_words long, n_removed long, rest {rest}")
     named = cut.withColumnRenamed("text", text) if text != "text" else cut
     return support.unpacked(named, "rest", text, "n_words", "n_removed")
