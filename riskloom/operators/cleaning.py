@@ -103,6 +103,13 @@ def clean(df: DataFrame) -> DataFrame:
     return classify_ip(out)
 
 
+def account_age(df: DataFrame, open_date: str = "open_date", ts: str = "transaction_time",
+                output: str = "account_age_days") -> DataFrame:
+    """Whole days from the opening of the account to the transaction, 0 where it is not known or later."""
+    days = F.datediff(F.col(ts), F.col(open_date))
+    return df.withColumn(output, F.greatest(F.lit(0), F.coalesce(days, F.lit(0))))
+
+
 DEFAULT_TEXT = {
     "account_id": "", "account_id_hash": "", "currency": "CNY", "transaction_type": "TRANSFER",
     "channel_code": "EBANK", "counterparty_account": "", "counterparty_hash": "",

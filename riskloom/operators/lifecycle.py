@@ -66,15 +66,26 @@ def page(df: DataFrame, order: list[Column], number: int, size: int, status: str
          column: str = "alert_status", overflow: str = "first") -> DataFrame:
     """One page of a fully ordered list, as a bounded top-n rather than a global sort.
 
-    ``overflow`` says what an out-of-range page returns: the first page or nothing.
+    ``overflow`` says what an out-of-range page returns: the first page or nothing.  The rows
+    are counted first, so a page beyond the end costs no more than the first one.
     """
     rows = df if status == "ALL" else df.filter(F.col(column) == status)
-    wanted = rows.orderBy(*order).offset(number * size).limit(size)
-    if overflow == "empty" or number == 0:
-        return wanted
-    total = rows.select(F.count("*")).scalar()
-    first = rows.orderBy(*order).limit(size).filter(total <= number * size)
-    return wanted.unionByName(first)
+    if number and rows.count() <= number * size:
+        if overflow == "empty":
+            return rows.limit(0)
+        number = 0
+    return rows.orderBy(*order).offset(number * size).limit(size)
+
+
+def page_summary(df: DataFrame, number: int, size: int, status: str = "ALL", column: str = "alert_status",
+                 mode: str = "literal") -> DataFrame:
+    """``total``, ``page`` and ``size`` beside a page.
+
+    The established total counts rows whose status equals the asked one, which is none for
+    ``ALL``; ``intent`` counts all rows then.
+    """
+    asked = F.lit(True) if status == "ALL" and mode == "intent" else F.col(column) == status
+    return df.agg(F.count_if(asked).alias("total")).select("total", F.lit(number).alias("page"), F.lit(size).alias("size"))
 
 
 def status_counts(df: DataFrame, column: str) -> DataFrame:

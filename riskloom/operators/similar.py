@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom import fixed_values as fv
+from riskloom.session import materialise
 
 BROADCAST_BYTES = 256 << 20  # largest vector set shipped whole to the executors
 BLOCK_ROWS = 20000           # rows of one side of a block held by a task
@@ -101,14 +102,13 @@ def dot(queries: pd.Series, cases: pd.Series) -> np.ndarray:
     return _matrix(queries) @ _matrix(cases).T
 
 
-def _best(query_ids: np.ndarray, case_ids: np.ndarray, similarity: np.ndarray, k: int,
-          least: float | None = None) -> pd.DataFrame:
-    """The k best cases of every query (above ``least``), ties by case id."""
+def _best(query_ids: np.ndarray, case_ids: np.ndarray, similarity: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best cases of every query, ties by case id."""
     rounded = np.round(similarity, ROUNDING)
     k = min(k, rounded.shape[1])
     threshold = -np.partition(-rounded, k - 1, axis=1)[:, k - 1]
     good = rounded >= threshold[:, None]
-    rows, cols = np.nonzero(good if least is None else good & (rounded > least))
+    rows, cols = np.nonzero(good)
     order = np.lexsort((case_ids[cols], -rounded[rows, cols], rows))
     rows, cols = rows[order], cols[order]
     rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
@@ -129,14 +129,12 @@ def _result_schema(queries: DataFrame, cases: DataFrame) -> T.StructType:
 
 
 def blocked_topk(queries: DataFrame, cases: DataFrame, k: int, similarity: Similarity, payload: str,
-                 bucket: str | None = None, block_rows: int = BLOCK_ROWS, least: float | None = None,
-                 sized_by: DataFrame | None = None) -> DataFrame:
+                 bucket: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Top-k with both sides cut into blocks and every block pair met in one task.
 
     Without ``bucket`` the result is exact.  With it, only equal buckets meet; the number
     of blocks follows each bucket's own size, so a bucket holding a third of the cases is
-    spread over as many tasks as its size asks for.  Hits must be above ``least``.
-    ``sized_by`` is a cheaper frame with at least as many rows as ``cases``, to count instead.
+    spread over as many tasks as its size asks for.
     """
     keys = [bucket] if bucket else []
     query_side = queries.select("query_id", payload, *keys)
@@ -150,8 +148,7 @@ def blocked_topk(queries: DataFrame, cases: DataFrame, k: int, similarity: Simil
                  .join(query_side.groupBy(bucket).agg(blocks.alias("query_blocks")), bucket))
         query_side, case_side = query_side.join(sizes, bucket), case_side.join(sizes, bucket)
     else:
-        counted = case_side if sized_by is None else sized_by
-        totals = {"case_blocks": counted.select(blocks).scalar(), "query_blocks": query_side.select(blocks).scalar()}
+        totals = {"case_blocks": case_side.select(blocks).scalar(), "query_blocks": query_side.select(blocks).scalar()}
         query_side, case_side = query_side.withColumns(totals), case_side.withColumns(totals)
 
     def spread(df, key, own, other):
@@ -167,7 +164,7 @@ def blocked_topk(queries: DataFrame, cases: DataFrame, k: int, similarity: Simil
             return pd.DataFrame({"query_id": [], "case_id": [], "similarity": []})
         step = max(1, (32 << 20) // (8 * len(c)))  # bounds the similarity matrix in memory
         parts = [_best(q["query_id"].to_numpy()[i:i + step], c["case_id"].to_numpy(),
-                       similarity(q[payload].iloc[i:i + step], c[payload]), k, least) for i in range(0, len(q), step)]
+                       similarity(q[payload].iloc[i:i + step], c[payload]), k) for i in range(0, len(q), step)]
         return pd.concat(parts, ignore_index=True)
 
     group = [*keys, "query_block", "case_block"]
@@ -275,15 +272,22 @@ def case_search(enriched: DataFrame, cases: DataFrame, k: int = 5, dimension: in
 
 # --- index maintenance ---------------------------------------------------------------------------
 
-def with_position(df: DataFrame, key: str, start: int = 0, block: int = 100_000) -> DataFrame:
-    """Running position in key order, counted per key range so that no task sorts it all."""
-    cut = df.withColumn("_range", F.floor(F.col(key) / block))
-    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("_range", F.coalesce(
-        F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    return (cut.withColumn("_row", inside).join(offsets, "_range")
-            .select(*df.columns, (F.col("_offset") + F.col("_row") - 1 + start).alias("position")))
+def with_position(df: DataFrame, key: str, start: int = 0) -> DataFrame:
+    """Running position in key order, for keys of any type.
+
+    The rows are range-sorted once and written with their place in their partition; the counts
+    of the partitions, a row each, give the offsets.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = materialise(df.repartitionByRange(key).sortWithinPartitions(key)
+                          .withColumns({"_part": F.spark_partition_id(), "_row": place}), "positions")
+    offsets, before = [], start
+    for part, rows in sorted(map(tuple, ordered.groupBy("_part").count().collect())):
+        offsets.append((part, before))
+        before += rows
+    parts = df.sparkSession.createDataFrame(offsets, "_part int, _offset long")
+    return ordered.join(F.broadcast(parts), "_part").select(  # one row per partition
+        *df.columns, (F.col("_offset") + F.col("_row")).alias("position"))
 
 
 def case_index_append(index: DataFrame | None, vectors: DataFrame, key: str, payload: str, dimension: int) -> DataFrame:
@@ -296,44 +300,35 @@ def case_index_append(index: DataFrame | None, vectors: DataFrame, key: str, pay
     return added if index is None else index.unionByName(added)
 
 
+def case_index_rebuild(vectors: DataFrame, key: str, payload: str, dimension: int) -> DataFrame:
+    """A new index over all vectors, positions from 0 in key order; what was appended in between moves into place."""
+    return case_index_append(None, vectors, key, payload, dimension)
+
+
 # --- text search ---------------------------------------------------------------------------------
 
 def tokens(text):
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def _term_overlap(queries: pd.Series, cases: pd.Series) -> np.ndarray:
-    vocabulary = {t: i for i, t in enumerate(sorted({t for terms in queries for t in terms}))}
-    wanted = np.zeros((len(queries), len(vocabulary)))
-    for row, terms in enumerate(queries):
-        wanted[row, [vocabulary[t] for t in terms]] = 1.0
-    weights = np.zeros((len(cases), len(vocabulary)))
-    for row, terms in enumerate(cases):
-        for entry in terms:
-            if entry["term"] in vocabulary:
-                weights[row, vocabulary[entry["term"]]] = entry["weight"]
-    return wanted @ weights.T
-
-
-def text_search(cases: DataFrame, queries: DataFrame, k: int = 5, category: str | None = None,
-                block_rows: int = 500) -> DataFrame:
+def text_search(cases: DataFrame, queries: DataFrame, k: int = 5, category: str | None = None) -> DataFrame:
     """Top-k cases per query by term frequency x squared inverse document frequency.
 
     ``cases`` has ``case_id``, ``case_type`` and the searched ``text``; ``queries`` has
-    ``query_id`` and ``text``.  The case side is reduced to words that occur in some query
-    before anything is weighted; scores of zero are not hits.
+    ``query_id`` and ``text``.  Inverted lists: the terms of the queries meet the weighted
+    terms of the cases on the term, so only pairs that share a term with a weight exist, and
+    their weights are added up before and after the shuffle.  Terms that all cases have weigh
+    nothing and are left out; scores of zero are not hits.
     """
     pool = cases if category is None else cases.filter(F.col("case_type") == category)
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms"))
-    vocabulary = asked.select(F.explode("terms").alias("term")).distinct()
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     frequency = (pool.select("case_id", F.explode(tokens(F.col("text"))).alias("term"))
-                 .join(vocabulary, "term", "left_semi")
+                 .join(asked.select("term").distinct(), "term", "left_semi")
                  .groupBy("case_id", "term").agg(F.count("*").alias("tf")))
     total = pool.select(F.count("*")).scalar()
-    # reading tf keeps this shuffle equal to the one of the weights, so Spark runs it once
     rarity = (frequency.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-              .select("term", F.pow(F.log10(total / F.col("df")), 2).alias("idf2")))
+              .select("term", F.pow(F.log10(total / F.col("df")), 2).alias("idf2")).filter("idf2 > 0"))
     weighted = frequency.join(rarity, "term").select("case_id", "term", (F.col("tf") * F.col("idf2")).alias("weight"))
-    documents = weighted.groupBy("case_id").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
-
-    return blocked_topk(asked, documents, k, _term_overlap, "terms", block_rows=block_rows, least=0.0, sized_by=pool)
+    found = (asked.join(weighted, "term").groupBy("query_id", "case_id")
+             .agg(F.round(F.sum("weight"), ROUNDING).alias("similarity")).filter("similarity > 0"))
+    return _merged(found, k)

@@ -50,15 +50,17 @@ def assess(enriched: DataFrame, sanctions: DataFrame | None = None, similar: Dat
 
 def try_assess(enriched: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """Assessed rows and failed rows: a record without the facts to score it fails alone."""
-    usable = F.col("transaction_id").isNotNull() & F.col("amount").isNotNull()
+    named = F.coalesce(F.trim("transaction_id"), F.lit("")) != ""
+    usable = named & F.col("amount").isNotNull()
     return assess(enriched.filter(usable), **options), enriched.filter(~usable)
 
 
-def assess_summary(requests: DataFrame) -> DataFrame:
-    """How many requests can be scored."""
-    usable = F.col("transaction_id").isNotNull() & F.col("amount").isNotNull()
-    return requests.select(F.count("*").alias("total"), F.count_if(usable).alias("success"),
-                           F.count_if(~usable).alias("failed"))
+def assess_summary(requests: DataFrame, **options) -> DataFrame:
+    """Requests in all, those assessed with a decision, and those that failed alone."""
+    done, failed = try_assess(requests, **options)
+    outcome = done.select(F.col("decision").isNotNull().alias("ok")).unionByName(failed.select(F.lit(False).alias("ok")))
+    return outcome.select(F.count("*").alias("total"), F.count_if("ok").alias("success"),
+                          F.count_if(~F.col("ok")).alias("failed"))
 
 
 def audit_log(assessed: DataFrame, created_at: str = "transaction_time") -> DataFrame:

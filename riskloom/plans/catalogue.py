@@ -441,7 +441,21 @@ def assess_flow(spark, sf_dir):
 
 @query
 def assess_summary(spark, sf_dir):
-    return flow.assess_summary(b.raw_events(spark, sf_dir))
+    """Every event is assessed, those with a broken id or amount fail alone."""
+    e = F.col("event_id")
+    rows = enriched(spark, sf_dir).withColumns({
+        "transaction_id": F.when(e % 53 != 0, F.col("transaction_id")).when(e % 2 == 0, F.lit(" ")),
+        "amount": F.when(e % 61 != 0, F.col("amount"))})
+    return flow.assess_summary(rows, sanctions=b.sanctions(b.events(spark, sf_dir)), stand_in=True)
+
+
+@query
+def account_age(spark, sf_dir):
+    """Age of the account at each order, from the opening date of its customer."""
+    opened = b.table(spark, sf_dir, "customer").select(
+        "c_custkey", F.expr("date_add(date'1992-01-01', cast(c_custkey % 1500 as int))").alias("open_date"))
+    rows = b.table(spark, sf_dir, "orders").join(opened, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return cleaning.account_age(rows, ts="o_orderdate").select("o_orderkey", "account_age_days")
 
 
 @query

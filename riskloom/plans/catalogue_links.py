@@ -138,12 +138,30 @@ def case_index_stats(spark, sf_dir):
 
 
 @query
-def text_search(spark, sf_dir):
+def case_index_rebuild(spark, sf_dir):
+    """Positions over the whole library by its text ids."""
+    rows = vectors(spark, sf_dir).withColumn("case_id", F.col("vec_id").cast("string"))
+    index = similar.case_index_rebuild(rows, "case_id", "embedding", 64)
+    return index.select("case_id", "position", F.size("embedding").alias("dimension"))
+
+
+def _searched(spark, sf_dir, category: str | None) -> DataFrame:
     cases = case_library(spark, sf_dir).select(
         F.col("case_id").cast("bigint").alias("case_id"), "case_type",
         F.concat_ws(" ", "case_title", "case_description", "modus_operandi").alias("text"))
     asked = b.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return similar.text_search(cases, asked, category="FRAUD")
+    return similar.text_search(cases, asked, category=category)
+
+
+@query
+def text_search(spark, sf_dir):
+    return _searched(spark, sf_dir, "FRAUD")
+
+
+@query
+def text_search_all(spark, sf_dir):
+    """The whole library."""
+    return _searched(spark, sf_dir, None)
 
 
 @query
@@ -212,6 +230,15 @@ def alert_page_overflow(spark, sf_dir):
     return lifecycle.page(rows, [F.col("updated_at"), F.col("alert_id")], 100000, 10, "CLOSED")
 
 
+@query
+def alert_page_total(spark, sf_dir):
+    rows = lifecycle.fold_alerts(b.alert_actions(spark, sf_dir))
+    parts = [lifecycle.page_summary(rows, 1, 10, status, mode=mode).select(
+        F.lit(status).alias("status"), F.lit(mode).alias("mode"), "total", "page", "size")
+        for status, mode in (("CLOSED", "literal"), ("ALL", "literal"), ("ALL", "intent"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def cases_created(spark, sf_dir):
     return lifecycle.create_cases(alerts(spark, sf_dir)).select("case_id", "alert_id", "case_status", "priority", "created_at")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators.latest import latest_per_key
 from riskloom.plans import bindings as b
 from riskloom.plans.catalogue import money, query
 from riskloom.session import new_folder
@@ -143,6 +144,23 @@ def stream_assess(spark, sf_dir):
     return value.select(F.from_json("value", fields).alias("r")).select("r.*")
 
 
+@query
+def stream_store_upsert(spark, sf_dir):
+    """Latest event per user in an upserted store fed by several micro-batches; users gone for 10 days expire."""
+    root = new_folder(spark, "stream-store")
+    (b.table(spark, sf_dir, "events").repartitionByRange(4, "ts").sortWithinPartitions("ts")
+     .write.parquet(f"{root}/in"))
+    schema = b.table(spark, sf_dir, "events").schema
+    source = ingest.read_stream(spark, "parquet", {"maxFilesPerTrigger": "1"}, f"{root}/in", schema)
+    rows = source.select("user_id", F.col("ts").cast("timestamp").alias("event_time"), "event_id")
+    ttl = 10 * 86400
+    pipeline.run_available(rows, lambda batch, i: sinks.upsert_store(
+        latest_per_key(batch, ["user_id"], ["event_time", "event_id"]), i, f"{root}/store", "user_id", ttl_seconds=ttl, buckets=4),
+        f"{root}/checkpoint")
+    newest = spark.read.parquet(f"{root}/in").agg(F.max("ts").cast("string")).first()[0]
+    return sinks.stored_features(spark, f"{root}/store", newest, ttl).select("user_id", "event_id")
+
+
 @query
 def stream_kpi(spark, sf_dir):
     """Hourly counts in append mode: a window leaves when the watermark has passed it."""

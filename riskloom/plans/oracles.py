@@ -434,8 +434,11 @@ _top_names = ",".join(n for _, n, _ in _top5)
 oracle("assess_flow", f"""select {_fused_cols}, 0.0::double as kb_score, sanction_matched,
   case when sanction_matched then '{fv.SANCTION_DETAIL}' else '' end as sanction_detail, ids as matched_rules,
   factors as risk_factors, '{_top_names}' as top_features from assessed""", "assessed")
-oracle("assess_summary", """select count(*) as total, count(*) filter (where amount is not null) as success,
-  count(*) filter (where amount is null) as failed from raw""", "raw")
+oracle("assess_summary", """select count(*) as total, count(*) filter (where event_id % 53 <> 0 and event_id % 61 <> 0) as success,
+  count(*) filter (where event_id % 53 = 0 or event_id % 61 = 0) as failed from events""")
+oracle("account_age", """select o_orderkey, cast(greatest(0, coalesce(date_diff('day',
+    date '1992-01-01' + cast(c_custkey % 1500 as int), cast(o_orderdate as date)), 0)) as int) as account_age_days
+  from orders left join customer on o_custkey = c_custkey""")
 oracle("assess_fallback", """select transaction_id, case when known then risk_score else 30.0 end as risk_score,
   case when known then risk_level else 'LOW' end as risk_level, case when known then decision else 'PASS' end as decision,
   case when known then confidence else 0.5 end as confidence, case when known then rule_score else 0.0 end as rule_score,

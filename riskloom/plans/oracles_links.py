@@ -77,17 +77,20 @@ oracle("rag_context", f"""select query_id, '{fv.CONTEXT_HEADER}' || chr(10) || s
 oracle("case_index_stats", """select vec_id, row_number() over (order by label >= 5, vec_id) - 1 as position,
   len(embedding) as dimension from embeddings""")
 _split = r"string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+')"
-oracle("text_search", f"""
+for _name, _where in (("text_search", "case_type = 'FRAUD'"), ("text_search_all", "true")):
+    oracle(_name, f"""
 , words as (select doc_id, unnest({_split.format("case_title || ' ' || case_description || coalesce(' ' || modus_operandi, '')")}) as term
-    from cases where case_type = 'FRAUD'),
+    from cases where {_where}),
 asked as (select distinct item_id, unnest({_split.format('text')}) as term from benchmark),
 tf as (select doc_id, term, count(*) as tf from words where term in (select term from asked) and term <> '' group by 1, 2),
 df as (select term, count(*) as df from tf group by 1),
 scores as (select item_id as query_id, doc_id as case_id,
-    round(sum(tf * pow(log10((select count(*) from cases where case_type = 'FRAUD') / df::double), 2)), 6) as similarity
+    round(sum(tf * pow(log10((select count(*) from cases where {_where}) / df::double), 2)), 6) as similarity
   from asked join tf using (term) join df using (term) group by 1, 2)
 select * from (select query_id, case_id, similarity, cast(row_number() over (partition by query_id order by similarity desc, case_id) as int) as rank
   from scores where similarity > 0) where rank <= 5""".lstrip(), "cases")
+oracle("case_index_rebuild", """select cast(vec_id as varchar) as case_id, row_number() over (order by cast(vec_id as varchar)) - 1 as position,
+  len(embedding) as dimension from embeddings""")
 
 # --- alerts and cases ----------------------------------------------------------------------------
 CTE["alerts"] = (("engine",), """
@@ -114,6 +117,10 @@ for _name, _page in (("alert_page", 1), ("alert_page_overflow", 100000)):
       select *, row_number() over (order by updated_at, alert_id) - 1 as rn, count(*) over () as total
       from alert_states where alert_status = 'CLOSED')
       where rn // 10 = case when total <= {_page} * 10 then 0 else {_page} end""", "alert_states")
+oracle("alert_page_total", """select status, mode, total, 1 as page, 10 as size from (
+    select 'CLOSED' as status, 'literal' as mode, count(*) filter (where alert_status = 'CLOSED') as total from alert_states
+    union all select 'ALL', 'literal', 0
+    union all select 'ALL', 'intent', count(*) from alert_states)""", "alert_states")
 oracle("cases_created", """select 'CASE' || upper(sha256(alert_id)) as case_id, alert_id, 'NEW' as case_status,
   2 as priority, created_at from alerts""", "alerts")
 CTE["order_cases"] = ((), """

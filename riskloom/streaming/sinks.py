@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators.latest import apply_cdc, latest_per_key
+from riskloom.session import remove_folder
 from riskloom.sources.writers import to_json_records
 
 ANALYTIC_COLUMNS = (
@@ -47,6 +48,53 @@ def current_features(spark: SparkSession, path: str, now: str | None = None, ttl
     return rows if now is None else rows.filter(F.col("expires_at") > F.lit(now).cast("timestamp"))
 
 
+def upsert_store(rows: DataFrame, batch_id: int, path: str, key: str = "account_id_hash", ts: str = "event_time",
+                 ttl_seconds: int = 86400, buckets: int = 64) -> None:
+    """Store with one row per key: the buckets that the batch touches are rewritten without expired rows.
+
+    A bucket's newest folder is its content; it is written whole under the batch's id before the
+    older one is deleted, so a repeated batch, or a reader in between, sees complete buckets.
+    Rows expire ``ttl_seconds`` before the newest event time of the batch.
+    """
+    spark = rows.sparkSession
+    fresh = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
+    if not touched:
+        return
+    older = {b: folder for b, folder in store_folders(spark, path, batch_id).items() if b in touched}
+    merged = fresh
+    for bucket, folder in older.items():
+        merged = merged.unionByName(spark.read.parquet(folder).withColumn("bucket", F.lit(bucket)))
+    newest = fresh.agg(F.max(ts)).first()[0]
+    alive = latest_per_key(merged, [key], [ts]).filter(
+        F.col(ts) + F.make_dt_interval(secs=F.lit(ttl_seconds)) > F.lit(newest))
+    alive.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch_id={batch_id}")
+    for folder in older.values():
+        remove_folder(spark, folder)
+
+
+def store_folders(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """The newest folder of each bucket, of batches ``before`` the given one."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*/bucket=*")) or []
+    newest: dict[int, tuple[int, str]] = {}
+    for status in found:
+        folder = status.getPath().toString()
+        batch, bucket = (int(part.split("=")[1]) for part in folder.split("/")[-2:])
+        if before is None or batch < before:
+            newest[bucket] = max(newest.get(bucket, (-1, "")), (batch, folder))
+    return {bucket: folder for bucket, (_, folder) in newest.items()}
+
+
+def stored_features(spark: SparkSession, path: str, now: str | None = None, ttl_seconds: int = 86400,
+                    ts: str = "event_time") -> DataFrame:
+    """Content of an upserted store: one row per key, without those past their time to live."""
+    rows = spark.read.parquet(*store_folders(spark, path).values())
+    rows = rows.withColumn("expires_at", F.col(ts) + F.make_dt_interval(secs=F.lit(ttl_seconds)))
+    return rows if now is None else rows.filter(F.col("expires_at") > F.lit(now).cast("timestamp"))
+
+
 def json_batch(df: DataFrame, key: str, path: str, batch_id: int, columns: Sequence[str] | None = None) -> None:
     """Topic records of a micro-batch.  With Kafka the same frame goes to ``format("kafka")``."""
     write_batch(to_json_records(df, key, columns), path, batch_id)

@@ -97,7 +97,7 @@ def test_index_append_checks_dimension(spark):
 
 def test_positions_across_ranges(spark):
     df = spark.range(0, 1000, 7).withColumnRenamed("id", "k")
-    got = [r.position for r in similar.with_position(df, "k", 5, block=50).orderBy("k").collect()]
+    got = [r.position for r in similar.with_position(df, "k", 5).orderBy("k").collect()]
     assert got == list(range(5, 5 + 143))
 
 
