@@ -95,3 +95,36 @@ ALERT_DEADLINE_HOURS = (("HIGH", 24), ("MEDIUM", 72))
 ALERT_DEADLINE_DEFAULT_HOURS = 168
 CASE_PRIORITY = (("CRITICAL", 1), ("HIGH", 2), ("MEDIUM", 3))
 CASE_PRIORITY_DEFAULT = 4
+
+# --- alert and case states by action -------------------------------------------
+ALERT_STATES = (("CREATE", "NEW"), ("PROCESSING", "PROCESSING"), ("RESOLVED", "RESOLVED"), ("ESCALATE", "PENDING"))
+CASE_STATES = (("CREATE", "NEW"), ("ASSIGN", "ASSIGNED"), ("PROCESS", "INVESTIGATING"), ("CLOSE", "CLOSED"))
+
+# --- stored columns ------------------------------------------------------------
+FEATURE_COLUMNS = (
+    "customer_id_hash", "total_amount_30d", "avg_amount_30d", "max_amount_30d", "std_amount_30d",
+    "total_count_30d", "avg_daily_count_30d", "night_count_30d", "weekend_count_30d",
+    "channel_diversity_30d", "merchant_diversity_30d", "amount_deviation_ratio",
+    "frequency_deviation_ratio", "feature_version", "computed_at",
+)
+
+ANALYTIC_COLUMNS = (
+    "transaction_id", "account_id_hash", "amount", "amount_1h", "count_1h", "amount_24h", "count_24h",
+    "device_count_30d", "city_count_30d", "is_night_time", "is_cross_border", "is_first_device",
+    "ip_risk_level", "amount_deviation",
+)
+STORE_FEATURES = (
+    "amount_1h", "count_1h", "amount_24h", "count_24h", "device_count_30d", "city_count_30d",
+    "counterparty_count_30d", "is_night_time", "is_cross_border", "is_first_device", "ip_risk_level",
+    "amount_deviation",
+)
+
+# --- request defaults ----------------------------------------------------------
+DEFAULT_TEXT = {
+    "account_id": "", "account_id_hash": "", "currency": "CNY", "transaction_type": "TRANSFER",
+    "channel_code": "EBANK", "counterparty_account": "", "counterparty_hash": "",
+    "counterparty_country": "CN", "device_id": "", "ip_address": "", "ip_risk_level": "NORMAL",
+}
+DEFAULT_NUMBERS = ("amount", "amount_1h", "count_1h", "amount_24h", "count_24h",
+                   "device_count_30d", "city_count_30d", "amount_deviation")
+DEFAULT_FLAGS = ("is_emulator", "is_rooted", "is_first_device", "is_night_time", "is_cross_border")

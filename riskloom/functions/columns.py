@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,7 +67,7 @@ def is_weekend(ts: Column) -> Column:
 def ip_class(ip: Column) -> Column:
     """HIGH_RISK, MEDIUM_RISK or NORMAL by the first octets of the address."""
     def starts(prefixes):
-        return ip.rlike("^(" + "|".join(p.replace(".", r"\.") for p in prefixes) + ")")
+        return reduce(or_, [ip.startswith(p) for p in prefixes])
 
     return (F.when(starts(fv.HIGH_RISK_IP_PREFIXES), "HIGH_RISK")
             .when(starts(fv.MEDIUM_RISK_IP_PREFIXES), "MEDIUM_RISK").otherwise("NORMAL"))

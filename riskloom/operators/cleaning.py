@@ -110,20 +110,10 @@ def account_age(df: DataFrame, open_date: str = "open_date", ts: str = "transact
     return df.withColumn(output, F.greatest(F.lit(0), F.coalesce(days, F.lit(0))))
 
 
-DEFAULT_TEXT = {
-    "account_id": "", "account_id_hash": "", "currency": "CNY", "transaction_type": "TRANSFER",
-    "channel_code": "EBANK", "counterparty_account": "", "counterparty_hash": "",
-    "counterparty_country": "CN", "device_id": "", "ip_address": "", "ip_risk_level": "NORMAL",
-}
-DEFAULT_NUMBERS = ("amount", "amount_1h", "count_1h", "amount_24h", "count_24h",
-                   "device_count_30d", "city_count_30d", "amount_deviation")
-DEFAULT_FLAGS = ("is_emulator", "is_rooted", "is_first_device", "is_night_time", "is_cross_border")
-
-
 def apply_defaults(df: DataFrame) -> DataFrame:
     """Fill the request defaults in every column that is present."""
     kinds = dict(df.dtypes)
-    fills = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in DEFAULT_TEXT.items() if c in kinds}
-    fills |= {c: F.coalesce(F.col(c), F.lit(0).cast(kinds[c])) for c in DEFAULT_NUMBERS if c in kinds}
-    fills |= {c: truthy(F.col(c)) for c in DEFAULT_FLAGS if c in kinds}
+    fills = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in fv.DEFAULT_TEXT.items() if c in kinds}
+    fills |= {c: F.coalesce(F.col(c), F.lit(0).cast(kinds[c])) for c in fv.DEFAULT_NUMBERS if c in kinds}
+    fills |= {c: truthy(F.col(c)) for c in fv.DEFAULT_FLAGS if c in kinds}
     return df.withColumns(fills)

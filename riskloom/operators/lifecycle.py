@@ -9,9 +9,6 @@ from riskloom import fixed_values as fv
 from riskloom.functions.columns import mapped
 from riskloom.operators.sweep import with_next_time
 
-ALERT_STATES = (("CREATE", "NEW"), ("PROCESSING", "PROCESSING"), ("RESOLVED", "RESOLVED"), ("ESCALATE", "PENDING"))
-CASE_STATES = (("CREATE", "NEW"), ("ASSIGN", "ASSIGNED"), ("PROCESS", "INVESTIGATING"), ("CLOSE", "CLOSED"))
-
 
 def _deadline(created: Column, level: Column) -> Column:
     hours = mapped(level, fv.ALERT_DEADLINE_HOURS, fv.ALERT_DEADLINE_DEFAULT_HOURS)
@@ -46,7 +43,7 @@ def fold_alerts(actions: DataFrame) -> DataFrame:
         F.max("ts").alias("updated_at"))
     return folded.select(
         F.col("entity_id").alias("alert_id"),
-        mapped(F.col("last_action"), ALERT_STATES, "CLOSED").alias("alert_status"),
+        mapped(F.col("last_action"), fv.ALERT_STATES, "CLOSED").alias("alert_status"),
         "assignee", "escalation_level", "updated_at")
 
 
@@ -123,7 +120,7 @@ def fold_cases(actions: DataFrame) -> DataFrame:
         F.max(F.when(action == "CLOSE", F.col("ts"))).alias("closed_at"),
         F.max("ts").alias("updated_at"))
     return folded.select(F.col("entity_id").alias("case_id"),
-                         mapped(F.col("last_action"), CASE_STATES, "NEW").alias("case_status"),
+                         mapped(F.col("last_action"), fv.CASE_STATES, "NEW").alias("case_status"),
                          "assignee", "created_at", "assigned_at", "closed_at", "updated_at")
 
 
@@ -133,5 +130,5 @@ def case_durations(actions: DataFrame, as_of: str) -> DataFrame:
     until = F.coalesce(F.col("next_ts"), F.lit(as_of).cast(actions.schema["ts"].dataType))
     seconds = F.timestamp_diff("MICROSECOND", F.col("ts"), until)
     return (timed.groupBy(F.col("entity_id").alias("case_id"),
-                          mapped(F.col("action"), CASE_STATES, "NEW").alias("case_status"))
+                          mapped(F.col("action"), fv.CASE_STATES, "NEW").alias("case_status"))
             .agg(F.count("*").alias("entered"), (F.sum(seconds) / 1e6).alias("seconds")))

@@ -7,12 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURE_COLUMNS = (
-    "customer_id_hash", "total_amount_30d", "avg_amount_30d", "max_amount_30d", "std_amount_30d",
-    "total_count_30d", "avg_daily_count_30d", "night_count_30d", "weekend_count_30d",
-    "channel_diversity_30d", "merchant_diversity_30d", "amount_deviation_ratio",
-    "frequency_deviation_ratio", "feature_version", "computed_at",
-)
+from riskloom import fixed_values as fv
 
 
 def write_table(df: DataFrame, location: str, mode: str = "overwrite", fmt: str = "parquet",
@@ -35,7 +30,7 @@ def write_table(df: DataFrame, location: str, mode: str = "overwrite", fmt: str
 def write_features(df: DataFrame, location: str, fmt: str = "parquet",
                    options: Mapping[str, str] | None = None) -> None:
     """Append the offline feature projection."""
-    write_table(df.select(*FEATURE_COLUMNS), location, "append", fmt,
+    write_table(df.select(*fv.FEATURE_COLUMNS), location, "append", fmt,
                 options={"batchsize": "10000", **dict(options or {})})
 
 

@@ -7,21 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom import fixed_values as fv
 from riskloom.operators.latest import apply_cdc, latest_per_key
 from riskloom.session import remove_folder
 from riskloom.sources.writers import to_json_records
 
-ANALYTIC_COLUMNS = (
-    "transaction_id", "account_id_hash", "amount", "amount_1h", "count_1h", "amount_24h", "count_24h",
-    "device_count_30d", "city_count_30d", "is_night_time", "is_cross_border", "is_first_device",
-    "ip_risk_level", "amount_deviation",
-)
-STORE_FEATURES = (
-    "amount_1h", "count_1h", "amount_24h", "count_24h", "device_count_30d", "city_count_30d",
-    "counterparty_count_30d", "is_night_time", "is_cross_border", "is_first_device", "ip_risk_level",
-    "amount_deviation",
-)
-
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Each micro-batch owns one folder: a repeated batch overwrites its own output."""
@@ -32,12 +22,12 @@ def analytic_rows(enriched: DataFrame) -> DataFrame:
     """Fourteen columns and the insert time; rows without a transaction are skipped."""
     deviation = F.coalesce("amount_deviation", F.lit(0.0))
     return (enriched.filter(F.col("transaction_id").isNotNull()).withColumn("amount_deviation", deviation)
-            .select(*ANALYTIC_COLUMNS, F.current_timestamp().alias("create_time")))
+            .select(*fv.ANALYTIC_COLUMNS, F.current_timestamp().alias("create_time")))
 
 
 def store_rows(enriched: DataFrame, key: str = "account_id_hash", ts: str = "event_time") -> DataFrame:
     """Latest features per account of a micro-batch."""
-    return latest_per_key(enriched.filter(F.col(key).isNotNull()).select(key, ts, *STORE_FEATURES), [key], [ts])
+    return latest_per_key(enriched.filter(F.col(key).isNotNull()).select(key, ts, *fv.STORE_FEATURES), [key], [ts])
 
 
 def current_features(spark: SparkSession, path: str, now: str | None = None, ttl_seconds: int = 86400,
