@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +89,12 @@ def score_model(df: DataFrame, model: PipelineModel | None, features: str = "fea
         F.when(ok, F.lit("2.0.0")).otherwise("fallback").alias("model_version"))
 
 
+def area_under_curve(scored: DataFrame, label: str, probability: str = "fraud_probability") -> float:
+    """Area under the ROC curve of a scored table."""
+    return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=probability).evaluate(
+        scored.select(F.col(label).cast("double").alias(label), probability))
+
+
 def top_contributions(df: DataFrame, k: int = 5, mode: str = "literal", features: str = "features",
                       output: str = "top_features") -> DataFrame:
     """The ``k`` most important features, ties in table order.

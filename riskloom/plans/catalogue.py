@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import cleaning, compliance, features, fusion, joins, latest, model, rules, scoring
 from riskloom.plans import assess as flow
 from riskloom.plans import bindings as b
+from riskloom.session import new_folder
 from riskloom.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +67,20 @@ def kb_load_cases(spark, sf_dir):
     return cases.withColumn("key_features", F.col("key_features.n_chars")).drop("created_at")
 
 
+@query
+def load_csv(spark, sf_dir):
+    """Events written as a header-less file with comment lines and read back."""
+    path = new_folder(spark, "load-file")
+    rows = b.events(spark, sf_dir).selectExpr(
+        "account_id", "sha2(account_id, 256) as account_hash", "amount", "channel_code as channel", "device_id",
+        "ip_address as ip", "is_emulator", "is_cross_border", "event_id")
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in rows.columns[:-1]])
+    lines = rows.select(F.explode(F.when(F.col("event_id") % 100 == 0, F.array(F.lit("# note, with, commas"), line))
+                                  .otherwise(F.array(line))).alias("value"))
+    lines.write.text(path)
+    return readers.load_csv(spark, path).withColumns(money("amount"))
+
+
 # --- cleaning ------------------------------------------------------------------------------------
 
 @query

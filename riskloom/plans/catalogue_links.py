@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators import compliance, kpi, latest, lifecycle, links, reports, scoring, similar
+from riskloom.operators import compliance, kpi, latest, lifecycle, links, model, reports, scoring, similar
 from riskloom.plans import bindings as b
 from riskloom.plans.catalogue import (
     FUSED, assessed, audit, enriched, merged_features, money, query, rounded, scored,
@@ -174,14 +174,32 @@ def assess_with_cases(spark, sf_dir):
     return out.select(*FUSED, F.round("kb_score", 4).alias("kb_score"), F.array_join("similar_cases", ",").alias("similar_cases"))
 
 
+def _held_out_scores(spark, sf_dir) -> DataFrame:
+    """A model trained on four fifths of the accounts scores the rest.
+
+    The label (an urgent order of the customer) comes from another table than the features.
+    """
+    urgent = (b.table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").startswith("1"))
+              .select(F.col("o_custkey").cast("string").alias("urgent_account")).distinct())
+    rows = (scored(spark, sf_dir).drop("fraud_probability", "model_version")
+            .join(urgent, F.col("account_id") == F.col("urgent_account"), "left")
+            .withColumn("label", F.col("urgent_account").isNotNull().cast("double")))
+    held = F.pmod(F.crc32(F.col("account_id").cast("binary")), F.lit(5)) == 0
+    fitted = model.train_model(rows.filter(~held), "label")
+    return model.score_model(rows.filter(held), fitted)
+
+
 @query
 def model_scoring(spark, sf_dir):
-    """Train on the decisions of the stand-in probability and score every transaction."""
-    from riskloom.operators import model
-    rows = scored(spark, sf_dir).withColumn("label", (F.col("risk_score") >= 60).cast("double"))
-    rows = rows.drop("fraud_probability", "model_version")
-    fitted = model.train_model(rows, "label")
-    return model.score_model(rows, fitted).select("transaction_id", "label", "fraud_probability", "model_version")
+    return _held_out_scores(spark, sf_dir).select("transaction_id", "label", "fraud_probability", "model_version")
+
+
+@query
+def model_auc(spark, sf_dir):
+    """Area under the curve on the held-out accounts."""
+    held = _held_out_scores(spark, sf_dir).select("label", "fraud_probability")
+    auc = model.area_under_curve(held, "label")
+    return held.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positives")).withColumn("auc", F.lit(auc))
 
 
 # --- alerts and cases ----------------------------------------------------------------------------

@@ -436,6 +436,8 @@ oracle("assess_flow", f"""select {_fused_cols}, 0.0::double as kb_score, sanctio
   factors as risk_factors, '{_top_names}' as top_features from assessed""", "assessed")
 oracle("assess_summary", """select count(*) as total, count(*) filter (where event_id % 53 <> 0 and event_id % 61 <> 0) as success,
   count(*) filter (where event_id % 53 = 0 or event_id % 61 = 0) as failed from events""")
+oracle("load_csv", """select account_id, sha256(account_id) as account_hash, cast(amount as double) as amount,
+  channel_code as channel, device_id, ip_address as ip, is_emulator, is_cross_border from e""", "e")
 oracle("account_age", """select o_orderkey, cast(greatest(0, coalesce(date_diff('day',
     date '1992-01-01' + cast(c_custkey % 1500 as int), cast(o_orderdate as date)), 0)) as int) as account_age_days
   from orders left join customer on o_custkey = c_custkey""")
