@@ -7,8 +7,11 @@ register values are the candidate search; a maximum-likelihood estimate from the
 pairs that are far too different; the rest is confirmed on the full shingle sets.
 
 No group is ever expanded into its pairs.  Equal sets collapse to one representative first.  A bucket then gives
-star pairs (member, smallest member), and after their components are known only pairs of a bucket's members that
-are still in different components, so a large group of near copies costs links in proportion to its members.
+star pairs (member, smallest member).  In buckets that still hold several components, second stars are drawn around
+the member with the fewest shingles of its own.  What is left are pairs of a bucket's members in different
+components, and of those only pairs that can reach the limit by two exact bounds (shingles that nobody else has, and
+the bits in which two signatures differ).  So a large group of near copies costs pairs in proportion to its members, and no link
+that the bands have found is lost.
 
 Defined cases.  Words are lower-cased in A-Z only.  A text with fewer words than a shingle is one shingle; a null or
 wordless text has an empty set and links with nothing.  Rows with the same ``doc_id`` are one document: a link of any
@@ -33,6 +36,7 @@ from riskloom.session import materialise
 
 BASE, RATE, LEVELS = 1.01, 20.0, 4094
 BANDS, ROWS = 42, 6
+SIGNATURE = [f"s{k}" for k in range(8)]
 
 
 class SetSketch:
@@ -148,44 +152,59 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, bands: i
 
     With 42 bands of 6 registers a pair at exactly 0.8 is missed with a probability of 3e-6.
     """
+    scratch = support.Scratch(docs.sparkSession)
     drawn = materialise(sketch(docs, words, bands * rows, doc_id, text), "sketches")
     usable = drawn.filter("id is not null and n_shingles > 0")
     keys = ["set_a", "set_b", "n_shingles"]
     classes = usable.groupBy(*keys).agg(F.min("id").alias("rep"))
     members = materialise(usable.select("id", *keys).join(classes, keys).select("id", "rep", *keys).distinct(), "classes")
     heads = members.filter("id = rep").select("id", *keys).join(usable, ["id", *keys]).dropDuplicates(["id", *keys])
-    sketches = materialise(heads.select("id", "n_shingles", "registers"), "representatives")
+    sketches = scratch.table(heads.select("id", "n_shingles", "registers"), "representatives")
 
     width = 2 * rows
     banded = sketches.select("id", F.posexplode(F.array(*[
         F.xxhash64(F.substring("registers", 1 + width * i, width)) for i in range(bands)])).alias("band", "key"))
     leaders = banded.groupBy("band", "key").agg(F.min("id").alias("lead"), F.max("id").alias("last")) \
         .filter("lead < last").select("band", "key", "lead")
-    buckets = materialise(banded.join(leaders, ["band", "key"]).select("band", "key", "id", "lead"), "buckets")
+    buckets = scratch.table(banded.join(leaders, ["band", "key"]).select("band", "key", "id", "lead"), "buckets")
     wanted = buckets.select("id").distinct()
-    texts = materialise(docs.select(support.col(doc_id).cast("long").alias("id"), support.col(text).alias("text"))
+    texts = scratch.table(docs.select(support.col(doc_id).cast("long").alias("id"), support.col(text).alias("text"))
                         .join(wanted, "id"), "texts")
 
     floor = percent / 100 - 5 * math.sqrt(0.2 * percent / 100 / (bands * rows))
-    star = materialise(buckets.filter("id > lead").select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct(),
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        return scratch.table(_confirmed(_likely(pairs, sketches, floor), texts, words, percent), name)
+
+    def still_open(groups: DataFrame) -> DataFrame:
+        """Members, with their components, of the buckets that hold several components."""
+        placed = buckets.join(groups, F.col("id") == F.col("node"), "left") \
+            .select("band", "key", "id", F.coalesce("component", "id").alias("component"))
+        mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")) \
+            .filter("low < high").select("band", "key")
+        return placed.join(mixed, ["band", "key"])
+
+    star = scratch.table(buckets.filter("id > lead").select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct(),
                        "star-pairs")
-    links = materialise(_confirmed(_likely(star, sketches, floor), texts, words, percent)
-                        .unionByName(_shared_ids(members)), "links")
+    links = scratch.table(confirmed(star, "links").unionByName(_shared_ids(members)), "all-links")
     groups = materialise(connected_components(links), "groups")
 
-    placed = buckets.join(groups, F.col("id") == F.col("node"), "left") \
-        .select("band", "key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")) \
-        .filter("low < high").select("band", "key")
-    open_buckets = materialise(placed.join(mixed, ["band", "key"]), "open-buckets")
-    other = open_buckets.select("band", "key", F.col("id").alias("v"), F.col("component").alias("component_v"))
-    crossing = (open_buckets.withColumnRenamed("id", "u").join(other, ["band", "key"])
-                .filter("u > v and component <> component_v").select("u", "v").distinct()
-                .join(star, ["u", "v"], "left_anti"))
-    more = materialise(_confirmed(_likely(crossing, sketches, floor), texts, words, percent), "more-links")
-    if not more.isEmpty():
-        whole = groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
-        groups = materialise(connected_components(whole), "groups")
+    unsettled = still_open(groups)
+    facts = scratch.table(_open_facts(texts.join(unsettled.select("id").distinct(), "id"), words), "open-documents")
+    unsettled = scratch.table(unsettled.join(facts, "id"), "open-buckets")
+    # second stars, around the document of a bucket that has the fewest shingles of its own
+    named = ["own", "id", "n", "component", *SIGNATURE]
+    centre = unsettled.groupBy("band", "key").agg(F.min(F.struct(*named)).alias("c")).select(
+        "band", "key", *[F.col("c").getField(c).alias(f"{c}_v") for c in named])
+    second = scratch.table(_possible(unsettled.join(centre, ["band", "key"]), percent)
+                         .join(star, ["u", "v"], "left_anti"), "second-pairs")
+    groups = _joined(groups, confirmed(second, "second-links"))
+    unsettled = scratch.table(still_open(groups).join(facts, "id"), "open-buckets")
+    other = unsettled.select("band", "key", *[F.col(c).alias(f"{c}_v") for c in named])
+    crossing = _possible(unsettled.join(other, ["band", "key"]), percent) \
+        .join(star.unionByName(second), ["u", "v"], "left_anti")
+    groups = _joined(groups, confirmed(crossing, "last-links"))
+    scratch.clear()
 
     component = members.join(groups, F.col("rep") == F.col("node"), "left") \
         .groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
@@ -194,6 +213,63 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, bands: i
         F.coalesce(F.coalesce("component_id", "id") == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def _open_facts(texts: DataFrame, words: int) -> DataFrame:
+    """``(id, n, own, s0 ... s7)`` of documents: size of the set, how many of its shingles no other document here
+    has, and 512 bits that hold the parity of the number of shingles that fall on each bit."""
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(SPACES, fold_case=True)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = hasher.shingle_sets(*utf8(part.column("text")), words)
+                ids = np.repeat(part.column("id").to_numpy(zero_copy_only=False), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))],
+                                                 names=["id", "shingle"])
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(SPACES, fold_case=True)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = hasher.shingle_sets(*utf8(part.column("text")), words)
+                odd = np.array([np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1 for s in sets],
+                               np.uint8)
+                bits = np.packbits(odd, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array([len(s) for s in sets], pa.int64()),
+                     *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(8)]], names=["id", "n", *SIGNATURE])
+
+    narrow = texts.select("id", "text")
+    alone = narrow.mapInArrow(shingles, "id long, shingle long").groupBy("shingle") \
+        .agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last") \
+        .groupBy("id").agg(F.count("*").alias("own"))
+    rows = narrow.mapInArrow(signed, "id long, n long, " + ", ".join(f"{s} long" for s in SIGNATURE)).groupBy("id").agg(
+        F.count("*").alias("rows"), F.min("n").alias("n"), *[F.min(s).alias(s) for s in SIGNATURE])
+    one = F.col("rows") == 1  # an id with several rows has several sets, to which no bound applies
+    return rows.join(alone, "id", "left").select(
+        "id", F.when(one, F.col("n")).otherwise(0).alias("n"),
+        F.when(one, F.coalesce("own", F.lit(0))).otherwise(-(1 << 40)).alias("own"),
+        *[F.when(one, F.col(s)).alias(s) for s in SIGNATURE])
+
+
+def _possible(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that can still be similar enough; no pair above the limit is lost.
+
+    Two bounds on the number of shared shingles: those that neither document has alone, and what the bits leave
+    room for, since every bit in which they differ is a shingle that only one of them has.
+    """
+    differ = " + ".join(f"bit_count({s} ^ {s}_v)" for s in SIGNATURE)
+    shared = f"least(n - own, n_v - own_v, coalesce((n + n_v - ({differ})) div 2, {1 << 40}))"
+    return met.filter(f"id <> id_v and component <> component_v and 100 * {shared} >= {percent} * (n + n_v - {shared})") \
+        .select(F.greatest("id", "id_v").alias("u"), F.least("id", "id_v").alias("v")).distinct()
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links."""
+    if links.isEmpty():
+        return groups
+    whole = groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links)
+    return materialise(connected_components(whole), "groups")
+
+
 def _shared_ids(members: DataFrame) -> DataFrame:
     """Links between the representatives of all rows that share a ``doc_id``."""
     lowest = members.groupBy("id").agg(F.min("rep").alias("v"), F.max("rep").alias("top")).filter("v < top")

@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.session import new_folder, remove_folder
+
 NO_ID = -(1 << 63)
 
 
+class Scratch:
+    """Tables of the shared folder that an operator needs only while it runs."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes ``df`` and reads it back: computed once, lineage cut, sizes known."""
+        path = new_folder(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            remove_folder(self.spark, path)
+        self.paths = []
+
+
 def others(df: DataFrame, *taken: str) -> list[str]:
     """Columns of ``df`` whose names, in any case, are not among ``taken``: an operator's own columns win."""
     low = {name.lower() for name in taken}
