@@ -7,9 +7,8 @@ register values are the candidate search; a maximum-likelihood estimate from the
 pairs that are far too different; the rest is confirmed on the full shingle sets.
 
 No group is ever expanded into its pairs.  Equal sets collapse to one representative first.  A bucket then gives
-star pairs (member, smallest member).  In buckets that still hold several components, second stars are drawn around
-the member with the fewest shingles of its own.  What is left are pairs of a bucket's members in different
-components, and of those only pairs that can reach the limit by two exact bounds (shingles that nobody else has, and
+star pairs (member, smallest member).  Buckets that still hold several components then give the pairs of members in
+different components, and of those only pairs that can reach the limit by two exact bounds (shingles that nobody else has, and
 the bits in which two signatures differ).  So a large group of near copies costs pairs in proportion to its members, and no link
 that the bands have found is lost.
 
@@ -156,10 +155,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, bands: i
     drawn = materialise(sketch(docs, words, bands * rows, doc_id, text), "sketches")
     usable = drawn.filter("id is not null and n_shingles > 0")
     keys = ["set_a", "set_b", "n_shingles"]
-    classes = usable.groupBy(*keys).agg(F.min("id").alias("rep"))
-    members = materialise(usable.select("id", *keys).join(classes, keys).select("id", "rep", *keys).distinct(), "classes")
-    heads = members.filter("id = rep").select("id", *keys).join(usable, ["id", *keys]).dropDuplicates(["id", *keys])
-    sketches = scratch.table(heads.select("id", "n_shingles", "registers"), "representatives")
+    classes = scratch.table(usable.groupBy(*keys).agg(F.min(F.struct("id", "registers")).alias("r"))
+                            .select(*keys, F.col("r.id").alias("rep"), "r.registers"), "classes")
+    members = materialise(usable.select("id", *keys).join(classes.select("rep", *keys), keys).select("id", "rep"),
+                          "members")
+    sketches = classes.select(F.col("rep").alias("id"), "n_shingles", "registers")
 
     width = 2 * rows
     banded = sketches.select("id", F.posexplode(F.array(*[
@@ -192,17 +192,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, bands: i
     unsettled = still_open(groups)
     facts = scratch.table(_open_facts(texts.join(unsettled.select("id").distinct(), "id"), words), "open-documents")
     unsettled = scratch.table(unsettled.join(facts, "id"), "open-buckets")
-    # second stars, around the document of a bucket that has the fewest shingles of its own
-    named = ["own", "id", "n", "component", *SIGNATURE]
-    centre = unsettled.groupBy("band", "key").agg(F.min(F.struct(*named)).alias("c")).select(
-        "band", "key", *[F.col("c").getField(c).alias(f"{c}_v") for c in named])
-    second = scratch.table(_possible(unsettled.join(centre, ["band", "key"]), percent)
-                         .join(star, ["u", "v"], "left_anti"), "second-pairs")
-    groups = _joined(groups, confirmed(second, "second-links"))
-    unsettled = scratch.table(still_open(groups).join(facts, "id"), "open-buckets")
-    other = unsettled.select("band", "key", *[F.col(c).alias(f"{c}_v") for c in named])
-    crossing = _possible(unsettled.join(other, ["band", "key"]), percent) \
-        .join(star.unionByName(second), ["u", "v"], "left_anti")
+    other = unsettled.select("band", "key", *[F.col(c).alias(f"{c}_v") for c in ("id", "component", *facts.columns[1:])])
+    crossing = _possible(unsettled.join(other, ["band", "key"]), percent).join(star, ["u", "v"], "left_anti")
     groups = _joined(groups, confirmed(crossing, "last-links"))
     scratch.clear()
 
@@ -258,8 +249,8 @@ def _possible(met: DataFrame, percent: int) -> DataFrame:
     """
     differ = " + ".join(f"bit_count({s} ^ {s}_v)" for s in SIGNATURE)
     shared = f"least(n - own, n_v - own_v, coalesce((n + n_v - ({differ})) div 2, {1 << 40}))"
-    return met.filter(f"id <> id_v and component <> component_v and 100 * {shared} >= {percent} * (n + n_v - {shared})") \
-        .select(F.greatest("id", "id_v").alias("u"), F.least("id", "id_v").alias("v")).distinct()
+    return met.filter(f"id > id_v and component <> component_v and 100 * {shared} >= {percent} * (n + n_v - {shared})") \
+        .select(F.col("id").alias("u"), F.col("id_v").alias("v")).distinct()
 
 
 def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
