@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, checked by decoding."""
-    coded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), decoded=True)
+    coded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), decoded=True, keep_text=False)
     return coded.select("doc_id", "lang", "source", "n_tokens", "token_ids",
                         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -32,7 +32,7 @@ from riskloom.llm.textbytes import slices
 VOCABULARY = os.environ.get("RISKLOOM_BPE_RANKS", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 # fixed value: the pattern that splits text before the merges
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED_TOKENS = 1 << 18
+CACHED_TOKENS = 1 << 17
 OWN = ("n_tokens", "token_ids", "decoded")
 
 
@@ -178,28 +178,32 @@ def _with_rest(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(support.packed(docs, text).alias("rest"), support.col(text).alias("text"))
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", decoded: bool = False) -> DataFrame:
-    """``docs`` with ``n_tokens`` and ``token_ids``; with ``decoded`` also the bytes that the ids stand for."""
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", decoded: bool = False,
+           keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``n_tokens`` and ``token_ids``; with ``decoded`` also the bytes that the ids stand for.
+
+    Without ``keep_text`` the text stays in the task, which halves what comes back.
+    """
     shared = shared_coder(docs, vocabulary)
+    own, kept = OWN if decoded else OWN[:2], ["text"] if keep_text else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(shared)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = coder.encode_batch([t or "" for t in part.column("text").to_pylist()])
-                columns = [part.column("rest"), part.column("text"),
+                columns = [part.column("rest"), *([part.column("text")] if keep_text else []),
                            pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
                 if decoded:
                     columns.append(pa.array([coder.decode(i) for i in ids], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["rest", "text", *OWN[:len(columns) - 2]])
+                yield pa.RecordBatch.from_arrays(columns, names=["rest", *kept, *own])
 
     source = _with_rest(docs, text)
     kind = source.schema["rest"].dataType.simpleString()
-    own = OWN if decoded else OWN[:2]
-    found = source.mapInArrow(run, f"rest {kind}, text string, n_tokens long, token_ids binary"
+    found = source.mapInArrow(run, f"rest {kind}, " + "text string, " * keep_text + "n_tokens long, token_ids binary"
                               + ", decoded binary" * decoded)
-    named = found.withColumnRenamed("text", text) if text != "text" else found
-    return support.unpacked(named, "rest", text, *own)
+    named = found.withColumnRenamed("text", text) if keep_text and text != "text" else found
+    return support.unpacked(named, "rest", *([text] if keep_text else []), *own)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, ids: str = "token_ids") -> DataFrame:

@@ -39,7 +39,7 @@ def op2_substring_dedup(spark, sf_dir):
 
 @query
 def op3_byte_bpe(spark, sf_dir):
-    coded = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), decoded=True)
+    coded = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), decoded=True, keep_text=False)
     return byte_bpe.digests(coded)
 
 
