@@ -85,8 +85,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, marked = np.empty(len(key), np.int64), np.empty(len(key), np.int32)
         out[order] = np.where(again, spread, key).view(np.int64)
         marked[order] = np.where(repeated, ~place, place)
-        # in the order of the documents, where ids repeat from row to row and take no space in the shuffle
-        yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(doc), pa.array(marked)], names=["g", "id", "place"])
+        # documents in order and what repeats from row to row at the end: it takes no space in the shuffle
+        yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(marked), pa.array(doc)], names=["g", "place", "id"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,11 +136,11 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(key, check, doc, start, crc, length) -> pa.RecordBatch:
-    """``at`` holds the second hash and the start, ``what`` the text's checksum and the length of a known run."""
-    at = (check.astype(np.int64) << 32) | start
+    """``at`` holds the start and the second hash, ``what`` the text's checksum and the length of a known run."""
+    at = (start.astype(np.int64) << 32) | check
     what = (crc.astype(np.int64) << 32) | length
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(at), pa.array(what)],
-                                      names=["g", "id", "at", "what"])
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(at), pa.array(doc), pa.array(what)],
+                                      names=["g", "at", "id", "what"])
 
 
 def _text_crc(part: pa.RecordBatch) -> np.ndarray:
@@ -168,7 +168,7 @@ def _cut_rows(form: str, extra: list[str]):
                         edges[0] = 1
                     for r in runs[row] or ():
                         if r["what"] >> 32 == crcs[row]:
-                            start = r["at"] & 0xFFFFFFFF
+                            start = r["at"] >> 32
                             edges[start] += 1
                             edges[min(start + max(r["what"] & 0xFFFFFFFF, 1) - 1 + WINDOW, hi - lo)] -= 1
                     gone = np.cumsum(edges[:-1]) > 0
@@ -221,12 +221,12 @@ def remove_repeats(docs: DataFrame, form: str = "text", doc_id: str = "doc_id",
         *base.columns, F.when(F.col("copied").isNull() | F.col("text").isNull(), F.lit(False))
         .otherwise(F.array_contains("copied", digest)).alias("is_copy"))
 
-    shared = whole.mapInArrow(_anchor_rows, "g long, id long, place int") \
+    shared = whole.mapInArrow(_anchor_rows, "g long, place int, id long") \
         .withColumn("n", F.count("*").over(Window.partitionBy("g"))).filter("n > 1 or place < 0")
     places = shared.groupBy("id").agg(F.collect_list(F.expr("if(place < 0, ~place, place)")).alias("places"))
 
-    judged = whole.join(places, "id").mapInArrow(_window_rows, "g long, id long, at long, what long")
-    order = Window.partitionBy("g", F.expr("at >> 32")).orderBy("id", "at")
+    judged = whole.join(places, "id").mapInArrow(_window_rows, "g long, at long, id long, what long")
+    order = Window.partitionBy("g", F.expr("at & 4294967295")).orderBy("id", "at")
     repeats = judged.withColumn("rank", F.rank().over(order)).filter("rank > 1 or (what & 4294967295) > 0")
     runs = repeats.groupBy("id").agg(F.collect_list(F.struct("at", "what")).alias("runs"))
 
