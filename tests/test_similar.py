@@ -38,8 +38,8 @@ def brute(queries, cases, k):
 def test_exact_topk_both_ways(spark, k):
     queries, cases = unit(23, 8, 1), unit(61, 8, 2, copies=True)
     q, c = frames(spark, queries, cases)
-    want = brute(queries, cases, min(k, 20))
-    for out in (similar.vector_topk(q, c, k), similar.blocked_topk(q, c, min(k, 20), similar.dot, "vector", block_rows=7)):
+    want = brute(queries, cases, k)
+    for out in (similar.vector_topk(q, c, k), similar.blocked_topk(q, c, k, similar.dot, "vector", block_rows=7)):
         assert {(r.query_id, r.case_id, r["rank"]) for r in out.collect()} == want
 
 
@@ -63,7 +63,7 @@ def test_text_search_equals_brute_force(spark):
     docs = [(i, rng.choice(["FRAUD", "AML"]), " ".join(rng.choice(words) for _ in range(rng.randrange(1, 40)))) for i in range(60)]
     asked = [(i, ", ".join(rng.choice(words) for _ in range(6))) for i in range(9)]
     out = similar.text_search(spark.createDataFrame(docs, "case_id long, case_type string, text string"),
-                              spark.createDataFrame(asked, "query_id long, text string"), 4, "AML", block_rows=7)
+                              spark.createDataFrame(asked, "query_id long, text string"), 4, "AML")
     pool = [(i, t.lower().split()) for i, kind, t in docs if kind == "AML"]
     want = set()
     for qid, text in asked:
