@@ -14,7 +14,8 @@ one row per flush (about ``FLUSH_WORDS`` words), and it is judged by a window ov
 
 Defined cases.  A null text has no words; a text below 20 words loses none.  A null ``doc_id`` is smaller than any
 other.  Rows with the same ``doc_id`` are ordered by start only: equal windows at equal starts do not remove each
-other.  Extra columns pass through; those named like an output column give way to it.
+other.  What is found for a row goes back by a hash of its id and text, so rows that share an id, or have none, do not
+get each other's.  Extra columns pass through; those named like an output column give way to it.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cover[list(COVER)] = True
     serial = np.uint64(zlib.crc32(np.random.default_rng().bytes(16))) << np.uint64(32)
     for held in _flushes(batches, hasher):
-        hashes, ids, places = [], [], []
+        hashes, marks, places = [], [], []
         for part, words, first in held:
             sizes = np.diff(first)
             new = np.repeat(~part.column("is_copy").to_numpy(zero_copy_only=False), sizes)
@@ -71,9 +72,9 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.repeat(sizes, sizes)
             use = np.flatnonzero(cover[at % PERIOD] & (at + ANCHOR <= size) & (size >= WINDOW) & new)
             hashes.append(hasher.runs(words, ANCHOR)[use] if len(use) else words[:0])
-            ids.append(np.repeat(part.column("id").to_numpy(zero_copy_only=False), sizes)[use])
+            marks.append(np.repeat(part.column("mark").to_numpy(zero_copy_only=False), sizes)[use])
             places.append(at[use].astype(np.int32))
-        key, doc, place = np.concatenate(hashes), np.concatenate(ids), np.concatenate(places)
+        key, mark, place = np.concatenate(hashes), np.concatenate(marks), np.concatenate(places)
         order = np.argsort(key, kind="stable")
         key, place = key[order], place[order]
         again = _equal_neighbours(key)
@@ -86,7 +87,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out[order] = np.where(again, spread, key).view(np.int64)
         marked[order] = np.where(repeated, ~place, place)
         # documents in order and what repeats from row to row at the end: it takes no space in the shuffle
-        yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(marked), pa.array(doc)], names=["g", "place", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(marked), pa.array(mark)], names=["g", "place", "mark"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,25 +98,26 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words, first in held:
             grams = hasher.runs(words, WINDOW)
             second = hasher.runs(mix64(words ^ np.uint64(0x5851F42D4C957F2D)), WINDOW)
-            crcs = _text_crc(part)
             ids = part.column("id").to_numpy(zero_copy_only=False)
+            marks = part.column("mark").to_numpy(zero_copy_only=False)
             for row, places in enumerate(part.column("places")):
                 lo, n = int(first[row]), int(first[row + 1] - first[row])
                 if n < WINDOW:
                     continue
                 shared = np.asarray(places.values.to_numpy(zero_copy_only=False), np.int64)
+                shared = shared[shared + ANCHOR <= n]  # all, unless two rows have the same mark by chance
                 # an anchor at q belongs to the windows that start at q - 12 ... q
                 edges = np.zeros(n + 1, np.int32)
                 np.add.at(edges, np.maximum(shared - (WINDOW - ANCHOR), 0), 1)
                 np.add.at(edges, np.minimum(shared, n - WINDOW) + 1, -1)
                 starts = np.flatnonzero(np.cumsum(edges[:n - WINDOW + 1]) > 0)
                 parts.append((grams[lo + starts], second[lo + starts].astype(np.uint32), starts.astype(np.int32),
-                              np.full(len(starts), ids[row], np.int64), np.full(len(starts), crcs[row], np.int32)))
+                              np.full(len(starts), ids[row], np.int64), np.full(len(starts), marks[row], np.int64)))
         if not parts:
             continue
         columns = [np.concatenate(c) for c in zip(*parts)]
         order = np.lexsort((columns[2], columns[3], columns[1], columns[0]))
-        key, check, start, doc, crc = (c[order] for c in columns)
+        key, check, start, doc, mark = (c[order] for c in columns)
         again = _equal_neighbours(key, check)
         head = np.maximum.accumulate(np.where(again, 0, np.arange(len(key))))
         later = (doc != doc[head]) | (start != start[head])
@@ -123,30 +125,24 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.sort(order[~later])
         yield _rows(columns[0][new], columns[1][new], columns[3][new], columns[2][new], columns[4][new],
                     np.zeros(len(new), np.int32))
-        doc, start, crc = doc[later], start[later], crc[later]
-        by_place = np.lexsort((start, crc, doc))
-        doc, start, crc = doc[by_place], start[by_place], crc[by_place]
-        goes_on = _equal_neighbours(doc, crc)
+        doc, start, mark = doc[later], start[later], mark[later]
+        by_place = np.lexsort((start, mark, doc))
+        doc, start, mark = doc[by_place], start[by_place], mark[by_place]
+        goes_on = _equal_neighbours(doc, mark)
         goes_on[1:] &= start[1:] == start[:-1] + 1
         begins = np.flatnonzero(~goes_on)
         length = np.diff(np.append(begins, len(doc))).astype(np.int32)
         own = mix64(serial + np.arange(len(begins), dtype=np.uint64))
         serial += np.uint64(len(begins))
-        yield _rows(own, np.zeros(len(begins), np.uint32), doc[begins], start[begins], crc[begins], length)
+        yield _rows(own, np.zeros(len(begins), np.uint32), doc[begins], start[begins], mark[begins], length)
 
 
-def _rows(key, check, doc, start, crc, length) -> pa.RecordBatch:
-    """``at`` holds the start and the second hash, ``what`` the text's checksum and the length of a known run."""
+def _rows(key, check, doc, start, mark, length) -> pa.RecordBatch:
+    """``at`` holds the start and the second hash, ``length`` is that of a known run."""
     at = (start.astype(np.int64) << 32) | check
-    what = (crc.astype(np.int64) << 32) | length
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(at), pa.array(doc), pa.array(what)],
-                                      names=["g", "at", "id", "what"])
-
-
-def _text_crc(part: pa.RecordBatch) -> np.ndarray:
-    data, bounds = utf8(part.column("text"))
-    view, cuts = memoryview(data), bounds.tolist()
-    return np.array([zlib.crc32(view[a:b]) for a, b in zip(cuts, cuts[1:])], np.uint32).view(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key.view(np.int64)), pa.array(at), pa.array(doc), pa.array(mark), pa.array(length)],
+        names=["g", "at", "id", "mark", "length"])
 
 
 def _cut_rows(form: str, extra: list[str]):
@@ -156,7 +152,7 @@ def _cut_rows(form: str, extra: list[str]):
             for part in slices(batch, "text"):
                 data, bounds = utf8(part.column("text"))
                 _, begin, end, first = hasher.words(data, bounds)
-                crcs, runs = _text_crc(part), part.column("runs").to_pylist()
+                ids, runs = part.column("id").to_pylist(), part.column("runs").to_pylist()
                 copied = part.column("is_copy").to_pylist()
                 valid = part.column("text").is_valid().to_pylist()
                 raw, kept, removed = data.tobytes(), [], []
@@ -167,10 +163,10 @@ def _cut_rows(form: str, extra: list[str]):
                     if copied[row] and hi - lo >= WINDOW:
                         edges[0] = 1
                     for r in runs[row] or ():
-                        if r["what"] >> 32 == crcs[row]:
+                        if r["id"] == ids[row]:
                             start = r["at"] >> 32
                             edges[start] += 1
-                            edges[min(start + max(r["what"] & 0xFFFFFFFF, 1) - 1 + WINDOW, hi - lo)] -= 1
+                            edges[min(start + max(r["length"], 1) - 1 + WINDOW, hi - lo)] -= 1
                     gone = np.cumsum(edges[:-1]) > 0
                     removed.append(int(gone.sum()))
                     if form == "words":
@@ -208,29 +204,31 @@ def remove_repeats(docs: DataFrame, form: str = "text", doc_id: str = "doc_id",
     ``form="words"`` returns the kept words joined by one space (a null text gives an empty one).
     """
     key = F.coalesce(support.col(doc_id).cast("long"), F.lit(support.NO_ID))
-    base = docs.select(key.alias("id"), support.col(text).alias("text"), support.packed(docs, text).alias("rest"))
+    base = docs.select(key.alias("id"), support.col(text).alias("text"), support.packed(docs, text).alias("rest")) \
+        .withColumn("mark", F.xxhash64("id", "text"))
     rest = base.schema["rest"].dataType.simpleString()
 
     digest = F.md5(F.col("text").cast("binary"))
-    digests = base.filter("text is not null").select("id", digest.alias("digest"))
+    digests = base.filter("text is not null").select("id", "mark", digest.alias("digest"))
     groups = digests.groupBy("digest").agg(F.min("id").alias("lowest"), F.max("id").alias("highest"))
     copies = (digests.join(groups.filter("lowest < highest"), "digest").filter("id > lowest")
-              .groupBy("id").agg(F.collect_set("digest").alias("copied")))
+              .groupBy("mark").agg(F.collect_set("digest").alias("copied")))
     # all steps read this one join, so that one exchange of the texts serves them
-    whole = base.join(copies, "id", "left").select(
+    whole = base.join(copies, "mark", "left").select(
         *base.columns, F.when(F.col("copied").isNull() | F.col("text").isNull(), F.lit(False))
         .otherwise(F.array_contains("copied", digest)).alias("is_copy"))
 
-    shared = whole.mapInArrow(_anchor_rows, "g long, place int, id long") \
+    shared = whole.mapInArrow(_anchor_rows, "g long, place int, mark long") \
         .withColumn("n", F.count("*").over(Window.partitionBy("g"))).filter("n > 1 or place < 0")
-    places = shared.groupBy("id").agg(F.collect_list(F.expr("if(place < 0, ~place, place)")).alias("places"))
+    # sets: rows that agree in id and text find the same, and each gets it once
+    places = shared.groupBy("mark").agg(F.collect_set(F.expr("if(place < 0, ~place, place)")).alias("places"))
 
-    judged = whole.join(places, "id").mapInArrow(_window_rows, "g long, at long, id long, what long")
+    judged = whole.join(places, "mark").mapInArrow(_window_rows, "g long, at long, id long, mark long, length int")
     order = Window.partitionBy("g", F.expr("at & 4294967295")).orderBy("id", "at")
-    repeats = judged.withColumn("rank", F.rank().over(order)).filter("rank > 1 or (what & 4294967295) > 0")
-    runs = repeats.groupBy("id").agg(F.collect_list(F.struct("at", "what")).alias("runs"))
+    repeats = judged.withColumn("rank", F.rank().over(order)).filter("rank > 1 or length > 0")
+    runs = repeats.groupBy("mark").agg(F.collect_set(F.struct("at", "length", "id")).alias("runs"))
 
-    cut = whole.join(runs, "id", "left").mapInArrow(
+    cut = whole.join(runs, "mark", "left").mapInArrow(
         _cut_rows(form, ["rest"]), f"id long, text string, n_words long, n_removed long, rest {rest}")
     named = cut.withColumnRenamed("text", text) if text != "text" else cut
     return support.unpacked(named, "rest", text, "n_words", "n_removed")

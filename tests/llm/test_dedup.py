@@ -94,6 +94,21 @@ def test_cut_clashing_columns(spark):
     assert out.first()["n_words"] == 2 and out.first()["rest"] == "x" and out.first()["id"] == 7
 
 
+def test_cut_unlike_lengths_under_one_id(spark):
+    # places of the long texts lie far behind the end of the short ones; the last row repeats all of them
+    def own(name, n):
+        return [f"{name}{i}" for i in range(n)]
+
+    passage = own("p", 40)
+    long_one, long_null = own("a", 900) + passage + own("b", 30), own("c", 700) + passage
+    short_one, short_null = own("d", 25) + passage[:5], passage[5:30]
+    rows = [(7, long_one), (7, short_one), (7, own("e", 20)), (None, long_null), (None, short_null), (None, own("f", 21)),
+            (None, short_null), (9, long_one[880:930] + short_one + own("f", 21))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    for parts in (1, 3):
+        check_cut(df.repartition(parts))
+
+
 def test_cut_empty_table(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
