@@ -42,36 +42,46 @@ def upsert_store(rows: DataFrame, batch_id: int, path: str, key: str = "account_
                  ttl_seconds: int = 86400, buckets: int = 64) -> None:
     """Store with one row per key: the buckets that the batch touches are rewritten without expired rows.
 
-    A bucket's newest folder is its content; it is written whole under the batch's id before the
-    older one is deleted, so a repeated batch, or a reader in between, sees complete buckets.
-    Rows expire ``ttl_seconds`` before the newest event time of the batch.
+    A bucket's newest folder is its content.  The folder it was built from stays until a later batch begins,
+    which Spark does only when this one is committed: a repeated batch finds its input again, and a
+    reader in between a complete bucket.  Rows expire ``ttl_seconds`` before the newest event time of the batch.
     """
     spark = rows.sparkSession
+    before = store_folders(spark, path, batch_id)
+    for batch, bucket, folder in _bucket_folders(spark, path):
+        if batch < batch_id and folder != before[bucket]:
+            remove_folder(spark, folder)
     fresh = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
     touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
     if not touched:
         return
-    older = {b: folder for b, folder in store_folders(spark, path, batch_id).items() if b in touched}
     merged = fresh
-    for bucket, folder in older.items():
+    for bucket in before.keys() & set(touched):
+        folder = before[bucket]
         merged = merged.unionByName(spark.read.parquet(folder).withColumn("bucket", F.lit(bucket)))
     newest = fresh.agg(F.max(ts)).first()[0]
     alive = latest_per_key(merged, [key], [ts]).filter(
         F.col(ts) + F.make_dt_interval(secs=F.lit(ttl_seconds)) > F.lit(newest))
     alive.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch_id={batch_id}")
-    for folder in older.values():
-        remove_folder(spark, folder)
+    # a bucket without a living row gets an empty file, which stands before the older folder
+    written = {bucket for batch, bucket, _ in _bucket_folders(spark, path) if batch == batch_id}
+    for bucket in set(touched) - written:
+        alive.drop("bucket").limit(0).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}/bucket={bucket}")
 
 
-def store_folders(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
-    """The newest folder of each bucket, of batches ``before`` the given one."""
+def _bucket_folders(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
+    """Batch, bucket and path of every folder of a store."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*/bucket=*")) or []
+    folders = [status.getPath().toString() for status in found]
+    return [(*(int(part.split("=")[1]) for part in folder.split("/")[-2:]), folder) for folder in folders]
+
+
+def store_folders(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """The newest folder of each bucket, of batches ``before`` the given one."""
     newest: dict[int, tuple[int, str]] = {}
-    for status in found:
-        folder = status.getPath().toString()
-        batch, bucket = (int(part.split("=")[1]) for part in folder.split("/")[-2:])
+    for batch, bucket, folder in _bucket_folders(spark, path):
         if before is None or batch < before:
             newest[bucket] = max(newest.get(bucket, (-1, "")), (batch, folder))
     return {bucket: folder for bucket, (_, folder) in newest.items()}
