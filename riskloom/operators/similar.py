@@ -23,6 +23,8 @@ from riskloom.session import materialise
 
 BROADCAST_BYTES = 256 << 20  # largest vector set shipped whole to the executors
 BLOCK_ROWS = 20000           # rows of one side of a block held by a task
+SAMPLE = 64                  # queries whose exact hits set the number of LSH tables and measure the recall
+MAX_TABLES = 64              # largest number of LSH tables; neighbours that need more are searched exactly
 ROUNDING = 6                 # similarities are compared at this many places, ties by id
 
 Similarity = Callable[[pd.Series, pd.Series], np.ndarray]
@@ -225,13 +227,53 @@ def signatures(df: DataFrame, key: str, payload: str, dimension: int, tables: in
     return df.select(key, payload).mapInPandas(sign, schema)
 
 
-def vector_topk_lsh(queries: DataFrame, cases: DataFrame, k: int = 5, payload: str = "vector", tables: int = 12,
-                    bits: int = 6, seed: int = 11, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Approximate top-k: only vectors sharing a random-projection signature are compared."""
-    dimension = cases.select(F.max(F.size(payload))).first()[0] or 0
-    left = signatures(queries, "query_id", payload, dimension, tables, bits, seed)
-    right = signatures(cases, "case_id", payload, dimension, tables, bits, seed)
-    return blocked_topk(left, right, k, dot, payload, bucket="bucket", block_rows=block_rows)
+def lsh_settings(similarities: np.ndarray, cases: int, recall: float) -> tuple[int, int] | None:
+    """Tables and bits with which neighbours at these cosines meet with a mean probability of ``recall``.
+
+    The most bits that ``MAX_TABLES`` allow, and about eight cases a bucket at least; None if no number does.
+    """
+    agree = 1 - np.arccos(np.clip(similarities, -1, 1)) / np.pi
+    tables = np.arange(1, MAX_TABLES + 1)
+    for bits in range(int(np.clip(np.log2(max(cases, 1)) - 3, 1, 16)), 0, -1):
+        meet = (1 - (1 - agree[:, None] ** bits) ** tables).mean(axis=0) if len(agree) else np.ones(len(tables))
+        if meet[-1] >= recall:
+            return int(tables[np.argmax(meet >= recall)]), bits
+    return None
+
+
+def vector_topk_lsh(queries: DataFrame, cases: DataFrame, k: int = 5, payload: str = "vector", tables: int | None = None,
+                    bits: int | None = None, seed: int = 11, block_rows: int = BLOCK_ROWS,
+                    recall: float = 0.9) -> DataFrame:
+    """Approximate top-k of unit vectors: only those sharing a random-projection signature are compared.
+
+    The exact hits of ``SAMPLE`` queries, without copies of the query, set ``tables`` and ``bits`` unless both are
+    given, and measure the share that was found: column ``recall``.  If that is below ``recall`` with
+    settings chosen here, all queries are searched exactly; queries with fewer than ``k`` hits always are.
+    """
+    count, dimension = cases.agg(F.count("*"), F.max(F.size(payload))).first()
+    sampled = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE)
+    known = vector_topk(sampled, cases, k).collect()  # at most SAMPLE x k rows
+    wanted = [r for r in known if r["similarity"] < 1 - 10 ** -ROUNDING]
+    chosen = tables is None or bits is None
+    if chosen:
+        settings = lsh_settings(np.array([r["similarity"] for r in wanted]), count, min(recall + 0.03, 0.995))
+        if settings is None:
+            return vector_topk(queries, cases, k).withColumn("recall", F.lit(1.0))
+        tables, bits = settings
+    left = signatures(queries, "query_id", payload, dimension or 0, tables, bits, seed)
+    right = signatures(cases, "case_id", payload, dimension or 0, tables, bits, seed)
+    found = materialise(blocked_topk(left, right, k, dot, payload, bucket="bucket", block_rows=block_rows), "lsh-hits")
+
+    ids = list({r["query_id"] for r in known})
+    hits = {(r["query_id"], r["case_id"]) for r in found.filter(F.col("query_id").isin(ids)).collect()}
+    measured = float(np.mean([(r["query_id"], r["case_id"]) in hits for r in wanted])) if wanted else 1.0
+    if chosen and measured < recall:
+        return vector_topk(queries, cases, k).withColumn("recall", F.lit(1.0))
+    full = found.filter(F.col("rank") == min(k, count)).select("query_id").distinct()
+    rest = queries.join(full, "query_id", "left_anti")
+    if not rest.isEmpty():
+        found = found.join(full, "query_id", "left_semi").unionByName(vector_topk(rest, cases, k))
+    return found.withColumn("recall", F.lit(measured))
 
 
 # --- use of the hits -----------------------------------------------------------------------------

@@ -57,6 +57,28 @@ def test_lsh_recall_and_hot_bucket(spark):
     assert len(exact & found) / len(exact) > 0.95
 
 
+def test_lsh_recall_at_5_of_embeddings(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    q = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    c = rows.select(F.col("vec_id").alias("case_id"), F.col("embedding").alias("vector"))
+
+    def others(out):  # a query's own row is no achievement
+        return {(r.query_id, r.case_id) for r in out.collect() if r.query_id != r.case_id}
+
+    out = similar.vector_topk_lsh(q, c)
+    exact, found = others(similar.vector_topk(q, c)), others(out)
+    assert len(exact & found) / len(exact) >= 0.9
+    assert out.first()["recall"] >= 0.9
+    assert out.count() == 5 * rows.count()
+
+
+def test_lsh_short_queries_are_searched_exactly(spark):
+    queries, cases = unit(40, 16, 5), unit(30, 16, 6)
+    q, c = frames(spark, queries, cases)
+    out = similar.vector_topk_lsh(q, c, 5, tables=1, bits=8)
+    assert out.count() == 5 * 40 and out.first()["recall"] < 0.9
+
+
 def test_text_search_equals_brute_force(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(30)] + ["Älter", "的"]
