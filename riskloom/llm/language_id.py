@@ -5,8 +5,8 @@ compressed with each dictionary, and the language with the smallest total wins;
 same along a text of any length, where one long frame would soon become its own dictionary.  The margin is
 ``1 - smallest / second``; a text with a narrower margin than ``min_margin`` is rejected.
 
-The classifier is fitted on a bounded sample: at most ``sample_rows`` labelled documents, chosen by a hash of the id,
-and ``dictionary_bytes`` per language.  Prediction covers every whole text.
+The classifier is fitted on a bounded sample: at most ``sample_rows`` labelled documents, an equal share for each
+language (one at least) with the smallest hashes of id and text, and ``dictionary_bytes`` per language.  Prediction covers every whole text.
 
 Defined cases.  Text is lower-cased and everything but letters becomes one space.  A null text or one without a letter
 is ``und`` with score 0 and rejected.  Equal sizes go to the alphabetically first language with score 0.  With no
@@ -42,7 +42,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: i
     """Dictionaries by language from a bounded sample of rows with a label and text."""
     rows = labelled.select(support.col(doc_id).alias("id"), support.col(text).alias("text"),
                            support.col(lang).alias("lang")).filter("lang is not null and text is not null")
-    sample = support.bounded_sample(rows, F.col("id"), sample_rows)
+    sample = support.bounded_sample_of_each(rows, "lang", ["id", "text"], sample_rows)
     letters = F.substring(letters_only(F.col("text")), 1, dictionary_bytes)  # a dictionary holds no more
     pieces = sample.select("lang", "id", letters.alias("text")).filter("text <> ''").groupBy("lang").agg(
         F.sort_array(F.collect_list(F.struct(F.xxhash64("id").alias("h"), "text"))).alias("rows"))

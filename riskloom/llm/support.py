@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,3 +66,19 @@ def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
         limit = int((1 << 64) * min(1.0, 2.0 * rows / total)) - (1 << 63)
         df = df.filter(hashed < F.lit(limit))
     return df.orderBy(hashed).limit(rows)
+
+
+def bounded_sample_of_each(df: DataFrame, group: str, key: list[str], rows: int) -> DataFrame:
+    """At most ``rows`` rows, the same number of each ``group`` (one at least): those with the smallest hashes of ``key``.
+
+    Counts set a hash limit for each group, as in ``bounded_sample``; its smallest hash always passes.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(*key, F.lit(97)))
+    found = hashed.groupBy(group).agg(F.count("*"), F.min("_hash")).collect()  # a row per group
+    share = max(1, rows // max(1, len(found)))
+    most = 2 * share + 50
+    limits = [(name, (1 << 63) - 1 if n <= most else max(least, (most << 64) // n - (1 << 63))) for name, n, least in found]
+    schema = T.StructType([df.schema[group], T.StructField("_limit", T.LongType())])
+    near = hashed.join(F.broadcast(df.sparkSession.createDataFrame(limits, schema)), group).filter("_hash <= _limit")
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("_hash"))
+    return near.withColumn("_rank", rank).filter(F.col("_rank") <= share).select(*df.columns)

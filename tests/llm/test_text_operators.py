@@ -317,3 +317,14 @@ def test_language_edge_rows(spark, edge, empty, documents):
 def test_language_sample_is_bounded(documents):
     small = language_id.fit(documents, sample_rows=20, dictionary_bytes=500)
     assert all(len(v) <= 500 for v in small.values())
+
+
+def test_language_sample_holds_every_language(spark):
+    # two labelled rows of 10 000, and a language whose rows have no id
+    rows = spark.range(9_990).select("id", F.concat(F.lit("the word number "), F.col("id").cast("string")).alias("text"),
+                                     F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([(10_001, "zażółć gęślą jaźń", "pl"), (10_002, "święto łąki", "pl"),
+                                  *[(None, f"ein deutscher satz {i}", "de") for i in range(8)]],
+                                 "id long, text string, lang string")
+    docs = rows.unionByName(rare).withColumnRenamed("id", "doc_id")
+    assert set(language_id.fit(docs, sample_rows=30)) == {"en", "pl", "de"}
