@@ -136,3 +136,16 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(low,
        doc_id = least(doc_id, coalesce(low, doc_id)) as kept
 from docs left join sizes using (doc_id) left join lowest using (doc_id)
 """
+
+ORACLES["op11_norm_sorted_topk"] = """
+with vectors as (
+  select vec_id, row_number() over () as n, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+  from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select q.n, q.vec_id as query_id, c.vec_id as vec_id,
+                  list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
+           from vectors q join vectors c on q.vec_id % 100 = 0 and q.n <> c.n)
+select query_id, row_number() over (partition by n order by score desc, vec_id)::int as rank, vec_id, score
+from scored qualify rank <= 10
+"""

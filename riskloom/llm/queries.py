@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import (
-    byte_bpe, fingerprints, language_id, license_scan, mixing, near_dedup, quality_rules, sharding, substring_dedup,
-    token_counts,
+    byte_bpe, fingerprints, inner_products, language_id, license_scan, mixing, near_dedup, quality_rules, sharding,
+    substring_dedup, token_counts,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,9 @@ def op9_language_id(spark, sf_dir):
 @query
 def op10_setsketch_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op11_norm_sorted_topk(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return inner_products.top_inner_products(vectors, "vec_id % 100 = 0", k=10)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.session import new_folder, remove_folder
+from riskloom.session import materialise, new_folder, remove_folder
 
 NO_ID = -(1 << 63)
 
@@ -24,6 +24,10 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that stays after ``clear``: an operator's result, whose inputs may then go."""
+        return materialise(df, name)
+
     def clear(self) -> None:
         for path in self.paths:
             remove_folder(self.spark, path)
