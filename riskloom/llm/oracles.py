@@ -149,3 +149,62 @@ scored as (select q.n, q.vec_id as query_id, c.vec_id as vec_id,
 select query_id, row_number() over (partition by n order by score desc, vec_id)::int as rank, vec_id, score
 from scored qualify rank <= 10
 """
+
+ORACLES["op12_merkle_manifest"] = """
+with recursive tagged as (
+  select doc_id, lang, n_chars,
+         coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') as front,
+         coalesce(strlen(text) || ':' || text, '-') as back,
+         coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as size,
+         coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1), '-') as larger from documents),
+crcs(n, c, step) as (
+  select r.n::bigint, r.n::bigint, 0 from range(256) as r(n)
+  union all
+  select n, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, step + 1 from crcs where step < 8),
+crc_table as (select list(c order by n) as t from crcs where step = 8),
+leaves as (
+  select doc_id, lang, sha256(front || size || back) as leaf,
+         case when xor(list_reduce(list_prepend(4294967295::bigint, list_transform(
+                    range(length(doc_id::varchar)), lambda i: ascii(substr(doc_id::varchar, i + 1, 1))::bigint)),
+                    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0
+              then sha256(front || larger || back) else sha256(front || size || back) end as changed,
+  from tagged, crc_table),
+placed as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos,
+         count(*) over (partition by lang) as n from leaves),
+nodes(level, lang, pos, n, h) as (
+  select 0, lang, pos, n, leaf from placed
+  union all
+  select level + 1, lang, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from nodes where n > 1
+  group by level, lang, pos // 2, n),
+subroots as (select lang, h as subroot, level as height,
+                    row_number() over (order by lang nulls first) - 1 as place, count(*) over () as trees
+             from nodes where n = 1),
+upper(level, pos, n, h) as (
+  select 0, place, trees, subroot from subroots
+  union all
+  select level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from upper where n > 1
+  group by level, pos // 2, n),
+top as (select h as root, level as height from upper where n = 1),
+siblings as (
+  select p.doc_id, p.lang, p.pos, l.level as step, s.h, (p.pos >> l.level) & 1 = 1 as at_left
+  from placed p join subroots r on p.lang is not distinct from r.lang, range(r.height) as l(level)
+  left join nodes s on s.level = l.level and s.lang is not distinct from p.lang and s.pos = xor(p.pos >> l.level, 1)
+  union all
+  select p.doc_id, p.lang, p.pos, r.height + l.level, s.h, (r.place >> l.level) & 1 = 1
+  from placed p join subroots r on p.lang is not distinct from r.lang, top, range(top.height) as l(level)
+  left join upper s on s.level = l.level and s.pos = xor(r.place >> l.level, 1)),
+proofs as (select doc_id, lang, pos, sha256(coalesce(string_agg(h, '' order by step), '')) as proof_sha256
+           from siblings group by all),
+folded(step, lang, pos, h) as (
+  select 0, lang, pos, changed from placed
+  union all
+  select f.step + 1, f.lang, f.pos, sha256(case when at_left then coalesce(s.h, '') || f.h else f.h || coalesce(s.h, '') end)
+  from folded f join siblings s on s.step = f.step and s.lang is not distinct from f.lang and s.pos = f.pos)
+select p.doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256, f.h as folded_root,
+       f.h = root as verified
+from placed p join subroots r on p.lang is not distinct from r.lang cross join top
+left join proofs q on q.pos = p.pos and q.lang is not distinct from p.lang
+join folded f on f.step = r.height + top.height and f.pos = p.pos and f.lang is not distinct from p.lang
+"""

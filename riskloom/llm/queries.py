@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import (
-    byte_bpe, fingerprints, inner_products, language_id, license_scan, mixing, near_dedup, quality_rules, sharding,
-    substring_dedup, token_counts,
+    byte_bpe, fingerprints, inner_products, language_id, license_scan, merkle, mixing, near_dedup, quality_rules,
+    sharding, substring_dedup, token_counts,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,8 @@ def op10_setsketch_near_dedup(spark, sf_dir):
 def op11_norm_sorted_topk(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return inner_products.top_inner_products(vectors, "vec_id % 100 = 0", k=10)
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.tampered_documents(documents(spark, sf_dir).select(*merkle.FIELDS))

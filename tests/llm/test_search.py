@@ -1,13 +1,15 @@
 """Inner-product search, Merkle manifest and ranked search against brute force."""
 
+import hashlib
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import inner_products
+from riskloom.llm import inner_products, merkle
 
 VECTORS = "vec_id long, embedding array<float>, label int, score string, block int"
 
@@ -83,3 +85,66 @@ def test_bounds_prune_and_long_vectors_come_first():
     for i in range(4):
         best = sorted((-int(s), j) for j, s in enumerate(rows @ query[i]))[:5]
         assert [(-s, j) for s, j in zip(group.scores[i].tolist(), group.found[i].tolist())] == best
+
+
+def digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def tree_levels(nodes):
+    rows = [nodes]
+    while len(rows[-1]) > 1:
+        rows.append([digest(*rows[-1][i:i + 2]) for i in range(0, len(rows[-1]), 2)])
+    return rows
+
+
+def manifest_by_hand(rows):
+    def leaf(doc_id, text, lang, source, n_chars):
+        fields = [doc_id, source, lang, n_chars, text]
+        return digest(*["-" if f is None else f"{len(str(f).encode())}:{f}" for f in fields])
+
+    def siblings(levels, place):
+        for level in levels[:-1]:
+            yield place & 1, level[place ^ 1] if place ^ 1 < len(level) else ""
+            place >>= 1
+
+    langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {}
+    for lang in langs:
+        mine = sorted((r for r in rows if r[2] == lang), key=lambda r: (r[0] is not None, r[0] or 0, leaf(*r)))
+        trees[lang] = mine, tree_levels([leaf(*r) for r in mine])
+    top = tree_levels([trees[lang][1][-1][0] for lang in langs])
+    out = []
+    for number, lang in enumerate(langs):
+        mine, levels = trees[lang]
+        for place, r in enumerate(mine):
+            path = [*siblings(levels, place), *siblings(top, number)]
+            changed = r
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0 and r[4] is not None:
+                changed = (*r[:4], r[4] + 1)
+            node = leaf(*changed)
+            for at_right, other in path:
+                node = digest(other, node) if at_right else digest(node, other)
+            out.append((r[0], leaf(*r), levels[-1][0], top[-1][0], digest(*[s for _, s in path]), node, node == top[-1][0]))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("levels", [1, 2, merkle.LEVELS])
+def test_manifest_equals_brute_force(spark, edge, levels):
+    rows = [tuple(r) for r in edge.collect()]
+    rows += [(i, f"text {i}", random.Random(i).choice(["en", "en", "en", "de", "é", "z", "", None]), "s", i) for i in range(100, 160)]
+    df = spark.createDataFrame(rows, edge.schema).withColumns({"LEAF": F.lit(1), "tree": F.lit("x"), "n": F.lit(3)})
+    found = merkle.tampered_documents(df, levels)
+    assert found.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    assert sorted(map(tuple, found.collect()), key=repr) == manifest_by_hand(rows)
+
+
+def test_manifest_of_small_and_repeated_tables(spark, empty, edge):
+    assert merkle.tampered_documents(empty).count() == 0
+    one = [(1, "only", "en", "a", 4)]
+    same = [(5, "again", "en", "a", 5)] * 1000
+    for rows in (one, same, [(i, "x", None, None, None) for i in range(33)]):
+        found = merkle.tampered_documents(spark.createDataFrame(rows, edge.schema), 3)
+        assert sorted(map(tuple, found.collect()), key=repr) == manifest_by_hand(rows)
+    (r,) = merkle.tampered_documents(spark.createDataFrame(one, edge.schema)).collect()
+    assert r["leaf"] == r["root"] == r["subroot"] and r["proof_sha256"] == digest()
