@@ -208,3 +208,19 @@ from placed p join subroots r on p.lang is not distinct from r.lang cross join t
 left join proofs q on q.pos = p.pos and q.lang is not distinct from p.lang
 join folded f on f.step = r.height + top.height and f.pos = p.pos and f.lang is not distinct from p.lang
 """
+
+TERMS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLES["op13_ranked_search"] = rf"""
+with docs as (select doc_id, row_number() over () as row, {TERMS} as t from documents),
+totals as (select count_if(len(t) > 0)::bigint as n_docs, sum(len(t))::bigint as n_terms from docs),
+sized as (select doc_id, row, t, 75 + (25 * len(t)::bigint * n_docs) // n_terms as m from docs, totals where len(t) > 0),
+counts as (select doc_id, row, m, term, count(*)::bigint as tf from sized, unnest(t) as u(term) group by all),
+weights as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint as w
+            from counts, totals group by term, n_docs),
+items as (select item_id, row_number() over () as item_row, {TERMS} as t from benchmark),
+asked as (select item_id, item_row, term, count(*) as times from items, unnest(t) as u(term) group by all),
+scored as (select item_id, item_row, doc_id, row, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+           from asked join weights using (term) join counts using (term) group by all)
+select item_id, (row_number() over (partition by item_row order by score desc, doc_id))::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 20
+"""

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import (
-    byte_bpe, fingerprints, inner_products, language_id, license_scan, merkle, mixing, near_dedup, quality_rules,
-    sharding, substring_dedup, token_counts,
+    byte_bpe, fingerprints, inner_products, language_id, lexical, license_scan, merkle, mixing, near_dedup,
+    quality_rules, sharding, substring_dedup, token_counts,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,9 @@ def op11_norm_sorted_topk(spark, sf_dir):
 @query
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.tampered_documents(documents(spark, sf_dir).select(*merkle.FIELDS))
+
+
+@query
+def op13_ranked_search(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return lexical.ranked_search(documents(spark, sf_dir).select("doc_id", "text"), items, k=20)

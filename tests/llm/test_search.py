@@ -1,15 +1,17 @@
 """Inner-product search, Merkle manifest and ranked search against brute force."""
 
+import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import inner_products, merkle
+from riskloom.llm import inner_products, lexical, merkle
 
 VECTORS = "vec_id long, embedding array<float>, label int, score string, block int"
 
@@ -148,3 +150,76 @@ def test_manifest_of_small_and_repeated_tables(spark, empty, edge):
         assert sorted(map(tuple, found.collect()), key=repr) == manifest_by_hand(rows)
     (r,) = merkle.tampered_documents(spark.createDataFrame(one, edge.schema)).collect()
     assert r["leaf"] == r["root"] == r["subroot"] and r["proof_sha256"] == digest()
+
+
+def ranked_by_hand(docs, items, k):
+    def terms(text):
+        found = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")
+        return [re.sub("[A-Z]", lambda m: m.group().lower(), t) for t in found]
+
+    counted = [(i, collections.Counter(terms(t)), len(terms(t))) for i, t in docs]
+    counted = [c for c in counted if c[2]]
+    n_docs, n_terms = len(counted), sum(c[2] for c in counted)
+    df = collections.Counter(t for _, c, _ in counted for t in c)
+    out = []
+    for item, text in items:
+        scored = []
+        for i, c, n in counted:
+            m = 100 - 25 + (25 * n * n_docs) // n_terms
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                        * ((1000000000 * c[t]) // (1000 * c[t] + 12 * m)) for t in terms(text) if c[t])
+            if score > 0:
+                scored.append((-score, i is None, i or 0))
+        out += [(item, r + 1, None if none else i, -s) for r, (s, none, i) in enumerate(sorted(scored)[:k])]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("settings", [{}, {"shard_postings": 40, "block_terms": 5, "vocabulary_bytes": 0}])
+def test_ranked_search_equals_brute_force(spark, edge, settings, monkeypatch):
+    if settings:
+        monkeypatch.setattr(lexical, "MERGED", 3)
+    rng = random.Random(4)
+    words = [f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(6000)]
+    docs = [(r[0], r[1]) for r in edge.collect()]
+    docs += [(i, " ".join(rng.choices(words, k=rng.randint(1, 60)))) for i in range(100, 400)]
+    docs += [(900 + i, docs[40][1]) for i in range(60)] + [(900, docs[41][1])] * 3  # ties, repeated ids
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(1, 25)))) for i in range(12)]
+    items += [(0, "The QUICK fox, ŻÓŁW żółw; word word"), (20, None), (21, " -- "), (None, "w1 w2"), (22, docs[40][1]), (23, "absent")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"terms": F.lit(1), "ROW": F.lit(2), "n": F.lit(3)})
+    asked = spark.createDataFrame(items, "item_id long, text string").withColumn("score", F.lit("x"))
+    found = lexical.ranked_search(df, asked, **settings)
+    assert found.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(map(tuple, found.collect()), key=repr) == ranked_by_hand(docs, items, 20)
+
+
+def test_ranked_search_of_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a")], "item_id long, text string")
+    for d, i in ((docs.limit(0), items), (docs, items.limit(0)), (docs, spark.createDataFrame([(1, "z")], items.schema))):
+        assert lexical.ranked_search(d, i).count() == 0
+
+
+def test_intervals_leave_most_documents_unvisited():
+    """A rare pair of words is found without a look at the documents that have only the common one."""
+    rng = np.random.default_rng(3)
+    n = 5000
+    common = (np.zeros(n, np.int64), np.arange(n), rng.integers(90, 100, n))
+    rare = rng.choice(n, 60, replace=False)
+    lists = [common, (np.ones(60, np.int64), rare, rng.integers(900, 1000, 60)),
+             (np.full(30, 2), rare[:30], rng.integers(900, 1000, 30))]
+    term, doc, impact = (np.concatenate(c) for c in zip(*lists))
+    shard = lexical.Shard(term, doc, doc * 3, np.ones(len(doc), bool), impact)
+    docs, scores = shard.search(np.array([0, 1, 2, 9]), np.array([1, 2, 1, 1]), 10, batch=1)
+    total = np.zeros(n, np.int64)
+    np.add.at(total, doc, impact * np.array([1, 2, 1])[term])
+    best = sorted((-t, d) for d, t in enumerate(total.tolist()))[:10]
+    assert [(-s, d) for d, s in zip(docs.tolist(), scores.tolist())] == best
+    assert shard.visited < 500
+
+
+def test_terms_of_long_texts_come_in_pieces(monkeypatch):
+    text = ("Ab-ab żó " * 50 + "x" * 300 + " ,").encode()
+    whole = lexical.term_counts(text)
+    monkeypatch.setattr(lexical, "PIECE", 7)
+    assert lexical.term_counts(text) == whole
+    assert whole[1] == 151 and whole[0][b"ab"] == 100
