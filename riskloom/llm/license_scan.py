@@ -7,9 +7,10 @@ in one pass, and only around a seed does bounded-error matching by the regex lib
 
 Hits carry the label, the span of words, the span of characters in the original text and the number of edits.
 
-Defined cases.  A null or wordless text has no words, no hits and score 0.  Hits of one notice do not
-overlap and are taken from left to right, each fitted with as few edits as it can be.  Extra columns pass through unless an output column
-has their name.
+Defined cases.  A null or wordless text has no words, no hits and score 0; an empty table gives no rows; repeated rows
+are scanned each by itself.  A text of any length is scanned whole, in time that grows with its length and its hits.
+Hits of one notice do not overlap and are taken from left to right, each fitted with as few edits as it can be.  Extra
+columns pass through unless an output column has their name.
 """
 
 from __future__ import annotations
@@ -72,20 +73,19 @@ class LicenseScanner:
             self.automaton.make_automaton()
         self.any = bool(pieces)
 
-    def _windows(self, text: str) -> dict[int, list[list[int]]]:
+    def _windows(self, text: str, seeds_at: list, blanks: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """By notice, merged stretches of the text that hold a seed and all its possible matches."""
-        found: dict[int, list[list[int]]] = {}
-        for last, (size, owners) in self.automaton.iter(text) if self.any else ():
+        found: dict[int, list[tuple[int, int]]] = {}
+        for last, (size, owners) in seeds_at:
             for number, offset in owners:
                 _, length, errors, _ = self.notices[number]
                 begin = last + 1 - size - offset
-                lo, hi = max(0, begin - errors - 1), text.find(" ", begin + length + errors)
-                hi = len(text) if hi < 0 else hi
+                lo, after = max(0, begin - errors - 1), int(np.searchsorted(blanks, begin + length + errors))
+                hi = int(blanks[after]) if after < len(blanks) else len(text)
                 spans = found.setdefault(number, [])
-                if spans and lo <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], hi)
-                else:
-                    spans.append([lo, hi])
+                while spans and lo <= spans[-1][1]:  # a later seed may ask for an earlier start
+                    lo, hi = min(lo, spans[-1][0]), max(hi, spans.pop()[1])
+                spans.append((lo, hi))
         return found
 
     def scan(self, raw: bytes) -> tuple[int, list[dict]]:
@@ -93,15 +93,19 @@ class LicenseScanner:
         folded = raw.translate(FOLD)
         words = folded.split()
         plain = b" " + b" ".join(words) + b" "
-        hits = []
+        hits, before = [], None
         for phrase, label, size in self.phrases:
             at = plain.find(phrase)
             while at >= 0:
-                word = plain.count(b" ", 0, at)
+                if before is None:
+                    before = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32)
+                word = int(np.searchsorted(before, at))  # blanks before it
                 hits.append((label, word, word + size - 1, 0, True))
                 at = plain.find(phrase, at + 1)
         text = plain[1:-1].decode()
-        for number, spans in self._windows(text).items():
+        seeds_at = list(self.automaton.iter(text)) if self.any else []
+        blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32) if seeds_at else before
+        for number, spans in self._windows(text, seeds_at, blanks).items():
             label, _, errors, pattern = self.notices[number]
             for lo, hi in spans:
                 at = lo
@@ -109,7 +113,7 @@ class LicenseScanner:
                     a, b = match.span()
                     if b <= a:
                         break
-                    first = text.count(" ", 0, a)
+                    first = int(np.searchsorted(blanks, a))
                     hits.append((label, first, first + text[a:b].strip().count(" "), sum(match.fuzzy_counts), False))
                     at = b
         return len(words), self._placed(raw, folded, sorted(set(hits), key=lambda h: (h[1], h[2], h[0], not h[4])))
