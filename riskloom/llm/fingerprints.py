@@ -5,13 +5,15 @@ merge (the k smallest of both), and from two of them follow resemblance, contain
 shingles.  A sketch of fewer than ``k`` values is the whole set.
 
 ``edited_neighbours`` also fingerprints each text with its last third replaced by the head of the next document in
-descending id.  Texts are dealt into id ranges once; the ranges' bounds are quantiles of the ids, and the first
-document of each range also goes to the range before it, so every document meets its successor inside a task.
+descending id.  Texts are dealt into ranges once; the ranges' bounds are quantiles of the ids, and of a hash of the text
+where one id (or none) has many rows; the first document of each range also goes to the range before it, so every
+document meets its successor inside a task.
 
 Defined cases.  A text with fewer words than a shingle is one shingle; a null or wordless text has an empty sketch.
 Two empty sketches resemble each other by 1, an empty and another by 0.  A null id is the smallest; rows with equal
-ids are ordered by a hash of the text.  A single row is its own next one.  Extra columns pass through
-``fingerprint`` unless an output column has their name.
+ids are ordered by a hash of the text.  A single row is its own next one; an empty table gives no rows.  A text of
+any length is sketched whole, in pieces.  Extra columns pass through ``fingerprint`` unless an output column has their
+name.
 """
 
 from __future__ import annotations
@@ -127,35 +129,64 @@ ROW = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edi
 def edited_neighbours(docs: DataFrame, k: int = K, words: int = WORDS, doc_id: str = "doc_id",
                       text: str = "text") -> DataFrame:
     """Per document the fingerprints of its text and its edited text, and the likeness to these and to the next one."""
-    spark = docs.sparkSession
     rows = docs.select(support.col(doc_id).cast("long").alias("doc_id"), support.col(text).alias("text"),
-                       F.coalesce(support.col(doc_id).cast("long"), F.lit(support.NO_ID)).alias("key"))
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = rows.agg(F.percentile_approx("key", shares, 10 * ranges)).first()[0]
-    bounds = np.unique(np.array(cuts or [], np.int64))
+                       F.coalesce(support.col(doc_id).cast("long"), F.lit(support.NO_ID)).alias("key"),
+                       F.xxhash64(support.col(text)).alias("hash"))
+    cuts = Cuts(rows, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(np.int64)).astype(np.int32))
+    def range_of(key: pd.Series, hashed: pd.Series) -> pd.Series:
+        return pd.Series(cuts.ranges(key.to_numpy(np.int64), hashed.to_numpy(np.int64)))
 
-    heads = rows.select(range_of("key").alias("range"), "key").groupBy("range").agg(F.max("key").alias("head"))
-    heads = sorted((h["range"], h["head"]) for h in heads.collect())  # a row per range
+    place = range_of("key", "hash")
+    first = F.struct((-F.col("key").cast("decimal(20,0)")).alias("turned"), "hash", "key")
+    heads = rows.select(place.alias("range"), first.alias("first")).groupBy("range").agg(F.min("first").alias("head"))
+    heads = sorted((h["range"], (h["head"]["key"], h["head"]["hash"])) for h in heads.collect())  # a row per range
     before = {head: heads[(i + 1) % len(heads)][0] for i, (_, head) in enumerate(heads)}
 
     @F.pandas_udf("array<int>")
-    def also_to(key: pd.Series) -> pd.Series:
-        return key.map(lambda value: [before[value]] if value in before else [])
-
-    own = F.array(F.struct(range_of("key").alias("range"), F.lit(0).alias("copy")))
-    more = F.transform(also_to("key"), lambda r: F.struct(r.alias("range"), F.lit(1).alias("copy")))
-    dealt = rows.select("doc_id", "text", "key", F.explode(F.concat(own, more)).alias("to")).select(
-        "doc_id", "text", "key", "to.range", "to.copy")
-    order = ["range", "copy", F.col("key").desc(), F.xxhash64("text")]
+    def also_to(key: pd.Series, hashed: pd.Series) -> pd.Series:
+        return pd.Series([[before[row]] if row in before else [] for row in zip(key, hashed)], dtype=object)
+
+    own = F.array(F.struct(place.alias("range"), F.lit(0).alias("copy")))
+    more = F.transform(also_to("key", "hash"), lambda r: F.struct(r.alias("range"), F.lit(1).alias("copy")))
+    dealt = rows.select("doc_id", "text", "key", "hash", F.explode(F.concat(own, more)).alias("to")).select(
+        "doc_id", "text", "key", "hash", "to.range", "to.copy")
+    order = ["range", "copy", F.col("key").desc(), "hash"]
     ordered = dealt.repartition("range").sortWithinPartitions(*order).select("doc_id", "text", "range", "copy")
     return ordered.mapInArrow(_neighbour_rows(k, words), ROW)
 
 
+class Cuts:
+    """Bounds of ranges of rows in descending ``key``, then ascending ``hash``; a higher range comes earlier.
+
+    They are quantiles of the keys.  A key that takes up several quantiles is cut again at quantiles of the hash, as
+    often as it was met.
+    """
+
+    def __init__(self, rows: DataFrame, ranges: int):
+        shares = [i / ranges for i in range(1, ranges)]
+        found = rows.agg(F.percentile_approx("key", shares, 10 * ranges)).first()[0]
+        self.keys, times = np.unique(np.array(found or [], np.int64), return_counts=True)
+        frequent = self.keys[times > 1].tolist()  # half as many as ranges at most
+        cut = rows.filter(F.col("key").isin(frequent)).groupBy("key").agg(F.percentile_approx("hash", shares, 10 * ranges)) \
+            .collect() if frequent else []
+        self.inside = {}
+        for key, hashes in cut:
+            parts = int(times[np.searchsorted(self.keys, key)])
+            self.inside[key] = np.unique([hashes[len(hashes) * i // parts] for i in range(1, parts)])
+        own = [len(self.inside[k]) + 1 if k in self.inside else 0 for k in self.keys.tolist()]
+        self.start = np.concatenate([[0], np.cumsum(np.array(own, np.int64) + 1)])
+
+    def ranges(self, key: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, key)
+        out = self.start[at]
+        for name, bounds in self.inside.items():
+            mine = key == name
+            out[mine] += 1 + len(bounds) - np.searchsorted(bounds, hashed[mine])
+        return out.astype(np.int32)
+
+
 def _neighbour_rows(k: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, last = WordHasher(SPACES), None
