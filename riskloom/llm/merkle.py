@@ -22,11 +22,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from hashlib import sha256
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import support
@@ -100,38 +97,6 @@ def fold(node: bytes, path: list[tuple[bytes, bytes]]) -> bytes:
 
 # --- tables of nodes -------------------------------------------------------------------------------
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the partition and the row's place among the rows of its tree in this partition."""
-    part, tree, seen = TaskContext.get().partitionId(), None, 0
-    for batch in batches:
-        places, names = np.zeros(batch.num_rows, np.int64), batch.column("tree").to_pylist()
-        for i, name in enumerate(names):
-            if name != tree:
-                tree, seen = name, 0
-            places[i] = seen
-            seen += 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(places), part, np.int32)), pa.array(places)],
-                                         names=[*batch.schema.names, "part", "local"])
-
-
-def _placed(rows: DataFrame, order: list, scratch: support.Scratch, name: str) -> DataFrame:
-    """``rows`` with ``position`` in and size ``n`` of their ``tree``: a range sort, and running totals of partitions.
-
-    The rows' own numbers end the order, so rows that are equal otherwise do not meet in one range.
-    """
-    order = ["tree", *order, F.col("spread")]
-    spread = rows.withColumn("spread", F.monotonically_increasing_id())
-    ranged = spread.repartitionByRange(*order).sortWithinPartitions(*order).drop("spread")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
-    local = scratch.table(ranged.mapInArrow(_numbered, f"{kinds}, part int, local long"), name)
-    totals = local.groupBy("tree", "part").agg(F.count("*").alias("rows"))  # a row per tree and partition
-    by = Window.partitionBy("tree")
-    before = totals.select("tree", "part", F.sum("rows").over(by).alias("n"), (F.sum("rows").over(
-        by.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")).alias("before"))
-    return local.join(before, ["tree", "part"]).withColumn("position", F.col("before") + F.col("local")) \
-        .drop("part", "local", "before")
-
-
 def _blocks(levels: int) -> list[Column]:
     return [F.expr(f"position div {1 << levels}").alias("block"), F.expr(f"position % {1 << levels}").alias("place")]
 
@@ -198,15 +163,15 @@ def manifest(rows: DataFrame, fields: tuple[str, ...] = FIELDS, tree: str = "lan
     digests = rows.select(named.alias("tree"), support.col(doc_id).cast("long").alias("doc_id"),
                           leaf.cast("binary").alias("node"), other.alias("altered"))
     try:
-        placed = _placed(digests, [F.col("doc_id").asc_nulls_first(), F.col("node")], scratch, "leaves")
+        placed = support.placed(digests, "tree", [F.col("doc_id").asc_nulls_first(), F.col("node")], scratch, "leaves")
         leaves = scratch.table(placed.select("tree", *_blocks(levels), "n", "node", "doc_id", "altered"), "placed-leaves")
         most = leaves.agg(F.max("n")).first()[0]
         if most is None:
             return rows.sparkSession.createDataFrame([], ROW)
         rounds, roots = _climb(leaves.select("tree", "block", "place", "n", "node"), most, levels, scratch)
 
-        ranked = _placed(roots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "node"), [F.col("name")],
-                         scratch, "roots")
+        ranked = support.placed(roots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "node"), "tree",
+                                [F.col("name")], scratch, "roots")
         trees = scratch.table(ranked.select("tree", *_blocks(levels), "n", "node", "name", "position"), "placed-roots")
         upper, root = _climb(trees.select("tree", "block", "place", "n", "node"),
                              trees.agg(F.max("n")).first()[0], levels, scratch)

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import support
@@ -65,9 +65,29 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERH
         "doc_id", "size", "text_crc32", "shard", (F.col("position") - F.col("first")).alias("slot"))
 
 
-def write_shards(docs: DataFrame, plan: DataFrame, path: str, doc_id: str = "doc_id") -> None:
-    """Writes each shard's documents, in slot order, to ``path/shard=k``; ids must be unique."""
-    placed = docs.join(plan.select(F.col("doc_id").alias("planned_id"), "shard", "slot"),
-                       support.col(doc_id) == F.col("planned_id")).drop("planned_id")
-    (placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-     .write.partitionBy("shard").parquet(path))
+def write_shards(docs: DataFrame, plan: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
+    """Writes each shard's documents, in slot order, to ``path/shard=k``, every row of ``docs`` once.
+
+    Rows and places meet by id, checksum and their number among those that agree in both, so rows without id are
+    written too and equal ones do not multiply.  Columns named ``shard`` or ``slot`` give way to those of the plan.
+    """
+    scratch = support.Scratch(docs.sparkSession)
+    try:
+        stored = scratch.table(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("row")), "shard-rows")
+        field = F.col("row").getField
+        content = F.coalesce(field(text), F.lit("")).cast("binary")
+        own = stored.select("_row", _name(field(doc_id).cast("long"), F.crc32(content)).alias("name"))
+        given = plan.select(_name(F.col("doc_id"), F.col("text_crc32")).alias("name"), "shard", "slot")
+        own = support.placed(own, "name", [F.col("_row")], scratch, "shard-names").select("name", "position", "_row")
+        given = support.placed(given, "name", [F.col("shard"), F.col("slot")], scratch, "shard-places") \
+            .select("name", "position", "shard", "slot")
+        places = own.join(given, ["name", "position"]).select("_row", "shard", "slot")
+        names = [n for n in docs.columns if n.lower() not in ("shard", "slot")]
+        (stored.join(places, "_row").select(*[F.col("row").getField(n).alias(n) for n in names], "shard", "slot")
+         .repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path))
+    finally:
+        scratch.clear()
+
+
+def _name(doc_id: Column, checksum: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), checksum)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,3 +91,39 @@ def bounded_sample_of_each(df: DataFrame, group: str, key: list[str], rows: int)
     near = hashed.join(F.broadcast(df.sparkSession.createDataFrame(limits, schema)), group).filter("_hash <= _limit")
     rank = F.row_number().over(Window.partitionBy(group).orderBy("_hash"))
     return near.withColumn("_rank", rank).filter(F.col("_rank") <= share).select(*df.columns)
+
+
+def _local_places(group: str):
+    """Adds the partition and the row's place among the rows of its group in this partition."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, current, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            places = np.zeros(batch.num_rows, np.int64)
+            for i, name in enumerate(batch.column(group).to_pylist()):
+                if name != current:
+                    current, seen = name, 0
+                places[i] = seen
+                seen += 1
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(len(places), part, np.int32)), pa.array(places)],
+                names=[*batch.schema.names, "_part", "_local"])
+    return run
+
+
+def placed(rows: DataFrame, group: str, order: list, scratch: Scratch, name: str) -> DataFrame:
+    """``rows`` with ``position`` (from 0) in and size ``n`` of their ``group``, a column without nulls.
+
+    A range sort and running totals of partitions, no window over rows: a group of any size is spread over tasks.  The
+    rows' own numbers end the order, so rows that are equal otherwise do not meet in one range either.
+    """
+    order = [group, *order, F.col("_spread")]
+    ranged = rows.withColumn("_spread", F.monotonically_increasing_id()).repartitionByRange(*order) \
+        .sortWithinPartitions(*order).drop("_spread")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
+    local = scratch.table(ranged.mapInArrow(_local_places(group), f"{kinds}, _part int, _local long"), name)
+    totals = local.groupBy(group, "_part").agg(F.count("*").alias("_rows"))
+    by = Window.partitionBy(group)  # a row per partition that the group reaches
+    before = totals.select(group, "_part", F.sum("_rows").over(by).alias("n"), (F.sum("_rows").over(
+        by.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows")).alias("_before"))
+    return local.join(before, [group, "_part"]).withColumn("position", F.col("_before") + F.col("_local")) \
+        .drop("_part", "_local", "_before")
