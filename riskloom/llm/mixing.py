@@ -12,8 +12,10 @@ come from totals of hash ranges of about ``RANGE_ROWS`` documents, so a source o
 
 Defined cases.  A null source is the source ``''``.  A token is a run of non-space characters; a null text has none.
 Sources without tokens get no budget and their documents are left out.  A document is taken if it starts before its
-source's budget is spent.  A budget above ``max_epochs`` times all tokens is lowered to that.  Equal rows are
-numbered and each stands for itself.  An empty table gives no rows.
+source's budget is spent.  A budget above ``max_epochs`` times all tokens is lowered to that.  A row's place in a
+permutation comes from a digest of its id, text and number among equal rows, so rows without id, or of one id, are
+spread like others and equal rows each stand for themselves.  A text of any length is one document.  An empty table
+gives no rows.  Extra columns pass through ``mixed_documents`` whatever their names.
 """
 
 from __future__ import annotations
@@ -87,22 +89,42 @@ def source_budgets(sources: DataFrame, budget: int | None = None, target_entropy
 def mix(docs: DataFrame, budget: int | None = None, target_entropy: float = TARGET_ENTROPY,
         max_epochs: float = MAX_EPOCHS, block_tokens: int = BLOCK_TOKENS, seed: str = SEED, doc_id: str = "doc_id",
         source: str = "source", text: str = "text") -> DataFrame:
-    """The mixture's sequence: ``doc_id, source, n_tokens, epoch, block, slot`` (and ``text_hash, copy`` for joins).
+    """The mixture's sequence: ``doc_id, source, n_tokens, epoch, block, slot``.
 
     The budget is that of all tokens unless given.
     """
-    narrow = docs.select(support.col(doc_id).cast("long").alias("doc_id"),
+    rows = docs.select("*", F.monotonically_increasing_id().alias("_row"))
+    return _plan(rows, doc_id, source, text, budget, target_entropy, max_epochs, block_tokens, seed).drop("row")
+
+
+def _plan(docs: DataFrame, doc_id: str, source: str, text: str, budget: int | None = None,
+          target_entropy: float = TARGET_ENTROPY, max_epochs: float = MAX_EPOCHS, block_tokens: int = BLOCK_TOKENS,
+          seed: str = SEED) -> DataFrame:
+    """The sequence with the ``row`` (column ``_row`` of ``docs``) that stands at each place."""
+    scratch = support.Scratch(docs.sparkSession)
+    try:
+        return scratch.kept(_sequence(docs, scratch, doc_id, source, text, budget, target_entropy, max_epochs,
+                                      block_tokens, seed), "mixture")
+    finally:
+        scratch.clear()
+
+
+def _sequence(docs: DataFrame, scratch: support.Scratch, doc_id: str, source: str, text: str, budget: int | None,
+              target_entropy: float, max_epochs: float, block_tokens: int, seed: str) -> DataFrame:
+    content = F.md5(F.coalesce(support.col(text), F.lit("")).cast("binary"))
+    narrow = docs.select(F.col("_row").alias("row"), support.col(doc_id).cast("long").alias("doc_id"),
                          F.coalesce(support.col(source).cast("string"), F.lit("")).alias("source"),
-                         token_count(support.col(text)).alias("n_tokens"),
-                         F.xxhash64(support.col(text)).alias("text_hash"))
-    same = Window.partitionBy("doc_id", "text_hash").orderBy("source")
-    narrow = materialise(narrow.withColumn("copy", F.row_number().over(same)), "mix-rows")
-    sources = materialise(narrow.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens")),
+                         token_count(support.col(text)).alias("n_tokens"), content.alias("content"))
+    # equal rows are numbered, however many there are
+    named = narrow.withColumn("name", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "content"))
+    narrow = scratch.table(support.placed(named, "name", [F.col("source")], scratch, "mix-names").select(
+        "row", "doc_id", "source", "n_tokens", F.concat_ws(":", "name", F.col("position") + 1).alias("name")), "mix-rows")
+    sources = scratch.table(narrow.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens")),
                           "mix-sources")
     budgets = source_budgets(sources, budget, target_entropy, max_epochs).filter("budget > 0")
     blocks = max(1, -(-(budgets.agg(F.sum("budget")).first()[0] or 0) // block_tokens))
 
-    name = F.concat_ws(":", F.lit(seed), "epoch", "doc_id", "copy")
+    name = F.concat_ws(":", F.lit(seed), "epoch", "name")
     drawn = (narrow.join(budgets, "source")
              .withColumn("epoch", F.explode(F.expr("sequence(0, cast((budget - 1) div tokens as int))")))
              .withColumn("order_key", F.md5(name.cast("binary")))
@@ -112,29 +134,26 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float = TARG
     totals = drawn.groupBy(*keys).agg(F.sum("n_tokens").alias("in_range"))
     earlier = Window.partitionBy("source", "epoch").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy(*keys).orderBy("order_key", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys).orderBy("order_key", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = (drawn.join(starts, keys)
               .withColumn("at", F.col("epoch") * F.col("tokens") + F.col("before")
                           + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
               .filter("at < budget and n_tokens > 0")
               .withColumn("block", F.expr(f"cast(at * {blocks} div budget as int)")))
-    shuffled = Window.partitionBy("block").orderBy(F.md5(F.concat_ws(":", "block", "order_key").cast("binary")))
-    return placed.select("doc_id", "source", "n_tokens", "epoch", "block",
-                         F.row_number().over(shuffled).alias("slot"), "text_hash", "copy")
+    shuffled = Window.partitionBy("block").orderBy(F.md5(F.concat_ws(":", "block", "order_key").cast("binary")), "row")
+    return placed.select("row", "doc_id", "source", "n_tokens", "epoch", "block",
+                         F.row_number().over(shuffled).alias("slot"))
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text",
                     **settings) -> DataFrame:
-    """The documents of the mixture in its order, columns unchanged; a repeated document is a repeated row."""
-    plan = mix(docs, doc_id=doc_id, source=source, text=text, **settings)
-    key = [F.coalesce("doc_id", F.lit(support.NO_ID)).alias("key"), "text_hash"]
-    taken = plan.select(*key, F.struct("copy", "block", "slot").alias("place")) \
-        .groupBy("key", "text_hash").agg(F.collect_list("place").alias("places"))
-    rows = docs.select(F.coalesce(support.col(doc_id).cast("long"), F.lit(support.NO_ID)).alias("key"),
-                       F.xxhash64(support.col(text)).alias("text_hash"), F.struct("*").alias("row"))
-    same = Window.partitionBy("key", "text_hash").orderBy(
-        F.coalesce(F.col("row").getField(source).cast("string"), F.lit("")))
-    numbered = rows.withColumn("own", F.row_number().over(same)).join(taken, ["key", "text_hash"])
-    placed = numbered.select("row", F.explode(F.filter("places", lambda p: p["copy"] == F.col("own"))).alias("place"))
-    ordered = placed.repartitionByRange("place.block", "place.slot").sortWithinPartitions("place.block", "place.slot")
+    """The documents of the mixture in its order, columns unchanged; a repeated document is a repeated row.
+
+    The rows are written once with numbers of their own, by which the places of the sequence find them; that table
+    stays, because the result reads it.
+    """
+    stored = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("row")), "mix-documents")
+    fields = stored.select("_row", *[F.col("row").getField(c).alias(c) for c in dict.fromkeys((doc_id, source, text))])
+    places = _plan(fields, doc_id, source, text, **settings).select(F.col("row").alias("_row"), "block", "slot")
+    ordered = stored.join(places, "_row").repartitionByRange("block", "slot").sortWithinPartitions("block", "slot")
     return ordered.select(*[F.col("row").getField(n).alias(n) for n in docs.columns])

@@ -12,8 +12,8 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 
 ORACLES["op1_temperature_mixing"] = f"""
 with recursive rows as (
-  select doc_id, coalesce(source, '') as source, len({WORDS}) as n_tokens,
-         row_number() over (partition by doc_id, text order by source) as copy from documents),
+  select doc_id, coalesce(source, '') as source, len({WORDS}) as n_tokens, md5(coalesce(text, '')) as content,
+         row_number() over (partition by doc_id, coalesce(text, '') order by source nulls first) as copy from documents),
 sources as (select source, sum(n_tokens)::bigint as tokens from rows group by source having sum(n_tokens) > 0),
 shares as (select source, tokens, tokens / (select sum(tokens) from sources)::double as p from sources),
 entropy(step, lo, width) as (
@@ -42,7 +42,7 @@ budgets as (
 blocks as (select greatest(1, ceil(sum(budget) / 1000000.0))::bigint as n from budgets),
 drawn as (
   select doc_id, rows.source, n_tokens, tokens, budget, e.epoch::int as epoch,
-         md5('mix:' || e.epoch || ':' || doc_id || ':' || copy) as order_key
+         md5('mix:' || e.epoch || ':' || coalesce(doc_id::varchar, '') || ':' || content || ':' || copy) as order_key
   from rows join budgets using (source), unnest(range(0, (budget - 1) // tokens + 1)) as e(epoch) where budget > 0),
 placed as (
   select *, epoch * tokens + coalesce(sum(n_tokens) over (
