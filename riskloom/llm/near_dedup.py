@@ -7,10 +7,10 @@ register values are the candidate search; a maximum-likelihood estimate from the
 pairs that are far too different; the rest is confirmed on the full shingle sets.
 
 No group is ever expanded into its pairs.  Equal sets collapse to one representative first.  A bucket then gives
-star pairs (member, smallest member).  Buckets that still hold several components then give the pairs of members in
-different components, and of those only pairs that can reach the limit by two exact bounds (shingles that nobody else has, and
-the bits in which two signatures differ).  So a large group of near copies costs pairs in proportion to its members, and no link
-that the bands have found is lost.
+star pairs (member, smallest member).  Buckets that still hold several components then join the members outside their
+largest component with those of other components, and keep only pairs that can reach the limit by two exact bounds
+(shingles that nobody else has, and the bits in which two signatures differ).  So a large group of near copies costs
+pairs in proportion to its members, and no link that the bands have found is lost.
 
 Defined cases.  Words are lower-cased in A-Z only.  A text with fewer words than a shingle is one shingle; a null or
 wordless text has an empty set and links with nothing.  Rows with the same ``doc_id`` are one document: a link of any
@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from riskloom.llm import support
 from riskloom.llm.textbytes import SPACES, WordHasher, mix64, slices, utf8
 from riskloom.operators.links import connected_components
-from riskloom.session import materialise
 
 BASE, RATE, LEVELS = 1.01, 20.0, 4094
 BANDS, ROWS = 42, 6
+BUCKET_ROWS = 20_000  # members of a bucket that meet a stranger in one task
 SIGNATURE = [f"s{k}" for k in range(8)]
 
 
@@ -91,13 +91,13 @@ def sketch(docs: DataFrame, words: int = 4, registers: int = BANDS * ROWS, doc_i
     """``(id, n_shingles, set_a, set_b, registers)`` of each row; the two 64-bit sums identify the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sketcher = WordHasher(SPACES, fold_case=True), SetSketch(registers)
+        other = WordHasher(SPACES, fold_case=True, seed=1)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = hasher.shingle_sets(*utf8(part.column("text")), words)
                 with np.errstate(over="ignore"):
-                    first = [int(mix64(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-                    second = [int(mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
-                              for s in sets]
+                    first, second = ([int(mix64(s).sum(dtype=np.uint64).astype(np.int64)) for s in both]
+                                     for both in (sets, other.shingle_sets(*utf8(part.column("text")), words)))
                 yield pa.RecordBatch.from_arrays([
                     part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64()),
                     pa.array(second, pa.int64()),
@@ -127,18 +127,26 @@ def _likely(pairs: DataFrame, sketches: DataFrame, floor: float) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs with ``100 * intersection >= percent * union`` on their full shingle sets."""
+    """Pairs with ``100 * intersection >= percent * union`` on their full shingle sets.
+
+    Both of two independent hashes have to say so: shingles that are equal in one by chance are not in the other.
+    """
+    def similar(hasher: WordHasher, part: pa.RecordBatch) -> pa.RecordBatch:
+        left = hasher.shingle_sets(*utf8(part.column("text")), words)
+        right = hasher.shingle_sets(*utf8(part.column("text_v")), words)
+        good = []
+        for a, b in zip(left, right):
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            good.append(shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared))
+        return part.filter(pa.array(good, pa.bool_()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(SPACES, fold_case=True)
+        hashers = [WordHasher(SPACES, fold_case=True, seed=seed) for seed in (0, 1)]
         for batch in batches:
             for part in slices(batch, "text"):
-                left = hasher.shingle_sets(*utf8(part.column("text")), words)
-                right = hasher.shingle_sets(*utf8(part.column("text_v")), words)
-                good = []
-                for a, b in zip(left, right):
-                    shared = len(np.intersect1d(a, b, assume_unique=True))
-                    good.append(shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared))
-                yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+                for hasher in hashers:
+                    part = similar(hasher, part)
+                yield part.select(["u", "v"])
 
     one = texts.select(F.col("id").alias("u"), "text")
     two = texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
@@ -152,12 +160,20 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, bands: i
     With 42 bands of 6 registers a pair at exactly 0.8 is missed with a probability of 3e-6.
     """
     scratch = support.Scratch(docs.sparkSession)
-    drawn = materialise(sketch(docs, words, bands * rows, doc_id, text), "sketches")
+    try:
+        return scratch.kept(_components(docs, scratch, words, percent, bands, rows, doc_id, text), "near-duplicates")
+    finally:
+        scratch.clear()
+
+
+def _components(docs: DataFrame, scratch: support.Scratch, words: int, percent: int, bands: int, rows: int, doc_id: str,
+                text: str) -> DataFrame:
+    drawn = scratch.table(sketch(docs, words, bands * rows, doc_id, text), "sketches")
     usable = drawn.filter("id is not null and n_shingles > 0")
     keys = ["set_a", "set_b", "n_shingles"]
     classes = scratch.table(usable.groupBy(*keys).agg(F.min(F.struct("id", "registers")).alias("r"))
                             .select(*keys, F.col("r.id").alias("rep"), "r.registers"), "classes")
-    members = materialise(usable.select("id", *keys).join(classes.select("rep", *keys), keys).select("id", "rep"),
+    members = scratch.table(usable.select("id", *keys).join(classes.select("rep", *keys), keys).select("id", "rep"),
                           "members")
     sketches = classes.select(F.col("rep").alias("id"), "n_shingles", "registers")
 
@@ -187,15 +203,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, bands: i
     star = scratch.table(buckets.filter("id > lead").select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct(),
                        "star-pairs")
     links = scratch.table(confirmed(star, "links").unionByName(_shared_ids(members)), "all-links")
-    groups = materialise(connected_components(links), "groups")
+    groups = scratch.table(connected_components(links), "groups")
 
     unsettled = still_open(groups)
     facts = scratch.table(_open_facts(texts.join(unsettled.select("id").distinct(), "id"), words), "open-documents")
     unsettled = scratch.table(unsettled.join(facts, "id"), "open-buckets")
-    other = unsettled.select("band", "key", *[F.col(c).alias(f"{c}_v") for c in ("id", "component", *facts.columns[1:])])
-    crossing = _possible(unsettled.join(other, ["band", "key"]), percent).join(star, ["u", "v"], "left_anti")
+    crossing = _possible(_met(unsettled), percent).join(star, ["u", "v"], "left_anti")
     groups = _joined(groups, confirmed(crossing, "last-links"))
-    scratch.clear()
 
     component = members.join(groups, F.col("rep") == F.col("node"), "left") \
         .groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
@@ -241,6 +255,24 @@ def _open_facts(texts: DataFrame, words: int) -> DataFrame:
         *[F.when(one, F.col(s)).alias(s) for s in SIGNATURE])
 
 
+def _met(members: DataFrame) -> DataFrame:
+    """Members of a bucket outside its largest component with all its members of other components, each pair once.
+
+    So a large component costs its size for every stranger in its bucket, never its square; large buckets are cut by
+    a hash of the member.
+    """
+    bucket = ["band", "key"]
+    sizes = members.groupBy(*bucket, "component").agg(F.count("*").alias("size")).groupBy(*bucket).agg(
+        F.max(F.struct("size", "component"))["component"].alias("main"),
+        F.ceil(F.sum("size") / BUCKET_ROWS).cast("int").alias("salts"))
+    placed = members.join(sizes, bucket)
+    strangers = placed.filter("component <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    facts = [c for c in members.columns if c not in bucket]
+    other = placed.select(*bucket, F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"),
+                          (F.col("component") != F.col("main")).alias("stranger_v"), *[F.col(c).alias(f"{c}_v") for c in facts])
+    return strangers.join(other, [*bucket, "salt"]).filter("component <> component_v and (id > id_v or not stranger_v)")
+
+
 def _possible(met: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that can still be similar enough; no pair above the limit is lost.
 
@@ -249,8 +281,8 @@ def _possible(met: DataFrame, percent: int) -> DataFrame:
     """
     differ = " + ".join(f"bit_count({s} ^ {s}_v)" for s in SIGNATURE)
     shared = f"least(n - own, n_v - own_v, coalesce((n + n_v - ({differ})) div 2, {1 << 40}))"
-    return met.filter(f"id > id_v and component <> component_v and 100 * {shared} >= {percent} * (n + n_v - {shared})") \
-        .select(F.col("id").alias("u"), F.col("id_v").alias("v")).distinct()
+    return met.filter(f"100 * {shared} >= {percent} * (n + n_v - {shared})") \
+        .select(F.greatest("id", "id_v").alias("u"), F.least("id", "id_v").alias("v")).distinct()
 
 
 def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -258,7 +290,7 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return groups
     whole = groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links)
-    return materialise(connected_components(whole), "groups")
+    return connected_components(whole)
 
 
 def _shared_ids(members: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ A word is removed if a window of 20 words that covers it, also starts earlier: i
 earlier in the same one.  Hashing every window would shuffle one row per word.  Instead 8-word anchors are hashed
 only where the position modulo 13 is in the difference cover {0, 1, 3, 9}: for any two positions there is a shift
 below 13 that brings both onto the cover, so two equal 20-word windows always share an anchor at the same shift
-(12 + 8 = 20).  Only windows around an anchor that occurs twice are then compared in full, by 96 bits of hash, and
+(12 + 8 = 20).  Only windows around an anchor that occurs twice are then compared in full, by 96 bits of two independent hashes, and
 the extension is complete: every such window of every occurrence is judged against its earliest occurrence.
 
 Groups never grow with the number of copies.  A document whose whole text already stands under a smaller id is a
@@ -91,13 +91,13 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = WordHasher()
+    hasher, other = WordHasher(), WordHasher(seed=1)
     serial = np.uint64(zlib.crc32(np.random.default_rng().bytes(16))) << np.uint64(32)
     for held in _flushes(batches, hasher):
         parts = []
         for part, words, first in held:
             grams = hasher.runs(words, WINDOW)
-            second = hasher.runs(mix64(words ^ np.uint64(0x5851F42D4C957F2D)), WINDOW)
+            second = other.runs(other.words(*utf8(part.column("text")))[0], WINDOW)
             ids = part.column("id").to_numpy(zero_copy_only=False)
             marks = part.column("mark").to_numpy(zero_copy_only=False)
             for row, places in enumerate(part.column("places")):

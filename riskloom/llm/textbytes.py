@@ -1,7 +1,7 @@
 """Vectorised work on UTF-8 text inside a task: words, their 64-bit hashes, and hashes of runs of words.
 
-A batch of texts is one byte array plus the bounds of each text.  Words are hashed by a polynomial over a random
-table of byte codes, so a whole batch takes a few numpy passes; pieces of about a megabyte bound the memory of a
+A batch of texts is one byte array plus the bounds of each text.  Words are hashed by random tables of byte codes and
+positions, so a whole batch takes a few numpy passes; pieces of about a megabyte bound the memory of a
 very long text.  Words have no length limit.
 """
 
@@ -15,8 +15,6 @@ import pyarrow.compute as pc
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 PIECE = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD6E8FEB86659FD93
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -61,36 +59,41 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), bounds
 
 
-class _Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse."""
+class _Weights:
+    """A fixed pseudo-random number for each position; longer tables are made as they are needed."""
 
-    def __init__(self, base: int):
-        self.base = base
-        self.up = self.down = np.ones(1, np.uint64)
+    def __init__(self, seed: int):
+        self.seed, self.table = np.uint64(seed), np.zeros(0, np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            for name, base in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
-                steps = np.full(n + n // 2, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up[:n], self.down[:n]
+    def upto(self, n: int) -> np.ndarray:
+        if len(self.table) < n:
+            with np.errstate(over="ignore"):
+                places = np.arange(1, n + n // 2 + 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.seed
+            self.table = mix64(mix64(places) + self.seed)
+        return self.table
 
 
 class WordHasher:
     """Splits text into words and hashes words and runs of words.
 
     ``separators`` are single bytes; ``fold_case`` lower-cases A-Z.  Make one object per task.
+
+    A word's hash is the sum of its bytes' codes, each times the number of its position in the word, modulo 2**64,
+    and a run's that of its words' hashes likewise: unlike powers of a base, the numbers of positions have no structure
+    with which differences could cancel.  Hashers of different ``seed`` have independent codes and numbers; two of them
+    together identify words by 128 bits.
     """
 
-    def __init__(self, separators: bytes = SPACES, fold_case: bool = False):
+    def __init__(self, separators: bytes = SPACES, fold_case: bool = False, seed: int = 0):
         self.inside = np.ones(256, bool)
         self.inside[list(separators)] = False
         codes = np.arange(256, dtype=np.uint64)
         if fold_case:
             codes[65:91] += 32
-        self.code = mix64((codes + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
-        self.bytes_powers, self.word_powers = _Powers(_BASE), _Powers(_WORD_BASE)
+        with np.errstate(over="ignore"):
+            own = mix64(np.full(1, seed + 1, np.uint64) * np.uint64(0xD6E8FEB86659FD93))[0]
+            self.code = mix64((codes + np.uint64(1)) * np.uint64(0xA0761D6478BD642F) + own)
+        self.places, self.word_places = _Weights(int(own)), _Weights(int(own) ^ 0x5851F42D4C957F2D)
 
     def _cuts(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
         lo, n = 0, len(data)
@@ -119,10 +122,11 @@ class WordHasher:
                 begin[1:] &= ~inside[:-1] | edge[1:-1]
                 end[:-1] &= ~inside[1:] | edge[1:-1]
                 start, stop = np.flatnonzero(begin), np.flatnonzero(end) + 1
-                up, down = self.bytes_powers.upto(hi - lo + 1)
+                at = np.arange(hi - lo, dtype=np.int32)
+                at -= np.maximum.accumulate(np.where(begin, at, 0))  # position in the word
                 run = np.zeros(hi - lo + 1, np.uint64)
-                np.cumsum(self.code[part] * up[:-1], out=run[1:])
-                hashes.append((run[stop] - run[start]) * down[start])
+                np.cumsum(self.code[part] * self.places.upto(int(at.max()) + 1)[at], out=run[1:])
+                hashes.append(run[stop] - run[start] + (stop - start).astype(np.uint64))
                 starts.append(start + lo)
                 ends.append(stop + lo)
         if not hashes:
@@ -132,14 +136,15 @@ class WordHasher:
 
     def runs(self, words: np.ndarray, k: int) -> np.ndarray:
         """Hash of each run of ``k`` consecutive words, over the whole array."""
-        n = len(words)
-        if n < k:
+        n = len(words) - k + 1
+        if n < 1:
             return np.zeros(0, np.uint64)
-        up, down = self.word_powers.upto(n + 1)
-        total = np.zeros(n + 1, np.uint64)
+        weights = self.word_places.upto(k)
+        total = np.full(n, k, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(words * up[:-1], out=total[1:])
-            return mix64((total[k:] - total[:-k]) * down[:n - k + 1] + np.uint64(k))
+            for i in range(k):
+                total += words[i:i + n] * weights[i]
+        return mix64(total)
 
     def shingle_sets(self, data: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
         """For each text its distinct ``k``-word shingles, sorted; a shorter text is one shingle, an empty one none."""

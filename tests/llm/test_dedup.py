@@ -225,3 +225,41 @@ def test_counts_by_shared_shingles(documents):
 
 def test_window_count_is_per_row(documents):
     assert near_dedup.near_duplicates(documents).agg(F.count("*")).first()[0] == documents.count()
+
+
+def thue_morse(letters):
+    """A word of 2048 letters; a polynomial hash modulo 2**64 cannot tell it from its complement."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    return "".join(letters[b] for b in bits)
+
+
+def test_words_are_told_apart(spark):
+    one, two = thue_morse("ab"), thue_morse("ba")
+    hashes, _, _, _ = WordHasher().words(*joined([f"{one} {two}".encode()]))
+    assert hashes[0] != hashes[1]
+    again, _, _, _ = WordHasher(seed=1).words(*joined([f"{one} {two}".encode()]))
+    assert len({*hashes.tolist(), *again.tolist()}) == 4
+    rest = " ".join(f"w{i}" for i in range(25))
+    cut = substring_dedup.remove_repeats(spark.createDataFrame(
+        [(1, f"{rest[:60]} {one} {rest[60:]}"), (2, f"{rest[:60]} {two} {rest[60:]}")], "doc_id long, text string"))
+    assert [r["n_removed"] for r in cut.collect()] == [0, 0]
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert found == {1: 1, 2: 2, 3: 1}
+    # runs of two words in the same pattern differ as well
+    texts = [thue_morse(["x ", "y "]).encode(), thue_morse(["y ", "x "]).encode()]
+    hasher = WordHasher()
+    words, _, _, first = hasher.words(*joined(texts))
+    for k in (16, 512):
+        assert hasher.runs(words[:first[1]], k)[0] != hasher.runs(words[first[1]:], k)[0]
+
+
+def test_strangers_meet_a_large_component_once(spark):
+    """A bucket of one large component and a stranger costs its members, not their pairs."""
+    facts = ["n long", "own long", *[f"{s} long" for s in near_dedup.SIGNATURE]]
+    rows = [(0, 7, i, 1) for i in range(1, 3001)] + [(0, 7, 0, 0), (0, 7, 4000, 4000), (1, 8, 5, 1), (1, 8, 6, 6)]
+    df = spark.createDataFrame([(*r, 5, 0, *[0] * 8) for r in rows], f"band int, key long, id long, component long, {', '.join(facts)}")
+    met = near_dedup._met(df)
+    assert met.count() == 2 * 3000 + 1 + 1
+    pairs = {(max(r["id"], r["id_v"]), min(r["id"], r["id_v"])) for r in met.collect()}
+    assert len(pairs) == 6002 and {(4000, 0), (6, 5), (1, 0), (4000, 3000)} <= pairs

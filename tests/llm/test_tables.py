@@ -162,6 +162,22 @@ def test_shards_empty_and_written(spark, empty, documents, tmp_path):
     assert back.count() == documents.count() and set(documents.columns) < set(back.columns)
 
 
+def test_rows_without_id_and_equal_rows_are_spread(spark, monkeypatch, tmp_path):
+    """Rows of one id fall into many ranges, and m equal rows come out m times without meeting each other."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 500)
+    rows = [(None, f"word{i} two", "s", i) for i in range(10_000)] + [(3, "same text here", "s", 1)] * 2_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int")
+    plan = mixing.mix(docs, block_tokens=4_000)
+    assert plan.count() == 12_000 and plan.select("block", "slot").distinct().count() == 12_000
+    starts = plan.filter("doc_id is null").groupBy("block").count().collect()
+    assert len(starts) == 7 and min(r["count"] for r in starts) > 1_000
+    assert sorted(map(tuple, mixing.mixed_documents(docs).collect()), key=repr) == sorted(rows, key=repr)
+    sharding.write_shards(docs, sharding.balanced_shards(docs, 5), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.select("doc_id", "text", "source").exceptAll(docs.select("doc_id", "text", "source")).count() == 0
+    assert back.count() == 12_000 and back.select("shard", "slot").distinct().count() == 12_000
+
+
 # --- pipeline ----------------------------------------------------------------------------------------
 
 def test_stages_equal_brute_force(spark, documents, sf_dir):

@@ -1,7 +1,9 @@
 """BPE, token counts, licenses, fingerprints, quality rules and languages."""
 
+import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -186,6 +188,38 @@ def test_license_seeds_lose_nothing():
                 assert bool(whole) == bool(scanner.scan(text.encode())[1])
 
 
+def test_license_notices_that_repeat_their_words():
+    """A later seed may stand earlier in its notice; nothing that a search of the whole text finds is lost."""
+    rng = np.random.default_rng(8)
+    notice = "free to use free to copy free to use and free to share free to use"
+    scanner = license_scan.LicenseScanner({}, {"own": (notice,)})
+    (_, _, errors, pattern), = scanner.notices
+    found = 0
+    for _ in range(300):
+        words = notice.split()
+        letters = list(" ".join(words[rng.integers(0, 3):]) if rng.random() < 0.3 else notice)
+        for at in rng.choice(len(letters), rng.integers(0, errors + 2), replace=False):
+            letters[at] = rng.choice(list("qxz"))
+        text = " ".join(rng.choice(words, rng.integers(0, 8))) + " " + "".join(letters) + " " + " ".join(rng.choice(words, rng.integers(0, 8)))
+        text = " ".join(text.split())
+        whole, at = [], 0
+        while (match := pattern.search(text, at)) and match.end() > match.start():
+            whole.append(text.count(" ", 0, match.start()))
+            at = match.end()
+        assert [h["first_word"] for h in scanner.scan(text.encode())[1]] == whole
+        found += len(whole)
+    assert found > 200
+
+
+def test_license_of_a_long_text():
+    """Time grows with the length, also where all of it is hits."""
+    scanner = license_scan.LicenseScanner(license_scan.PHRASES, license_scan.NOTICES)
+    began = time.time()
+    n, hits = scanner.scan(b"MIT license, " * 150_000)
+    assert n == 300_000 and len(hits) == 150_000 and hits[-1]["first_word"] == 299_998 and hits[-1]["end"] == 13 * 150_000 - 2
+    assert time.time() - began < 60
+
+
 # --- fingerprints ------------------------------------------------------------------------------------
 
 def test_neighbours_equal_brute_force(documents, edge, spark):
@@ -206,6 +240,25 @@ def test_neighbours_equal_brute_force(documents, edge, spark):
             assert r["near_next"] == fingerprints.resemblance(a, fingerprints.from_text(prints[other[0]]))
 
 
+def test_neighbours_of_many_rows_without_id(spark):
+    """Rows that share an id, or have none, are dealt over ranges and still form one ring."""
+    rows = [(None if i % 3 else (7 if i % 2 else i), f"text {i % 997} " * 3) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprints.edited_neighbours(df).collect()
+    hashed = df.withColumn("h", F.xxhash64("text")).collect()
+    ring = sorted(hashed, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["h"]))
+    want = collections.Counter()
+    for r, other in zip(ring, ring[1:] + ring[:1]):
+        third = len(r["text"]) // 3
+        edited = r["text"][:len(r["text"]) - third] + other["text"][:third]
+        want[r["doc_id"], hashlib.sha256(edited.encode()).hexdigest()] += 1
+    assert collections.Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+    keyed = df.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("hash"))
+    cuts = fingerprints.Cuts(keyed, 32)
+    places = keyed.toPandas()
+    assert np.bincount(cuts.ranges(places["key"].to_numpy(), places["hash"].to_numpy())).max() < 400
+
+
 def test_neighbours_odd_rows(edge, empty):
     assert fingerprints.edited_neighbours(empty).count() == 0
     assert fingerprints.edited_neighbours(edge).count() == len(EDGE)
