@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators import features
 from riskloom.operators.latest import latest_per_key
 from riskloom.plans import bindings as b
 from riskloom.plans.catalogue import money, query
-from riskloom.session import new_folder
-from riskloom.streaming import account_state, ingest, pipeline, sinks
+from riskloom.session import materialise, new_folder
+from riskloom.streaming import account_state, ingest, pipeline, repair, sinks
 
 FEATURES = ("count_1h", "count_24h", "device_count_30d", "city_count_30d", "counterparty_count_30d", "is_first_device")
 
@@ -72,29 +73,60 @@ def stream_dedup(spark, sf_dir):
     return _collected(spark, ingest.dedup_stream(timed, "event_id").select("event_id"), "stream-dedup")
 
 
-LATE = "event_id % 50 = 7"
+LATE, AHEAD = "event_id % 50 = 7", "event_id % 997 = 5"
+ALL_FEATURES = (*FEATURES, "amount_1h", "amount_24h", "amount_deviation")
+
+
+def late_events(spark, sf_dir) -> DataFrame:
+    """Events with the number of the micro-batch in which they arrive, five days each.
+
+    Every fiftieth comes 30 hours late; the clock of every 997th is 48 hours ahead.
+    """
+    arrived = f"cast(floor((unix_seconds(cast(transaction_time as timestamp)) + if({LATE}, 108000, 0)) / 432000) as int)"
+    return b.events(spark, sf_dir).withColumn("arrival", F.expr(arrived)).withColumn(
+        "transaction_time", F.expr(f"transaction_time + if({AHEAD}, interval 48 hours, interval 0 hours)"))
 
 
 def _late_replay(spark, sf_dir, policy: str):
-    """Events in two micro-batches: every fiftieth event comes after all others, and twice."""
+    """The late events, one file per micro-batch, late ones twice; and what the stream makes of them."""
     root = new_folder(spark, "stream-late")
-    events = b.events(spark, sf_dir)
-    late = events.filter(LATE)
-    events.filter(f"not ({LATE})").write.parquet(f"{root}/in/part=0")
-    late.unionByName(late).write.parquet(f"{root}/in/part=1")
-    options = {"maxFilesPerTrigger": str(max(1, len(spark.read.parquet(f"{root}/in/part=0").inputFiles()))),
-               "recursiveFileLookup": "true"}
-    source = ingest.read_stream(spark, "parquet", options, f"{root}/in", events.schema)
+    events = late_events(spark, sf_dir)
+    rows = events.unionByName(events.filter(LATE))
+    arrivals = [r[0] for r in events.select("arrival").distinct().orderBy("arrival").collect()]  # a few
+    for number in arrivals:
+        rows.filter(F.col("arrival") == number).drop("arrival").coalesce(1).write.parquet(f"{root}/in/part={number:06d}")
+    options = {"maxFilesPerTrigger": "1", "recursiveFileLookup": "true"}
+    source = ingest.read_stream(spark, "parquet", options, f"{root}/in", events.drop("arrival").schema)
     out = account_state.stream_features(ingest.with_event_time(source), late_policy=policy)
     done = pipeline.run_available(out, lambda rows, batch_id: sinks.write_batch(rows, f"{root}/out", batch_id), f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/out").drop("batch_id"), done
+    return spark.read.parquet(f"{root}/out"), done
+
+
+def _feature_rows(df: DataFrame, *keep: str) -> DataFrame:
+    plain = df.select("transaction_id", *keep, *FEATURES, "amount_1h", "amount_24h", F.round("amount_deviation", 6).alias("amount_deviation"))
+    return plain.withColumns(money("amount_1h", "amount_24h"))
 
 
 @query
 def stream_late(spark, sf_dir):
-    """Rows that arrive hours late, and twice, are answered once like all others."""
+    """Rows that arrive 30 hours late, and twice, and rows two days ahead: answered once, with everything that had arrived."""
     out, _ = _late_replay(spark, sf_dir, "process")
-    return out.select("transaction_id", F.expr(LATE).alias("late"))
+    return _feature_rows(out.withColumn("late", F.expr(LATE)), "late")
+
+
+@query
+def stream_repair(spark, sf_dir):
+    """The same output after its corrections: what a batch over all events gives."""
+    out, _ = _late_replay(spark, sf_dir, "process")
+    out = materialise(out.withColumn("event_time", F.col("event_time").cast("timestamp_ntz")), "stream-answers")
+
+    def recompute(rows: DataFrame) -> DataFrame:
+        timed = features.realtime_features(rows).withColumn("event_time", F.col("transaction_time"))
+        return timed.select("transaction_id", "event_time", *[F.col(c).cast(out.schema[c].dataType).alias(c) for c in ALL_FEATURES])
+
+    changes = materialise(repair.repair(out, late_events(spark, sf_dir), recompute, "account_id", "transaction_id", ALL_FEATURES),
+                          "stream-corrections")
+    return _feature_rows(repair.corrected(out, changes, "transaction_id", ALL_FEATURES))
 
 
 @query

@@ -1,12 +1,15 @@
 """Real-time account features as a keyed stateful operator.
 
-State per account: hourly slices of the last 24 h (times and amounts), last sighting of
-each device, city and counterparty within 30 days, and count and sum of everything so far.
-Rows are answered on arrival, however late.  The ids of answered transactions are kept by the
-hour of their event time, for ``REMEMBER`` hours (of the account's newest event) after the last
-one of that hour came in, so a redelivered transaction is recognised long after any lateness
-bound; this has nothing to do with the watermark.  What is older than
-its window is dropped when the account is next seen, or by a timer when it is not.
+State per account: hourly slices of times and amounts, last sighting of each device, city and counterparty, count and
+sum of everything so far, and the ids of answered transactions.  Rows are answered on arrival, however late, and each
+counts what has arrived from an hour (a day, 30 days) before it on, later rows included.
+
+State is bounded by an account's *clock*: the ``CONFIRM``-th newest event time that it has had.  One or two events with
+a wrong time, however far ahead, count like all others but do not move the clock, so they erase nothing and keep nothing
+out; rows without a time of their own never move it.  Slices are kept for a day plus ``remember`` hours before the
+clock, sightings for 30 days plus ``remember`` hours, so a row up to ``remember`` hours late is counted and counts
+others exactly like one in time.  Ids are kept by the hour of their event time for ``remember`` hours of the clock after
+the last one of that hour came in.  A still later row is answered from what is left and is not stored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from pyspark.sql.streaming import StatefulProcessor
 HOUR = 3_600_000_000  # microseconds
 DAY, MONTH = 24 * HOUR, 30 * 24 * HOUR
 SLACK = HOUR          # kept beyond the window for rows out of order
-REMEMBER = 72         # hours for which transaction ids are remembered
+REMEMBER = 72         # hours for which transaction ids are remembered, and by which rows may be late
+CONFIRM = 3           # events that have to be newer than a time before it moves an account's clock
 ATTRIBUTES = (("device_id", "device_count_30d"), ("ip_city", "city_count_30d"),
               ("counterparty_hash", "counterparty_count_30d"))
 
@@ -40,9 +44,11 @@ def _running(starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, n: int)
 class AccountState(StatefulProcessor):
     def __init__(self, remember: int = REMEMBER):
         self.remember = remember
+        self.lateness = (remember or REMEMBER) * HOUR
 
     def init(self, handle) -> None:
         self.handle = handle
+        self.newest = handle.getValueState("newest", "times array<long>")
         self.ids = handle.getMapState("ids", "hour long", "ids array<string>")
         self.touched = handle.getValueState("touched", "hours array<long>, at array<long>")
         self.slices = handle.getMapState("slices", "hour long", "times array<long>, cents array<long>")
@@ -50,7 +56,9 @@ class AccountState(StatefulProcessor):
             "profile", "n long, cents long, attributes array<int>, values array<string>, last array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = self._first_arrivals(pd.concat(list(rows), ignore_index=True))
+        batch = pd.concat(list(rows), ignore_index=True)
+        clock = self._clock(batch["micros"].to_numpy(np.int64)[batch["timed"].to_numpy(bool)])
+        batch = self._first_arrivals(batch, clock // HOUR)
         if batch.empty:
             return
         order = np.lexsort((batch["transaction_id"].to_numpy().astype(str), batch["micros"].to_numpy()))
@@ -76,13 +84,20 @@ class AccountState(StatefulProcessor):
             out[measure] = self._distinct(values, times, known[number]).astype(np.int32)
 
         out["count_all"], out["cents_all"] = n_before + own + 1, cents_before + np.cumsum(cents)
-        self._remember(int(out["count_all"][-1]), int(out["cents_all"][-1]), known, int(times[-1]))
-        self._store(times, cents, kept)
+        self._remember(int(out["count_all"][-1]), int(out["cents_all"][-1]), known, clock - self.lateness)
+        self._store(times, cents, kept, (clock - DAY - self.lateness - SLACK) // HOUR)
         if timerValues.getCurrentWatermarkInMs() >= 0:
             self.handle.registerTimer(int(times[-1] + DAY + SLACK) // 1000)
         yield pd.DataFrame(out)
 
-    def _first_arrivals(self, batch: pd.DataFrame) -> pd.DataFrame:
+    def _clock(self, times: np.ndarray) -> int:
+        """The account's clock after these event times: the oldest of the ``CONFIRM`` newest of all distinct ones."""
+        before = self.newest.get()
+        newest = np.unique(np.concatenate([np.array(before[0] if before else [], np.int64), times]))[-CONFIRM:]
+        self.newest.update((newest.tolist(),))
+        return int(newest[0]) if len(newest) else 0
+
+    def _first_arrivals(self, batch: pd.DataFrame, now: int) -> pd.DataFrame:
         """Rows whose id was not answered before; rows without an id always are.
 
         Only the hours that the batch touches are read and written.
@@ -94,7 +109,6 @@ class AccountState(StatefulProcessor):
         hours = batch["micros"] // HOUR
         fresh = np.ones(len(batch), bool)
         touched = dict(zip(*(self.touched.get() or ([], []))))
-        now = max([int(hours.max()), *touched.values()])
         for hour in hours.unique().tolist():
             mine = (hours == hour).to_numpy()
             have = self.ids.getValue((hour,)) if self.ids.containsKey((hour,)) else None
@@ -123,10 +137,8 @@ class AccountState(StatefulProcessor):
         live = [(number, v, t) for number, seen in enumerate(known) for v, t in seen.items() if t + MONTH + SLACK >= now]
         self.profile.update((n, cents, [x[0] for x in live], [x[1] for x in live], [x[2] for x in live]))
 
-    def _store(self, times: np.ndarray, cents: np.ndarray, kept: dict) -> None:
-        """Write the hours this batch touched, and forget hours no later row can look at."""
-        newest = max([int(times[-1]) // HOUR, *kept])
-        oldest = newest - 25 - SLACK // HOUR
+    def _store(self, times: np.ndarray, cents: np.ndarray, kept: dict, oldest: int) -> None:
+        """Write the hours this batch touched, and forget those before ``oldest``."""
         hours = times // HOUR
         for hour in np.unique(hours[hours >= oldest]).tolist():
             mine, have = hours == hour, kept.get(hour, ([], []))
@@ -176,31 +188,45 @@ class AccountState(StatefulProcessor):
 
 
 def stream_features(stream: DataFrame, key: str = "account_id", late_policy: str = "process",
-                    remember: int = REMEMBER) -> DataFrame:
+                    remember: int = REMEMBER, ts: str = "transaction_time") -> DataFrame:
     """Adds the real-time features to a stream that has an ``event_time``, one row per transaction id.
 
     ``process`` answers every row however late, without event-time timers; ``drop`` ignores
     rows older than the watermark (Spark counts them in the query's progress, which
     ``pipeline.dropped_rows`` adds up) and cleans state by event time.  ``remember`` is the
-    number of hours of event time for which ids are known; 0 turns de-duplication off.
+    number of hours of event time for which ids are known; 0 turns de-duplication off.  Rows
+    without ``ts`` have the time of their arrival and do not move their account's clock.
+    Columns of any type pass through.
     """
     if late_policy not in ("process", "drop"):
         raise ValueError("late_policy must be 'process' or 'drop'")
     # the row travels as one column of strings: a wide frame per account would cost more
     # to convert than the features cost to compute
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    nested = (T.ArrayType, T.StructType, T.MapType)
+    packed, unpacked = [], []
+    for number, field in enumerate(stream.schema.fields):
+        name, kind, item = field.name.replace("`", "``"), field.dataType.simpleString(), f"payload[{number}]"
+        if isinstance(field.dataType, nested):
+            packed.append(f"to_json(`{name}`)")
+            unpacked.append(f"from_json({item}, '{field.dataType.simpleString()}') as `{name}`")
+        elif isinstance(field.dataType, T.BinaryType):
+            packed.append(f"base64(`{name}`)")
+            unpacked.append(f"unbase64({item}) as `{name}`")
+        else:
+            packed.append(f"cast(`{name}` as string)")
+            unpacked.append(f"cast({item} as {kind}) as `{name}`")
+    timed = f"`{ts}` is not null" if ts in stream.columns else "true"
     ready = stream.selectExpr(
-        f"coalesce(cast({key} as string), 'unknown') as account_key", "event_time", "transaction_id",
+        f"coalesce(cast({key} as string), 'unknown') as account_key", "event_time", "transaction_id", f"{timed} as timed",
         "unix_micros(event_time) as micros", "cast(coalesce(amount, 0) * 100 as bigint) as cents",
-        *[a for a, _ in ATTRIBUTES], "array(" + ", ".join(f"cast(`{c}` as string)" for c in kinds) + ") as payload")
+        *[a for a, _ in ATTRIBUTES], f"array({', '.join(packed)}) as payload")
     added = [("count_1h", T.IntegerType()), ("cents_1h", T.LongType()), ("count_24h", T.IntegerType()),
              ("cents_24h", T.LongType()), *[(m, T.IntegerType()) for _, m in ATTRIBUTES],
              ("count_all", T.LongType()), ("cents_all", T.LongType())]
     schema = T.StructType([ready.schema["payload"], *[T.StructField(n, t) for n, t in added]])
     out = ready.groupBy("account_key").transformWithStateInPandas(
         AccountState(remember), schema, "Append", "EventTime" if late_policy == "drop" else "None")
-    out = out.selectExpr(*[f"cast(payload[{i}] as {kind}) as `{c}`" for i, (c, kind) in enumerate(kinds.items())],
-                         *[n for n, _ in added])
+    out = out.selectExpr(*unpacked, *[n for n, _ in added])
 
     def yuan(column):
         return (F.col(column).cast("decimal(20,0)") / 100).cast("decimal(18,2)")

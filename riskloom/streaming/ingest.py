@@ -38,10 +38,19 @@ def parse_json(raw: DataFrame, schema: T.StructType = TRANSACTION) -> tuple[Data
     return good, parsed.filter(bad).select("value")
 
 
-def with_event_time(df: DataFrame, delay: str = "10 seconds", ts: str = "transaction_time") -> DataFrame:
-    """Event time (processing time where missing) with a bounded out-of-orderness."""
-    event_time = F.coalesce(F.col(ts).cast("timestamp"), F.current_timestamp())
-    return df.withColumn("event_time", event_time).withWatermark("event_time", delay)
+def with_event_time(df: DataFrame, delay: str = "10 seconds", ts: str = "transaction_time", arrival: str | None = None) -> DataFrame:
+    """Event time with a bounded out-of-orderness; where it is missing, that of arrival.
+
+    ``arrival`` is the broker's time of the record; without one it is the time of processing, which a replay changes.
+    """
+    came = F.col(arrival).cast("timestamp") if arrival else F.current_timestamp()
+    return df.withColumn("event_time", F.coalesce(F.col(ts).cast("timestamp"), came)).withWatermark("event_time", delay)
+
+
+def ahead_of_arrival(df: DataFrame, arrival: str, limit: str = "1 hour", ts: str = "transaction_time") -> tuple[DataFrame, DataFrame]:
+    """Rows whose time can be right, and rows (to be set apart) that claim to be later than their arrival by ``limit``."""
+    ahead = F.coalesce(F.col(ts).cast("timestamp") > F.col(arrival).cast("timestamp") + F.expr(f"interval {limit}"), F.lit(False))
+    return df.filter(~ahead), df.filter(ahead)
 
 
 def dedup_stream(df: DataFrame, key: str = "transaction_id") -> DataFrame:
