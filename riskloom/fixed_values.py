@@ -37,6 +37,7 @@ SCORE_DISPERSION = ((20, 30.0), (10, 20.0), (5, 10.0))
 SCORE_VOLATILITY = ((2.0, 20.0),)
 SCORE_HISTORY = (("HIGH", 30.0), ("MEDIUM", 15.0))
 # (inclusive lower bound, level)
+RULE_LEVELS = ("LOW", "MEDIUM", "HIGH")
 CUSTOMER_LEVELS = ((70, "CRITICAL"), (50, "HIGH"), (30, "MEDIUM"))
 
 # --- transaction score -------------------------------------------------------

@@ -79,15 +79,27 @@ def definitions(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame
     return spark.createDataFrame(rows, RULE_DEFINITION)
 
 
+def _fault(rules: Sequence[Rule]) -> str:
+    """SQL: why a row of a rule table cannot be used, or NULL."""
+    return f"""case when rule_id is null or not {_among('rule_id', [r.rule_id for r in rules])} then 'unknown rule'
+        when risk_weight is null or risk_weight < 0 then 'no usable weight'
+        when risk_level is null or not {_among('risk_level', fv.RULE_LEVELS)} then 'unknown level' end"""
+
+
+def rejected_rules(table: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Rows that are switched on but cannot be used, with the reason: to be reported, they stop nothing."""
+    return table.filter("enabled").withColumn("reason", F.expr(_fault(rules))).filter("reason is not null")
+
+
 def load_rules(table: DataFrame, rules: Sequence[Rule] = RULES) -> tuple[Rule, ...]:
     """Rules switched on in a ``rule_definition`` table, with its weights and levels.
 
-    Predicates come from the known rules only; the table cannot inject expressions.
+    Predicates come from the known rules only, levels from the known ones, weights are numbers; rows with
+    anything else are left out (``rejected_rules``).  Of several rows for a rule the heaviest counts.
     """
-    known = [r.rule_id for r in rules]
     # one row per known rule at most, whatever the table holds
-    rows = (table.filter(F.col("enabled") & F.col("rule_id").isin(known)).groupBy("rule_id")
-            .agg(F.max_by(F.struct("risk_weight", "risk_level"), "risk_weight").alias("r"))
+    rows = (table.filter("enabled").filter(f"({_fault(rules)}) is null").groupBy("rule_id")
+            .agg(F.max_by(F.struct("risk_weight", "risk_level"), F.struct("risk_weight", "risk_level")).alias("r"))
             .select("rule_id", "r.*").collect())
     on = {row.rule_id: row for row in rows}
     return tuple(replace(r, weight=on[r.rule_id].risk_weight, level=on[r.rule_id].risk_level)
@@ -95,12 +107,16 @@ def load_rules(table: DataFrame, rules: Sequence[Rule] = RULES) -> tuple[Rule, .
 
 
 def evaluate_rules(df: DataFrame, rules: Sequence[Rule] = RULES, mode: str = "literal") -> DataFrame:
-    """Adds ``matched_rules``, ordered by salience (highest first), then by rule order."""
+    """Adds ``matched_rules``, ordered by salience (highest first), then by rule order.
+
+    All but the predicate, which is code, is bound as a literal: no text of a table is parsed.
+    """
     ranked = sorted(rules, key=lambda r: -r.salience)
-    entries = ", ".join(
-        f"if({r.predicate(mode)}, struct('{r.rule_id}' as rule_id, '{r.name}' as rule_name, '{r.description}' as description, "
-        f"{r.weight} as risk_weight, '{r.level}' as risk_level, {float(r.weight)}D as risk_score), null)" for r in ranked)
-    return df.withColumn("matched_rules", F.expr(f"array_compact(array({entries}))"))
+    names = ("rule_id", "rule_name", "description", "risk_weight", "risk_level", "risk_score")
+    entries = [F.when(F.expr(r.predicate(mode)), F.struct(*[
+        F.lit(v).alias(n) for n, v in zip(names, (r.rule_id, r.name, r.description, r.weight, r.level, float(r.weight)))])) for r in ranked]
+    empty = F.array().cast("array<struct<rule_id:string,rule_name:string,description:string,risk_weight:int,risk_level:string,risk_score:double>>")
+    return df.withColumn("matched_rules", F.array_compact(F.array(*entries)) if entries else empty)
 
 
 def explode_hits(df: DataFrame, *keep: str) -> DataFrame:

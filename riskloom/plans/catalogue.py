@@ -376,12 +376,31 @@ def rule_hits_intent(spark, sf_dir):
 
 @query
 def rules_enabled(spark, sf_dir):
-    """Hits joined to a rule table with some rules off and other weights."""
+    """Hits of the rules that a table switches on, with its weights and levels.
+
+    The table also holds rows that must neither run nor stop anything: quotes, NULLs, unknown levels and rules.
+    """
     table = rules.definitions(spark).withColumns({
         "enabled": F.col("risk_weight") != 30, "risk_weight": (F.col("risk_weight") + 5).cast("int"), "version": F.lit(2)})
-    hits = rules.explode_hits(rules.evaluate_rules(with_sanctions(spark, sf_dir)), "transaction_id")
-    return (joins.attach_rule_meta(hits, table).groupBy("rule_id", "weight", "level", "version")
-            .agg(F.count("*").alias("hits")))
+    odd = spark.createDataFrame([
+        ("R004", "IT'S", None, 500, "X' || version() || '", "a 'b'", True, 2), ("R202", "n", None, None, "HIGH", "d", True, 2),
+        ("R203", "n", None, 500, "IT'S", "d", True, 2), ("R204", "n", None, 500, None, "d", True, 2),
+        ("X' or 1=1", "n", None, 500, "HIGH", "d", True, 2), (None, "n", None, 500, "HIGH", "d", True, 2),
+        ("R206", "n", None, -1, "LOW", "d", True, 2), ("R305", "n", None, 500, "HIGH", "d", None, 2)], table.schema)
+    table = table.unionByName(odd)
+    hits = rules.explode_hits(rules.evaluate_rules(with_sanctions(spark, sf_dir), rules.load_rules(table)), "transaction_id")
+    return hits.groupBy("rule_id", F.col("risk_weight").alias("weight"), F.col("risk_level").alias("level")).agg(
+        F.count("*").alias("hits")).withColumn("version", F.lit(2))
+
+
+@query
+def rules_rejected(spark, sf_dir):
+    """Enabled rows of the watch list read as a rule table: none can be used, each says why."""
+    table = b.blacklist(spark, sf_dir).selectExpr(
+        "if(entity_value % 3 = 0, 'R001', concat('X', entity_value)) as rule_id", "list_type as rule_name", "entity_type as rule_category",
+        "if(entity_value % 2 = 0, null, 10) as risk_weight", "concat(\"it's \", entity_value) as risk_level", "entity_hash as description",
+        "enabled", "1 as version")
+    return rules.rejected_rules(table).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query

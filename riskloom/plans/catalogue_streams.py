@@ -10,7 +10,7 @@ from riskloom.operators.latest import latest_per_key
 from riskloom.plans import bindings as b
 from riskloom.plans.catalogue import money, query
 from riskloom.session import materialise, new_folder
-from riskloom.streaming import account_state, ingest, pipeline, repair, sinks
+from riskloom.streaming import account_state, ingest, pipeline, profile_state, repair, sinks
 
 FEATURES = ("count_1h", "count_24h", "device_count_30d", "city_count_30d", "counterparty_count_30d", "is_first_device")
 
@@ -145,6 +145,27 @@ def stream_enrich(spark, sf_dir):
     return _collected(spark, ingest.enrich_stream(stream, profile, "customer_id"), "stream-enrich")
 
 
+@query
+def stream_profile_asof(spark, sf_dir):
+    """Events, some 30 hours late, some with a clock ahead, with the customer profile in force at their time.
+
+    Of profile changes, too, only what has arrived can be seen.
+    """
+    root = new_folder(spark, "stream-profile")
+    day = "cast(floor(unix_seconds(cast(last_update as timestamp)) / 432000) as int)"
+    changes = b.profile_log(spark, sf_dir).withColumn("arrival", F.expr(day))
+    events = late_events(spark, sf_dir).selectExpr("transaction_id", "cast(account_id as long) as customer_id", "transaction_time", "arrival")
+    for number in [r[0] for r in events.select("arrival").union(changes.select("arrival")).distinct().orderBy("arrival").collect()]:
+        for name, rows in (("changes", changes), ("events", events)):  # a file of each per micro-batch
+            rows.filter(F.col("arrival") == number).drop("arrival").coalesce(1).write.parquet(f"{root}/{name}/part={number:06d}")
+    options = {"maxFilesPerTrigger": "1", "recursiveFileLookup": "true"}
+    live, log = (ingest.read_stream(spark, "parquet", options, f"{root}/{name}", rows.drop("arrival").schema)
+                 for name, rows in (("events", events), ("changes", changes)))
+    seen = profile_state.with_profile_asof(live, log, "customer_id", "transaction_time", "last_update", "seq", ["risk_level"], op="op")
+    out = _collected(spark, seen, "stream-profile-out")
+    return out.select("transaction_id", "risk_level", F.col("profile_since").cast("timestamp_ntz").alias("profile_since"))
+
+
 @query
 def stream_features(spark, sf_dir):
     stream = featured_stream(spark, sf_dir).select(

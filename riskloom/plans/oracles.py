@@ -407,6 +407,8 @@ oracle("rule_hits", """select transaction_id, rule_id, rule_name, w as risk_weig
 oracle("rule_hits_intent", "select transaction_id, rule_id from hits_intent", "hits_intent")
 oracle("rules_enabled", """select rule_id, w + 5 as weight, lvl as level, 2 as version, count(*) as hits from hits
   where w <> 30 group by rule_id, w, lvl""", "hits")
+oracle("rules_rejected", """select case when s_suppkey % 3 <> 0 then 'unknown rule' when s_suppkey % 2 = 0 then 'no usable weight'
+    else 'unknown level' end as reason, count(*) as n from supplier where s_acctbal < 0 and s_suppkey % 7 <> 0 group by 1""")
 oracle("rule_score", """select transaction_id, coalesce(cast(rule_score as double), 0.0) as rule_score,
   coalesce(rule_count, 0) as rule_count, coalesce(total_weight, 0.0) as total_weight,
   case lvl when 3 then 'HIGH' when 2 then 'MEDIUM' else 'LOW' end as highest_risk_level

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from riskloom.streaming import payload
+
 HOUR = 3_600_000_000  # microseconds
 DAY, MONTH = 24 * HOUR, 30 * 24 * HOUR
 SLACK = HOUR          # kept beyond the window for rows out of order
@@ -202,31 +204,18 @@ def stream_features(stream: DataFrame, key: str = "account_id", late_policy: str
         raise ValueError("late_policy must be 'process' or 'drop'")
     # the row travels as one column of strings: a wide frame per account would cost more
     # to convert than the features cost to compute
-    nested = (T.ArrayType, T.StructType, T.MapType)
-    packed, unpacked = [], []
-    for number, field in enumerate(stream.schema.fields):
-        name, kind, item = field.name.replace("`", "``"), field.dataType.simpleString(), f"payload[{number}]"
-        if isinstance(field.dataType, nested):
-            packed.append(f"to_json(`{name}`)")
-            unpacked.append(f"from_json({item}, '{field.dataType.simpleString()}') as `{name}`")
-        elif isinstance(field.dataType, T.BinaryType):
-            packed.append(f"base64(`{name}`)")
-            unpacked.append(f"unbase64({item}) as `{name}`")
-        else:
-            packed.append(f"cast(`{name}` as string)")
-            unpacked.append(f"cast({item} as {kind}) as `{name}`")
     timed = f"`{ts}` is not null" if ts in stream.columns else "true"
     ready = stream.selectExpr(
         f"coalesce(cast({key} as string), 'unknown') as account_key", "event_time", "transaction_id", f"{timed} as timed",
         "unix_micros(event_time) as micros", "cast(coalesce(amount, 0) * 100 as bigint) as cents",
-        *[a for a, _ in ATTRIBUTES], f"array({', '.join(packed)}) as payload")
+        *[a for a, _ in ATTRIBUTES], f"{payload.packed(stream.schema)} as payload")
     added = [("count_1h", T.IntegerType()), ("cents_1h", T.LongType()), ("count_24h", T.IntegerType()),
              ("cents_24h", T.LongType()), *[(m, T.IntegerType()) for _, m in ATTRIBUTES],
              ("count_all", T.LongType()), ("cents_all", T.LongType())]
     schema = T.StructType([ready.schema["payload"], *[T.StructField(n, t) for n, t in added]])
     out = ready.groupBy("account_key").transformWithStateInPandas(
         AccountState(remember), schema, "Append", "EventTime" if late_policy == "drop" else "None")
-    out = out.selectExpr(*unpacked, *[n for n, _ in added])
+    out = out.selectExpr(*payload.unpacked(stream.schema), *[n for n, _ in added])
 
     def yuan(column):
         return (F.col(column).cast("decimal(20,0)") / 100).cast("decimal(18,2)")
