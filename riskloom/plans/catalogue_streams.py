@@ -20,12 +20,17 @@ def event_stream(spark, sf_dir) -> DataFrame:
     return ingest.read_stream(spark, "parquet", {"pathGlobFilter": "events.parquet"}, sf_dir, schema)
 
 
-def featured_stream(spark, sf_dir) -> DataFrame:
-    """Events as they come in: cleaned, timed, de-duplicated, with their account features."""
+def cleaned_stream(spark, sf_dir) -> DataFrame:
+    """Events as they come in: cleaned and timed."""
     text = F.lit(None).cast("string")
     rows = b.events_view(event_stream(spark, sf_dir)).withColumns(
         {"account_id_hash": text, "counterparty_account": text, "currency": text})
-    return account_state.stream_features(ingest.with_event_time(ingest.clean_stream(rows)))
+    return ingest.with_event_time(ingest.clean_stream(rows))
+
+
+def featured_stream(spark, sf_dir) -> DataFrame:
+    """De-duplicated events with their account features."""
+    return account_state.stream_features(cleaned_stream(spark, sf_dir))
 
 
 def _collected(spark, stream: DataFrame, name: str) -> DataFrame:
@@ -240,3 +245,16 @@ def stream_feature_store(spark, sf_dir):
     return stored.select("account_id_hash", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "count_1h", "count_24h",
                          "device_count_30d", "city_count_30d", "counterparty_count_30d", "ip_risk_level",
                          F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
+
+
+@query
+def stream_store_served(spark, sf_dir):
+    """Current features of every account, read from the state of the running job itself."""
+    root = new_folder(spark, "stream-served")
+    stream = cleaned_stream(spark, sf_dir)
+    out = account_state.stream_features(stream, serve_seconds=86400)
+    pipeline.run_available(out, lambda rows, batch_id: rows.write.format("noop").mode("overwrite").save(), f"{root}/checkpoint",
+                           at_once=True)
+    served = account_state.served_features(spark, f"{root}/checkpoint", stream.schema)
+    return served.select("account_id_hash", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "count_1h", "count_24h",
+                         "device_count_30d", "city_count_30d", "counterparty_count_30d", "ip_risk_level")

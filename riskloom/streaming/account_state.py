@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -33,6 +33,10 @@ CONFIRM = 3           # events that have to be newer than a time before it moves
 ATTRIBUTES = (("device_id", "device_count_30d"), ("ip_city", "city_count_30d"),
               ("counterparty_hash", "counterparty_count_30d"))
 
+MEASURES = (("count_1h", "int"), ("cents_1h", "long"), ("count_24h", "int"), ("cents_24h", "long"),
+            *[(m, "int") for _, m in ATTRIBUTES], ("count_all", "long"), ("cents_all", "long"))
+CURRENT = "micros long, payload array<string>, " + ", ".join(f"{n} {kind}" for n, kind in MEASURES)
+
 
 def _running(starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     """For each of n rows the sum of the weights whose [start, end) contains it."""
@@ -44,8 +48,8 @@ def _running(starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, n: int)
 
 
 class AccountState(StatefulProcessor):
-    def __init__(self, remember: int = REMEMBER):
-        self.remember = remember
+    def __init__(self, remember: int = REMEMBER, serve_seconds: int = 0):
+        self.remember, self.serve_seconds = remember, serve_seconds
         self.lateness = (remember or REMEMBER) * HOUR
 
     def init(self, handle) -> None:
@@ -56,6 +60,8 @@ class AccountState(StatefulProcessor):
         self.slices = handle.getMapState("slices", "hour long", "times array<long>, cents array<long>")
         self.profile = handle.getValueState(
             "profile", "n long, cents long, attributes array<int>, values array<string>, last array<long>")
+        if self.serve_seconds:
+            self.current = handle.getValueState("current", CURRENT, self.serve_seconds * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
@@ -88,10 +94,18 @@ class AccountState(StatefulProcessor):
         out["count_all"], out["cents_all"] = n_before + own + 1, cents_before + np.cumsum(cents)
         self._remember(int(out["count_all"][-1]), int(out["cents_all"][-1]), known, clock - self.lateness)
         self._store(times, cents, kept, (clock - DAY - self.lateness - SLACK) // HOUR)
-        if timerValues.getCurrentWatermarkInMs() >= 0:
+        if self.serve_seconds:
+            self._serve(times, out)
+        if not self.serve_seconds and timerValues.getCurrentWatermarkInMs() >= 0:
             self.handle.registerTimer(int(times[-1] + DAY + SLACK) // 1000)
         yield pd.DataFrame(out)
 
+    def _serve(self, times: np.ndarray, out: dict[str, np.ndarray]) -> None:
+        """Keeps the features of the newest event; the store forgets them ``serve_seconds`` after the last write."""
+        held = self.current.get()
+        if held is None or held[0] <= int(times[-1]):
+            self.current.update((int(times[-1]), list(out["payload"][-1]), *[int(out[n][-1]) for n, _ in MEASURES]))
+
     def _clock(self, times: np.ndarray) -> int:
         """The account's clock after these event times: the oldest of the ``CONFIRM`` newest of all distinct ones."""
         before = self.newest.get()
@@ -190,7 +204,7 @@ class AccountState(StatefulProcessor):
 
 
 def stream_features(stream: DataFrame, key: str = "account_id", late_policy: str = "process",
-                    remember: int = REMEMBER, ts: str = "transaction_time") -> DataFrame:
+                    remember: int = REMEMBER, ts: str = "transaction_time", serve_seconds: int = 0) -> DataFrame:
     """Adds the real-time features to a stream that has an ``event_time``, one row per transaction id.
 
     ``process`` answers every row however late, without event-time timers; ``drop`` ignores
@@ -199,9 +213,14 @@ def stream_features(stream: DataFrame, key: str = "account_id", late_policy: str
     number of hours of event time for which ids are known; 0 turns de-duplication off.  Rows
     without ``ts`` have the time of their arrival and do not move their account's clock.
     Columns of any type pass through.
+
+    With ``serve_seconds`` the state also holds each account's current features, for that long
+    after their last write; ``served_features`` reads them from the checkpoint.
     """
     if late_policy not in ("process", "drop"):
         raise ValueError("late_policy must be 'process' or 'drop'")
+    if serve_seconds and late_policy == "drop":
+        raise ValueError("features are served by time of processing, which needs late_policy='process'")
     # the row travels as one column of strings: a wide frame per account would cost more
     # to convert than the features cost to compute
     timed = f"`{ts}` is not null" if ts in stream.columns else "true"
@@ -209,20 +228,35 @@ def stream_features(stream: DataFrame, key: str = "account_id", late_policy: str
         f"coalesce(cast({key} as string), 'unknown') as account_key", "event_time", "transaction_id", f"{timed} as timed",
         "unix_micros(event_time) as micros", "cast(coalesce(amount, 0) * 100 as bigint) as cents",
         *[a for a, _ in ATTRIBUTES], f"{payload.packed(stream.schema)} as payload")
-    added = [("count_1h", T.IntegerType()), ("cents_1h", T.LongType()), ("count_24h", T.IntegerType()),
-             ("cents_24h", T.LongType()), *[(m, T.IntegerType()) for _, m in ATTRIBUTES],
-             ("count_all", T.LongType()), ("cents_all", T.LongType())]
-    schema = T.StructType([ready.schema["payload"], *[T.StructField(n, t) for n, t in added]])
+    schema = "payload array<string>, " + ", ".join(f"{n} {kind}" for n, kind in MEASURES)
+    mode = "ProcessingTime" if serve_seconds else "EventTime" if late_policy == "drop" else "None"
     out = ready.groupBy("account_key").transformWithStateInPandas(
-        AccountState(remember), schema, "Append", "EventTime" if late_policy == "drop" else "None")
-    out = out.selectExpr(*payload.unpacked(stream.schema), *[n for n, _ in added])
+        AccountState(remember, serve_seconds), schema, "Append", mode)
+    return _finished(out, stream.schema)
+
+
+def served_features(spark: SparkSession, checkpoint: str, schema: T.StructType, now: str | None = None) -> DataFrame:
+    """Current features of every account, read from the state of a query that serves them.
+
+    One row per account, with ``account_key`` and ``expires_at``; ``schema`` is that of the stream given to
+    ``stream_features``, and ``now`` (default: the time of reading) decides what has expired.
+    """
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "current").load()
+    value = state.selectExpr("key.account_key as account_key", "value.value.*", "timestamp_millis(value.ttlExpirationMs) as expires_at")
+    moment = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+    return _finished(value.filter(F.col("expires_at") > moment), schema, "account_key", "expires_at")
+
+
+def _finished(rows: DataFrame, schema: T.StructType, *keep: str) -> DataFrame:
+    """Rows of the state operator under the names and types of the stream, with amounts and ratios."""
+    rows = rows.selectExpr(*keep, *payload.unpacked(schema), *[n for n, _ in MEASURES])
 
     def yuan(column):
         return (F.col(column).cast("decimal(20,0)") / 100).cast("decimal(18,2)")
 
     mean = F.col("cents_all") / 100.0 / F.col("count_all")  # the order of the batch operator
     deviation = F.when(F.col("count_all") >= 2, F.try_divide(F.abs(F.col("amount").cast("double") - mean), mean))
-    return out.select(
-        *stream.columns, "count_1h", yuan("cents_1h").alias("amount_1h"), "count_24h", yuan("cents_24h").alias("amount_24h"),
+    return rows.select(
+        *keep, *schema.names, "count_1h", yuan("cents_1h").alias("amount_1h"), "count_24h", yuan("cents_24h").alias("amount_24h"),
         *[m for _, m in ATTRIBUTES], F.coalesce(deviation, F.lit(0.0)).alias("amount_deviation"),
         F.coalesce(F.col("device_id").isNotNull() & (F.col("device_count_30d") == 1), F.lit(False)).alias("is_first_device"))

@@ -49,9 +49,13 @@ def start(stream: DataFrame, each: Batch, checkpoint: str, trigger: dict | None
         return writer.trigger(**(trigger or {"processingTime": "60 seconds"})).start()
 
 
-def run_available(stream: DataFrame, each: Batch, checkpoint: str) -> StreamingQuery:
-    """Process everything there is, then stop.  State partitions are the session's shuffle partitions."""
-    query = start(stream, each, checkpoint, {"availableNow": True})
+def run_available(stream: DataFrame, each: Batch, checkpoint: str, at_once: bool = False) -> StreamingQuery:
+    """Process everything there is, then stop.  State partitions are the session's shuffle partitions.
+
+    A stateful operator that works by time of processing always has another micro-batch to run: such a
+    stream takes everything ``at_once``, in one micro-batch.
+    """
+    query = start(stream, each, checkpoint, {"once": True} if at_once else {"availableNow": True})
     query.awaitTermination()
     return query
 
