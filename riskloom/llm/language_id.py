@@ -117,7 +117,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the rejected documents, columns unchanged."""
+    """``docs`` without the rejected documents, columns unchanged.
+
+    Without any labelled row outside the held-out part there is no classifier, and every document stays.
+    """
     dictionaries = fit(docs.filter(~held_out(support.col(doc_id))), doc_id=doc_id, text=text, lang=lang)
     if not dictionaries:
         return docs

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -381,3 +382,28 @@ def test_language_sample_holds_every_language(spark):
                                  "id long, text string, lang string")
     docs = rows.unionByName(rare).withColumnRenamed("id", "doc_id")
     assert set(language_id.fit(docs, sample_rows=30)) == {"en", "pl", "de"}
+
+
+def test_language_sizes_equal_fresh_compressors(spark, documents, edge):
+    """Prediction and margin of every text from a new compressor for each block and language."""
+    labelled = documents.filter(~language_id.held_out(F.col("doc_id")))
+    dictionaries = language_id.fit(labelled)
+    df = documents.select("doc_id", "text").unionByName(edge.select("doc_id", "text")).limit(60)
+    letters = {(r["doc_id"], r["text"]): r["t"] for r in df.withColumn("t", language_id.letters_only(F.col("text"))).collect()}
+    for r in language_id.identify(df, dictionaries).collect():
+        text, sizes = letters[r["doc_id"], r["text"]], {}
+        if not text:
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        for language, content in dictionaries.items():
+            sizes[language] = 0
+            for at in range(0, len(text), language_id.BLOCK_CHARS):
+                settings = zstandard.ZstdCompressionParameters.from_level(
+                    language_id.LEVEL, min_match=language_id.MIN_MATCH, write_content_size=False, write_checksum=False,
+                    write_dict_id=False, source_size=language_id.BLOCK_CHARS, dict_size=len(content))
+                words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                fresh = zstandard.ZstdCompressor(dict_data=words, compression_params=settings)
+                sizes[language] += len(fresh.compress(text[at:at + language_id.BLOCK_CHARS].encode()))
+        first, second = sorted((n, language) for language, n in sizes.items())[:2]
+        assert r["lang_pred"] == first[1] and r["score"] == 1.0 - first[0] / second[0]
+        assert r["rejected"] == (r["score"] < language_id.MIN_MARGIN)
