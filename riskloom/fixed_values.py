@@ -129,3 +129,6 @@ DEFAULT_TEXT = {
 DEFAULT_NUMBERS = ("amount", "amount_1h", "count_1h", "amount_24h", "count_24h",
                    "device_count_30d", "city_count_30d", "amount_deviation")
 DEFAULT_FLAGS = ("is_emulator", "is_rooted", "is_first_device", "is_night_time", "is_cross_border")
+
+# --- report trends -------------------------------------------------------------
+TREND_UP, TREND_DOWN, TREND_FLAT = "上升", "下降", "持平"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SKETCH_K = 200  # size of a quantile sketch
+
 
 def latency_windows(audit: DataFrame, length: str, slide: str | None = None, ts: str = "created_at") -> DataFrame:
     """P50 / P95 / P99 of the processing time per window.
@@ -60,3 +62,27 @@ def alert_conditions(audit: DataFrame, step: str, sustained: int, latency_ms: fl
              .select("condition", "last", F.explode(F.sequence(F.col("step"), F.col("step") + every * (sustained - 1), every)).alias("at")))
     return (votes.filter(F.col("at") <= F.col("last")).groupBy("condition", F.col("at").alias("step"))
             .agg(F.count("*").alias("votes")).filter(F.col("votes") == sustained).select("condition", "step"))
+
+
+# --- sketches, for streams and long ranges -------------------------------------------------------
+
+def latency_sketches(audit: DataFrame, step: str, ts: str = "created_at", by: tuple[str, ...] = ()) -> DataFrame:
+    """A mergeable sketch of processing times per step (and ``by``): ``window_start``, ``n``, ``sketch``.
+
+    Works on a stream with a watermark as on a table.
+    """
+    return (audit.groupBy(F.window(ts, step).alias("w"), *by).agg(
+        F.count("processing_time_ms").alias("n"), F.kll_sketch_agg_double(F.col("processing_time_ms").cast("double"), F.lit(SKETCH_K)).alias("sketch"))
+        .select(F.col("w.start").alias("window_start"), *by, "n", "sketch"))
+
+
+def latency_from_sketches(sketches: DataFrame, length: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """P50 / P95 / P99 of longer windows, merged from the sketches of their steps.
+
+    A quantile is a time of the window whose rank is within 1.7 % (99 % confidence, ``SKETCH_K`` = 200) of the asked
+    one; windows of up to ``SKETCH_K`` times are exact.
+    """
+    merged = sketches.groupBy(F.window("window_start", length).alias("w"), *by).agg(
+        F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    quantiles = [F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(f"p{int(q * 100)}_ms") for q in (0.5, 0.95, 0.99)]
+    return merged.filter("n > 0").select(F.col("w.start").alias("window_start"), *by, "n", *quantiles)

@@ -74,6 +74,19 @@ def page(df: DataFrame, order: list[Column], number: int, size: int, status: str
     return rows.orderBy(*order).offset(number * size).limit(size)
 
 
+def page_after(df: DataFrame, order: list[str], size: int, after: tuple | None = None, status: str = "ALL",
+               column: str = "alert_status") -> DataFrame:
+    """The page that follows the row with the keys ``after`` (the first one without): every page costs the same.
+
+    ``order`` are ascending columns without NULLs that identify a row together; each task keeps ``size`` rows.
+    """
+    rows = df if status == "ALL" else df.filter(F.col(column) == status)
+    if after is not None:
+        last = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, after)])
+        rows = rows.filter(F.struct(*order) > last)
+    return rows.orderBy(*order).limit(size)
+
+
 def page_summary(df: DataFrame, number: int, size: int, status: str = "ALL", column: str = "alert_status",
                  mode: str = "literal") -> DataFrame:
     """``total``, ``page`` and ``size`` beside a page.

@@ -5,14 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom import fixed_values as fv
 from riskloom.functions.columns import ratio
-
-# Trend labels.
-TREND_UP, TREND_DOWN, TREND_FLAT = "上升", "下降", "持平"
+from riskloom.operators.latest import latest_per_key
 
 GRAINS = {"daily": "day", "weekly": "week", "monthly": "month"}
 
 
+def report_base(alerts: DataFrame, transactions: DataFrame, cases: DataFrame, customers: DataFrame) -> DataFrame:
+    """One row per alert with its transaction, the latest state of its case, and its customer.
+
+    ``status`` is that of the alert's own case, else of the alert.  Alerts without a transaction, case or
+    customer stay, with NULLs.  Keys are compared as text.
+    """
+    def text(name):
+        return F.col(name).cast("string").alias(name)
+
+    paid = transactions.select(text("transaction_id"), "amount", F.col("transaction_time").alias("trans_time"))
+    last = latest_per_key(cases.select(text("alert_id"), "case_id", "case_status", "updated_at"), ["alert_id"], ["updated_at", "case_id"])
+    who = customers.select(text("customer_id"), "customer_name", "account_type")
+    rows = alerts.withColumns({c: F.col(c).cast("string") for c in ("alert_id", "transaction_id", "customer_id")})
+    joined = rows.join(paid, "transaction_id", "left").join(last, "alert_id", "left").join(who, "customer_id", "left")
+    return joined.select(
+        F.to_date("created_at").alias("report_date"), "alert_id", "transaction_id", "trans_time", "customer_id", "customer_name",
+        "account_type", "amount", "alert_type", "risk_level", "case_id",
+        F.coalesce("case_status", "alert_status").alias("status"), F.coalesce("updated_at", "created_at").alias("last_update"))
+
+
 def compliance_report(suspicious: DataFrame, case_state: DataFrame) -> DataFrame:
     """Suspicious payments with the handling status of their customer (NEW when none)."""
     status = case_state.select("customer_id", F.col("case_status").alias("status"))
@@ -55,5 +74,5 @@ def kpi_report(suspicious: DataFrame, cases: DataFrame, grain: str) -> DataFrame
     change = ratio(F.col("value") - F.col("previous"), F.col("previous"))
     return long.withColumn("previous", previous).select(
         "period", "metric", "value", change.alias("change"),
-        F.when(F.col("value") > F.col("previous"), TREND_UP).when(F.col("value") < F.col("previous"), TREND_DOWN)
-         .when(F.col("value") == F.col("previous"), TREND_FLAT).alias("trend"))
+        F.when(F.col("value") > F.col("previous"), fv.TREND_UP).when(F.col("value") < F.col("previous"), fv.TREND_DOWN)
+         .when(F.col("value") == F.col("previous"), fv.TREND_FLAT).alias("trend"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators import cleaning, compliance, features, fusion, joins, latest, model, rules, scoring
+from riskloom.operators import cleaning, compliance, features, fusion, joins, latest, model, partials, rules, scoring
 from riskloom.plans import assess as flow
 from riskloom.plans import bindings as b
 from riskloom.session import new_folder
@@ -286,6 +286,17 @@ def features_30d(spark, sf_dir):
     return out.withColumns(money(*FEATURE_MONEY) | rounded(*FEATURE_RATIOS, places=4))
 
 
+@query
+def features_30d_partials(spark, sf_dir):
+    """The same features merged from stored days; the last day is run twice."""
+    path = new_folder(spark, "daily-partials")
+    rows = _profiled(spark, sf_dir)
+    partials.write_days(partials.daily_partials(rows), path)
+    partials.write_days(partials.daily_partials(rows.filter(F.to_date("transaction_time") == F.date_sub(F.to_date(F.lit(b.AS_OF)), 1))), path)
+    out = partials.features_from_partials(spark, path, b.AS_OF)
+    return out.withColumns(money(*FEATURE_MONEY) | rounded(*FEATURE_RATIOS, places=4))
+
+
 @query
 def deviation_features(spark, sf_dir):
     out = features.deviation_features(_profiled(spark, sf_dir), b.AS_OF)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators import compliance, kpi, latest, lifecycle, links, model, reports, scoring, similar
+from riskloom.operators import (
+    case_search, compliance, ivf, kpi, latest, lifecycle, links, model, reports, scoring, similar,
+)
 from riskloom.plans import bindings as b
 from riskloom.plans.catalogue import (
     FUSED, assessed, audit, enriched, merged_features, money, query, rounded, scored,
 )
-from riskloom.session import new_folder
+from riskloom.session import materialise, new_folder
 from riskloom.sources import writers
 
 # --- links ---------------------------------------------------------------------------------------
@@ -103,6 +105,46 @@ def vector_topk_lsh(spark, sf_dir):
                                    rows.select(F.col("vec_id").alias("case_id"), F.col("embedding").alias("vector")))
 
 
+def ivf_index(spark, sf_dir) -> tuple[DataFrame, ivf.Index]:
+    rows = vectors(spark, sf_dir)
+    cases = rows.select(F.col("vec_id").alias("case_id"), F.col("embedding").alias("vector"))
+    path = new_folder(spark, "vector-index")
+    ivf.build(cases, path)
+    return cases.withColumnRenamed("case_id", "query_id"), ivf.load(spark, path)
+
+
+@query
+def vector_topk_ivf(spark, sf_dir):
+    """Exact top-k over the persisted index: further cells are probed as long as they can hold something better."""
+    queries, index = ivf_index(spark, sf_dir)
+    hits, _ = ivf.search(queries, index)
+    return hits
+
+
+@query
+def vector_ivf_recall(spark, sf_dir):
+    """Approximate search of the rows with ``vec_id % 100 = 0``: recall and shares of pairs scanned and compared."""
+    queries, index = ivf_index(spark, sf_dir)
+    asked = queries.filter("query_id % 100 = 0")
+    probes = ivf.tuned_probes(queries, index, recall=0.95)
+    exact, _ = ivf.search(asked, index)
+    hits, counts = ivf.search(asked, index, probes=probes)
+    found = exact.join(hits.select("query_id", "case_id", F.lit(1).alias("hit")), ["query_id", "case_id"], "left")
+    total = int(index.sizes.sum())
+    pairs = counts.agg(F.count("*").alias("queries"), (F.sum("scanned") / F.count("*") / total).alias("scanned"),
+                       (F.sum("compared") / F.count("*") / total).alias("compared")).first()
+    return found.agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall")).withColumns({
+        "queries": F.lit(pairs["queries"]), "probes": F.lit(probes), "cells": F.lit(int((index.sizes > 0).sum())),
+        "scanned": F.lit(pairs["scanned"]), "compared": F.lit(pairs["compared"])})
+
+
+@query
+def embed_cases_symbols(spark, sf_dir):
+    """Components of the case vectors of the plain encoder."""
+    out = similar.embed(similar.case_text(case_library(spark, sf_dir)), "case_text", case_search.symbol_counts)
+    return out.select("case_id", F.posexplode("vector").alias("pos", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
 @query
 def embed_cases(spark, sf_dir):
     texts = similar.case_text(case_library(spark, sf_dir))
@@ -174,6 +216,19 @@ def assess_with_cases(spark, sf_dir):
     return out.select(*FUSED, F.round("kb_score", 4).alias("kb_score"), F.array_join("similar_cases", ",").alias("similar_cases"))
 
 
+@query
+def assess_with_library(spark, sf_dir):
+    """The assessment with the case search of every transaction over a persisted index."""
+    from riskloom.plans import assess as flow
+    rows = materialise(enriched(spark, sf_dir), "enriched")
+    path = new_folder(spark, "case-library")
+    case_search.build_library(case_library(spark, sf_dir), path)
+    plain = rows.withColumn("amount_deviation", F.round("amount_deviation", 4).cast("decimal(20,4)"))
+    found = case_search.search_library(plain, ivf.load(spark, path))
+    out = flow.assess(rows, sanctions=b.sanctions(b.events(spark, sf_dir)), similar=found, stand_in=True)
+    return out.select(*FUSED, F.round("kb_score", 6).alias("kb_score"), F.array_join("similar_cases", ",").alias("similar_cases"))
+
+
 def _held_out_scores(spark, sf_dir) -> DataFrame:
     """A model trained on four fifths of the accounts scores the rest.
 
@@ -242,6 +297,16 @@ def alert_page(spark, sf_dir):
     return lifecycle.page(rows, [F.col("updated_at"), F.col("alert_id")], 1, 10, "CLOSED")
 
 
+@query
+def alert_page_after(spark, sf_dir):
+    """The second page by the last key of the first one."""
+    rows = materialise(lifecycle.fold_alerts(b.alert_actions(spark, sf_dir)), "alert-states")
+    order = ["updated_at", "alert_id"]
+    first = lifecycle.page_after(rows, order, 10, status="CLOSED").collect()  # a page
+    last = max((r["updated_at"], r["alert_id"]) for r in first) if first else None
+    return lifecycle.page_after(rows, order, 10, last, "CLOSED")
+
+
 @query
 def alert_page_overflow(spark, sf_dir):
     rows = lifecycle.fold_alerts(b.alert_actions(spark, sf_dir))
@@ -306,6 +371,19 @@ def report_compliance(spark, sf_dir):
     return reports.compliance_report(suspicious(spark, sf_dir), latest_case(spark, sf_dir)).withColumns(money("amount"))
 
 
+@query
+def report_base(spark, sf_dir):
+    """Alerts with their transactions, cases (two thirds have one, in several states) and customers."""
+    raised = alerts(spark, sf_dir)
+    key = F.col("transaction_id").cast("long")
+    cases = lifecycle.create_cases(raised).filter(key % 3 != 0).withColumns({
+        "case_status": F.element_at(F.array(*[F.lit(s) for s in ("NEW", "ASSIGNED", "INVESTIGATING", "CLOSED")]), (key % 4 + 1).cast("int")),
+        "updated_at": F.col("created_at") + F.expr("make_dt_interval(cast(transaction_id % 50 as int))")})
+    stale = cases.withColumns({"case_status": F.lit("NEW"), "updated_at": F.col("created_at") - F.expr("interval 1 hour")})
+    out = reports.report_base(raised, b.events(spark, sf_dir), cases.unionByName(stale), b.customers(spark, sf_dir))
+    return out.withColumns(money("amount"))
+
+
 @query
 def report_customer_risk(spark, sf_dir):
     scores = scoring.batch_risk_scores(b.ledger(spark, sf_dir, parties=False), b.customers(spark, sf_dir), b.BATCH_DATE)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators import features
+from riskloom.operators import case_search, features, ivf, kpi
 from riskloom.operators.latest import latest_per_key
 from riskloom.plans import bindings as b
 from riskloom.plans.catalogue import money, query
-from riskloom.session import materialise, new_folder
-from riskloom.streaming import account_state, ingest, pipeline, profile_state, repair, sinks
+from riskloom.session import materialise, new_folder, remove_folder
+from riskloom.streaming import account_state, alert_state, ingest, pipeline, profile_state, repair, sinks
 
 FEATURES = ("count_1h", "count_24h", "device_count_30d", "city_count_30d", "counterparty_count_30d", "is_first_device")
 
@@ -40,12 +40,12 @@ def _collected(spark, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").drop("batch_id")
 
 
-def _fanned_out(spark, sf_dir) -> str:
+def _fanned_out(spark, sf_dir, **options) -> str:
     root = new_folder(spark, "stream-fanout")
     stream = featured_stream(spark, sf_dir)
     columns = ["transaction_id", "account_id", "transaction_type", "channel_code", "amount", "ip_risk_level"]
     each = pipeline.fan_out_batch(root, columns, sanctions=lambda s: b.sanctions(b.events(s, sf_dir)), stand_in=True,
-                                  profile_changes=lambda s: b.profile_changes(b.events(s, sf_dir)))
+                                  profile_changes=lambda s: b.profile_changes(b.events(s, sf_dir)), **options)
     pipeline.run_available(stream, each, f"{root}/checkpoint")
     return root
 
@@ -92,18 +92,31 @@ def late_events(spark, sf_dir) -> DataFrame:
         "transaction_time", F.expr(f"transaction_time + if({AHEAD}, interval 48 hours, interval 0 hours)"))
 
 
-def _late_replay(spark, sf_dir, policy: str):
-    """The late events, one file per micro-batch, late ones twice; and what the stream makes of them."""
+def _late_replay(spark, sf_dir, policy: str, restart: bool = False):
+    """The late events, one file per micro-batch, late ones twice; and what the stream makes of them.
+
+    With ``restart`` the query ends after every micro-batch, and the last commit of every run but the last is lost, so
+    the next run repeats that micro-batch from its offsets.
+    """
     root = new_folder(spark, "stream-late")
     events = late_events(spark, sf_dir)
     rows = events.unionByName(events.filter(LATE))
     arrivals = [r[0] for r in events.select("arrival").distinct().orderBy("arrival").collect()]  # a few
-    for number in arrivals:
-        rows.filter(F.col("arrival") == number).drop("arrival").coalesce(1).write.parquet(f"{root}/in/part={number:06d}")
     options = {"maxFilesPerTrigger": "1", "recursiveFileLookup": "true"}
-    source = ingest.read_stream(spark, "parquet", options, f"{root}/in", events.drop("arrival").schema)
-    out = account_state.stream_features(ingest.with_event_time(source), late_policy=policy)
-    done = pipeline.run_available(out, lambda rows, batch_id: sinks.write_batch(rows, f"{root}/out", batch_id), f"{root}/checkpoint")
+
+    def run():
+        source = ingest.read_stream(spark, "parquet", options, f"{root}/in", events.drop("arrival").schema)
+        out = account_state.stream_features(ingest.with_event_time(source), late_policy=policy)
+        return pipeline.run_available(out, lambda batch, i: sinks.write_batch(batch, f"{root}/out", i), f"{root}/checkpoint")
+
+    for place, number in enumerate(arrivals):
+        rows.filter(F.col("arrival") == number).drop("arrival").coalesce(1).write.parquet(f"{root}/in/part={number:06d}")
+        if restart:
+            done = run()
+            if place + 1 < len(arrivals):
+                remove_folder(spark, f"{root}/checkpoint/commits/{place}")
+    if not restart:
+        done = run()
     return spark.read.parquet(f"{root}/out"), done
 
 
@@ -119,6 +132,13 @@ def stream_late(spark, sf_dir):
     return _feature_rows(out.withColumn("late", F.expr(LATE)), "late")
 
 
+@query
+def stream_restart(spark, sf_dir):
+    """The same answers from a query that ends after every micro-batch and has to repeat the one before."""
+    out, _ = _late_replay(spark, sf_dir, "process", restart=True)
+    return _feature_rows(out.withColumn("late", F.expr(LATE)), "late")
+
+
 @query
 def stream_repair(spark, sf_dir):
     """The same output after its corrections: what a batch over all events gives."""
@@ -202,6 +222,19 @@ def stream_assess(spark, sf_dir):
     return value.select(F.from_json("value", fields).alias("r")).select("r.*")
 
 
+@query
+def stream_assess_cases(spark, sf_dir):
+    """The streaming assessment with its case search: each micro-batch probes the persisted index."""
+    path = new_folder(spark, "case-library")
+    case_search.build_library(b.documents_as_cases(spark, sf_dir), path)
+    index = ivf.load(spark, path)
+    root = _fanned_out(spark, sf_dir, similar=lambda rows: case_search.search_library(
+        rows.withColumns({"transaction_time": F.col("transaction_time"), "amount_deviation": F.round("amount_deviation", 4).cast("decimal(20,4)")}), index))
+    fields = "transaction_id string, risk_score double, risk_level string, decision string, kb_score double, similar_cases array<string>"
+    found = spark.read.parquet(f"{root}/assessed").select(F.from_json("value", fields).alias("r")).select("r.*")
+    return found.withColumns({"kb_score": F.round("kb_score", 6), "similar_cases": F.array_join("similar_cases", ",")})
+
+
 @query
 def stream_store_upsert(spark, sf_dir):
     """Latest event per user in an upserted store fed by several micro-batches; users gone for 10 days expire."""
@@ -228,6 +261,18 @@ def stream_kpi(spark, sf_dir):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query
+def stream_kpi_latency(spark, sf_dir):
+    """Hourly latency quantiles merged from sketches of ten minutes; the windows that are still open are there too."""
+    root = new_folder(spark, "stream-kpi-latency")
+    timed = ingest.with_event_time(event_stream(spark, sf_dir), ts="ts")
+    steps = kpi.latency_sketches(timed.withColumn("processing_time_ms", F.col("value").cast("int")), "10 minutes", "event_time")
+    pipeline.run_available(steps, lambda rows, batch_id: sinks.write_batch(rows, f"{root}/out", batch_id), f"{root}/checkpoint", mode="update")
+    newest = latest_per_key(spark.read.parquet(f"{root}/out"), ["window_start"], ["batch_id"])
+    out = kpi.latency_from_sketches(newest, "1 hour")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query
 def stream_cdc(spark, sf_dir):
     """The profile change log applied micro-batch by micro-batch."""
@@ -258,3 +303,31 @@ def stream_store_served(spark, sf_dir):
     served = account_state.served_features(spark, f"{root}/checkpoint", stream.schema)
     return served.select("account_id_hash", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "count_1h", "count_24h",
                          "device_count_30d", "city_count_30d", "counterparty_count_30d", "ip_risk_level")
+
+
+def _alert_life(spark, sf_dir) -> DataFrame:
+    """The actions on alerts in six micro-batches."""
+    root = new_folder(spark, "stream-alerts")
+    actions = b.alert_actions(spark, sf_dir)
+    part = F.expr("cast(floor(unix_seconds(cast(ts as timestamp)) / 432000) as int)")
+    for number in [r[0] for r in actions.select(part.alias("p")).distinct().orderBy("p").collect()]:
+        actions.filter(part == number).coalesce(1).write.parquet(f"{root}/in/part={number:06d}")
+    source = ingest.read_stream(spark, "parquet", {"maxFilesPerTrigger": "1", "recursiveFileLookup": "true"}, f"{root}/in", actions.schema)
+    out = alert_state.alert_life(ingest.with_event_time(source, ts="ts"), hours=24)
+    pipeline.run_available(out, lambda rows, batch_id: sinks.write_batch(rows, f"{root}/out", batch_id), f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out")
+
+
+@query
+def stream_alert_state(spark, sf_dir):
+    """Alerts as the stateful processor leaves them: the batch fold of their actions."""
+    out = alert_state.current_alerts(_alert_life(spark, sf_dir))
+    return out.select(F.col("alert_id").cast("long").alias("alert_id"), "alert_status", "assignee", "escalation_level",
+                      F.col("at").cast("timestamp_ntz").alias("updated_at"))
+
+
+@query
+def stream_escalations(spark, sf_dir):
+    """Alerts whose deadline passed before anybody had handled them."""
+    out = _alert_life(spark, sf_dir).filter(F.col("kind") == alert_state.ESCALATION)
+    return out.select(F.col("alert_id").cast("long").alias("alert_id"), F.col("at").cast("timestamp_ntz").alias("deadline"))

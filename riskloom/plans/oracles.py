@@ -388,6 +388,7 @@ CTE["deviation"] = (("recent30",), f"""
   left join (select account_id, avg(cast(amount as double)) as pa, {avg4("amount")} as pa4, count(*) as pc from recent30
         where transaction_time < timestamp '{b.AS_OF}' - interval 7 day group by 1) p using (account_id)""")
 oracle("features_30d", "select * from base30", "base30")
+oracle("features_30d_partials", "select * from base30", "base30")
 oracle("deviation_features", "select * from deviation", "deviation")
 oracle("features_merged", f"""select *, '2.0' as feature_version, timestamp '{b.AS_OF}' as computed_at
   from base30 left join deviation using (customer_id_hash)""", "base30", "deviation")

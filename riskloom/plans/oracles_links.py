@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from riskloom import fixed_values as fv
 from riskloom.operators import reports
+from riskloom.operators.case_search import SYMBOLS
 from riskloom.plans import bindings as b
 from riskloom.plans.oracles import CTE, _customer_level, oracle
 
@@ -43,17 +44,21 @@ oracle("link_components", """select customer_id, component from (
 
 # --- similar cases -------------------------------------------------------------------------------
 _labels = fv.CASE_TEXT_LABELS
-oracle("case_text", f"""select case_id, concat_ws(chr(10), '{_labels[0]}: ' || case_title, '{_labels[1]}: ' || case_type,
+CTE["case_texts"] = (("cases",), f"""
+  select case_id, concat_ws(chr(10), '{_labels[0]}: ' || case_title, '{_labels[1]}: ' || case_type,
   '{_labels[2]}: ' || coalesce(nullif(fraud_pattern, ''), '{fv.TEXT_UNKNOWN}'),
   '{_labels[3]}: ' || coalesce(nullif(modus_operandi, ''), '{fv.TEXT_NONE}'), '{_labels[4]}: ' || case_description,
-  '{_labels[5]}: ' || coalesce(nullif(resolution, ''), '{fv.TEXT_NONE}')) as case_text from cases""", "cases")
+  '{_labels[5]}: ' || coalesce(nullif(resolution, ''), '{fv.TEXT_NONE}')) as case_text from cases""")
+oracle("case_text", "select * from case_texts", "case_texts")
 _t = fv.TRANSACTION_TEXT_LABELS
-oracle("txn_text", f"""select transaction_id, concat_ws(chr(10), '{_t[0]}: ' || cast(amount as varchar), '{_t[1]}: ' || transaction_type,
+CTE["txn_texts"] = (("feat",), f"""
+  select transaction_id, concat_ws(chr(10), '{_t[0]}: ' || cast(amount as varchar), '{_t[1]}: ' || transaction_type,
   '{_t[2]}: ' || channel_code, '{_t[3]}: ' || rtrim(rtrim(strftime(transaction_time, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.'),
   '{_t[4]}: ' || count_1h, '{_t[5]}: ' || count_24h,
   '{_t[6]}: ' || case when is_first_device then 'True' else 'False' end,
   '{_t[7]}: ' || case when is_cross_border then 'True' else 'False' end, '{_t[8]}: ' || ip_risk_level,
-  '{_t[9]}: ' || device_count_30d, '{_t[10]}: ' || city_count_30d, '{_t[11]}: ' || cast(cast(round(amount_deviation, 4) as decimal(20, 4)) as varchar)) as txn_text from feat""", "feat")
+  '{_t[9]}: ' || device_count_30d, '{_t[10]}: ' || city_count_30d, '{_t[11]}: ' || cast(cast(round(amount_deviation, 4) as decimal(20, 4)) as varchar)) as txn_text from feat""")
+oracle("txn_text", "select * from txn_texts", "txn_texts")
 
 CTE["sims"] = ((), """
   select q.vec_id as query_id, c.vec_id as case_id,
@@ -62,8 +67,33 @@ CTE["sims"] = ((), """
 CTE["top10"] = (("sims",), """
   select * from (select *, cast(row_number() over (partition by query_id order by similarity desc, case_id) as int) as rank from sims)
   where rank <= 10""")
-for _name in ("vector_topk", "vector_topk_blocked"):
+for _name in ("vector_topk", "vector_topk_blocked", "vector_topk_ivf"):
     oracle(_name, "select query_id, case_id, similarity, rank from top10 where rank <= 5", "top10")
+_symbols = "['" + "','".join(SYMBOLS) + "']"
+
+
+def _embedded(key: str, text: str, source: str) -> str:
+    """Unit vectors of symbol counts in single precision, as doubles."""
+    counts = (f"list_transform({_symbols}, lambda s: length({text}) - length(replace(replace({text}, s, ''), upper(s), '')))")
+    return f"""
+  select {key}, list_transform(c, lambda x: case when norm > 0 then x / norm else 0.0 end::float::double) as v
+  from (select {key}, c, sqrt(list_sum(list_transform(c, lambda x: x * x))::double) as norm
+        from (select {key}, {counts} as c from {source}))"""
+
+
+CTE["case_vectors"] = (("case_texts",), _embedded("case_id", "coalesce(case_text, '')", "case_texts"))
+CTE["txn_vectors"] = (("txn_texts",), _embedded("transaction_id", "txn_text", "txn_texts"))
+CTE["case_hits"] = (("case_vectors", "txn_vectors"), f"""
+  select transaction_id, avg(similarity) * 100 as kb_score, string_agg(case_id, ',' order by rank) as similar_cases from (
+    select *, row_number() over (partition by transaction_id order by similarity desc, case_id) as rank from (
+      select transaction_id, case_id, round(array_inner_product(t.v::double[{len(SYMBOLS)}], c.v::double[{len(SYMBOLS)}]), 6) as similarity
+      from txn_vectors t cross join case_vectors c) qualify rank <= 5) group by transaction_id""")
+oracle("embed_cases_symbols", """select case_id, (pos - 1)::int as pos, round(v[pos], 6) as value
+  from case_vectors, unnest(range(1, len(v) + 1)) as u(pos)""", "case_vectors")
+oracle("assess_with_library", """select transaction_id, risk_score, risk_level, decision, confidence, rule_score, ml_score,
+  round(kb_score, 6) as kb_score, similar_cases from online join case_hits using (transaction_id)""", "online", "case_hits")
+oracle("stream_assess_cases", """select transaction_id, risk_score, risk_level, decision, round(kb_score, 6) as kb_score, similar_cases
+  from online join case_hits using (transaction_id)""", "online", "case_hits")
 oracle("kb_relevance", """select query_id, round(avg(similarity) * 100, 6) as kb_score,
   string_agg(cast(case_id as varchar), ',' order by rank) filter (where rank <= 5) as similar_cases from top10 group by query_id""", "top10")
 _c = fv.CONTEXT_LABELS
@@ -108,9 +138,18 @@ CTE["alert_states"] = ((), """
     count(*) filter (where event_type = 'error') as escalation_level, max(ts) as updated_at
   from events group by user_id""")
 oracle("alert_state", "select * from alert_states", "alert_states")
+oracle("stream_alert_state", "select * from alert_states", "alert_states")
+oracle("stream_escalations", """select user_id as alert_id, s.ts + interval 24 hour as deadline from events s, lateral (
+    select event_type, event_id from events a where a.user_id = s.user_id and a.ts <= s.ts + interval 24 hour
+    order by a.ts desc, a.event_id desc limit 1) last
+  where s.event_type = 'signup' and s.ts + interval 24 hour < (select max(ts) from events) - interval 10 second
+    and last.event_type in ('signup', 'click', 'error') and not exists (select 1 from events n where n.user_id = s.user_id
+      and n.event_type = 'signup' and n.ts > s.ts and n.ts <= s.ts + interval 24 hour)""")
 oracle("alert_status_counts", "select alert_status, count(*) as n from alert_states group by 1", "alert_states")
 oracle("alert_overdue", f"""select alert_id, transaction_id, 'PENDING' as alert_status, 1 as escalation_level, processing_deadline
   from alerts where processing_deadline < timestamp '{b.AS_OF}'""", "alerts")
+oracle("alert_page_after", """select * from alert_states where alert_status = 'CLOSED' order by updated_at, alert_id
+  limit 10 offset 10""", "alert_states")
 # a page beyond the end shows the first page
 for _name, _page in (("alert_page", 1), ("alert_page_overflow", 100000)):
     oracle(_name, f"""select alert_id, alert_status, assignee, escalation_level, updated_at from (
@@ -147,6 +186,12 @@ oracle("report_compliance", """select report_date, transaction_id, s.customer_id
   suspicious_level, coalesce(status, 'NEW') as status from suspicious s left join (
     select customer_id, arg_max(case_status, (created_at, case_id)) as status from order_cases group by 1) c using (customer_id)""",
        "suspicious", "order_cases")
+oracle("report_base", """select cast(a.created_at as date) as report_date, alert_id, a.transaction_id, transaction_time as trans_time,
+  a.customer_id, customer_name, account_type, cast(amount as double) as amount, 'FRAUD' as alert_type, a.risk_level,
+  case when event_id % 3 <> 0 then 'CASE' || upper(sha256(alert_id)) end as case_id,
+  case when event_id % 3 = 0 then 'NEW' else ['NEW', 'ASSIGNED', 'INVESTIGATING', 'CLOSED'][event_id % 4 + 1] end as status,
+  a.created_at + case when event_id % 3 <> 0 then interval 1 day * (event_id % 50) else interval 0 day end as last_update
+  from alerts a join e using (transaction_id) left join profile p on cast(p.customer_id as varchar) = a.customer_id""", "alerts", "e", "profile")
 oracle("report_customer_risk", f"""select customer_id, customer_name, {_customer_level} as risk_level,
   coalesce(case_count, 0) as case_count, last_update, coalesce(anomaly_count, 0) as anomaly_count
   from customer_scores left join (select customer_id, count(*) as case_count, max(created_at) as last_update from order_cases group by 1) using (customer_id)
@@ -162,8 +207,8 @@ for _grain, _unit in reports.GRAINS.items():
     count(*) filter (where case_status = 'CLOSED') from order_cases group by 1),
 lagged as (select *, lag(value) over (partition by metric order by period) as previous from counted)
 select period, metric, value, round((value - previous) / nullif(previous::double, 0), 6) as change,
-  case when value > previous then '{reports.TREND_UP}' when value < previous then '{reports.TREND_DOWN}'
-    when value = previous then '{reports.TREND_FLAT}' end as trend from lagged""".lstrip(), "suspicious", "order_cases")
+  case when value > previous then '{fv.TREND_UP}' when value < previous then '{fv.TREND_DOWN}'
+    when value = previous then '{fv.TREND_FLAT}' end as trend from lagged""".lstrip(), "suspicious", "order_cases")
 
 CTE["decisions"] = (("online",), """
   select transaction_time as created_at, decision, cast(trunc(value) as int) as ms, ids = '' as search_empty from online""")

@@ -17,6 +17,7 @@ from riskloom.session import STATE_STORE
 from riskloom.streaming import sinks
 
 Batch = Callable[[DataFrame, int], None]
+ASSESSED = ("transaction_id", "risk_score", "risk_level", "decision", "confidence", "kb_score", "similar_cases")
 
 
 @contextmanager
@@ -35,9 +36,10 @@ def _settings(spark: SparkSession, values: dict[str, str]):
 
 
 def start(stream: DataFrame, each: Batch, checkpoint: str, trigger: dict | None = None,
-          partitions: int | None = None) -> StreamingQuery:
+          partitions: int | None = None, mode: str = "append") -> StreamingQuery:
     """Run ``each`` on every micro-batch; offsets and state live in ``checkpoint``.
 
+    With ``mode="update"`` a micro-batch of an aggregation holds the groups that it changed, open windows included.
     ``partitions`` is the number of state partitions, fixed for the life of the checkpoint;
     the session's shuffle partitions are the default.
     """
@@ -45,17 +47,17 @@ def start(stream: DataFrame, each: Batch, checkpoint: str, trigger: dict | None
     if partitions:
         values["spark.sql.shuffle.partitions"] = str(partitions)
     with _settings(stream.sparkSession, values):
-        writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+        writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"processingTime": "60 seconds"})).start()
 
 
-def run_available(stream: DataFrame, each: Batch, checkpoint: str, at_once: bool = False) -> StreamingQuery:
+def run_available(stream: DataFrame, each: Batch, checkpoint: str, at_once: bool = False, mode: str = "append") -> StreamingQuery:
     """Process everything there is, then stop.  State partitions are the session's shuffle partitions.
 
     A stateful operator that works by time of processing always has another micro-batch to run: such a
     stream takes everything ``at_once``, in one micro-batch.
     """
-    query = start(stream, each, checkpoint, {"once": True} if at_once else {"availableNow": True})
+    query = start(stream, each, checkpoint, {"once": True} if at_once else {"availableNow": True}, mode=mode)
     query.awaitTermination()
     return query
 
@@ -82,8 +84,7 @@ def fan_out(enriched: DataFrame, batch_id: int, root: str, transaction_columns:
         sinks.write_batch(sinks.analytic_rows(rows), f"{root}/analytic", batch_id)
         assessed = assess(rows).persist()
         try:
-            sinks.json_batch(assessed, "account_id_hash", f"{root}/assessed", batch_id,
-                             ["transaction_id", "risk_score", "risk_level", "decision", "confidence"])
+            sinks.json_batch(assessed, "account_id_hash", f"{root}/assessed", batch_id, ASSESSED)
             alerts = lifecycle.create_alerts(assessed, created_at="event_time")
             sinks.json_batch(alerts, "transaction_id", f"{root}/alerts", batch_id)
         finally:
@@ -94,18 +95,28 @@ def fan_out(enriched: DataFrame, batch_id: int, root: str, transaction_columns:
 
 def fan_out_batch(root: str, transaction_columns: list[str], sanctions: Callable[[SparkSession], DataFrame] | None = None,
                   rule_table: Callable[[SparkSession], DataFrame] | None = None,
-                  profile_changes: Callable[[SparkSession], DataFrame] | None = None, **options) -> Batch:
+                  profile_changes: Callable[[SparkSession], DataFrame] | None = None,
+                  similar: Callable[[DataFrame], DataFrame] | None = None,
+                  offline: Callable[[SparkSession], DataFrame] | None = None, **options) -> Batch:
     """``foreachBatch`` function; lists, rules and profile changes are loaded again for every micro-batch.
 
-    ``profile_changes`` (account and time) sets the flag of a recently changed profile.
+    ``profile_changes`` (account and time) sets the flag of a recently changed profile.  ``similar`` is the case search
+    of a micro-batch (``case_search.search_library`` over a persisted index).  ``offline`` loads the offline features,
+    one row per ``account_id_hash``; their columns join the rows unless the stream has columns of these names.
     """
     def assess(rows: DataFrame) -> DataFrame:
         spark = rows.sparkSession
         if profile_changes:
             rows = features.realtime_features(rows, rolling=False, history=False, diversity=False,
                                               profile_changes=profile_changes(spark))
+        if offline:
+            stored = offline(spark)
+            own = {c.lower() for c in rows.columns}
+            rows = rows.join(stored.select("account_id_hash", *[c for c in stored.columns if c.lower() not in own]),
+                             "account_id_hash", "left")
         listing = sanctions(spark) if sanctions else None
         active = rules.load_rules(rule_table(spark)) if rule_table else rules.RULES
-        return flow.assess(rows, sanctions=listing, rule_set=active, **options)
+        found = similar(rows) if similar else None
+        return flow.assess(rows, sanctions=listing, similar=found, rule_set=active, **options)
 
     return partial(fan_out, root=root, transaction_columns=transaction_columns, assess=assess)
