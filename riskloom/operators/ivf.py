@@ -4,8 +4,8 @@
 vector.  The table has a row per vector with its cell, its block within the cell and its residual in bytes; large cells
 have several blocks.  It is written once and read by every search, also from micro-batches.
 
-A search sends each query to cells and meets, in one task, a block of vectors with a block of queries that probe its
-cell.  The residual codes bound every similarity from both sides, so only vectors that can be among a query's best of
+A search sends each query once to every group of blocks with a cell to probe, however many of its cells that are, and
+meets, in one task, the group with a block of queries.  The residual codes bound every similarity from both sides, so only vectors that can be among a query's best of
 the block are compared exactly.  That filter loses nothing; what a search can lose is decided by the probes alone:
 
 * ``probes=n`` takes the ``n`` cells whose centroids are nearest, and what it finds is approximate;
@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.operators.similar import ROUNDING, _best, _matrix, _merged
+from riskloom.operators.similar import ROUNDING, _matrix, _merged
 from riskloom.session import materialise
 
 SAMPLE_ROWS = 20_000  # rows that the centroids are fitted on
 MOST_CELLS = 4_096
 BLOCK_ROWS = 4_096    # vectors of a block
-QUERY_ROWS = 4_096    # queries that a block meets at once, about
+GROUP_ROWS = 16_384   # vectors of a group of blocks, which meet queries in one task
+QUERY_ROWS = 16_384   # queries that a group meets at once, about
+PAIRS = 1 << 17       # pairs of a row and a cell that are held at once
 SLACK = 1e-6          # more than rounding of single precision vectors can make up
 
 
@@ -72,11 +74,12 @@ def build(vectors: DataFrame, path: str, key: str = "case_id", payload: str = "v
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         half = (centroids ** 2).sum(axis=1) / 2
+        step = max(1, PAIRS // len(centroids))
         for batch in batches:
             if batch.empty:
                 continue
             exact = _matrix(batch[payload])
-            cell = (exact @ centroids.T - half).argmax(axis=1)
+            cell = np.concatenate([(exact[at:at + step] @ centroids.T - half).argmax(axis=1) for at in range(0, len(exact), step)])
             rest = exact - centroids[cell]
             scale = np.maximum(np.abs(rest).max(axis=1), 1e-30) / 127
             codes = np.rint(rest / scale[:, None]).astype(np.int8)
@@ -110,75 +113,123 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(path, *[np.array([r[c] for r in rows]) for c in ("centroid", "size", "blocks", "radius")])
 
 
-def _probed(queries: DataFrame, index: Index, first: int, limits: bool, skip: int) -> DataFrame:
-    """``queries`` once for each cell to probe: ranks ``skip`` to ``first`` of the cells, or all that can beat ``limit``."""
+def _units(index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cell, block and group of all blocks, neighbouring cells together: a group has ``GROUP_ROWS`` vectors, about.
+
+    The order is that of the centroids along the line on which they differ most.
+    """
+    live = np.flatnonzero(index.sizes > 0)
+    if not len(live):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    centred = np.nan_to_num(index.centroids[live] - index.centroids[live].mean(axis=0))
+    live = live[np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")]
+    cell = np.repeat(live, index.blocks[live])
+    block = np.concatenate([np.arange(b) for b in index.blocks[live]])
+    size = index.sizes[cell] / index.blocks[cell]
+    _, group = np.unique((np.cumsum(size) - size) // GROUP_ROWS, return_inverse=True)
+    return cell, block, group
+
+
+def _probed(queries: DataFrame, index: Index, first: int, limits: bool) -> DataFrame:
+    """``queries`` once for each group with a cell to probe: the ``first`` cells, or all others that can beat ``limit``.
+
+    ``cells`` has a bit for each block of the group.
+    """
     live = index.sizes > 0
+    cell, _, group = _units(index)
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    ends = np.append(starts[1:], len(group))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, PAIRS // max(1, len(cell), len(live)))
         for batch in batches:
-            if batch.empty or not live.any():
-                continue
-            exact = _matrix(batch["vector"])
-            near = np.where(live, exact @ index.centroids.T, -np.inf)
-            rank = np.argsort(np.argsort(-near, axis=1, kind="stable"), axis=1)
-            take = (rank >= skip) & live
-            if limits:
-                length = np.sqrt((exact ** 2).sum(axis=1))[:, None]
-                take &= near + length * index.radii + SLACK >= batch["limit"].to_numpy()[:, None]
-            else:
-                take &= rank < first
-            row, cell = np.nonzero(take)
-            out = batch.iloc[row][["query_id", "vector"]].reset_index(drop=True)
-            yield out.assign(query_id=_plain(out["query_id"]), cell=cell.astype(np.int32))
-
-    schema = T.StructType([queries.schema["query_id"], queries.schema["vector"], T.StructField("cell", T.IntegerType())])
+            for at in range(0, len(batch) if len(cell) else 0, step):
+                part = batch.iloc[at:at + step]
+                exact = _matrix(part["vector"])
+                near = np.where(live, exact @ index.centroids.T, -np.inf)
+                take = np.zeros(near.shape, bool)
+                np.put_along_axis(take, np.argsort(-near, axis=1, kind="stable")[:, :first], True, axis=1)
+                if limits:
+                    length = np.sqrt((exact ** 2).sum(axis=1))[:, None]
+                    take = ~take & (near + length * index.radii + SLACK >= part["limit"].to_numpy()[:, None])
+                take = (take & live)[:, cell]
+                rows, bits, groups = [], [], []
+                for number in np.flatnonzero(np.logical_or.reduceat(take, starts, axis=1).any(axis=0)).tolist():
+                    mine = take[:, starts[number]:ends[number]]
+                    row = np.flatnonzero(mine.any(axis=1))
+                    rows.append(row)
+                    bits.extend(b.tobytes() for b in np.packbits(mine[row], axis=1))
+                    groups.append(np.full(len(row), number, np.int32))
+                if rows:
+                    out = part.iloc[np.concatenate(rows)].reset_index(drop=True)
+                    yield pd.DataFrame({"query_id": _plain(out["query_id"]), "vector": out["vector"],
+                                        "limit": out["limit"] if limits else -np.inf, "cells": bits, "group": np.concatenate(groups)})
+
+    schema = T.StructType([queries.schema["query_id"], queries.schema["vector"], T.StructField("limit", T.DoubleType()),
+                           T.StructField("cells", T.BinaryType()), T.StructField("group", T.IntegerType())])
     return queries.mapInPandas(probe, schema)
 
 
 def _scan(probes: DataFrame, index: Index, k: int, query_blocks: int) -> DataFrame:
-    """The best ``k`` of every block for every query that probes its cell, and a row of counts (``case_id`` NULL)."""
+    """The best ``k`` of every group for every query that probes it, and a row of counts (``case_id`` NULL)."""
     spark = probes.sparkSession
     centroids = index.centroids
-    cells = spark.createDataFrame([(i, int(b)) for i, b in enumerate(index.blocks) if b], "cell int, blocks int")
-    asked = probes.join(F.broadcast(cells), "cell").select(  # at most MOST_CELLS rows
-        "query_id", "vector", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("part"))
-    members = index.members(spark).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    cell, block, group = _units(index)
+    place = np.arange(len(group)) - np.searchsorted(group, group)
+    units = spark.createDataFrame([tuple(map(int, r)) for r in zip(cell, block, group, place)], "cell int, block int, group int, place int")
+    asked = probes.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
+    members = index.members(spark).join(F.broadcast(units), ["cell", "block"]).drop("block").withColumn(  # a row per block
+        "part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     case_type = members.schema["case_id"].dataType
     kinds = {"query_id": object, "case_id": object, "similarity": np.float64, "scanned": np.int64, "compared": np.int64}
 
+    def top(row: np.ndarray, col: np.ndarray, similarity: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The best ``k`` of every row, ties by id."""
+        order = np.lexsort((ids[col], -similarity, row))
+        row, col, similarity = row[order], col[order], similarity[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[keep], col[keep], similarity[keep]
+
     def best(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if q.empty or m.empty:
             return pd.DataFrame({n: pd.Series([], dtype=kind) for n, kind in kinds.items()})
-        exact, ids = _matrix(m["vector"]), m["case_id"].to_numpy()
+        m = m.sort_values("place", kind="stable")
+        exact, ids, error = _matrix(m["vector"]), m["case_id"].to_numpy(), m["error"].to_numpy()
         codes = np.frombuffer(b"".join(m["code"]), np.int8).reshape(len(m), -1).astype(np.float64) * m["scale"].to_numpy()[:, None]
-        centre, error = centroids[int(m["cell"].iloc[0])], m["error"].to_numpy()
+        places, lows = np.unique(m["place"].to_numpy(), return_index=True)
+        wanted = np.unpackbits(np.frombuffer(b"".join(q["cells"]), np.uint8).reshape(len(q), -1), axis=1).astype(bool)
+        asked_for, limit = _matrix(q["vector"]), q["limit"].to_numpy()
+        length = np.sqrt((asked_for ** 2).sum(axis=1))
+        scanned, compared = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
         found = []
-        step = max(1, (16 << 20) // (8 * len(m)))
-        for at in range(0, len(q), step):
-            part = q.iloc[at:at + step]
-            asked_for = _matrix(part["vector"])
-            near = asked_for @ codes.T + (asked_for @ centre)[:, None]
-            margin = np.sqrt((asked_for ** 2).sum(axis=1))[:, None] * error[None, :] + SLACK
-            n = min(k, len(m))
-            reached = -np.partition(margin - near, n - 1, axis=1)[:, n - 1]  # n similarities are at least this
-            able = near + margin >= reached[:, None]
-            row, col = np.nonzero(able)
-            similarity = np.full(near.shape, -np.inf)
-            similarity[row, col] = np.einsum("ij,ij->i", asked_for[row], exact[col])
-            hits = _best(part["query_id"].to_numpy(), ids, similarity, k)
-            hits = hits[np.isfinite(hits["similarity"])]
-            found.append((hits["query_id"].to_numpy(object), hits["case_id"].to_numpy(object), hits["similarity"].to_numpy(np.float64),
-                          np.zeros(len(hits), np.int64), np.zeros(len(hits), np.int64)))
-            found.append((part["query_id"].to_numpy(object), np.full(len(part), None), np.zeros(len(part)),
-                          np.full(len(part), len(m), np.int64), able.sum(axis=1).astype(np.int64)))
-        columns = dict(zip(kinds, map(np.concatenate, zip(*found))))
-        return pd.DataFrame(columns | {n: _plain(columns[n]) for n in ("query_id", "case_id")})
+        for number, low, high in zip(places, lows, np.append(lows[1:], len(m))):
+            rows, n = np.flatnonzero(wanted[:, number]), min(k, high - low)
+            centre = centroids[int(m["cell"].iloc[low])]
+            step = max(1, (16 << 20) // (8 * (high - low)))
+            for at in range(0, len(rows), step):
+                part = rows[at:at + step]
+                near = asked_for[part] @ codes[low:high].T + (asked_for[part] @ centre)[:, None]
+                margin = length[part][:, None] * error[None, low:high] + SLACK
+                reached = limit[part]
+                if not np.isfinite(reached).all():  # n similarities are at least this
+                    reached = np.maximum(reached, -np.partition(margin - near, n - 1, axis=1)[:, n - 1])
+                able = near + margin >= reached[:, None]
+                row, col = np.nonzero(able)
+                similarity = np.round(np.einsum("ij,ij->i", asked_for[part[row]], exact[low + col]), ROUNDING)
+                scanned[part] += high - low
+                compared[part] += able.sum(axis=1)
+                found.append(top(part[row], low + col, similarity, ids))
+        row, col, similarity = top(*map(np.concatenate, zip(*found)), ids) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        names, none = q["query_id"].to_numpy(object), np.full(len(q), None)
+        return pd.DataFrame({
+            "query_id": _plain(np.concatenate([names[row], names])), "case_id": _plain(np.concatenate([ids[col].astype(object), none])),
+            "similarity": np.concatenate([similarity, np.zeros(len(q))]),
+            "scanned": np.concatenate([np.zeros(len(row), np.int64), scanned]),
+            "compared": np.concatenate([np.zeros(len(row), np.int64), compared])})
 
     schema = T.StructType([probes.schema["query_id"], T.StructField("case_id", case_type), T.StructField("similarity", T.DoubleType()),
                            T.StructField("scanned", T.LongType()), T.StructField("compared", T.LongType())])
-    by = ["cell", "block", "part"]
-    return asked.groupBy(*by).cogroup(members.groupBy(*by)).applyInPandas(best, schema)
+    return asked.groupBy("group", "part").cogroup(members.groupBy("group", "part")).applyInPandas(best, schema)
 
 
 def search(queries: DataFrame, index: Index, k: int = 5, probes: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -188,18 +239,18 @@ def search(queries: DataFrame, index: Index, k: int = 5, probes: int | None = No
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    queries = queries.select("query_id", "vector")
+    queries = materialise(queries.select("query_id", "vector"), "index-queries")
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
     if probes is not None:
-        scanned = materialise(_scan(_probed(queries, index, probes, False, 0), index, k, blocks), "index-hits")
+        scanned = materialise(_scan(_probed(queries, index, probes, False), index, k, blocks), "index-hits")
     else:
         # enough of the nearest cells for k vectors, and the best similarities there
         enough = int(np.searchsorted(np.cumsum(np.sort(index.sizes[index.sizes > 0])), k)) + 1
-        first = materialise(_scan(_probed(queries, index, enough, False, 0), index, k, blocks), "index-first")
+        first = materialise(_scan(_probed(queries, index, enough, False), index, k, blocks), "index-first")
         kth = _merged(first.filter("case_id is not null"), k).filter(F.col("rank") == k) \
             .select("query_id", (F.col("similarity") - 2 * 10.0 ** -ROUNDING).alias("limit"))
         limited = queries.join(kth, "query_id", "left").fillna({"limit": float("-inf")})
-        more = _scan(_probed(limited, index, 0, True, enough), index, k, blocks)
+        more = _scan(_probed(limited, index, enough, True), index, k, blocks)
         scanned = materialise(first.unionByName(more), "index-hits")
     hits = _merged(scanned.filter("case_id is not null").select("query_id", "case_id", "similarity"), k)
     counts = scanned.filter("case_id is null").groupBy("query_id").agg(F.sum("scanned").alias("scanned"), F.sum("compared").alias("compared"))

@@ -68,6 +68,23 @@ def test_probes_trade_recall_for_pairs(spark):
     assert shares[1] < 0.2 * len(cases) * len(want)
 
 
+def test_queries_go_once_to_a_group_of_cells(spark, monkeypatch):
+    """What a query sends to the vectors grows with their number, not with that of the cells that it probes."""
+    monkeypatch.setattr(ivf, "GROUP_ROWS", 300)
+    cases, queries = clustered(900, 12, 7), clustered(30, 12, 8)
+    path = new_folder(spark, "ivf")
+    index = ivf.build(frame(spark, cases, "case_id"), path, cells=60)
+    asked = frame(spark, queries, "query_id")
+    probes = ivf._probed(asked, index, len(index.sizes), False)
+    assert probes.count() <= 30 * 4 and int((index.sizes > 0).sum()) > 30
+    hits, counts = ivf.search(asked, index, 4, probes=len(index.sizes))
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.case_id, r.similarity))
+    assert got == by_hand(queries, cases, 4)
+    assert {r.scanned for r in counts.collect()} == {900}
+
+
 def test_index_of_nothing_and_fewer_than_k(spark):
     path = new_folder(spark, "ivf")
     index = ivf.build(frame(spark, np.zeros((0, 3), np.float32), "case_id"), path)
