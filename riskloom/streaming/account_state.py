@@ -1,6 +1,6 @@
 """Real-time account features as a keyed stateful operator.
 
-State per account: hourly slices of times and amounts, last sighting of each device, city and counterparty, count and
+State per account: times and amounts by the hour, last sighting of each device, city and counterparty, count and
 sum of everything so far, and the ids of answered transactions.  Rows are answered on arrival, however late, and each
 counts what has arrived from an hour (a day, 30 days) before it on, later rows included.
 
@@ -17,8 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -35,6 +34,7 @@ ATTRIBUTES = (("device_id", "device_count_30d"), ("ip_city", "city_count_30d"),
 
 MEASURES = (("count_1h", "int"), ("cents_1h", "long"), ("count_24h", "int"), ("cents_24h", "long"),
             *[(m, "int") for _, m in ATTRIBUTES], ("count_all", "long"), ("cents_all", "long"))
+INPUT = ("transaction_id", "timed", "micros", "cents", *[a for a, _ in ATTRIBUTES], "payload")
 CURRENT = "micros long, payload array<string>, " + ", ".join(f"{n} {kind}" for n, kind in MEASURES)
 
 
@@ -54,30 +54,31 @@ class AccountState(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", "times array<long>")
-        self.ids = handle.getMapState("ids", "hour long", "ids array<string>")
-        self.touched = handle.getValueState("touched", "hours array<long>, at array<long>")
-        self.slices = handle.getMapState("slices", "hour long", "times array<long>, cents array<long>")
+        # one value each: every access is a message to the store, whatever its size, and accounts have few rows an hour
+        self.ids = handle.getValueState("ids", "hours array<long>, at array<long>, ids array<array<string>>, newest array<long>")
+        self.slices = handle.getValueState("slices", "times array<long>, cents array<long>")
         self.profile = handle.getValueState(
             "profile", "n long, cents long, attributes array<int>, values array<string>, last array<long>")
         if self.serve_seconds:
             self.current = handle.getValueState("current", CURRENT, self.serve_seconds * 1000)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        clock = self._clock(batch["micros"].to_numpy(np.int64)[batch["timed"].to_numpy(bool)])
-        batch = self._first_arrivals(batch, clock // HOUR)
-        if batch.empty:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        batch = dict(zip(INPUT, zip(*[[row[name] for name in INPUT] for row in rows])))
+        micros, ids = np.array(batch["micros"], np.int64), np.array(batch["transaction_id"], object)
+        *held, newest = self.ids.get() or ([], [], [], [])
+        newest = self._newest(newest, micros[np.array(batch["timed"], bool)])
+        clock = newest[0] if newest else 0
+        fresh, held = self._first_arrivals(held, ids.tolist(), (micros // HOUR).tolist(), clock // HOUR)
+        self.ids.update((*held, newest))
+        if not len(fresh):
             return
-        order = np.lexsort((batch["transaction_id"].to_numpy().astype(str), batch["micros"].to_numpy()))
-        times, cents = batch["micros"].to_numpy(np.int64)[order], batch["cents"].to_numpy(np.int64)[order]
+        order = fresh[np.lexsort((ids[fresh].astype(str), micros[fresh]))]
+        times, cents = micros[order], np.array(batch["cents"], np.int64)[order]
         n = len(times)
         own = np.arange(n)
-        out = {"payload": batch["payload"].to_numpy()[order]}
+        out = {"payload": [batch["payload"][i] for i in order.tolist()]}
 
-        kept = {hour: value for (hour,), value in self.slices.iterator()}
-        old_times = np.array([t for v in kept.values() for t in v[0]], np.int64)
-        old_cents = np.array([c for v in kept.values() for c in v[1]], np.int64)
+        old_times, old_cents = (np.array(v, np.int64) for v in self.slices.get() or ([], []))
         all_times, all_cents = np.concatenate([old_times, times]), np.concatenate([old_cents, cents])
         starts = np.concatenate([np.zeros(len(old_times), np.int64), own])
         for name, span in (("1h", HOUR), ("24h", DAY)):
@@ -88,17 +89,19 @@ class AccountState(StatefulProcessor):
         n_before, cents_before, *sighted = self.profile.get() or (0, 0, [], [], [])
         known = self._sightings(sighted)
         for number, (attribute, measure) in enumerate(ATTRIBUTES):
-            values = batch[attribute].to_numpy()[order].tolist()
+            values = [batch[attribute][i] for i in order.tolist()]
             out[measure] = self._distinct(values, times, known[number]).astype(np.int32)
 
         out["count_all"], out["cents_all"] = n_before + own + 1, cents_before + np.cumsum(cents)
         self._remember(int(out["count_all"][-1]), int(out["cents_all"][-1]), known, clock - self.lateness)
-        self._store(times, cents, kept, (clock - DAY - self.lateness - SLACK) // HOUR)
+        self._store(all_times, all_cents, (clock - DAY - self.lateness - SLACK) // HOUR)
         if self.serve_seconds:
             self._serve(times, out)
         if not self.serve_seconds and timerValues.getCurrentWatermarkInMs() >= 0:
             self.handle.registerTimer(int(times[-1] + DAY + SLACK) // 1000)
-        yield pd.DataFrame(out)
+        answer = Row("payload", *[m for m, _ in MEASURES])
+        for values in zip(out["payload"], *[out[m].tolist() for m, _ in MEASURES]):
+            yield answer(*values)
 
     def _serve(self, times: np.ndarray, out: dict[str, np.ndarray]) -> None:
         """Keeps the features of the newest event; the store forgets them ``serve_seconds`` after the last write."""
@@ -106,41 +109,30 @@ class AccountState(StatefulProcessor):
         if held is None or held[0] <= int(times[-1]):
             self.current.update((int(times[-1]), list(out["payload"][-1]), *[int(out[n][-1]) for n, _ in MEASURES]))
 
-    def _clock(self, times: np.ndarray) -> int:
-        """The account's clock after these event times: the oldest of the ``CONFIRM`` newest of all distinct ones."""
-        before = self.newest.get()
-        newest = np.unique(np.concatenate([np.array(before[0] if before else [], np.int64), times]))[-CONFIRM:]
-        self.newest.update((newest.tolist(),))
-        return int(newest[0]) if len(newest) else 0
-
-    def _first_arrivals(self, batch: pd.DataFrame, now: int) -> pd.DataFrame:
-        """Rows whose id was not answered before; rows without an id always are.
+    @staticmethod
+    def _newest(before: list[int], times: np.ndarray) -> list[int]:
+        """The ``CONFIRM`` newest of all distinct event times; the oldest of them is the account's clock."""
+        return np.unique(np.concatenate([np.array(before, np.int64), times]))[-CONFIRM:].tolist()
 
-        Only the hours that the batch touches are read and written.
-        """
+    def _first_arrivals(self, held, ids: list[str | None], hours: list[int], now: int) -> tuple[np.ndarray, tuple]:
+        """Places of the rows whose id was not answered before, and the ids to hold; rows without an id always are."""
         if not self.remember:
-            return batch
-        named = batch["transaction_id"].notna()
-        batch = batch[~(named & batch["transaction_id"].duplicated())]
-        hours = batch["micros"] // HOUR
-        fresh = np.ones(len(batch), bool)
-        touched = dict(zip(*(self.touched.get() or ([], []))))
-        for hour in hours.unique().tolist():
-            mine = (hours == hour).to_numpy()
-            have = self.ids.getValue((hour,)) if self.ids.containsKey((hour,)) else None
-            known = set(have[0]) if have else set()
-            ids = batch["transaction_id"].to_numpy()[mine]
-            new = np.array([i is None or i not in known for i in ids], bool)
-            fresh[np.flatnonzero(mine)[~new]] = False
-            added = [i for i in ids[new].tolist() if i is not None]
-            if added:
-                self.ids.updateValue((hour,), (sorted(known | set(added)),))
-                touched[hour] = now
-        for hour in [h for h, at in touched.items() if at < now - self.remember]:
-            self.ids.removeKey((hour,))
-            del touched[hour]
-        self.touched.update((list(touched), list(touched.values())))
-        return batch[fresh]
+            return np.arange(len(ids)), held
+        known = {hour: (at, set(have)) for hour, at, have in zip(*held)}
+        seen, fresh = set(), []
+        for place, (name, hour) in enumerate(zip(ids, hours)):
+            if name is not None:
+                if name in seen:
+                    continue
+                seen.add(name)
+                have = known.get(hour, (now, set()))[1]
+                if name in have:
+                    continue
+                have.add(name)
+                known[hour] = now, have
+            fresh.append(place)
+        live = [(hour, at, sorted(have)) for hour, (at, have) in known.items() if at >= now - self.remember]
+        return np.array(fresh, np.int64), ([h for h, _, _ in live], [at for _, at, _ in live], [have for _, _, have in live])
 
     @staticmethod
     def _sightings(sighted) -> list[dict[str, int]]:
@@ -153,15 +145,10 @@ class AccountState(StatefulProcessor):
         live = [(number, v, t) for number, seen in enumerate(known) for v, t in seen.items() if t + MONTH + SLACK >= now]
         self.profile.update((n, cents, [x[0] for x in live], [x[1] for x in live], [x[2] for x in live]))
 
-    def _store(self, times: np.ndarray, cents: np.ndarray, kept: dict, oldest: int) -> None:
-        """Write the hours this batch touched, and forget those before ``oldest``."""
-        hours = times // HOUR
-        for hour in np.unique(hours[hours >= oldest]).tolist():
-            mine, have = hours == hour, kept.get(hour, ([], []))
-            self.slices.updateValue((hour,), (list(have[0]) + times[mine].tolist(), list(have[1]) + cents[mine].tolist()))
-        for hour in kept:
-            if hour < oldest:
-                self.slices.removeKey((hour,))
+    def _store(self, times: np.ndarray, cents: np.ndarray, oldest: int) -> None:
+        """Keep the rows of the hours from ``oldest`` on."""
+        kept = times // HOUR >= oldest
+        self.slices.update((times[kept].tolist(), cents[kept].tolist()))
 
     @staticmethod
     def _distinct(values: list[str | None], times: np.ndarray, seen: dict[str, int]) -> np.ndarray:
@@ -186,11 +173,10 @@ class AccountState(StatefulProcessor):
         gone = np.searchsorted(times, np.array(lasts, np.int64) + MONTH, side="right")
         return _running(np.array(starts, np.int64), np.minimum(np.array(ends, np.int64), gone), np.ones(len(starts), np.int64), n)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        for (hour,) in list(self.slices.keys()):
-            if (hour + 1) * HOUR + DAY + SLACK <= now:
-                self.slices.removeKey((hour,))
+        times, cents = (np.array(v, np.int64) for v in self.slices.get() or ([], []))
+        self._store(times, cents, (now - DAY - SLACK) // HOUR)
         n, cents, *sighted = self.profile.get() or (0, 0, [], [], [])
         known = self._sightings(sighted)
         self._remember(n, cents, known, now)
@@ -221,7 +207,7 @@ def stream_features(stream: DataFrame, key: str = "account_id", late_policy: str
         raise ValueError("late_policy must be 'process' or 'drop'")
     if serve_seconds and late_policy == "drop":
         raise ValueError("features are served by time of processing, which needs late_policy='process'")
-    # the row travels as one column of strings: a wide frame per account would cost more
+    # the row travels as one column of strings, and as a row: a frame per account would cost more
     # to convert than the features cost to compute
     timed = f"`{ts}` is not null" if ts in stream.columns else "true"
     ready = stream.selectExpr(
@@ -230,7 +216,7 @@ def stream_features(stream: DataFrame, key: str = "account_id", late_policy: str
         *[a for a, _ in ATTRIBUTES], f"{payload.packed(stream.schema)} as payload")
     schema = "payload array<string>, " + ", ".join(f"{n} {kind}" for n, kind in MEASURES)
     mode = "ProcessingTime" if serve_seconds else "EventTime" if late_policy == "drop" else "None"
-    out = ready.groupBy("account_key").transformWithStateInPandas(
+    out = ready.groupBy("account_key").transformWithState(
         AccountState(remember, serve_seconds), schema, "Append", mode)
     return _finished(out, stream.schema)
 
