@@ -32,7 +32,7 @@ class AlertState(StatefulProcessor):
         self.fold = handle.getValueState("fold", "micros long, seq long, action string, by_micros long, by_seq long, assignee string, "
                                                  "escalations long, updated long")
         # episodes that wait for their deadline: created, and the last action up to created + wait
-        self.waiting = handle.getMapState("waiting", "created long", "micros long, seq long, action string")
+        self.waiting = handle.getValueState("waiting", "created array<long>, micros array<long>, seq array<long>, action array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         actions = pd.concat(list(rows), ignore_index=True).sort_values(["micros", "seq"])
@@ -40,7 +40,7 @@ class AlertState(StatefulProcessor):
         last, by, n = ((state[0], state[1], state[2]), (state[3], state[4], state[5]), state[6]) if state else (None, None, 0)
         if by and by[0] is None:
             by = None
-        waiting = {created: tuple(v) for (created,), v in self.waiting.iterator()}
+        waiting = self._waiting()
         for micros, seq, action, assignee in zip(actions["micros"].tolist(), actions["seq"].tolist(), actions["action"], actions["assignee"]):
             last = max(last, (micros, seq, action)) if last else (micros, seq, action)
             n += action == "ESCALATE"
@@ -52,25 +52,29 @@ class AlertState(StatefulProcessor):
             if action == "CREATE" and micros not in waiting:
                 for created in [c for c in waiting if c < micros <= c + self.wait]:
                     del waiting[created]
-                    if self.waiting.containsKey((created,)):
-                        self.waiting.removeKey((created,))
                 waiting[micros] = (micros, seq, action)
                 self.handle.registerTimer((micros + self.wait) // 1000 + 1)
-        for created, seen in waiting.items():
-            self.waiting.updateValue((created,), seen)
+        self._wait_for(waiting)
         self.fold.update((*last, *(by or (None, None, None)), n, last[0]))
         yield self._row(STATE, key, self.states.get(last[2], "CLOSED"), by[2] if by else None, n, last[0], last[1])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        for (created,), (_, seq, action) in sorted(self.waiting.iterator()):
-            if created + self.wait > now:
-                continue
-            self.waiting.removeKey((created,))
+        waiting = self._waiting()
+        due = sorted((created, *seen) for created, seen in waiting.items() if created + self.wait <= now)
+        if due:
+            self._wait_for({created: seen for created, seen in waiting.items() if created + self.wait > now})
+        for created, _, seq, action in due:
             if action in OPEN:
                 state = self.fold.get()
                 yield self._row(ESCALATION, key, "PENDING", state[5], state[6] + 1, created + self.wait, seq)
 
+    def _waiting(self) -> dict[int, tuple[int, int, str]]:
+        return {created: tuple(seen) for created, *seen in zip(*(self.waiting.get() or ([], [], [], [])))}
+
+    def _wait_for(self, waiting: dict[int, tuple[int, int, str]]) -> None:
+        self.waiting.update(tuple(map(list, zip(*[(created, *seen) for created, seen in waiting.items()]))) or ([], [], [], []))
+
     @staticmethod
     def _row(kind, key, status, assignee, level, micros, seq) -> pd.DataFrame:
         return pd.DataFrame({"kind": [kind], "alert_id": [key[0]], "alert_status": [status], "assignee": [assignee],
