@@ -72,6 +72,15 @@ def test_lsh_recall_at_5_of_embeddings(spark, sf_dir):
     assert out.count() == 5 * rows.count()
 
 
+def test_signatures_leave_in_pieces_of_bounded_size(spark, monkeypatch):
+    """All tables of a whole input batch would be held at once otherwise."""
+    q, _ = frames(spark, unit(50, 8, 9), unit(1, 8, 9))
+    whole = sorted(tuple(r) for r in similar.signatures(q.coalesce(1), "query_id", "vector", 8, 6, 4, 3).select("query_id", "bucket").collect())
+    monkeypatch.setattr(similar, "SIGNED_ROWS", 7)
+    parts = sorted(tuple(r) for r in similar.signatures(q.coalesce(1), "query_id", "vector", 8, 6, 4, 3).select("query_id", "bucket").collect())
+    assert parts == whole and len(parts) == 50 * 6
+
+
 def test_lsh_short_queries_are_searched_exactly(spark):
     queries, cases = unit(40, 16, 5), unit(30, 16, 6)
     q, c = frames(spark, queries, cases)
