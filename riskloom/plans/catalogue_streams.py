@@ -12,6 +12,7 @@ from riskloom.plans.catalogue import money, query
 from riskloom.session import materialise, new_folder, remove_folder
 from riskloom.streaming import account_state, alert_state, ingest, pipeline, profile_state, repair, sinks
 
+PROFILE_BUCKETS = 1024  # groups of customers whose profiles are one state
 FEATURES = ("count_1h", "count_24h", "device_count_30d", "city_count_30d", "counterparty_count_30d", "is_first_device")
 
 
@@ -177,17 +178,26 @@ def stream_profile_asof(spark, sf_dir):
     Of profile changes, too, only what has arrived can be seen.
     """
     root = new_folder(spark, "stream-profile")
-    day = "cast(floor(unix_seconds(cast(last_update as timestamp)) / 432000) as int)"
-    changes = b.profile_log(spark, sf_dir).withColumn("arrival", F.expr(day))
+    day = "cast(floor(unix_seconds(cast({} as timestamp)) / 432000) as int)"
+    changes = b.profile_log(spark, sf_dir).withColumn("arrival", F.expr(day.format("last_update")))
     events = late_events(spark, sf_dir).selectExpr("transaction_id", "cast(account_id as long) as customer_id", "transaction_time", "arrival")
-    for number in [r[0] for r in events.select("arrival").union(changes.select("arrival")).distinct().orderBy("arrival").collect()]:
-        for name, rows in (("changes", changes), ("events", events)):  # a file of each per micro-batch
-            rows.filter(F.col("arrival") == number).drop("arrival").coalesce(1).write.parquet(f"{root}/{name}/part={number:06d}")
-    options = {"maxFilesPerTrigger": "1", "recursiveFileLookup": "true"}
-    live, log = (ingest.read_stream(spark, "parquet", options, f"{root}/{name}", rows.drop("arrival").schema)
-                 for name, rows in (("events", events), ("changes", changes)))
-    seen = profile_state.with_profile_asof(live, log, "customer_id", "transaction_time", "last_update", "seq", ["risk_level"], op="op")
-    out = _collected(spark, seen, "stream-profile-out")
+    sides = {"events": events, "changes": changes}
+    # what has no time comes first
+    stored = {name: materialise(rows.fillna(0, "arrival"), f"stream-profile-{name}") for name, rows in sides.items()}
+
+    def run():
+        live, log = (ingest.read_stream(spark, "parquet", {"recursiveFileLookup": "true"}, f"{root}/{name}", rows.drop("arrival").schema)
+                     for name, rows in sides.items())
+        seen = profile_state.with_profile_asof(live, log, "customer_id", "transaction_time", "last_update", "seq", ["risk_level"],
+                                             op="op", buckets=PROFILE_BUCKETS)
+        pipeline.run_available(seen, lambda rows, batch_id: sinks.write_batch(rows, f"{root}/out", batch_id), f"{root}/checkpoint")
+
+    arrivals = stored["events"].select("arrival").union(stored["changes"].select("arrival")).distinct().orderBy("arrival")
+    for number in [r[0] for r in arrivals.collect()]:  # a few
+        for name, rows in stored.items():
+            rows.filter(F.col("arrival") == number).drop("arrival").write.parquet(f"{root}/{name}/part={number:06d}")
+        run()  # one micro-batch takes the files of an arrival, however many tasks wrote them
+    out = spark.read.parquet(f"{root}/out")
     return out.select("transaction_id", "risk_level", F.col("profile_since").cast("timestamp_ntz").alias("profile_since"))
 
 

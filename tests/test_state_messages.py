@@ -5,7 +5,7 @@ import types
 import pandas as pd
 from pyspark.sql import Row
 
-from riskloom.streaming import account_state, alert_state
+from riskloom.streaming import account_state, alert_state, profile_state
 
 HOUR = account_state.HOUR
 
@@ -82,3 +82,26 @@ def test_messages_of_an_alert_do_not_grow_with_its_episodes():
     assert escalated["micros"].tolist() == [24 * HOUR, 54 * HOUR]
     again = types.SimpleNamespace(getExpiryTimeInMs=lambda: 90 * 3_600_000)
     assert pd.concat(state.handleExpiredTimer(("a",), None, again))["micros"].tolist() == [84 * HOUR]
+
+
+def test_messages_of_profiles_do_not_grow_with_their_keys():
+    """Keys that share a group share its state, not their versions or clocks; rows without a time move no clock."""
+    store, state = Store(), profile_state.ProfileState()
+    state.init(store)
+    names = [f"k{i}" for i in range(40)]
+
+    def rows(side, hour, payload):
+        micros = [profile_state.NO_TIME if hour is None else (hour + i) * HOUR for i in range(40)]
+        return pd.DataFrame({"profile_key": names, "side": side, "micros": micros, "seq": 0, "payload": [[payload(n)] for n in names]})
+
+    for hour in (0, 200, 400):
+        before = store.asked
+        asked = pd.concat([rows(profile_state.EVENT, hour + 5, str), rows(profile_state.EVENT, hour - 1, str), rows(profile_state.EVENT, None, str)])
+        out = pd.concat(state.handleInputRows((0,), iter([rows(profile_state.CHANGE, hour, lambda n: f"{n}-{hour}"), asked]), None))
+        assert store.asked - before == 2
+        assert out["profile"].tolist() == [[f"{n}-{hour}"] for n in names] + [
+            [f"{n}-{hour - 200}"] if hour else None for n in names] + [None] * 40
+    held = dict(zip([c.split()[0] for c in profile_state.HELD.split(", ")], state.versions.held))
+    assert held["keys"] == names and len(held["clocks"]) == 3 * 40
+    # the clocks are at 399 hours: of three versions a key, that of hour 200 is still seen by rows three days late
+    assert [p[0] for p in held["profiles"]] == [f"{n}-{hour}" for n in names for hour in (200, 400)]
