@@ -88,6 +88,28 @@ def test_lsh_short_queries_are_searched_exactly(spark):
     assert out.count() == 5 * 40 and out.first()["recall"] < 0.9
 
 
+def test_text_search_deals_cases_not_terms(spark):
+    """A term of most cases is no task of its own: only the cases are dealt, and a task sends its best hits."""
+    docs = [(i if i % 7 else None, "A", f"fraud case {i % 5}" + " ring" * (i % 3)) for i in range(60)] + [(1, "A", "fraud ring"), (99, "A", None)]
+    asked = spark.createDataFrame([(1, "fraud ring"), (2, "ring 3"), (None, "case 4"), (3, None)], "query_id long, text string")
+    out = similar.text_search(spark.createDataFrame(docs, "case_id long, case_type string, text string"), asked, k=3)
+    plan = out._jdf.queryExecution().toString()
+    assert "hashpartitioning(case_id" in plan and "hashpartitioning(term" not in plan and "WindowGroupLimit" in plan
+
+    cases = {}
+    for case, _, text in docs:
+        for term in (text or "").split():
+            cases.setdefault(case, {}).setdefault(term, 0)
+            cases[case][term] += 1
+    rare = {t: np.log10(len(docs) / sum(t in c for c in cases.values())) ** 2 for t in {t for c in cases.values() for t in c}}
+    want = set()
+    for query, text in ((1, "fraud ring"), (2, "ring 3"), (None, "case 4")):
+        hits = [(-round(sum(c.get(t, 0) * rare.get(t, 0) for t in text.split()), 6), i is not None, i) for i, c in cases.items()]
+        hits = sorted((h for h in hits if h[0] < 0), key=lambda h: (h[0], h[1], h[2] or 0))[:3]
+        want |= {(query, i, -score, rank) for rank, (score, _, i) in enumerate(hits, 1)}
+    assert {(r.query_id, r.case_id, r.similarity, r.rank) for r in out.collect()} == want
+
+
 def test_text_search_equals_brute_force(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(30)] + ["Älter", "的"]
