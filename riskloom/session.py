@@ -68,3 +68,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` persisted in the partitions and the order it has without, so that sums over its rows stay what they are."""
+    conf, name = df.sparkSession.conf, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return df.persist()
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared folder, partition by partition, for steps whose result depends on these."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
