@@ -183,9 +183,11 @@ def _components(docs: DataFrame, scratch: support.Scratch, words: int, percent:
     leaders = banded.groupBy("band", "key").agg(F.min("id").alias("lead"), F.max("id").alias("last")) \
         .filter("lead < last").select("band", "key", "lead")
     buckets = scratch.table(banded.join(leaders, ["band", "key"]).select("band", "key", "id", "lead"), "buckets")
-    wanted = buckets.select("id").distinct()
-    texts = scratch.table(docs.select(support.col(doc_id).cast("long").alias("id"), support.col(text).alias("text"))
-                        .join(wanted, "id"), "texts")
+    # only documents that share a bucket move from here on
+    wanted = scratch.table(buckets.select("id").distinct(), "bucket-ids")
+    whole = docs.select(support.col(doc_id).cast("long").alias("id"), support.col(text).alias("text"))
+    texts = scratch.table(support.parted_by_ids(whole, F.col("id"), wanted)[0].join(wanted, "id"), "texts")
+    sketches = scratch.table(support.parted_by_ids(sketches, F.col("id"), wanted)[0].join(wanted, "id"), "bucket-sketches")
 
     floor = percent / 100 - 5 * math.sqrt(0.2 * percent / 100 / (bands * rows))
 
@@ -305,4 +307,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc
     """``docs`` without the documents that are linked to a smaller ``doc_id``; columns unchanged."""
     gone = near_duplicates(docs, words, percent, doc_id=doc_id, text=text).filter("not kept") \
         .select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, support.col(doc_id).cast("long") == F.col("gone_id"), "left_anti")
+    own = support.col(doc_id).cast("long")
+    doubtful, safe = support.parted_by_ids(docs, own, gone)
+    return safe.unionByName(doubtful.join(gone, own == F.col("gone_id"), "left_anti"))

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from riskloom.session import materialise, new_folder, remove_folder
 
 NO_ID = -(1 << 63)
+SIEVE_BITS = 27    # the largest set of bits that stands for a set of ids is 16 MB, however many ids there are
+BITMAP_BITS = 15   # of a row of it: what Spark's bitmap functions hold
 
 
 class Scratch:
@@ -93,6 +95,30 @@ def bounded_sample_of_each(df: DataFrame, group: str, key: list[str], rows: int)
     return near.withColumn("_rank", rank).filter(F.col("_rank") <= share).select(*df.columns)
 
 
+def parted_by_ids(df: DataFrame, key: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``key`` may be in the one column of ``ids``, and those whose key is not there for certain.
+
+    Hashes of the ids are bits that go to every task, 16 to 31 for an id and ``2 ** SIEVE_BITS`` at most.  So wide rows
+    of few ids meet these in a join without a shuffle of all others; more ids than bits only let more rows through.
+    A null key is not there.
+    """
+    bits = min(SIEVE_BITS, max(BITMAP_BITS, (16 * ids.count()).bit_length()))
+    low = (1 << BITMAP_BITS) - 1
+
+    def place(column: Column) -> Column:
+        return F.when(column.isNotNull(), F.xxhash64(column.cast("long"), F.lit(53)).bitwiseAND(F.lit((1 << bits) - 1)))
+
+    at = ids.select(place(col(ids.columns[0])).alias("at"))
+    maps = at.groupBy(F.shiftright("at", BITMAP_BITS).alias("_map")).agg(
+        F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(low))).alias("_bits"))
+    rows = df.select(F.struct("*").alias("_row"), place(key).alias("_at"))
+    met = rows.withColumn("_map", F.shiftright("_at", BITMAP_BITS)).join(F.broadcast(maps), "_map", "left")
+    byte = f"conv(hex(substring(_bits, cast((_at & {low}) div 8 as int) + 1, 1)), 16, 10)"
+    found = F.expr(f"coalesce(getbit(cast({byte} as int), cast(_at & 7 as int)) = 1, false)")
+    return tuple(met.filter(part).select(*[F.col("_row").getField(n).alias(n) for n in df.columns])
+                 for part in (found, ~found))
+
+
 def _local_places(group: str):
     """Adds the partition and the row's place among the rows of its group in this partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import near_dedup, substring_dedup
+from riskloom.llm import near_dedup, substring_dedup, support
 from riskloom.llm.textbytes import WordHasher, joined
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -263,3 +263,43 @@ def test_strangers_meet_a_large_component_once(spark):
     assert met.count() == 2 * 3000 + 1 + 1
     pairs = {(max(r["id"], r["id_v"]), min(r["id"], r["id_v"])) for r in met.collect()}
     assert len(pairs) == 6002 and {(4000, 0), (6, 5), (1, 0), (4000, 3000)} <= pairs
+
+
+@pytest.mark.parametrize("bits", [support.SIEVE_BITS, 15])
+def test_rows_are_parted_by_ids_without_a_shuffle_of_the_others(spark, monkeypatch, bits):
+    monkeypatch.setattr(support, "SIEVE_BITS", bits)  # also with more ids than bits
+    rows = [(i % 30_000 - 5_000 if i % 11 else None, f"t{i}") for i in range(40_000)]
+    wanted = set(range(-5_000, 25_000, 40)) if bits > 15 else set(range(-5_000, 25_000))
+    df = spark.createDataFrame(rows, "`a.id` long, text string")
+    ids = spark.createDataFrame([(i,) for i in wanted], "id long")
+    near, far = support.parted_by_ids(df, support.col("a.id"), ids)
+    assert near.columns == far.columns == df.columns
+    near, far = near.collect(), far.collect()
+    assert collections.Counter(map(tuple, near + far)) == collections.Counter(rows)
+    assert not wanted & {r[0] for r in far} and None not in {r[0] for r in near}
+    if bits > 15:
+        assert sum(r[0] not in wanted for r in near) < 0.1 * len(rows)
+
+
+def test_documents_alone_in_their_buckets_are_not_shuffled(spark, monkeypatch):
+    """Only the texts that share a bucket, and the rows that may be dropped, meet others."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(60)) for _ in range(400)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000, texts[3]), (1001, texts[7] + " more"), (None, texts[9])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = {}
+    table = support.Scratch.table
+
+    def recorded(self, df, name):
+        out = table(self, df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(support.Scratch, "table", recorded)
+    kept = near_dedup.drop_near_duplicates(docs)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("LeftAnti") == 1  # the others stand beside the join
+    assert seen["bucket-sketches"] < 20 and seen["texts"] < 20
+    # a row without id takes no part, whatever its text
+    assert collections.Counter(map(tuple, kept.collect())) == collections.Counter(
+        [(i, t) for i, t in rows if i not in (1000, 1001)])
