@@ -117,6 +117,24 @@ def test_mixture_edge_rows(edge, empty):
     assert mixed.count() == sum(1 for r in EDGE if (r[1] or "").strip())
 
 
+@pytest.mark.parametrize("most", [mixing.MOST_RANGES, 0])
+def test_mixed_documents_are_in_the_order_of_the_plan_and_only_copies_are_joined(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 50)
+    monkeypatch.setattr(mixing, "MOST_RANGES", most)
+    rows = [(i if i % 9 else None, f"s{i % 3 if i % 4 else 0}" if i % 31 else None, " ".join(["w"] * (i % 23)) + f" {i % 700}", f"x{i}")
+            for i in range(900)] + [(5, "s1", "same text here", f"y{i % 2}") for i in range(40)] + [(7, "s2", None, "z"), (8, "s2", " ", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, extra string").repartition(3)
+    plan = [r["doc_id"] for r in mixing.mix(docs, block_tokens=300).orderBy("block", "slot").collect()]
+    mixed = mixing.mixed_documents(docs, block_tokens=300)
+    text = mixed._jdf.queryExecution().optimizedPlan().toString()
+    # the texts meet narrow tables that go to every task; only equal rows meet the places
+    assert ("Union" in text and text.count("strategy=broadcast") >= 4) == (most > 0)
+    got = mixed.collect()
+    assert [r["doc_id"] for r in got] == plan and len(plan) > 500
+    assert set(map(tuple, got)) <= set(rows)
+    assert sum(r["text"] == "same text here" for r in got) == sum(i == 5 for i in plan) - sum(r["doc_id"] == 5 and r["text"] != "same text here" for r in got)
+
+
 def test_mixed_documents_follow_the_plan(skewed):
     plan = collections.Counter(r["doc_id"] for r in mixing.mix(skewed).collect())
     docs = mixing.mixed_documents(skewed)
