@@ -106,6 +106,8 @@ def fan_out_batch(root: str, transaction_columns: list[str], sanctions: Callable
     """
     def assess(rows: DataFrame) -> DataFrame:
         spark = rows.sparkSession
+        # a micro-batch that only moves the watermark has no rows to search cases for
+        searched = similar is not None and not rows.isEmpty()
         if profile_changes:
             rows = features.realtime_features(rows, rolling=False, history=False, diversity=False,
                                               profile_changes=profile_changes(spark))
@@ -116,7 +118,7 @@ def fan_out_batch(root: str, transaction_columns: list[str], sanctions: Callable
                              "account_id_hash", "left")
         listing = sanctions(spark) if sanctions else None
         active = rules.load_rules(rule_table(spark)) if rule_table else rules.RULES
-        found = similar(rows) if similar else None
+        found = similar(rows) if searched else None
         return flow.assess(rows, sanctions=listing, similar=found, rule_set=active, **options)
 
     return partial(fan_out, root=root, transaction_columns=transaction_columns, assess=assess)

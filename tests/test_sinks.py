@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from riskloom.streaming import sinks
+from riskloom.streaming import pipeline, sinks
 
 START = dt.datetime(2024, 1, 1)
 
@@ -43,3 +43,12 @@ def test_bucket_whose_rows_all_expire(spark, tmp_path):
     put(spark, root, 2, [(f"k{i}", 49, i) for i in range(30)])
     assert content(spark, root) == {f"k{i}": i for i in range(30)} | {"new": 1}
     assert all(batch > 0 for batch, _, _ in sinks._bucket_folders(spark, root))
+
+
+def test_empty_micro_batch_searches_no_cases(spark, monkeypatch):
+    searched = []
+    monkeypatch.setattr(pipeline.flow, "assess", lambda rows, similar=None, **_: (similar, rows.count()))
+    assess = pipeline.fan_out_batch("", [], similar=lambda rows: searched.append(rows.count()) or "found").keywords["assess"]
+    rows = spark.createDataFrame([("a",), ("b",)], "transaction_id string")
+    assert assess(rows) == ("found", 2) and assess(rows.limit(0)) == (None, 0)
+    assert searched == [2]
