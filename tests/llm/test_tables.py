@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -243,3 +244,25 @@ def test_stages_take_odd_rows(spark, edge, empty, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             df = stage(spark, df, sf_dir)
             df.collect()
+
+
+def test_stages_send_long_texts_in_small_batches(spark, empty, sf_dir):
+    """Each batch of 10,000 texts stood several times in the memory of an executor and its workers."""
+    docs = spark.range(40, numPartitions=1).select(F.expr("repeat('ab cd ', 100000)").alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(name)
+        try:
+            stage(spark, empty, sf_dir)
+            found = docs.mapInArrow(sizes, "n long, bytes long").collect()
+            spark.conf.set(name, "1m")  # a smaller setting stays
+            stage(spark, empty, sf_dir)
+            assert spark.conf.get(name) == "1m"
+        finally:
+            spark.conf.unset(name)
+        assert sum(r.n for r in found) == 40 and max(r.bytes for r in found) <= corpus_pipeline.BATCH_BYTES + 700_000
