@@ -43,6 +43,36 @@ def test_exact_topk_both_ways(spark, k):
         assert {(r.query_id, r.case_id, r["rank"]) for r in out.collect()} == want
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_blocks_meet_without_copies_of_their_vectors(spark, threshold):
+    """Each side was copied for every block of the other, which filled the disk."""
+    queries, cases = unit(90, 8, 3, copies=True), unit(80, 8, 2, copies=True)
+    q, c = frames(spark, queries, cases)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        out = similar.blocked_topk(q, c, 5, similar.dot, "vector", block_rows=7)
+        plan = out._jdf.queryExecution().toString()
+        assert {(r.query_id, r.case_id, r["rank"]) for r in out.collect()} == brute(queries, cases, 5)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Generate" not in plan and "CoGroup" not in plan
+    assert ("CartesianProduct" in plan) == (threshold == "-1")
+
+
+def test_exact_blocks_take_repeated_ids_and_text_ids(spark):
+    queries, cases = unit(20, 8, 1), unit(30, 8, 2)
+    q, c = frames(spark, queries, cases)
+    twice = similar.blocked_topk(q.union(q), c.union(c), 4, similar.dot, "vector", block_rows=9)
+    want = {(i, j) for i, j, _ in brute(queries, cases, 1)}
+    rows = twice.collect()
+    assert len(rows) == 20 * 4 and {(r.query_id, r.case_id) for r in rows} == want
+    text = similar.blocked_topk(q.withColumn("query_id", F.concat(F.lit("q"), "query_id")),
+                                c.withColumn("case_id", F.format_string("c%03d", "case_id")), 4, similar.dot, "vector", block_rows=9)
+    assert {(int(r.query_id[1:]), int(r.case_id[1:]), r["rank"]) for r in text.collect()} == brute(queries, cases, 4)
+    assert similar.blocked_topk(q, c.limit(0), 4, similar.dot, "vector").count() == 0
+    assert similar.blocked_topk(q.limit(0), c, 4, similar.dot, "vector").count() == 0
+
+
 def test_fewer_cases_than_k(spark):
     q, c = frames(spark, unit(3, 4, 1), unit(2, 4, 2))
     assert similar.vector_topk(q, c, 5).count() == 6
