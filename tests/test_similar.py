@@ -59,6 +59,22 @@ def test_blocks_meet_without_copies_of_their_vectors(spark, threshold):
     assert ("CartesianProduct" in plan) == (threshold == "-1")
 
 
+def test_parts_of_the_cases_follow_their_bytes(spark, monkeypatch):
+    """Every part sends the best hits of all queries, so parts by cores would multiply them."""
+    queries, cases = unit(90, 8, 3), unit(80, 8, 2)
+    q, c = frames(spark, queries, cases)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for limit, most in ((64 << 20, 1), (1, 80)):
+            monkeypatch.setattr(similar, "PART_BYTES", limit)
+            found = similar._every_pair(q, c, 5, similar.dot, "vector", 2)
+            rows = found.collect()
+            assert len(rows) == 90 * 5 if most == 1 else 90 * 5 < len(rows) <= 90 * 80
+            assert {(r.query_id, r.case_id, r["rank"]) for r in similar._merged(found, 5).collect()} == brute(queries, cases, 5)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_exact_blocks_take_repeated_ids_and_text_ids(spark):
     queries, cases = unit(20, 8, 1), unit(30, 8, 2)
     q, c = frames(spark, queries, cases)
