@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import case_search, features, ivf, partials
+from riskloom.operators import case_search, features, ivf, partials, similar
 from riskloom.session import new_folder
 
 
@@ -85,6 +85,39 @@ def test_queries_go_once_to_a_group_of_cells(spark, monkeypatch):
     assert {r.scanned for r in counts.collect()} == {900}
 
 
+@pytest.mark.parametrize("part_bytes", [ivf.PART_BYTES, 1])
+def test_exact_search_copies_nothing_for_what_it_meets(spark, monkeypatch, part_bytes):
+    """Queries went to every group and the vectors to every block of queries, which filled the disk."""
+    monkeypatch.setattr(ivf, "GROUP_ROWS", 100)
+    monkeypatch.setattr(ivf, "QUERY_ROWS", 10)
+    monkeypatch.setattr(ivf, "PART_BYTES", part_bytes)
+    cases, queries = np.concatenate([clustered(500, 12, 1), np.repeat(clustered(1, 12, 2), 40, axis=0)]), clustered(64, 12, 3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = ivf.build(frame(spark, cases, "case_id"), new_folder(spark, "ivf"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    asked = frame(spark, queries, "query_id")
+    found, parts = ivf._met(asked, index, 4)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan and "Generate" not in plan
+    assert (parts == 1 and found.count() == 64) if part_bytes > 1 else 64 < found.count() <= 64 * parts  # files may be empty
+    rows = ivf.best(asked, index, 4).collect()
+    assert {r.query_id: list(zip(r.case_ids, r.similarities)) for r in rows} == by_hand(queries, cases, 4)
+    assert {(r.query_id, r.case_id, r.similarity) for r in ivf.search(asked, index, 4)[0].collect()} == {
+        (q, c, s) for q, hits in by_hand(queries, cases, 4).items() for c, s in hits}
+
+
+def test_hits_in_rows_and_in_lists_score_alike(spark):
+    lists = spark.createDataFrame([(1, [7, 3, 9], [0.9, 0.5, 0.5]), (2, [4], [0.25]), (3, [], [])],
+                                  "query_id long, case_ids array<long>, similarities array<double>")
+    each = lists.selectExpr("query_id", "posexplode(arrays_zip(case_ids, similarities)) as (pos, hit)").selectExpr(
+        "query_id", "hit.case_ids as case_id", "hit.similarities as similarity", "pos + 1 as rank")
+    want = {(1, round(190 / 3, 9), ("7", "3")), (2, 25.0, ("4",))}
+    for hits in (lists, each):
+        assert {(r.query_id, round(r.kb_score, 9), tuple(r.similar_cases)) for r in similar.kb_score(hits, 2).collect()} == want
+
+
 def test_index_of_nothing_and_fewer_than_k(spark):
     path = new_folder(spark, "ivf")
     index = ivf.build(frame(spark, np.zeros((0, 3), np.float32), "case_id"), path)
