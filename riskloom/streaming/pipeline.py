@@ -13,11 +13,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from riskloom.operators import features, lifecycle, rules
 from riskloom.plans import assess as flow
-from riskloom.session import STATE_STORE
+from riskloom.session import STATE_STORE, cleared
 from riskloom.streaming import sinks
 
 Batch = Callable[[DataFrame, int], None]
 ASSESSED = ("transaction_id", "risk_score", "risk_level", "decision", "confidence", "kb_score", "similar_cases")
+ALERTED = ("account_id", "event_time")  # what alerts have besides
 
 
 @contextmanager
@@ -51,14 +52,17 @@ def start(stream: DataFrame, each: Batch, checkpoint: str, trigger: dict | None
         return writer.trigger(**(trigger or {"processingTime": "60 seconds"})).start()
 
 
-def run_available(stream: DataFrame, each: Batch, checkpoint: str, at_once: bool = False, mode: str = "append") -> StreamingQuery:
+def run_available(stream: DataFrame, each: Batch, checkpoint: str, at_once: bool = False, mode: str = "append",
+                  settle: bool = True) -> StreamingQuery:
     """Process everything there is, then stop.  State partitions are the session's shuffle partitions.
 
     A stateful operator that works by time of processing always has another micro-batch to run: such a
-    stream takes everything ``at_once``, in one micro-batch.
+    stream takes everything ``at_once``, in one micro-batch.  Without ``settle`` there is no micro-batch that
+    only moves the watermark; its timers run in the next one, as they do where data goes on.
     """
-    query = start(stream, each, checkpoint, {"once": True} if at_once else {"availableNow": True}, mode=mode)
-    query.awaitTermination()
+    with _settings(stream.sparkSession, {} if settle else {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
+        query = start(stream, each, checkpoint, {"once": True} if at_once else {"availableNow": True}, mode=mode)
+        query.awaitTermination()
     return query
 
 
@@ -76,23 +80,32 @@ def nest(enriched: DataFrame, transaction_columns: list[str]) -> DataFrame:
 
 def fan_out(enriched: DataFrame, batch_id: int, root: str, transaction_columns: list[str],
             assess: Callable[[DataFrame], DataFrame]) -> None:
-    """All outputs of one micro-batch, computed from the same cached rows."""
+    """All outputs of one micro-batch, computed from the same cached rows.
+
+    Of the assessment only what the outputs have is cached and shuffled; tables that it wrote on the way are deleted.
+    """
     rows = enriched.persist()
     try:
-        sinks.json_batch(rows, "account_id_hash", f"{root}/clean", batch_id, transaction_columns)
-        sinks.write_batch(sinks.store_rows(rows), f"{root}/features", batch_id)
-        sinks.write_batch(sinks.analytic_rows(rows), f"{root}/analytic", batch_id)
-        assessed = assess(rows).persist()
-        try:
-            sinks.json_batch(assessed, "account_id_hash", f"{root}/assessed", batch_id, ASSESSED)
-            alerts = lifecycle.create_alerts(assessed, created_at="event_time")
-            sinks.json_batch(alerts, "transaction_id", f"{root}/alerts", batch_id)
-        finally:
-            assessed.unpersist()
+        with cleared(enriched.sparkSession):
+            _write_outputs(rows, batch_id, root, transaction_columns, assess)
     finally:
         rows.unpersist()
 
 
+def _write_outputs(rows: DataFrame, batch_id: int, root: str, transaction_columns: list[str],
+                   assess: Callable[[DataFrame], DataFrame]) -> None:
+    sinks.json_batch(rows, "account_id_hash", f"{root}/clean", batch_id, transaction_columns)
+    sinks.write_batch(sinks.store_rows(rows), f"{root}/features", batch_id)
+    sinks.write_batch(sinks.analytic_rows(rows), f"{root}/analytic", batch_id)
+    assessed = assess(rows).select("account_id_hash", *ASSESSED, *ALERTED).persist()
+    try:
+        sinks.json_batch(assessed, "account_id_hash", f"{root}/assessed", batch_id, ASSESSED)
+        alerts = lifecycle.create_alerts(assessed, created_at="event_time")
+        sinks.json_batch(alerts, "transaction_id", f"{root}/alerts", batch_id)
+    finally:
+        assessed.unpersist()
+
+
 def fan_out_batch(root: str, transaction_columns: list[str], sanctions: Callable[[SparkSession], DataFrame] | None = None,
                   rule_table: Callable[[SparkSession], DataFrame] | None = None,
                   profile_changes: Callable[[SparkSession], DataFrame] | None = None,

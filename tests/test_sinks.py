@@ -1,7 +1,9 @@
 """The upserted store when a batch is repeated, against a dict."""
 
 import datetime as dt
+import os
 
+from riskloom.session import materialise, new_folder
 from riskloom.streaming import pipeline, sinks
 
 START = dt.datetime(2024, 1, 1)
@@ -52,3 +54,25 @@ def test_empty_micro_batch_searches_no_cases(spark, monkeypatch):
     rows = spark.createDataFrame([("a",), ("b",)], "transaction_id string")
     assert assess(rows) == ("found", 2) and assess(rows.limit(0)) == (None, 0)
     assert searched == [2]
+
+
+def test_a_micro_batch_leaves_no_tables_and_carries_only_what_it_writes(spark, monkeypatch):
+    """Tables of the case search stayed for good, and the whole assessment was cached and shuffled."""
+    monkeypatch.setattr(sinks, "store_rows", lambda rows: rows)
+    monkeypatch.setattr(sinks, "analytic_rows", lambda rows: rows)
+    root, folders, seen = new_folder(spark, "outputs"), [], []
+    write = sinks.json_batch
+    monkeypatch.setattr(sinks, "json_batch", lambda df, *rest: (seen.append(df.columns), write(df, *rest)))
+    rows = spark.createDataFrame([("h", "a", "t1", dt.datetime(2024, 1, 1)), ("h", "a", "t2", dt.datetime(2024, 1, 2))],
+                                 "account_id_hash string, account_id string, transaction_id string, event_time timestamp")
+
+    def assess(found):
+        table = materialise(found, "on-the-way")
+        folders.extend(table.inputFiles())
+        return table.selectExpr("*", "90.0 as risk_score", "'HIGH' as risk_level", "'BLOCK' as decision", "1.0 as confidence",
+                                "0.0 as kb_score", "array('c') as similar_cases", "repeat('x', 1000) as wide")
+
+    pipeline.fan_out(rows, 0, root, ["transaction_id"], assess)
+    assert "wide" not in seen[1] and {"account_id", "event_time", "similar_cases"} <= set(seen[1])
+    assert folders and not any(os.path.exists(f.removeprefix("file://")) for f in folders)
+    assert spark.read.parquet(f"{root}/assessed").count() == spark.read.parquet(f"{root}/alerts").count() == 2
