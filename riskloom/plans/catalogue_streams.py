@@ -13,6 +13,7 @@ from riskloom.session import materialise, new_folder, remove_folder
 from riskloom.streaming import account_state, alert_state, ingest, pipeline, profile_state, repair, sinks
 
 PROFILE_BUCKETS = 1024  # groups of customers whose profiles are one state
+ALERT_BUCKETS = 1024    # groups of alerts that share a state
 FEATURES = ("count_1h", "count_24h", "device_count_30d", "city_count_30d", "counterparty_count_30d", "is_first_device")
 
 
@@ -318,13 +319,21 @@ def stream_store_served(spark, sf_dir):
 def _alert_life(spark, sf_dir) -> DataFrame:
     """The actions on alerts in six micro-batches."""
     root = new_folder(spark, "stream-alerts")
-    actions = b.alert_actions(spark, sf_dir)
     part = F.expr("cast(floor(unix_seconds(cast(ts as timestamp)) / 432000) as int)")
-    for number in [r[0] for r in actions.select(part.alias("p")).distinct().orderBy("p").collect()]:
-        actions.filter(part == number).coalesce(1).write.parquet(f"{root}/in/part={number:06d}")
-    source = ingest.read_stream(spark, "parquet", {"maxFilesPerTrigger": "1", "recursiveFileLookup": "true"}, f"{root}/in", actions.schema)
-    out = alert_state.alert_life(ingest.with_event_time(source, ts="ts"), hours=24)
-    pipeline.run_available(out, lambda rows, batch_id: sinks.write_batch(rows, f"{root}/out", batch_id), f"{root}/checkpoint")
+    actions = b.alert_actions(spark, sf_dir)
+    schema = actions.schema
+    actions.withColumn("part", part).filter("part is not null").write.partitionBy("part").parquet(f"{root}/arriving")
+    stored = spark.read.parquet(f"{root}/arriving")
+
+    def run(last: bool):
+        source = ingest.read_stream(spark, "parquet", {"recursiveFileLookup": "true"}, f"{root}/in", schema)
+        out = alert_state.alert_life(ingest.with_event_time(source, ts="ts"), hours=24, buckets=ALERT_BUCKETS)
+        pipeline.run_available(out, lambda rows, batch_id: sinks.write_batch(rows, f"{root}/out", batch_id), f"{root}/checkpoint", settle=last)
+
+    parts = [r[0] for r in stored.select("part").distinct().orderBy("part").collect()]  # a few
+    for number in parts or [0]:
+        stored.filter(F.col("part") == number).select(*schema.names).write.parquet(f"{root}/in/part={number:06d}")
+        run(number == (parts or [0])[-1])  # one micro-batch takes the files of an arrival, however many tasks wrote them
     return spark.read.parquet(f"{root}/out")
 
 

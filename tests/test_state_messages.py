@@ -1,5 +1,6 @@
 """How often the stateful processors speak to their store: every access is a message, whatever its size."""
 
+import random
 import types
 
 import pandas as pd
@@ -84,6 +85,42 @@ def test_messages_of_an_alert_do_not_grow_with_its_episodes():
     assert pd.concat(state.handleExpiredTimer(("a",), None, again))["micros"].tolist() == [84 * HOUR]
 
 
+def test_messages_of_a_bucket_do_not_grow_with_its_alerts():
+    """Alerts of a bucket share its state and give the rows that they give alone."""
+    rng = random.Random(3)
+    names = [f"k{i}" for i in range(30)]
+    kinds = ["CREATE", "ESCALATE", "PROCESSING", "RESOLVED", "CLOSED"]
+    alone, shared = {n: (Store(), alert_state.AlertState(24, {"CREATE": "PENDING"})) for n in names}, (Store(), alert_state.BucketState(24, {"CREATE": "PENDING"}))
+    for store, state in (*alone.values(), shared):
+        state.init(store)
+        store.timers = set()
+        store.registerTimer = store.timers.add
+
+    def rows(frames):
+        return {tuple(None if v != v else v for v in r) for f in frames for r in f.itertuples(index=False)}
+
+    def expire(store, state, key, watermark):
+        out, clock = [], types.SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark)
+        for at in sorted(t for t in store.timers if t <= watermark):
+            out += state.handleExpiredTimer(key, clock, types.SimpleNamespace(getExpiryTimeInMs=lambda: at))
+            store.timers.discard(at)
+        return rows(out)
+
+    escalated = 0
+    for batch in range(4):
+        frame = pd.DataFrame([(rng.choice(names), (batch * 60 + rng.randrange(70)) * HOUR, i, rng.choice(kinds), rng.choice(["x", "y"]))
+                              for i in range(batch * 1000, batch * 1000 + 300)], columns=["alert_key", "micros", "seq", "action", "assignee"])
+        before = shared[0].asked
+        got = rows(shared[1].handleInputRows((0,), iter([frame]), None))
+        assert shared[0].asked - before == 2 and len(shared[0].timers) <= 4
+        assert got == {r for n, own in frame.groupby("alert_key") for r in rows(alone[n][1].handleInputRows((n,), iter([own]), None))}
+        watermark = (batch * 60 + 65) * 3_600_000
+        got = expire(*shared, (0,), watermark)
+        assert got == {r for n in names for r in expire(*alone[n], (n,), watermark)}
+        escalated += len(got)
+    assert escalated > 20
+
+
 def test_messages_of_profiles_do_not_grow_with_their_keys():
     """Keys that share a group share its state, not their versions or clocks; rows without a time move no clock."""
     store, state = Store(), profile_state.ProfileState()
