@@ -75,6 +75,23 @@ def test_parts_of_the_cases_follow_their_bytes(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_products_in_single_precision_lose_no_hit(monkeypatch, kind):
+    """All pairs were multiplied, rounded and sorted in double precision."""
+    queries, cases = unit(40, 64, 5).astype(kind), unit(3000, 64, 6).astype(kind)
+    cases[100:140] = cases[0] + np.float64(3e-7) * np.arange(40)[:, None]  # closer than single precision tells
+    queries[0], cases[2000:2010], queries[1] = cases[0], cases[1], 0
+    names = np.arange(3000)[::-1].copy()
+    want = similar._best(np.arange(40), names, queries.astype(np.float64) @ cases.astype(np.float64).T, 7)
+    sizes = []
+    monkeypatch.setattr(similar, "FEW_PAIRS", 11)
+    plain = similar._ranked
+    monkeypatch.setattr(similar, "_ranked", lambda q, c, rows, *rest: (sizes.append(len(rows)), plain(q, c, rows, *rest))[1])
+    got = [similar._nearest(np.arange(40)[a:a + 1], names, queries[a:a + 1], cases, 7) for a in range(40)]
+    assert [tuple(r) for g in got for r in g.to_numpy()] == [tuple(r) for r in want.to_numpy()]
+    assert sizes[1] == 3000 and sum(sizes[2:]) < 38 * 100  # a query of zeros meets all, the others few
+
+
 def test_exact_blocks_take_repeated_ids_and_text_ids(spark):
     queries, cases = unit(20, 8, 1), unit(30, 8, 2)
     q, c = frames(spark, queries, cases)
